@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .minhash import op10_minhash
+from .quality import op7_quality
+from .tokencount import op5_token_counts
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op7_quality": op7_quality,
     "op10_minhash": op10_minhash,
 }
 
