@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .minhash import op10_minhash
+from .packing import op9_packing
 from .quality import op7_quality
 from .tokencount import op5_token_counts
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_quality": op7_quality,
+    "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
 }
 
