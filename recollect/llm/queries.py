@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .brown import op8_brown
 from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
+from .sharding import op1_resharding
 from .tokencount import op5_token_counts
 
 QUERIES = {
+    "op1_resharding": op1_resharding,
     "op5_token_counts": op5_token_counts,
     "op7_quality": op7_quality,
+    "op8_brown": op8_brown,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
 }
