@@ -7,10 +7,12 @@ from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
 from .sharding import op1_resharding
+from .templates import op3_decontamination
 from .tokencount import op5_token_counts
 
 QUERIES = {
     "op1_resharding": op1_resharding,
+    "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_quality": op7_quality,
     "op8_brown": op8_brown,
