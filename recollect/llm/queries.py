@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .brown import op8_brown
+from .linededup import op4_line_dedup
 from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
@@ -13,6 +14,7 @@ from .tokencount import op5_token_counts
 QUERIES = {
     "op1_resharding": op1_resharding,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_quality": op7_quality,
     "op8_brown": op8_brown,
