@@ -8,6 +8,7 @@ from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
 from .sharding import op1_resharding
+from .suffixes import op6_repeats
 from .templates import op3_decontamination
 from .tokencount import op5_token_counts
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_repeats": op6_repeats,
     "op7_quality": op7_quality,
     "op8_brown": op8_brown,
     "op9_packing": op9_packing,
