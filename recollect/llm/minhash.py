@@ -11,7 +11,7 @@ the collections agree: with m = 14, r = 2 that is 1.6e-5 at s = 0.8 and less abo
 
 *Work stays in proportion to the documents.* Equal sets collapse to one representative.
 A bucket is never expanded to pairs: each member is tried against the bucket's smallest and
-largest member and one picked by hash. Links that hold on the full sets give components;
+largest member. Links that hold on the full sets give components;
 then buckets that still hold more than one component are looked at again, and members of
 different ones are matched by their rarest shingles, which is exact.
 
@@ -101,10 +101,8 @@ def _buckets(reps: DataFrame, m: int) -> DataFrame:
     return reps.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(wanted, "node").dropDuplicates(["node"]), "texts")
 
     def check(batches):
         for batch in batches:
@@ -126,7 +124,7 @@ def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(check, "a long, b long")
 
 
-def _rest(met: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of different components that meet in a bucket and may be links.
 
     A common passage can bring many documents into a bucket without making them alike, so
@@ -135,12 +133,11 @@ def _rest(met: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percen
     and the ranks of the first one shared bound the intersection. The order goes by counts
     in a table of fixed size, so that what is common comes last. Exact: no link is lost.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     named = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     nodes = named.join(mixed, "key").select("node", "label").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    open_ = stored(texts.join(nodes, "node").dropDuplicates(["node"]), "open")
+    open_ = stored(texts.join(nodes, "node"), "open")
 
     def tally(batch):
         flat, _ = shingle_sets(batch.column("text"), words)
@@ -184,10 +181,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     full = sk.where("n_shingles > 0")
     groups = stored(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "groups")
     buckets = _buckets(groups, m)
-    odd = F.xxhash64("node", F.lit(7))
-    heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", odd).alias("any")).where("low <> high")
+    heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     met = stored(buckets.join(heads, "key"), "buckets")  # only buckets with two members or more
     size = groups.select("node", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = stored(common.matching(texts, met.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """In order, each once, and not of sizes that rule a link out."""
@@ -195,11 +193,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
         pairs = pairs.join(size.withColumnRenamed("node", "a").withColumnRenamed("n", "na"), "a").join(size.withColumnRenamed("node", "b").withColumnRenamed("n", "nb"), "b")
         return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
-    tried = stored(sized(met.select(F.col("node").alias("a"), F.explode(F.array("low", "high", "any")).alias("b"))), "pairs")
-    edges = stored(_links(tried, docs, words, percent), "links")
+    tried = stored(sized(met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))), "pairs")
+    edges = stored(_links(tried, texts, words, percent), "links")
     labels = common.components(edges)
-    rest = _rest(met, labels, docs, words, percent)
-    late = stored(_links(stored(rest, "pairs"), docs, words, percent), "links")
+    rest = _rest(met, labels, texts, words, percent)
+    late = stored(_links(stored(rest, "pairs"), texts, words, percent), "links")
     if not late.isEmpty():
         labels = common.components(edges.unionByName(late))
     member = groups.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
