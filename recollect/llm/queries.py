@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .brown import op8_brown
 from .linededup import op4_line_dedup
+from .maintext import op2_main_text
 from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
@@ -14,6 +15,7 @@ from .tokencount import op5_token_counts
 
 QUERIES = {
     "op1_resharding": op1_resharding,
+    "op2_main_text": op2_main_text,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
