@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict = {}
+from recollect.plans import locking, memory, retrieval, streams  # noqa: F401  they register their queries
+from recollect.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """BM25 over all documents for every benchmark text, the first three hits of each."""
+    return retrieval.bm25_topk(spark, sf_dir)
