@@ -248,14 +248,16 @@ def _assign(docs, full, kind, n_core, key, n, classes) -> np.ndarray:
 
     def best(batches):
         after, before, size = weights.value
-        for batch in batches:
-            lists = batch.column("beside")
-            flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            k, m = flat.field("key").to_numpy(), flat.field("n").to_numpy()
-            side, c = k // width, k % width
-            gain = np.where((side == 0)[:, None], after[c], before[c] - size) * m[:, None]
-            total = np.add.reduceat(gain, np.cumsum(count) - count) if len(count) else gain
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.argmax(total, 1).astype(np.int32))], ["word", "kind"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):  # a gain for each class and each class beside
+                batch = whole.slice(i, 256)
+                lists = batch.column("beside")
+                flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                k, m = flat.field("key").to_numpy(), flat.field("n").to_numpy()
+                side, c = k // width, k % width
+                gain = np.where((side == 0)[:, None], after[c], before[c] - size) * m[:, None]
+                total = np.add.reduceat(gain, np.cumsum(count) - count)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.argmax(total, 1).astype(np.int32))], ["word", "kind"])
 
     got = seen.mapInArrow(best, "word long, kind int").toArrow()
     kind = kind.copy()
