@@ -74,8 +74,9 @@ def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """A document's key: its id and its text's hash."""
-    return docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    """``_row, doc_id, text`` and ``_doc``, a document's key: the hash of its id and text."""
+    parts = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return parts.withColumn("_doc", F.xxhash64("doc_id", "text"))
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -124,8 +125,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     until = F.concat(F.transform("spans", lambda s: s["at"]), F.array(F.octet_length(data).cast("long")))
     parts = F.transform(F.arrays_zip(bounds.alias("a"), until.alias("b")), lambda p: F.substring(data, p["a"].cast("int") + 1, F.greatest(p["b"] - p["a"], F.lit(0)).cast("int")).cast("string"))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.rtrim(F.array_join(parts, ""), F.lit("\n")))
-    near = near.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.col("spans").alias("removed"))
-    return near.unionByName(rest.select(*names, F.lit(None).cast(near.schema["removed"].dataType).alias("removed")))
+    own = lambda new: [new.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names]
+    near = near.select(*own(text), F.col("spans").alias("removed"))
+    return near.unionByName(rest.select(*own(F.col("text")), F.lit(None).cast(near.schema["removed"].dataType).alias("removed")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
