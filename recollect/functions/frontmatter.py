@@ -22,8 +22,8 @@ def _entries(head: Column, skip: str | None, quotes: bool) -> Column:
     value = lambda x: F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1))
     bare = (lambda x: F.btrim(F.btrim(value(x), F.lit('"')), F.lit("'"))) if quotes else value
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("k"), bare(x).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == p["k"]))
-    return F.map_from_entries(last)
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
 def split_meta(content: Column) -> Column:

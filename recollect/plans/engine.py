@@ -16,6 +16,7 @@ from recollect.operators import cards as C
 from recollect.operators import index as I
 from recollect.operators import lock as L
 from recollect.operators import rank as R
+from recollect.plans.place import place
 
 # Thresholds of the refusal rules.
 STRONG, WORDNESS, SCORE_MIN, SINGLE_SCORE, SMALL, CANDIDATES = 0.5, 0.12, 8.5, 25.0, 300, 80
@@ -31,19 +32,21 @@ class Index:
     n: int
 
     @classmethod
-    def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None) -> Index:
-        """From ``pages(rel, content)``: secret pages stay out, texts are redacted first."""
+    def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None, path: str | None = None) -> Index:
+        """From ``pages(rel, content)``: secret pages stay out, texts are redacted first. The
+        tables are written to ``path`` (a new shared folder if none is given) and read back."""
+        spark, path = pages.sparkSession, path or place(pages.sparkSession, "index")
         clean = pages.select("rel", redact.redact(F.col("content")).alias("content"))
-        parts = clean.select("rel", frontmatter.split_meta(F.col("content")).alias("p")).select("rel", "p.meta", "p.body")
+        clean.select("rel", frontmatter.split_meta(F.col("content")).alias("p")).write.mode("overwrite").parquet(f"{path}/pages")
+        parts = spark.read.parquet(f"{path}/pages").select("rel", "p.meta", "p.body")
         parts = parts.where(~redact.is_secret_page(F.col("rel"), F.col("meta")["title"], F.col("meta")["secret"]))
         rows = I.document_rows(parts, triggers)
         rows = rows.withColumn("tier", I.tier_of(F.col("rel"), F.col("status"), prefixes))
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
         words = F.array_distinct(F.concat("title", "triggers", "body", "uni"))
-        return cls(rows, I.vocabulary(rows, "rel", words), rows.count())
-
-    def save(self, path: str) -> None:
-        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        I.vocabulary(rows, "rel", words).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:

@@ -114,13 +114,13 @@ def unused_rules(spark, sf):
 
 
 @query(
-    """with d as (select p_partkey as rel, p_name as word from part), o as (select word, min(rel) as rel from d group by word having count(distinct rel) = 1),
+    """with d as (select p_partkey as rel, p_name || ' ' || (p_partkey // 2) as word from part), o as (select word, min(rel) as rel from d group by word having count(distinct rel) = 1),
 u as (select l_partkey as rel, count(*) as n from lineitem group by all), r as (select o.rel, word, coalesce(n, 0) as n from o left join u using (rel) order by n desc, o.rel limit 20)
 select rel, word, n::bigint as n, (99 + row_number() over (order by n desc, rel))::int as id from r"""
 )
 def alias_proposals(spark, sf):
     """The twenty most used parts without a lock, with their names as new aliases (a report)."""
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("rel"), F.col("p_name").alias("word"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("rel"), F.concat("p_name", F.lit(" "), F.expr("p_partkey div 2")).alias("word"))
     none = spark.createDataFrame([], "alias string, source long")
     use = Q.demand(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("rel")), "rel")
     out = L.proposals(part.select("rel"), none, part, use, 100, 20)

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from recollect.plans.place import place
 from recollect.plans.registry import query
 from recollect.streaming import logs
 
 
-def _place(spark) -> str:
-    """A folder all executors share, for a stream's table and checkpoint."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="recollect-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, sf):
     return logs.stream(spark, f"{sf}/events.parquet*", logs.EVENTS)
 
 
 def _drained(spark, df, mode="append"):
-    at = _place(spark)
+    at = place(spark, "stream")
     return logs.drained(df, f"{at}/out", f"{at}/checkpoint", mode)
 
 
