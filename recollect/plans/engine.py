@@ -54,10 +54,17 @@ class Index:
         return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count())
 
 
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back, so that later steps do not carry the plan of earlier ones."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def analysed(index: Index, questions: DataFrame) -> DataFrame:
     """``qid, term, df, wordness, weight, titled, named, present``: the questions' terms with
     what the index knows of them."""
-    raw = questions.select("qid", F.explode(T.query_terms(F.col("q"))).alias("term"))
+    raw = _held(questions.select("qid", F.explode(T.query_terms(F.col("q"))).alias("term")), "terms")
     known = index.vocabulary
     pair = T.is_pair(F.col("term"))
     t = raw.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -87,7 +94,7 @@ def unknown_terms(index: Index, questions: DataFrame) -> DataFrame:
 def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None = None, gate: bool = True) -> DataFrame:
     """``qid, rel, rank, score, tier, how, margin, strong, refuse, confidence`` for a batch of
     ``questions(qid, q)``. Questions without any hit have one row with confidence ``none``."""
-    terms = analysed(index, questions)
+    terms = _held(analysed(index, questions), "analysed")
     present = terms.where("present")
     good = (~T.is_pair(F.col("term"))) | F.col("named") | (F.col("wordness") >= WORDNESS)
     any_good = F.max(good.cast("int")).over(W.partitionBy("qid")) == 1
@@ -102,7 +109,7 @@ def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None
     if scope:
         hits = hits.where((F.col("rel") == scope) | F.col("rel").startswith(f"{scope}/"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "_place", "rel")
-    hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("second", F.lead("score").over(w))
+    hits = _held(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("second", F.lead("score").over(w)), "hits")
     top = hits.where("rank = 1").withColumn("margin", F.when(F.col("second").isNull(), 9.9).otherwise(F.col("score") / F.col("second")))
 
     on_top = top.select("qid", F.array_distinct(F.concat("title", "triggers", "body")).alias("_page"))
@@ -119,7 +126,7 @@ def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None
     )
     judged = judged.withColumn("refuse", refuse)
     verdict = judged.select("qid", F.round("margin", 4).alias("margin"), "strong", "refuse", R.confidence(F.col("margin"), F.col("tier"), F.col("refuse") if gate else F.lit(False)).alias("confidence"))
-    out = hits.select("qid", "rel", "rank", "score", "tier", "how").join(verdict, "qid")
+    out = _held(hits.select("qid", "rel", "rank", "score", "tier", "how").join(verdict, "qid"), "answers")
     missing = questions.select("qid").join(out.select("qid"), "qid", "left_anti")
     none = missing.select("qid", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns if c not in ("qid", "confidence", "margin", "strong", "refuse")], F.lit(0.0).alias("margin"), F.lit(0).cast("long").alias("strong"), F.lit(True).alias("refuse"), F.lit("none").alias("confidence"))
     return out.unionByName(none)

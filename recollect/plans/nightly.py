@@ -31,7 +31,9 @@ def complete(prompts: DataFrame, model: Callable[[pd.Series], pd.Series] | None)
     """``prompts`` with ``answer`` from an injected batch function; without one, NoModel."""
     if model is None:
         raise NoModel("no model is set")
-    schema = prompts.schema.add("answer", "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([*prompts.schema.fields, StructField("answer", StringType())])
 
     def run(frames):
         for frame in frames:

@@ -1,0 +1,76 @@
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.functions import digest, frontmatter as FM, redact as X, text as T
+
+
+def one(spark, fn, *values):
+    df = spark.createDataFrame([values], ", ".join(f"v{i} string" for i in range(len(values))))
+    return df.select(fn(*[F.col(f"v{i}") for i in range(len(values))]).alias("x")).first().x
+
+
+@pytest.mark.parametrize("text, want", [("日更健康 API-timeout x", ["日更", "更健", "健康", "api", "timeout"]), ("日 a1", ["日", "a1"]), ("ＡＰＩ", ["api"]), ("", []), ("é_Ab", ["ab"])])
+def test_tokens(spark, text, want):
+    assert one(spark, T.tokens, text) == want
+
+
+def test_other_tokenisers(spark):
+    assert one(spark, T.bench_tokens, "go The 日更健康 x1y") == ["the", "x1y", "日更", "更健", "健康"]
+    assert one(spark, T.run_tokens, "Ab 日更健康-9") == ["ab", "日更健康", "9"]
+    assert one(spark, T.unigrams, "日更日 a") == ["日", "更"]
+    assert one(spark, T.compact, " A-b é_Ｃ ") == "abéc"
+    assert one(spark, T.lock_form, "API 的 time-out!") == "apitimeout"
+    assert one(spark, T.char_ngrams, "Ab  cd") == ["ab ", "b c", " cd"] and one(spark, T.char_ngrams, "ab") == ["ab"]
+    assert set(one(spark, T.latin_forms, "policies")) >= {"policies", "policy", "policie"}
+    assert one(spark, T.query_terms, "what is the API timeout") == ["api", "timeout"] and one(spark, T.query_terms, "what is the") == ["what", "is", "the"]
+
+
+def test_shapes(spark):
+    assert one(spark, lambda t: T.single_concept(t), "timeout") and not one(spark, lambda t: T.single_concept(t), "api timeout") and not one(spark, lambda t: T.single_concept(t), "2024")
+    assert one(spark, T.has_term, "deploy", "we deploys it") and not one(spark, T.has_term, "deploy", "redeployed")
+    assert one(spark, T.wiki_links, "see [[a/b#part|label]] and [[c]]") == ["a/b", "c"]
+    assert one(spark, T.first_rule_line, "# Head\nstatus: x\nplain line here\n- **bold rule line** ok") == "bold rule line ok"
+    assert one(spark, lambda t: T.squash(t, 5), "a  bcd efg") == "a bcd …"
+    assert one(spark, T.json_in_prose, 'so: {"a": {"b": 1}} ok') == '{"a": {"b": 1}}'
+    assert one(spark, T.pipe_safe, "a|b \n c") == "a/b c"
+
+
+def test_redaction(spark):
+    key = "sk-" + "a1B2" * 6
+    cases = {
+        f"my {key} here": f"my {X.MARK} here",
+        'token = "0123456789abcdef0123456789abcdef01234567"': f'token = "{X.MARK}"',
+        "password: changeme": "password: changeme",
+        "Bearer abcdefghijklmnop1234": f"Bearer {X.MARK}",
+        "https://h/x?api_key=abc123def&y=1": f"https://h/x?api_key={X.MARK}&y=1",
+        "db://user:pw12345@host": f"db://user:{X.MARK}@host",
+        "commit 0123456789abcdef0123456789abcdef01234567": "commit 0123456789abcdef0123456789abcdef01234567",
+        "path/to/some/long/file-name.md and words": "path/to/some/long/file-name.md and words",
+        "密码：abc12345": f"密码：{X.MARK}",
+    }
+    for text, want in cases.items():
+        assert one(spark, X.redact, text) == want
+    spans = one(spark, X.found_keys, f"a {key} b")
+    assert [(s["shape"], s["start"], s["size"]) for s in map(lambda r: r.asDict(), spans)] == [("known", 2, len(key))]
+    assert one(spark, lambda p, t, f: X.is_secret_page(p, t, f), "x.md", "API keys", None) and one(spark, lambda p, t, f: X.is_secret_page(p, t, f), "x.md", "t", "yes")
+
+
+def test_front_matter(spark):
+    page = "---\r\ntitle: \"A: b\"\r\ntags:\r\n  - x: y\r\ntitle: last\r\n---\r\nbody\n"
+    r = one(spark, FM.split_meta, page)
+    assert r["meta"] == {"title": "last", "tags": ""} and r["body"].strip() == "body"
+    assert one(spark, FM.plain_meta, "---\na: x---y\nb: 2\n---\nz") == {"a": "x"}
+    assert one(spark, FM.importer_meta, '---\na: "q"\n---\n') == {"a": '"q"'}
+    assert one(spark, FM.hook_meta, "---\na: 1\n - b: 2\n---\n") == {"a": "1"}
+    assert one(spark, FM.split_meta, "no head: here")["meta"] == {}
+    assert str(one(spark, FM.iso_day, "2024-05-06T07:08:09Z")) == "2024-05-06" and one(spark, FM.iso_day, "soon") is None
+    assert one(spark, FM.epoch, "1700000000") == one(spark, FM.epoch, "1700000000000")
+    assert one(spark, FM.message_text, '[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]') == "a\nb"
+    assert one(spark, FM.message_text, '"plain"') == "plain"
+
+
+def test_digests(spark):
+    import hashlib
+
+    assert one(spark, digest.body_digest, "---\na: 1\n---\nbody") == hashlib.sha1(b"body").hexdigest()[:16]
+    assert one(spark, lambda a, b: digest.row_id(a, b), "x", "y") == hashlib.sha1(b"x\x00y").hexdigest()[:16]
