@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes that a kernel looks at in one go; its temporaries are some forty times that.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Odd, so that it has an inverse modulo 2**64; the base of the rolling word hash.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -116,11 +116,11 @@ def _hash_slice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about SLICE bytes each; a longer row is one by itself."""
+def slices(offs: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes each; a longer row is one by itself."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 
@@ -171,14 +171,14 @@ def long_hash(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def text_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over slices of every batch: at most some megabytes of text at a time, in the
-    column ``text``."""
+def text_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, size: int = SLICE) -> DataFrame:
+    """``fn`` over slices of every batch: about ``size`` bytes of text at a time, in the column
+    ``text``."""
 
     def run(batches):
         for batch in batches:
             _, offs = buffers(batch.column("text"))
-            for i, j in slices(offs):
+            for i, j in slices(offs, size):
                 yield from fn(batch.slice(i, j - i))
 
     return df.mapInArrow(run, schema)

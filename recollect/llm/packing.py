@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .common import stored, text_rows
+from .common import Words, stored, text_rows
 
 LENGTH = 2048
 #: Tokens taken from a queue at a time, at most.
@@ -38,42 +38,155 @@ QUANTUM = 128
 #: Tokens of a bucket, about: 4 bytes each in the task that packs it.
 BUCKET = 1 << 21
 END_ID = 1
+#: Ids of known words (of some 10 bytes each, with the tables) after which a worker starts anew.
+IDS_KEPT = 10_000_000
 #: Parts of a source's tokens that are dealt to a bucket as one.
 CELLS = 16
 #: Rows (of a short name and two numbers) up to which the table of cells is broadcast.
 BROADCAST_ROWS = 300_000
 
 
-class WordIds(dict):
-    """The ids of a word (bytes between ASCII white space), as little-endian 16-bit numbers.
+class WordIds:
+    """The ids of words (bytes between ASCII white space), found by the words' hashes.
 
     Every boundary the tokenizer makes at white space is a hard one, so the ids of a text are
-    those of its words in turn; words are memoised, within bounds."""
+    those of its words in turn. Known words lie in sorted arrays; new ones are encoded
+    together: one of letters only is one unit to the tokenizer, whose last token ends a word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("a vocabulary of up to 65,536 ids is expected")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._anew()
+
+    def _anew(self) -> None:
+        self.flat, self.used = np.empty(1 << 16, np.uint16), 0
+        #: Hash, first id and number of ids of known words: many in order, and the latest.
+        self.known = [np.empty((3, 0), np.uint64), np.empty((3, 0), np.uint64)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        one, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        text = _spans(data, start[one], end[one], True)
+        ids = self._encode([text.tobytes().decode()])[0] if len(one) else np.empty(0, np.uint16)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(one):  # a letter that the tokenizer takes apart
+            parts = self._encode(text.tobytes().decode().split(" ")[:-1])
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        rest = self._encode([data[start[k] : end[k]].tobytes().decode() for k in other])
+        size = np.concatenate([np.diff(ends, prepend=0), [len(x) for x in rest]]).astype(np.int64)
+        ids = np.concatenate([ids, *rest])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(ids), np.uint16)])
+        first = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        new = np.stack([hashes[np.concatenate([one, other])], first.astype(np.uint64), size.astype(np.uint64)])
+        return new[:, np.argsort(new[0])]
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """First ids and numbers of ids of distinct words, which are byte spans; ``plain`` ones
+        are of letters only."""
+        out, left = np.zeros((2, len(hashes)), np.int64), np.arange(len(hashes))
+        for table in self.known:
+            if table.shape[1] and len(left):
+                at = np.minimum(np.searchsorted(table[0], hashes[left]), table.shape[1] - 1)
+                hit = table[0, at] == hashes[left]
+                out[:, left[hit]] = table[1:, at[hit]]
+                left = left[~hit]
+        if len(left):
+            new = self._learn(hashes[left], data, start[left], end[left], plain[left])
+            out[:, left] = new[1:, np.searchsorted(new[0], hashes[left])]
+            many, late = self.known
+            late = np.concatenate([late, new], axis=1)
+            if late.shape[1] > max(1 << 16, many.shape[1] // 4):
+                many, late = np.concatenate([many, late], axis=1), late[:, :0]
+                many = many[:, np.argsort(many[0])]
+            self.known = [many, late[:, np.argsort(late[0])]]
+        return out
+
+    def of(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, each with ``end_id`` behind, and the rows' offsets into them."""
+        if self.used >= IDS_KEPT:
+            self._anew()
+        data, offs = common.buffers(column)
+        w = Words(data, offs)  # the tokenizer lower-cases, but for its special strings
+        h, a, b, first = w.hash, w.start, w.end, w.first
+        cut = _stems(w.data, a, b)
+        mark = np.flatnonzero(cut < b)
+        if len(mark):
+            h = h.copy()
+            h[mark] = common.span_hashes(w.data, a[mark], cut[mark])
+            h = np.insert(h, mark + 1, common.span_hashes(w.data, cut[mark], b[mark]))
+            a, b = np.insert(a, mark + 1, cut[mark]), np.insert(cut, mark + 1, b[mark])
+            first = first + np.searchsorted(mark, first)
+        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        odd = np.append(0, np.cumsum(~_letters(w.data)))
+        plain = odd[a[index]] == odd[b[index]]
+        begin, size = self.find(distinct, w.data, a[index], b[index], plain)[:, inverse]
+        until = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - until + size, size) + np.arange(until[-1] if len(until) else 0)]
+        at = np.append(0, until)[first]
+        ids = np.insert(ids, at[1:], end_id)
+        at += np.arange(len(at))
+        if b"<|" in (raw := data.tobytes()):  # it may be a special string
+            rows = [ids[at[i] : at[i + 1]] for i in range(len(at) - 1)]
+            for i in range(len(rows)):
+                if b"<|" in (row := raw[offs[i] : offs[i + 1]]):
+                    rows[i] = np.append(self._encode([row.decode()])[0], np.uint16(end_id))
+            ids, at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return ids, at
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of the letters a-z and U+00C0 to U+023F, without two signs and the one letter that
+    is two characters in lower case."""
+    lead = (data >= 0xC3) & (data <= 0xC8)
+    out = ((data >= 97) & (data <= 122)) | lead
+    tail = np.flatnonzero(lead[:-1]) + 1
+    one, two = data[tail], data[tail - 1]
+    fine = ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ~((two == 0xC4) & (one == 0xB0))
+    out[tail] |= fine
+    return out
+
 
-    def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: bool = False) -> np.ndarray:
+    """The bytes of spans, one after another, each with a space behind if wanted."""
+    size = end - start + spaced
+    until = np.cumsum(size)
+    out = data[np.minimum(np.repeat(start - until + size, size) + np.arange(until[-1] if len(until) else 0), max(len(data) - 1, 0))]
+    if spaced and len(until):
+        out[until - 1] = 32
+    return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        # Letters and one mark behind them are split by the tokenizer before anything else.
-        if word[-1:] in b".,|" and len(word) > 1 and (text := word[:-1].decode()).isalpha() and max(text) < "ɐ":
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif len(word) > 1 and word != (low := word.lower()) and b"<|" not in word:  # it lower-cases
-            ids = self[low]
-        else:
-            ids = self._encode(word)
-        if len(word) <= 40:
-            if len(self) >= common.CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+
+def _stems(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the run of ASCII marks at the end of each word begins, if a letter stands before
+    it: it is a unit of its own to the tokenizer. Else the word's end."""
+    if not len(start):
+        return end
+    last = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(1, len(data) + 1)))[end - 1]  # past the last other byte
+    some = np.flatnonzero((last > start) & (last < end))
+    one, two = data[last[some] - 1], data[np.maximum(last[some] - 2, 0)]
+    ascii_ = (one >= 97) & (one <= 122)
+    # U+00C0 to U+023F are letters but for two signs; one of them is two characters in lower case.
+    latin = (one >= 0x80) & (one < 0xC0) & (two >= 0xC3) & (two <= 0xC8) & (last[some] - 2 >= start[some]) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ~((two == 0xC4) & (one == 0xB0))
+    some = some[ascii_ | latin]
+    out = end.copy()
+    out[some] = last[some]
+    return out
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -81,19 +194,17 @@ _WORDS: dict[str, WordIds] = {}
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, source, n, ids``: the ids of each whole text and ``end_id``, two bytes each."""
-    tail = int(end_id).to_bytes(2, "little")
 
     def run(batch):
         import public_tokenizers
 
-        at = path or public_tokenizers.path("word_bpe_49k.json")
-        words = _WORDS.get(at) or _WORDS.setdefault(at, WordIds(at))
-        get = words.__getitem__
-        ids = [b"".join(map(get, t.split())) + tail if t else tail for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
+        file = path or public_tokenizers.path("word_bpe_49k.json")
+        words = _WORDS.get(file) or _WORDS.setdefault(file, WordIds(file))
+        ids, at = words.of(batch.column("text"), end_id)
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(at)), packed.cast(pa.binary())], ["doc_id", "source", "n", "ids"])
 
-    return text_rows(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string")), run, "doc_id long, source string, n long, ids binary")
+    return text_rows(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string")), run, "doc_id long, source string, n long, ids binary", 2 * common.SLICE)
 
 
 def round_robin(lengths: np.ndarray, queue_of: np.ndarray, share: np.ndarray, deficit: np.ndarray, place: int, window: int = LENGTH, quantum: int = QUANTUM):
@@ -162,14 +273,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = LENGTH, quantum
         out = np.array(list(round_robin(lengths, queue_of, share, deficit, place, window, quantum)), np.int64).reshape(-1, 4)
         out = _joined(out, window)
         doc, start, n, at = out.T
-        ids = rows["ids"].combine_chunks()
-        parts, last, wide = [], -1, None
-        for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist()):
-            if d != last:
-                wide, last = np.frombuffer(ids[d].as_buffer(), "<u2"), d
-            parts.append(wide[s : s + k].astype("<u4").tobytes())
+        data, offs = common.buffers(rows["ids"])
+        wide = np.ascontiguousarray(data).view("<u2").astype("<u4")
+        first, until = offs[doc] // 2 + start, np.cumsum(n)
+        ids = wide[np.repeat(first - until + n, n) + np.arange(until[-1] if len(until) else 0)]
+        parts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 4 * until).astype(np.int32)), pa.py_buffer(ids)])
         pick = rows.take(pa.array(doc))
-        return pa.table([pick["doc_id"], pick["source"], pa.array(start), pa.array(n), pick["n"], pa.array(at // window), pa.array(at % window), pa.array(parts, pa.binary())], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        return pa.table([pick["doc_id"], pick["source"], pa.array(start), pa.array(n), pick["n"], pa.array(at // window), pa.array(at % window), parts], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     schema = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return tokens.groupBy("bucket").cogroup(plan.groupBy("bucket")).applyInArrow(serve, schema)
