@@ -4,7 +4,7 @@ A text is its words (A-Z lower-cased, ASCII white space between them). Of every
 neighbouring words the position of the least hash of ``ANCHOR`` words is selected, so equal
 passages of that length hold an equally placed selected position. Only the suffixes at
 selected positions are retained, and of these only the ones whose first ``ANCHOR`` words
-occur at a second place.
+occur in a second document.
 
 The suffixes are sorted by their words and each is compared with its neighbour; a match is
 extended to the left as well. As the nearest neighbour to the right need not share most to
@@ -50,6 +50,11 @@ def selected(w: Words, passage: int, anchor: int) -> tuple[np.ndarray, np.ndarra
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = row[: len(view)] == row[span - 1 :]
     pick = np.unique(least[inside])
+    # One word over and over selects every position: of such a run the ends and some between stay.
+    same = np.zeros(len(pick) + 1, bool)
+    same[1:-1] = (np.diff(pick) == 1) & (h[pick[1:]] == h[pick[:-1]]) & (row[pick[1:]] == row[pick[:-1]])
+    first = np.maximum.accumulate(np.where(~same[:-1], np.arange(len(pick)), 0)) if len(pick) else pick
+    pick = pick[~same[:-1] | ~same[1:] | ((np.arange(len(pick)) - first) % span == 0)]
     return row[pick], pick - at[row[pick]], h[pick]
 
 
@@ -208,7 +213,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR, run:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
     spots = stored(_anchors(docs, passage, anchor), "anchors")
-    often = stored(spots.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    often = stored(spots.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("hash", "n"), "often")
     wanted = stored(spots.join(often, "hash").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("pos", "hash")).alias("wanted")), "wanted")  # of one document
     near = stored(common.matching(docs, wanted, "_doc").dropDuplicates(["_doc"]), "texts")
     suffixes = _suffixes(near.select("_doc", "text", "wanted"), passage, anchor)
