@@ -26,7 +26,7 @@ from . import common
 from .common import stored
 
 #: Rows of a cell, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 #: A row of more than this part of a new shard's capacity counts as large.
 LARGE = 1 / 512
 
