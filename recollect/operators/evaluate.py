@@ -142,3 +142,43 @@ def unsound(questions: DataFrame, pages: DataFrame) -> DataFrame:
     same = questions.withColumn("n", F.count("*").over(W.partitionBy(F.lower(F.trim("q"))))).where("n > 1").select("qid", F.lit("repeated").alias("problem"))
     lost = questions.where("gold is not null").join(pages.select(F.col("rel").alias("gold")), "gold", "left_anti").select("qid", F.lit("gold is missing").alias("problem"))
     return same.unionByName(lost)
+
+
+def leave_one_out(grades: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``left_out, floor, points``: the sweep of floors with each question left out in turn. A
+    question changes a floor's points by its own share, so nothing is swept again."""
+    total = floors(grades, cuts).select("floor", "points")
+    own = F.when(F.col("answered") & (F.col("score") >= F.col("floor")), F.when(F.col("right"), 1).otherwise(-1)).otherwise(0)
+    each = grades.select("qid", "answered", "right", "score").crossJoin(F.broadcast(total))  # a question set and a list of floors
+    return each.select(F.col("qid").alias("left_out"), "floor", (F.col("points") - own).alias("points"))
+
+
+def slices_exact(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per slice and overall: exact, neighbour, old-page, trapped and missed rates of
+    ``items(id, slice, gold, old, trap)`` and ``answers(id, cited)``; a miss is right without gold."""
+    j = items.join(answers, "id", "left")
+    miss = F.col("cited").isNull()
+    flags = {
+        "exact": F.when(F.col("gold").isNull(), miss).otherwise(F.coalesce(F.col("cited") == F.col("gold"), F.lit(False))),
+        "false_neighbor": ~miss & ~F.col("cited").eqNullSafe(F.col("gold")),
+        "old_page": F.col("old").isNotNull() & F.coalesce(F.col("cited") == F.col("old"), F.lit(False)),
+        "trapped": F.col("trap").isNotNull() & F.coalesce(F.col("cited") == F.col("trap"), F.lit(False)),
+        "miss": miss,
+    }
+    out = j.rollup("slice").agg(F.count("*").alias("n"), *[rate(F.sum(c.cast("int")), F.count("*"), 4).alias(k) for k, c in flags.items()])
+    return out.withColumn("slice", F.coalesce("slice", F.lit("all")))
+
+
+def matches_lock(summary: DataFrame) -> DataFrame:
+    """Whether a system does as well as the lock: every hit exact, every negative missed, no
+    false neighbour."""
+    at = lambda s, c: F.max(F.when(F.col("slice") == s, F.col(c)))
+    return summary.agg(((at("hit", "exact") == 1) & (at("negative", "miss") == 1) & (at("all", "false_neighbor") == 0)).alias("matches"))
+
+
+def rewrite_check(nouns: DataFrame, paraphrases: DataFrame, hits) -> DataFrame:
+    """``kind, n, ok``: all nouns must hit their page and all paraphrases must miss; ``hits`` maps
+    questions ``qid, q`` to ``qid, source``."""
+    a = nouns.join(hits(nouns.select("qid", "q")), "qid", "left").select(F.lit("noun").alias("kind"), F.coalesce(F.col("source") == F.col("gold"), F.lit(False)).alias("ok"))
+    b = paraphrases.join(hits(paraphrases.select("qid", "q")), "qid", "left").select(F.lit("paraphrase").alias("kind"), F.col("source").isNull().alias("ok"))
+    return a.unionByName(b).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("ok"))

@@ -144,3 +144,16 @@ def proposals(pages: DataFrame, aliases: DataFrame, nouns: DataFrame, demand: Da
     words = once.groupBy("rel").agg(F.sort_array(F.collect_set("word")).alias("words"))
     ranked = open_.join(words, "rel").orderBy(F.desc("n"), "rel").limit(k)
     return ranked.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "rel")) + (first_id - 1))  # at most k rows
+
+
+def apply_ticked(spark, aliases: list[tuple], ticked: list[tuple], pages: set[str]) -> DataFrame:
+    """``id, alias, source, reason`` of ticked proposals ``(id, alias, source)`` taken in order:
+    each accepted row counts for those behind it, so the short list is walked on the driver."""
+    ids, names, out = {a[0] for a in aliases}, {a[1] for a in aliases}, []
+    for i, name, source in ticked:
+        reason = "no such page" if source not in pages else "id is taken" if i in ids else "alias is taken" if name in names else None
+        if reason is None:
+            ids.add(i)
+            names.add(name)
+        out.append((i, name, source, reason))
+    return spark.createDataFrame(out, "id string, alias string, source string, reason string")

@@ -107,3 +107,22 @@ def safe_files(files: DataFrame, most: int = 8, size: int = 60_000) -> DataFrame
         .when(F.row_number().over(order) > most, "too many")
     )
     return files.withColumn("reason", reason)
+
+
+def ledger_check(ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """``rel, state`` of ``ledger(rel, sha)`` against ``files(rel, content)``: verified, mismatch
+    or missing."""
+    have = files.select("rel", F.sha2(F.col("content").cast("binary"), 256).alias("_sha"))
+    state = F.when(F.col("_sha").isNull(), "missing").when(F.col("sha") == F.col("_sha"), "verified").otherwise("mismatch")
+    return ledger.join(have, "rel", "left").select("rel", state.alias("state"))
+
+
+def without_secret_hits(hits: DataFrame, secret: DataFrame) -> DataFrame:
+    """Lines ``path.md:NN: text`` whose page is not among ``secret(rel)``."""
+    page = F.regexp_extract("line", "^(.*?\\.md):\\d+:", 1)
+    return hits.withColumn("_p", page).join(secret.select(F.col("rel").alias("_p")), "_p", "left_anti").drop("_p")
+
+
+def pending_days(days: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Days for which a stub is to be written: those that have none yet."""
+    return days.select("day").distinct().join(stubs.select("day"), "day", "left_anti")

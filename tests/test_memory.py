@@ -141,3 +141,30 @@ def test_stream_upsert(spark, tmp_path):
     assert {r.k: r.v for r in go().collect()} == {1: 2, 2: 1}
     put([(2, 5), (3, 1)])
     assert {r.k: r.v for r in go().collect()} == {1: 2, 2: 5, 3: 1}
+
+
+def test_ledger_lines_and_ticks(spark):
+    import hashlib
+
+    ledger = spark.createDataFrame([("a", hashlib.sha256(b"x").hexdigest()), ("b", "0"), ("c", "0")], "rel string, sha string")
+    have = spark.createDataFrame([("a", "x"), ("b", "y")], "rel string, content string")
+    assert {r.rel: r.state for r in quality.ledger_check(ledger, have).collect()} == {"a": "verified", "b": "mismatch", "c": "missing"}
+    hits = spark.createDataFrame([("k/s.md:3: x",), ("k/t.md:4: y",)], "line string")
+    assert [r.line for r in quality.without_secret_hits(hits, spark.createDataFrame([("k/s.md",)], "rel string")).collect()] == ["k/t.md:4: y"]
+    ticked = [("n1", "new", "p.md"), ("n1", "other", "p.md"), ("n2", "new", "p.md"), ("n3", "z", "gone.md")]
+    got = [r.reason for r in lock.apply_ticked(spark, [("a", "old", "p.md")], ticked, {"p.md"}).collect()]
+    assert got == [None, "id is taken", "alias is taken", "no such page"]
+
+
+def test_slices_and_leaving_out(spark):
+    from recollect.operators import evaluate as E
+
+    items = spark.createDataFrame([("1", "hit", "a", None, None), ("2", "hit", "b", "c", None), ("3", "negative", None, None, "t")], "id string, slice string, gold string, old string, trap string")
+    lockish = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, cited string")
+    s = E.slices_exact(items, lockish)
+    assert {r.slice: r.exact for r in s.collect()} == {"hit": 1.0, "negative": 1.0, "all": 1.0} and E.matches_lock(s).first().matches
+    assert not E.matches_lock(E.slices_exact(items, spark.createDataFrame([("1", "a"), ("2", "c"), ("3", "t")], "id string, cited string"))).first().matches
+    q = spark.createDataFrame([(1, "k", 1), (2, "k", 2)], "qid int, kind string, gold int")
+    g = E.graded(q, spark.createDataFrame([(1, 1, 5.0), (2, 9, 3.0)], "qid int, cited int, score double"))
+    cuts = spark.createDataFrame([(0.0,), (4.0,)], "floor double")
+    assert {(r.left_out, r.floor): r.points for r in E.leave_one_out(g, cuts).collect()} == {(1, 0.0): -1, (2, 0.0): 1, (1, 4.0): 0, (2, 4.0): 1}
