@@ -39,12 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends
     there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -138,6 +138,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes (A-Z), and starts and ends of the words in them."""
+    return _LOWER[data], *_spans(data, offs, _SPACE)
+
+
 class Words:
     """The words of some rows: ``hash`` and byte span (``start``, ``end`` in ``data``) of
     each, and ``first``, the n + 1 offsets of the rows into them."""

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, stored, text_rows
+from .common import stored, text_rows, word_spans
 
 LENGTH = 2048
 #: Tokens taken from a queue at a time, at most.
@@ -73,7 +73,10 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        until = np.cumsum(end - start)
+        odd = np.append(0, np.cumsum(~_letters(_spans(data, start, end))))
+        plain = odd[until] == odd[until - (end - start)]
         one, other = np.flatnonzero(plain), np.flatnonzero(~plain)
         text = _spans(data, start[one], end[one], True)
         ids = self._encode([text.tobytes().decode()])[0] if len(one) else np.empty(0, np.uint16)
@@ -92,9 +95,8 @@ class WordIds:
         new = np.stack([hashes[np.concatenate([one, other])], first.astype(np.uint64), size.astype(np.uint64)])
         return new[:, np.argsort(new[0])]
 
-    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """First ids and numbers of ids of distinct words, which are byte spans; ``plain`` ones
-        are of letters only."""
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """First ids and numbers of ids of distinct words, which are byte spans."""
         out, left = np.zeros((2, len(hashes)), np.int64), np.arange(len(hashes))
         for table in self.known:
             if table.shape[1] and len(left):
@@ -103,7 +105,7 @@ class WordIds:
                 out[:, left[hit]] = table[1:, at[hit]]
                 left = left[~hit]
         if len(left):
-            new = self._learn(hashes[left], data, start[left], end[left], plain[left])
+            new = self._learn(hashes[left], data, start[left], end[left])
             out[:, left] = new[1:, np.searchsorted(new[0], hashes[left])]
             many, late = self.known
             late = np.concatenate([late, new], axis=1)
@@ -118,20 +120,13 @@ class WordIds:
         if self.used >= IDS_KEPT:
             self._anew()
         data, offs = common.buffers(column)
-        w = Words(data, offs)  # the tokenizer lower-cases, but for its special strings
-        h, a, b, first = w.hash, w.start, w.end, w.first
-        cut = _stems(w.data, a, b)
+        low, a, b = word_spans(data, offs)  # the tokenizer lower-cases, but for its special strings
+        first = np.searchsorted(a, offs)
+        cut = _stems(low, a, b)
         mark = np.flatnonzero(cut < b)
-        if len(mark):
-            h = h.copy()
-            h[mark] = common.span_hashes(w.data, a[mark], cut[mark])
-            h = np.insert(h, mark + 1, common.span_hashes(w.data, cut[mark], b[mark]))
-            a, b = np.insert(a, mark + 1, cut[mark]), np.insert(cut, mark + 1, b[mark])
-            first = first + np.searchsorted(mark, first)
-        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        odd = np.append(0, np.cumsum(~_letters(w.data)))
-        plain = odd[a[index]] == odd[b[index]]
-        begin, size = self.find(distinct, w.data, a[index], b[index], plain)[:, inverse]
+        a, b, first = np.insert(a, mark + 1, cut[mark]), np.insert(cut, mark + 1, b[mark]), first + np.searchsorted(mark, first)
+        distinct, index, inverse = np.unique(common.span_hashes(low, a, b), return_index=True, return_inverse=True)
+        begin, size = self.find(distinct, low, a[index], b[index])[:, inverse]
         until = np.cumsum(size)
         ids = self.flat[np.repeat(begin - until + size, size) + np.arange(until[-1] if len(until) else 0)]
         at = np.append(0, until)[first]
@@ -175,9 +170,11 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: bool =
 def _stems(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Where the run of ASCII marks at the end of each word begins, if a letter stands before
     it: it is a unit of its own to the tokenizer. Else the word's end."""
-    if not len(start):
-        return end
-    last = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(1, len(data) + 1)))[end - 1]  # past the last other byte
+    last, open_ = end.copy(), np.flatnonzero(_MARK[data[end - 1]]) if len(end) else end
+    while len(open_):  # runs of marks are short
+        last[open_] -= 1
+        open_ = open_[last[open_] > start[open_]]
+        open_ = open_[_MARK[data[last[open_] - 1]]]
     some = np.flatnonzero((last > start) & (last < end))
     one, two = data[last[some] - 1], data[np.maximum(last[some] - 2, 0)]
     ascii_ = (one >= 97) & (one <= 122)
@@ -244,7 +241,7 @@ def round_robin(lengths: np.ndarray, queue_of: np.ndarray, share: np.ndarray, de
 def pack(docs: DataFrame, path: str | None = None, window: int = LENGTH, quantum: int = QUANTUM, bucket: int = BUCKET) -> DataFrame:
     """Pieces ``doc_id, source, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian
     32-bit) of all ``docs(doc_id, source, text)``. Targets are the sources' parts of all tokens."""
-    tokens = stored(token_ids(docs, path), "ids")
+    tokens = stored(token_ids(docs, path), "ids", "snappy")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket))
     tokens = tokens.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets * CELLS)))
