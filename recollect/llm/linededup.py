@@ -1,11 +1,17 @@
 """Removal of repeated line chunks with content-defined boundaries.
 
-A text is its lines (split at the newline). Lines are hashed; a rolling hash over the hashes
-of ``ROLL`` neighbouring lines ends a chunk where it is a multiple of ``DIVISOR``, so that
-boundaries follow the content and a passage is cut alike wherever it stands. A chunk has at
-least ``LINES`` lines; the end of a text ends one too. Of the chunks with equal bytes in all
-documents, the first (by id, then place) stays and the others are removed: hashes and
-lengths find candidates, and their bytes are compared with the first one's.
+A text is its lines (split at the newline). Lines are hashed; a line whose hash is smaller than
+those of both its neighbours ends a chunk, so that boundaries follow the content and a passage is
+cut alike wherever it stands. What lies before such a line is cut into pairs of lines backwards
+from it, what lies behind a text's last one forwards, so that a chunk has two lines, or three
+where an odd one is left; the end of a text ends one too. Of the chunks with equal bytes in all documents, the first (by id, then place) stays
+and the others are removed: hashes and lengths find candidates, and their bytes are compared
+with the first one's.
+
+A passage goes only as far as whole chunks lie in it. ``cleaned``, the pipeline's form, compares
+every pair of neighbouring lines instead (``pairs``), so that each repeated passage of ``LINES``
+lines or more goes from its first line to its last, wherever boundaries are; a line that stands
+for the first time stays.
 
 Chunks of a single line (at the end of a text) and those without a word are never removed.
 Only chunks whose hash repeats move their text; equal hashes are counted before the shuffle,
@@ -18,59 +24,63 @@ an empty table gives an empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, long_hash, mix, span_hashes, stored
+from .common import U64, long_hash, span_hashes, stored
 
-ROLL = 2
-DIVISOR = 3
 LINES = 2
 
-_BREAK = np.zeros(256, bool)
-_BREAK[10] = True
-
 
-def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Row, first byte, end (past the newline), number of lines and hash of the chunks."""
+def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """The bytes, and row, first byte, end (past the newline) and end of the body of the lines."""
     data, offs = common.buffers(column)
     first = np.zeros(len(data) + 1, bool)
     first[offs] = True
-    breaks = np.flatnonzero(data == 10) + 1
-    first[breaks] = True
+    first[np.flatnonzero(data == 10) + 1] = True
     start = np.flatnonzero(first[:-1])  # each byte run that ends with a newline or its text
-    end = np.append(start[1:], len(data))
+    end = np.append(start[1:], len(data)) if len(start) else start
     row = np.searchsorted(offs, start, "right") - 1
+    return data, row, start, end, np.where(data[end - 1] == 10, end - 1, end)
+
+
+def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, first byte, end (past the newline), number of lines and hash of the chunks."""
+    data, row, start, end, body = _lines(column)
     if not len(start):
         e = np.empty(0, np.int64)
         return e, e, e, e, e.view(U64)
-    body = np.where(data[end - 1] == 10, end - 1, end)
     h = span_hashes(data, start, body)
     fresh = np.append(True, row[1:] != row[:-1])  # first line of a text
-    place = np.arange(len(start)) - np.maximum.accumulate(np.where(fresh, np.arange(len(start)), 0))
-    rolled = h.copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, ROLL):
-            prior = np.roll(h, k)
-            rolled = mix(rolled * U64(0x9FB21C651E98DF25) + np.where(place >= k, prior, U64(0)))
-    cut = rolled % U64(DIVISOR) == 0
     last = np.append(fresh[1:], True)
-    begins = []
-    marks = np.flatnonzero(cut | last)
-    # Of the marks, those too near to the chunk's start do not count.
-    begin, ends = 0, []
-    for m in marks.tolist():
-        if last[m] or m - begin + 1 >= LINES:
-            begins.append(begin)
-            ends.append(m)
-            begin = m + 1
-    begins, ends = np.array(begins), np.array(ends)
-    lines = ends - begins + 1
+    cut = ~fresh & ~last
+    cut[1:] &= h[1:] < h[:-1]
+    cut[:-1] &= h[:-1] < h[1:]
+    cut |= last
+    # Between two cuts, pairs, counted from the cut that follows the content.
+    at = np.arange(len(start))
+    ends = np.flatnonzero(cut)
+    size = np.diff(ends, prepend=-1)
+    place, left = at - np.repeat(ends - size + 1, size) + 1, np.repeat(ends, size) - at
+    back = np.repeat(~last[ends], size)
+    ends = np.flatnonzero(cut | ((np.where(back, left, place) % LINES == 0) & (place >= LINES) & (left >= LINES)))
+    begins = np.append(0, ends[:-1] + 1)
     a, b = start[begins], end[ends]
-    return row[begins], a, b, lines, span_hashes(data, a, np.where(data[b - 1] == 10, b - 1, b))
+    return row[begins], a, b, ends - begins + 1, span_hashes(data, a, body[ends])
+
+
+def pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """As ``chunks``, every run of ``LINES`` neighbouring lines of a text; they overlap."""
+    data, row, start, end, body = _lines(column)
+    begins = np.arange(max(len(start) - LINES + 1, 0))
+    begins = begins[row[begins] == row[begins + LINES - 1]]
+    a, ends = start[begins], begins + LINES - 1
+    return row[begins], a, end[ends], np.full(len(begins), LINES), span_hashes(data, a, body[ends])
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -79,11 +89,11 @@ def _key(docs: DataFrame) -> DataFrame:
     return parts.withColumn("_doc", F.xxhash64("doc_id", "text"))
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """``doc, id, at, size, hash`` of the chunks of several lines with a word in them."""
+def _spans(docs: DataFrame, pieces: Callable) -> DataFrame:
+    """``doc, id, at, size, hash`` of the pieces of several lines with a word in them."""
 
     def run(batch):
-        row, a, b, lines, h = chunks(batch.column("text"))
+        row, a, b, lines, h = pieces(batch.column("text"))
         data, offs = common.buffers(batch.column("text"))
         words = np.concatenate([[0], np.cumsum(~common._SPACE[data])])
         pick = (lines >= LINES) & (words[b] > words[a]) if len(row) else np.zeros(0, bool)
@@ -95,9 +105,10 @@ def _spans(docs: DataFrame) -> DataFrame:
     return common.text_rows(docs.select("_doc", F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc long, id long, at long, size long, hash long")
 
 
-def _removals(docs: DataFrame) -> DataFrame:
-    """``doc, spans``: for each document that loses chunks, their first bytes and sizes."""
-    spans = stored(_spans(docs).dropDuplicates(["doc", "at"]), "chunks")
+def _removals(docs: DataFrame, pieces: Callable) -> DataFrame:
+    """``doc, spans``: for each document that loses pieces, first bytes and sizes; pieces that
+    overlap make up one."""
+    spans = stored(_spans(docs, pieces).dropDuplicates(["doc", "at"]), "chunks")
     repeated = spans.groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1").select("hash", "size")
     candidates = stored(spans.join(repeated, ["hash", "size"]), "candidates")
     wanted = candidates.groupBy(F.col("doc").alias("_doc")).agg(F.first("id").alias("id"), F.collect_list(F.struct("at", "size", "hash")).alias("spans"))  # of one document
@@ -108,15 +119,20 @@ def _removals(docs: DataFrame) -> DataFrame:
     order = F.struct("id", "at", "doc")
     firsts = held.groupBy("hash", "size").agg(F.min(F.struct(order.alias("o"), "bytes")).alias("f")).select("hash", "size", F.col("f.o").alias("o"), F.col("f.bytes").alias("first"))
     same = held.join(firsts, ["hash", "size"]).where((F.col("bytes") == F.col("first")) & (order != F.col("o")))
-    return same.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("spans"))
+    # A piece that overlaps its first, in a run of equal lines, goes from where that ends.
+    begin = F.when(F.col("doc") == F.col("o.doc"), F.greatest("at", F.col("o.at") + F.col("size") + 1)).otherwise(F.col("at"))
+    lost = same.select("doc", begin.alias("at"), (F.col("at") + F.col("size")).alias("end")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("s"))
+    starts = F.expr("filter(s, (x, i) -> i = 0 or x.at > s[i - 1].end)")
+    ends = F.expr("filter(s, (x, i) -> i = size(s) - 1 or s[i + 1].at > x.end)")
+    return lost.select("doc", F.zip_with(starts, ends, lambda x, y: F.struct(x["at"].alias("at"), (y["end"] - x["at"]).alias("size"))).alias("spans"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` without repeated chunks, and ``removed``: the spans of bytes
+def deduplicated(docs: DataFrame, pieces: Callable = chunks) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without repeated ``pieces``, and ``removed``: the spans of bytes
     (``at, size``) that went, null if none did."""
     names = docs.columns
     keyed = _key(docs)
-    cut = stored(_removals(keyed), "removals")
+    cut = stored(_removals(keyed, pieces), "removals")
     near, rest = common.split(keyed, cut.select(F.col("doc").alias("_doc")), "_doc")
     near = near.join(cut, F.col("_doc") == F.col("doc"), "left").drop("doc")
     data = F.col("text").cast("string").cast("binary")
@@ -131,9 +147,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the documents' columns, with ``n_chars`` of the new text; those of
-    which nothing is left go (all their text stands in others)."""
-    out = deduplicated(docs)
+    """The pipeline's form: no line of a repeated pair of lines is left, but where it stands first.
+    The documents' columns, with ``n_chars`` of the new text; those of which nothing is left go
+    (all their text stands in others)."""
+    out = deduplicated(docs, pairs)
     empty = F.col("removed").isNotNull() & (F.length(F.trim(F.translate("text", "\n\r\t", "   "))) == 0)
     names = [F.when(F.col("removed").isNull(), F.col(c)).otherwise(F.length("text")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.where(~empty).select(*names)

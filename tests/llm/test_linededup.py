@@ -64,3 +64,46 @@ def test_copies_go_and_counts_are_new(make):
     out = {r.doc_id: r for r in L.cleaned(docs).collect()}
     assert out[1].text == text and 2 not in out
     assert len(out[3].text) < len(text) and out[3].n_chars == len(out[3].text) and "first of mine" in out[3].text
+
+
+def repeated_lines(texts):
+    """Places of the lines in a pair of neighbours that stood before, by document; no chunks."""
+    seen, out = set(), {}
+    for d, t in sorted(texts):
+        lines = t.split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        out[d] = {i + k for i, p in enumerate(pairs) if p in seen for k in (0, 1)}
+        seen.update(pairs)
+    return out
+
+
+def planted(lengths=range(2, 9), each=12):
+    """Passages of some lines in a first document, and again between new lines in a later one."""
+    texts, k = [], 0
+    for n in lengths:
+        for _ in range(each):
+            passage = [f"passage {k} line {i} of {n}" for i in range(n)]
+            for d in (k, 1000 + k):
+                texts.append((d, "\n".join([*(f"own {d} {i}" for i in range(d % 5 + 1)), *passage, *(f"end {d} {i}" for i in range(d % 3 + 1))])))
+            k += 1
+    return texts
+
+
+def test_the_pipeline_removes_whole_planted_passages(make):
+    texts = planted() + [(5000, "one\none\none\none"), (5001, "x\na\na\na\nb\nc\nd"), (5002, "a\na\na\nq\nb\nc")]
+    gone = repeated_lines(texts)
+    gone[5000], gone[5001] = {2, 3}, {3}  # what stands first in a run of equal lines stays
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in texts}
+    got = {r.doc_id: r.text for r in L.cleaned(make(texts)).collect()}
+    assert got == {d: t for d, t in want.items() if t}
+
+
+def test_chunks_find_most_planted_passages(make):
+    texts = planted()
+    gone = repeated_lines(texts)
+    rows = {r.doc_id: r for r in L.deduplicated(make(texts)).collect()}
+    later = [d for d in rows if d >= 1000]
+    assert all(rows[d].removed is None for d in rows if d < 1000)
+    left = sum(len([x for x in rows[d].text.split("\n") if x.startswith("passage")]) for d in later)
+    assert sum(rows[d].removed is not None for d in later) >= 0.6 * len(later)
+    assert left <= 0.55 * sum(len(gone[d]) for d in later)
