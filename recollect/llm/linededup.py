@@ -4,7 +4,8 @@ A text is its lines (split at the newline). Lines are hashed; a line whose hash
 those of both its neighbours ends a chunk, so that boundaries follow the content and a passage is
 cut alike wherever it stands. What lies before such a line is cut into pairs of lines backwards
 from it, what lies behind a text's last one forwards, so that a chunk has two lines, or three
-where an odd one is left; the end of a text ends one too. Of the chunks with equal bytes in all documents, the first (by id, then place) stays
+where an odd one is left; the end of a text ends one too, and a last line goes with those
+before it. Of the chunks with equal bytes in all documents, the first (by id, then place) stays
 and the others are removed: hashes and lengths find candidates, and their bytes are compared
 with the first one's.
 
@@ -13,7 +14,7 @@ every pair of neighbouring lines instead (``pairs``), so that each repeated pass
 lines or more goes from its first line to its last, wherever boundaries are; a line that stands
 for the first time stays.
 
-Chunks of a single line (at the end of a text) and those without a word are never removed.
+Chunks of a single line (texts of one line) and those without a word are never removed.
 Only chunks whose hash repeats move their text; equal hashes are counted before the shuffle,
 and a hash as common as it may be meets one row, the first chunk.
 
@@ -61,6 +62,7 @@ def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
     cut = ~fresh & ~last
     cut[1:] &= h[1:] < h[:-1]
     cut[:-1] &= h[:-1] < h[1:]
+    cut[:-1] &= ~last[1:]  # a text's last line is no chunk by itself, so that copies vanish whole
     cut |= last
     # Between two cuts, pairs, counted from the cut that follows the content.
     at = np.arange(len(start))

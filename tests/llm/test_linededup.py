@@ -107,3 +107,12 @@ def test_chunks_find_most_planted_passages(make):
     left = sum(len([x for x in rows[d].text.split("\n") if x.startswith("passage")]) for d in later)
     assert sum(rows[d].removed is not None for d in later) >= 0.6 * len(later)
     assert left <= 0.55 * sum(len(gone[d]) for d in later)
+
+
+def test_copies_of_all_line_counts_vanish_whole(make):
+    """With every way the end of a text may be cut."""
+    texts = {100 * n + k: "\n".join(f"text {k} of {n} lines, line {i}" for i in range(n)) for n in range(2, 12) for k in range(10)}
+    docs = make([*texts.items(), *((d + 10_000, t) for d, t in texts.items())])
+    for out in (L.deduplicated(docs).where("doc_id >= 10000").collect(), L.cleaned(docs).where("doc_id >= 10000").collect()):
+        assert [r.text for r in out if r.text] == []
+    assert {r.doc_id: r.text for r in L.cleaned(docs).collect()} == texts
