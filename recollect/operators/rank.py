@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,44 +15,102 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 200_000
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most so many rows; the size is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``qid, term`` of ``queries(qid, terms)`` and the distinct terms, sent to every task if they
+    are few; the size is counted on the questions alone."""
+    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = asked.select("term").distinct()
+    return (F.broadcast(asked), F.broadcast(terms)) if few else (asked, terms)
+
+
+class Postings(NamedTuple):
+    """Written once for many batches of questions: ``rows(key, len, field, term, tf)`` in the order of
+    terms, ``lengths(key, len)``, ``df(term, df)`` and ``norms(key, norm)`` of the TF-IDF weights."""
+
+    rows: DataFrame
+    lengths: DataFrame
+    df: DataFrame
+    norms: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, fields: list[str], path: str) -> Postings:
+        """Of token arrays named ``fields``. A row without a term stands for each document, so the
+        texts are read once."""
+        none = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"))
+        length = sum((F.size(f) for f in fields), F.lit(0)).cast("double")
+
+        def words(field: str) -> Column:
+            return F.transform(F.col(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+
+        long = docs.select(key, length.alias("len"), F.explode(F.flatten(F.array(F.array(none), *map(words, fields)))).alias("p")).select(key, "len", "p.field", "p.term")
+        counted = long.groupBy(key, "len", "field", "term").agg(F.count("*").alias("tf"))
+        counted.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+        held = docs.sparkSession.read.parquet(f"{path}/postings")
+        rows, lengths = held.where("term is not null"), held.where("term is null").select(key, "len")
+        rows.groupBy("term").agg(F.countDistinct(key).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+        df = docs.sparkSession.read.parquet(f"{path}/df")
+        counts = rows.groupBy(key, "term").agg(F.sum("tf").alias("c"))
+        _weighted(counts, _inverse(df, lengths)).groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
+        return cls(rows, lengths, df, docs.sparkSession.read.parquet(f"{path}/norms"))
+
+    def without(self, key: str, dead: DataFrame) -> Postings:
+        """As if some documents had never been there; for BM25 only (frequencies of terms are
+        counted with the question)."""
+        gone = dead.select(key).distinct()
+        return Postings(self.rows.join(gone, key, "left_anti"), self.lengths.join(gone, key, "left_anti"), self.df, self.norms)
+
+
+def _scored(tf: DataFrame, totals: DataFrame, asked: DataFrame, key: str, digits: int | None) -> DataFrame:
+    """BM25 of the postings ``key, term, f, len`` of asked terms; ``totals(n, avg)`` is one row."""
+    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
+    idf = df.select("term", "avg", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = tf.join(idf, "term").select(key, "term", part.alias("s"))
+    total = F.sum("s")
+    return scored.join(asked, "term").groupBy("qid", key).agg((total if digits is None else F.round(total, digits)).alias("score"))
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, digits: int = 4) -> DataFrame:
+def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, digits: int | None = 4) -> DataFrame:
     """``qid, key, score``: BM25 over weighted token columns, for a batch of questions.
 
     ``docs`` holds token arrays named as ``fields`` (name to weight; weight 0 counts for the
     length only), ``queries`` holds ``qid, terms``. Only postings of query terms are kept,
-    before anything is shuffled; a term in most documents weighs 1e-6.
-    """
+    before anything is shuffled; a term in most documents weighs 1e-6. Without ``digits`` scores
+    are not rounded."""
+
     def entries(field: str, weight: float) -> Column:
         return F.transform(F.col(field), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     weighted = F.flatten(F.array(*[entries(f, w) for f, w in fields.items() if w]))
     length = sum((F.size(f) for f in fields), F.lit(0))
-    rows = docs.select(key, weighted.alias("_terms"), length.cast("double").alias("_len"))
-    totals = rows.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"))
-    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = _small(asked.select("term").distinct())
-    tf = rows.select(key, "_len", F.explode("_terms").alias("p")).select(key, "_len", "p.term", "p.w").join(terms, "term").groupBy(key, "term").agg(F.sum("w").alias("f"), F.first("_len").alias("_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
-    raw = F.ln((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("term", "_avg", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = tf.join(_small(idf), "term").select(key, "term", part.alias("s"))
-    return scored.join(_small(asked), "term").groupBy("qid", key).agg(F.round(F.sum("s"), digits).alias("score"))
+    rows = docs.select(key, weighted.alias("_terms"), length.cast("double").alias("len"))
+    totals = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
+    asked, terms = _asked(queries)
+    tf = rows.select(key, "len", F.explode("_terms").alias("p")).select(key, "len", "p.term", "p.w").join(terms, "term").groupBy(key, "len", "term").agg(F.sum("w").alias("f"))
+    return _scored(tf, totals, asked, key, digits)
 
 
-def top(scored: DataFrame, key: str, k: int, by: str = "score", partition: str = "qid") -> DataFrame:
+def bm25_of(postings: Postings, key: str, fields: dict[str, float], queries: DataFrame, digits: int | None = 4) -> DataFrame:
+    """The same from postings: nothing is read but those of the asked terms, and the lengths."""
+    asked, terms = _asked(queries)
+    weight = F.element_at(F.create_map(*[x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field"))
+    rows = postings.rows.join(terms, "term").where(weight != 0)
+    tf = rows.groupBy(key, "len", "term").agg(F.sum(weight * F.col("tf")).alias("f"))
+    totals = postings.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
+    return _scored(tf, totals, asked, key, digits)
+
+
+def top(scored: DataFrame, key: str, k: int, by: str | Column = "score", partition: str = "qid") -> DataFrame:
     """The first ``k`` of each question, ties by key, with their ``rank``."""
     w = W.partitionBy(partition).orderBy(F.desc(by), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, tier: Column, topic_named: Column | None = None, is_topic: Column | None = None, name_hit: Column | None = None) -> DataFrame:
-    """Scores times the tier's weight, the topic's (1.25 named, 0.35 not) and 2 for a name hit."""
+    """Scores, which must not be rounded before, times the tier's weight, the topic's (1.25 named,
+    0.35 not) and 2 for a name hit; rounded to three places, once."""
     score = F.col("score") * boost(tier)
     if is_topic is not None:
         score = score * F.when(is_topic & topic_named, 1.25).when(is_topic, 0.35).otherwise(1.0)
@@ -59,29 +119,43 @@ def rerank(candidates: DataFrame, tier: Column, topic_named: Column | None = Non
     return candidates.withColumn("score", F.round(score, 3))
 
 
-def lexical_count(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """``qid, key, hits``: how often the question's words occur as substrings.
+def lexical_count(words: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """``qid, key, hits``: how often the question's words occur as substrings of a document's, from
+    ``words(key, term, tf)`` and ``terms(qid, term)``, both runs of a-z and 0-9 of three or more.
 
-    Words of one question are few; each document's text is scanned once per distinct word."""
-    low = docs.select(key, F.lower(text).alias("_low"))
-    words = F.broadcast(terms.select("term").distinct().agg(F.collect_set("term").alias("_terms")))
-    n = F.transform(F.filter("_terms", lambda t: F.contains("_low", t)), lambda t: F.struct(t.alias("term"), ((F.length("_low") - F.length(F.replace("_low", t, F.lit("")))) / F.length(t)).cast("long").alias("n")))
-    counts = low.crossJoin(words).select(key, F.explode(F.filter(n, lambda x: x["n"] > 0)).alias("c")).select(key, "c.term", "c.n")
-    return counts.join(_small(terms), "term").groupBy("qid", key).agg(F.sum("n").alias("hits"))
+    A word that holds a term holds its first three characters: distinct words and terms meet on
+    those, so texts are not scanned, and a word is compared once however often it occurs."""
+    n = F.length("word")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3))))
+    known = words.select(F.col("term").alias("word")).distinct().withColumn("_g", F.explode(grams))
+    asked = terms.select("term").distinct().withColumn("_g", F.substring("term", 1, 3))
+    times = ((n - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term")).cast("long")
+    holds = known.join(asked, "_g").where(F.contains("word", F.col("term"))).select("word", "term", times.alias("times"))
+    each = words.select(key, F.col("term").alias("word"), "tf").join(holds, "word").groupBy(key, "term").agg(F.sum(F.col("tf") * F.col("times")).alias("n"))
+    return each.join(terms, "term").groupBy("qid", key).agg(F.sum("n").alias("hits"))
 
 
-def tfidf_cosine(docs: DataFrame, key: str, feats: Column, queries: DataFrame, qfeats: Column, digits: int = 6) -> DataFrame:
-    """``qid, key, score``: cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
-    d = docs.select(key, F.explode(feats).alias("f")).groupBy(key, "f").agg(F.count("*").alias("c"))
+def _inverse(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``term, idf`` for TF-IDF: ln((1 + n) / (1 + df)) + 1."""
     n = docs.agg(F.count("*").alias("_n"))
-    df = d.groupBy("f").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("f", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
-    weight = (1 + F.ln("c")) * F.col("idf")
-    dv = d.join(df, "f").select(key, "f", weight.alias("w"))
-    q = queries.select("qid", F.explode(qfeats).alias("f")).groupBy("qid", "f").agg(F.count("*").alias("c"))
-    qv = q.join(df, "f").select("qid", "f", weight.alias("qw"))
-    norm, qnorm = dv.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")), qv.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qnorm"))
-    dot = dv.join(_small(qv), "f").groupBy("qid", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dot.join(norm, key).join(_small(qnorm), "qid").select("qid", key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits).alias("score"))
+    return df.crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))  # one row
+
+
+def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """``counts(.., term, c)`` with ``w``, (1 + ln c) * idf."""
+    return counts.join(idf, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf")).drop("idf", "c")
+
+
+def tfidf_of(postings: Postings, key: str, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """``qid, key, score``: cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) between documents and
+    ``queries(qid, terms)``, where a term may stand more than once."""
+    idf = _inverse(postings.df, postings.lengths)
+    q = _weighted(queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("c")), idf).withColumnRenamed("w", "qw")
+    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qnorm"))
+    _, terms = _asked(queries)
+    counts = postings.rows.join(terms, "term").groupBy(key, "term").agg(F.sum("tf").alias("c"))
+    dot = _weighted(counts, idf).join(q, "term").groupBy("qid", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dot.join(postings.norms, key).join(qnorm, "qid").select("qid", key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits).alias("score"))
 
 
 def reciprocal_rank_fusion(key: str, *ranked: DataFrame, k: int = 60, digits: int = 6) -> DataFrame:
@@ -95,7 +169,7 @@ def reciprocal_rank_fusion(key: str, *ranked: DataFrame, k: int = 60, digits: in
 def best_lines(docs: DataFrame, key: str, text: Column, terms: DataFrame, k: int = 3, width: int = 160) -> DataFrame:
     """``qid, key, line_no, line``: the lines of ``docs(qid, key)`` that hold most of the
     question's words (``terms(qid, terms)``), in line order, cut to ``width``."""
-    lines = docs.select("qid", key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).join(_small(terms), "qid")
+    lines = docs.join(terms, "qid").select("qid", key, "terms", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     hits = F.size(F.filter("terms", lambda t: F.contains(F.lower("line"), t)))
     w = W.partitionBy("qid", key).orderBy(F.desc("n"), "line_no")
     return lines.withColumn("n", hits).where("n > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("qid", key, "line_no", F.substring("line", 1, width).alias("line"), F.col("n").alias("hits"))

@@ -9,6 +9,7 @@ from recollect.operators import evaluate as E
 from recollect.operators import index as I
 from recollect.operators import rank as R
 from recollect.operators import vectors as V
+from recollect.plans.place import place
 from recollect.plans.registry import query, table
 
 WORDS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2)"
@@ -31,6 +32,12 @@ def _bm25(k: int, dead: str = "") -> str:
     return _BM25.format(words=WORDS.format("d.text"), qwords=WORDS.format("text"), dead=dead) + f", top as (select * from r where rank <= {k})\n"
 
 
+def _raw_bm25(k: int) -> str:
+    """Without rounding; ties are told apart at the ninth place."""
+    sql = _bm25(k).replace("round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 4)", "sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)))")
+    return sql.replace("order by score desc, doc_id) as rank from s)", "order by round(score, 9) desc, doc_id) as rank from s)")
+
+
 def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
 
@@ -39,9 +46,30 @@ def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.latin_words(F.col("text")).alias("terms"))
 
 
-def _ranked(spark, sf, k: int, docs=None):
-    docs = _docs(spark, sf) if docs is None else docs
-    return R.top(R.bm25(docs.select("doc_id", T.latin_words(F.col("text")).alias("body")), "doc_id", {"body": 1.0}, _questions(spark, sf)), "doc_id", k)
+_BUILT: dict[tuple, R.Postings] = {}
+
+
+def _postings(spark, sf) -> R.Postings:
+    """The words of all documents as postings, written once a session and table for all lexical queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        words = _docs(spark, sf).select("doc_id", T.latin_words(F.col("source")).alias("title"), T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))).alias("triggers"), T.latin_words(F.col("text")).alias("body"))
+        _BUILT[key] = R.Postings.build(words, "doc_id", ["title", "triggers", "body"], place(spark, "postings"))
+    return _BUILT[key]
+
+
+def _bodies(spark, sf) -> R.Postings:
+    """The same of the texts alone."""
+    key = (spark.sparkContext.applicationId, sf, "body")
+    if key not in _BUILT:
+        _BUILT[key] = R.Postings.build(_docs(spark, sf).select("doc_id", T.latin_words(F.col("text")).alias("body")), "doc_id", ["body"], place(spark, "postings"))
+    return _BUILT[key]
+
+
+def _ranked(spark, sf, k: int, dead=None, digits: int | None = 4):
+    words = _bodies(spark, sf)
+    scored = R.bm25_of(words if dead is None else words.without("doc_id", dead), "doc_id", {"body": 1.0}, _questions(spark, sf), digits)
+    return R.top(scored, "doc_id", k, "score" if digits is not None else F.round("score", 9))
 
 
 # ------------------------------------------------------------------ the index
@@ -82,16 +110,15 @@ r as (select *, row_number() over (partition by qid order by score desc, doc_id)
 select qid, doc_id, score, rank from r where rank <= 3"""
 )
 def bm25_weighted_cols(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", T.latin_words(F.col("source")).alias("title"), T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))).alias("triggers"), T.latin_words(F.col("text")).alias("body"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.latin_words(F.concat("text", F.lit(" src0 text"))).alias("terms"))
-    hits = R.top(R.bm25(docs, "doc_id", {"title": 4.0, "triggers": 4.0, "body": 1.0}, asked), "doc_id", 3)
+    hits = R.top(R.bm25_of(_postings(spark, sf), "doc_id", {"title": 4.0, "triggers": 4.0, "body": 1.0}, asked), "doc_id", 3)
     return hits.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_bm25(3, "anti join (select doc_id from labels where quality = 0) x using (doc_id)") + "select qid, doc_id, score, rank from top")
 def bm25_skip_dead(spark, sf):
     dead = table(spark, sf, "labels").where("quality = 0").select("doc_id")
-    return _ranked(spark, sf, 3, _docs(spark, sf).join(dead, "doc_id", "left_anti")).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _ranked(spark, sf, 3, dead).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _MARGIN = """, m as (select qid, doc_id, score, rank, lead(score) over (partition by qid order by score desc, doc_id) as s2 from top)
@@ -111,7 +138,7 @@ _BOOST = f"case {_TIER} when 'rule' then 1.6 when 'topic' then 1.4 when 'project
 
 
 @query(
-    _bm25(80)
+    _raw_bm25(80)
     + f""", b as (select qid, doc_id, {_TIER} as tier, lang, round(score * {_BOOST}::double, 3) as score from top join documents using (doc_id)),
 f as (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from b where lang <> 'es')
 select qid, doc_id, tier, score, rank from f where rank <= 5"""
@@ -119,7 +146,7 @@ select qid, doc_id, tier, score, rank from f where rank <= 5"""
 def tier_boost_rerank(spark, sf):
     """The scope filter comes after the first 80, as a scope must not change the ranking."""
     tier = F.when(F.col("source") == "src0", "rule").when(F.col("source") == "src1", "topic").when(F.col("source") == "src2", "project").when(F.col("source") == "src3", "log").when(F.col("source") == "src4", "dead").otherwise("other")
-    hits = _ranked(spark, sf, 80).drop("rank").join(_docs(spark, sf).select("doc_id", "source", "lang"), "doc_id").withColumn("tier", tier)
+    hits = _ranked(spark, sf, 80, digits=None).drop("rank").join(_docs(spark, sf).select("doc_id", "source", "lang"), "doc_id").withColumn("tier", tier)
     hits = R.rerank(hits, F.col("tier")).where("lang <> 'es'")
     return R.top(hits, "doc_id", 5).select("qid", "doc_id", "tier", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -184,8 +211,11 @@ def coverage_curve(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    """The resamples come from the standard generator, which SQL lacks."""
-    return E.bootstrap(_grades(spark, sf), F.col("wrong").cast("double"))
+    """Intervals of the first hits, and of their difference from those with a floor of 20. The
+    resamples come from the standard generator, which SQL lacks."""
+    answers = _ranked(spark, sf, 1).select("qid", F.col("doc_id").alias("cited"), "score")
+    gold = _gold(spark, sf)
+    return E.bootstrap(E.graded(gold, answers), E.graded(gold, E.with_floor(answers, 20.0)))
 
 
 @query(_bm25(1) + _GOLD + ", pp as (select score, row_number() over (order by score) as i, count(*) over () as n from gr where answered) select score as value from pp where i = floor(n * 0.5) + 1")
@@ -220,7 +250,7 @@ select qid, doc_id, hits from (select *, row_number() over (partition by qid ord
 )
 def lexical_count(spark, sf):
     terms = _questions(spark, sf).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    return R.top(R.lexical_count(_docs(spark, sf), "doc_id", F.col("text"), terms), "doc_id", 3, "hits").select("qid", "doc_id", "hits")
+    return R.top(R.lexical_count(_bodies(spark, sf).rows, "doc_id", terms), "doc_id", 3, "hits").select("qid", "doc_id", "hits")
 
 
 _TFIDF = f"""
@@ -237,9 +267,7 @@ tr as (select *, row_number() over (partition by qid order by score desc, doc_id
 
 
 def _tfidf(spark, sf, k):
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    words = T.latin_words(F.col("text"))
-    return R.top(R.tfidf_cosine(_docs(spark, sf), "doc_id", words, asked, words), "doc_id", k)
+    return R.top(R.tfidf_of(_bodies(spark, sf), "doc_id", _questions(spark, sf)), "doc_id", k)
 
 
 @query(_TFIDF + "select qid, doc_id, score from tr where rank = 1 and score >= 0.05")
