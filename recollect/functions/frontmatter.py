@@ -89,6 +89,18 @@ def rendered(meta: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), body)
 
 
+def patched(content: Column, key: str, value: Column) -> Column:
+    """A page whose head says ``key: value``: its first line of that key is replaced, or one is added at
+    the end of the head; all other lines stay as they are. A page without a head stays as it is."""
+    text = _unix(content)
+    head, rest = F.regexp_extract(text, "(?s)\\A---\\n(.*?)\\n---", 1), F.regexp_replace(text, "(?s)\\A---\\n.*?\\n---", "")
+    lines = F.split(head, "\n")
+    at = F.array_position(F.transform(lines, lambda x: x.startswith(f"{key}:")), F.lit(True))
+    new = F.concat(F.lit(f"{key}: "), value)
+    put = F.when(at > 0, F.transform(lines, lambda x, i: F.when(i + 1 == at, new).otherwise(x))).otherwise(F.concat(lines, F.array(new)))
+    return F.when(text.rlike("(?s)\\A---\\n.*?\\n---"), F.concat(F.lit("---\n"), F.array_join(put, "\n"), F.lit("\n---"), rest)).otherwise(content)
+
+
 def iso_day(text: Column) -> Column:
     return F.to_date(F.when(F.substring(text, 1, 10).rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.substring(text, 1, 10)))
 

@@ -17,13 +17,20 @@ from pyspark.sql.types import StringType
 # Character ranges and word lists.
 CJK = "\\u3400-\\u9fff\\uf900-\\ufaff"
 CJK_BASIC = "\\u4e00-\\u9fff"
-FUNCTION_CHARS = "的了是在有和与或不也都就还很太吗呢吧啊么我你他她它们这那哪什怎个些着过给把被从对到为以及其之而但"
-COUNT_CHARS = "一二三四五六七八九十百千万两几第"
+FUNCTION_CHARS = "的了我你他她吗呢吧啊么什"
+COUNT_CHARS = "一二两三四五六七八九十百千几每这那哪某各"
 PARTICLES = "的了着过地得"
+PAIR_STOP = (
+    "什么 怎么 怎样 能不 不能 是不 不是 哪个 哪些 哪里 应该 可以 现在 到底 一下 我的 我们 你的 为什 么要 有没 没有 "
+    "是什 么样 要不 不要 还是 这个 那个 如何 多少 吗我 关于 帮我 请问 一首 一个"
+).split()
 ENGLISH_FUNCTION = (
-    "a an the of to in on at by for with from as is are was were be been being am do does did have has had will would can could "
-    "shall should may might must not no and or but if then than so that this these those there here it its he she they we you i me "
-    "my your our their his her them us what which who whom whose when where why how about into over under again very just also"
+    "a an the and or but if then so of to in on at by for from with about into over under as is are was were be been "
+    "being am do does did done doing have has had having can could should would will shall may might must need needs "
+    "what which who whom whose when where why how many much long often far old there here this that these those it its "
+    "i me my we us our you your he him his she her they them their one ones any some all each every no not more most "
+    "less other else than too very just also only ever still again use used using get got make made way ways thing things "
+    "please tell know want like"
 ).split()
 
 
@@ -38,6 +45,11 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(wide, text)), text)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, and outside of ``use``, however often it is used there."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -72,7 +84,7 @@ def run_tokens(text: Column) -> Column:
 
 def unigrams(text: Column) -> Column:
     """Distinct CJK characters in order."""
-    return F.array_sort(F.array_distinct(extract_all(text, f"[{CJK}]")))
+    return F.array_sort(F.array_distinct(extract_all(F.lower(nfkc(text)), f"[{CJK}]")))
 
 
 def compact(text: Column) -> Column:
@@ -113,18 +125,25 @@ def is_pair(token: Column) -> Column:
 
 
 def single_concept(text: Column) -> Column:
-    """One latin word, or up to four CJK characters; no digits alone."""
+    """One latin word (marks of names and versions count as letters), or up to four CJK
+    characters; no digits alone."""
     bare = F.trim(text)
-    return (bare.rlike("^[A-Za-z0-9]+$") & ~bare.rlike("^[0-9]+$")) | bare.rlike(f"^[{CJK}]{{1,4}}$")
+    return (bare.rlike("^[A-Za-z0-9._+-]+$") & ~bare.rlike("^[0-9]+$")) | bare.rlike(f"^[{CJK}]{{1,4}}$")
 
 
-def query_terms(text: Column, stop: list[str] | None = None) -> Column:
-    """Distinct tokens of a question: no single CJK characters, no stop words unless that empties it."""
-    some = F.filter(F.array_distinct(tokens(text)), lambda t: F.length(t) > 1)
-    kept = F.filter(some, lambda t: ~t.isin(stop if stop is not None else ENGLISH_FUNCTION) & ~t.rlike(f"[{FUNCTION_CHARS}]"))
+def query_terms(text: Column) -> Column:
+    """Distinct tokens of a question: no single CJK characters, no pairs that ask rather than
+    say something, no English function words unless nothing else is left."""
+    some = F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) > 1) & ~t.isin(PAIR_STOP))
+    kept = F.filter(some, lambda t: ~t.isin(ENGLISH_FUNCTION))
     return F.when(F.size(kept) > 0, kept).otherwise(some)
 
 
+def content_terms(text: Column) -> Column:
+    """What a text says: distinct tokens without asking pairs and pairs with a function character."""
+    return F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) > 1) & ~t.isin(PAIR_STOP) & ~(is_pair(t) & t.rlike(f"[{FUNCTION_CHARS}]")))
+
+
 def squash(text: Column, limit: int) -> Column:
     """White space to single spaces, cut to so many characters with a mark."""
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))
@@ -141,19 +160,19 @@ def file_safe(text: Column) -> Column:
 
 
 def clean_line(line: Column) -> Column:
-    """Without quote, list, emphasis and link marks."""
-    bare = F.regexp_replace(line, "^\\s*(?:>\\s*|[-*+]\\s+|\\d+[.)]\\s+)+", "")
-    bare = F.regexp_replace(bare, "\\[\\[([^\\]|]*\\|)?([^\\]]*)\\]\\]", "$2")
-    return F.trim(F.regexp_replace(bare, "\\*\\*|__|`", ""))
+    """Without one quote, call-out, list or number mark in front, and without emphasis, code and link marks."""
+    bare = F.regexp_replace(F.trim(line), "^(?:>\\s*(?:\\[![^\\]]+\\]\\s*)?|[-*+]\\s+|\\d+\\.\\s+)", "")
+    return F.trim(F.regexp_replace(bare, "[*`_]|\\[\\[([^|\\]]*\\|)?|\\]\\]", ""))
 
 
 def first_rule_line(body: Column, limit: int = 80) -> Column:
-    """The first bold line of eight characters or more, else the first plain one; headings,
-    tables, fences and status lines do not count."""
-    lines = F.filter(F.split(body, "\n"), lambda x: (F.length(F.trim(x)) > 0) & ~x.rlike("^\\s*(#|\\||```|---|status\\s*:)"))
-    bold = F.filter(lines, lambda x: x.rlike("\\*\\*[^*]{8,}\\*\\*"))
-    pick = F.when(F.size(bold) > 0, F.get(bold, F.lit(0))).otherwise(F.get(F.filter(lines, lambda x: F.length(clean_line(x)) >= 8), F.lit(0)))
-    return F.when(F.length(clean_line(pick)) > limit, F.concat(F.substring(clean_line(pick), 1, limit - 1), F.lit("…"))).otherwise(clean_line(pick))
+    """The first line with emphasis, else the first plain one, of eight characters or more without
+    marks; headings, tables, fences, markup and status lines do not count."""
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~x.rlike("^(?:#|\\||```|<|!\\[|%%)"))
+    fit = F.filter(F.transform(lines, lambda x: F.struct(clean_line(x).alias("c"), F.contains(x, F.lit("**")).alias("b"))), lambda x: (F.length(x["c"]) >= 8) & ~x["c"].rlike("^(?i)status\\s*[:：]"))
+    bold = F.filter(fit, lambda x: x["b"])
+    pick = F.when(F.size(bold) > 0, F.get(bold, F.lit(0))["c"]).otherwise(F.get(fit, F.lit(0))["c"])
+    return F.when(F.length(pick) > limit, F.concat(F.substring(pick, 1, limit - 1), F.lit("…"))).otherwise(pick)
 
 
 def noun_candidates(text: Column, stop: list[str]) -> Column:
