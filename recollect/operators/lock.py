@@ -1,7 +1,7 @@
 """The alias lock: exact names pinned to one page, with validity, conflicts and suggestions.
 
-Questions and aliases are compared by containment, which no hash join expresses; the alias
-table is a maintained list, and its size is checked before it is sent to all tasks.
+Questions and aliases are compared by containment; pairs that may fit are found by equality
+joins on what the shorter form begins with, so no table is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from recollect.functions.text import lock_form
 
 LOCK_BAND = 100
-ALIAS_ROWS = 500_000
+#: Names up to which near scores go to every task; most pairs have one.
+ALIAS_ROWS = 100_000
 
 
 def in_force(valid_from: Column, invalid_at: Column, today: Column, status: Column | None = None) -> Column:
@@ -54,21 +55,42 @@ def alias_score(query: Column, alias: Column) -> Column:
 
 
 def near_score(query: Column, alias: Column) -> Column:
-    """A common beginning of two characters or more, else two shared characters or more."""
+    """The alias score if there is one; else, of forms of two characters or more, a common beginning
+    of two or more, or two shared characters or more."""
     n = F.least(F.length(query), F.length(alias))
     prefix = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: F.when((s == i - 1) & (F.substring(query, i, F.lit(1)) == F.substring(alias, i, F.lit(1))), i).otherwise(s))
     shared = F.size(F.array_intersect(F.split(query, ""), F.split(alias, "")))
-    return F.when(n == 0, 0).when(prefix >= 2, 40 + prefix).when(shared >= 2, 20 + shared).otherwise(0)
+    hit = alias_score(query, alias)
+    return F.when(hit > 0, hit).when(n < 2, 0).when(prefix >= 2, 40 + prefix).when(shared >= 2, 20 + shared).otherwise(0)
+
+
+def _grams(text: Column, n: int) -> Column:
+    size = F.length(text)
+    return F.when(size < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
 
 
 def scores(queries: DataFrame, aliases: DataFrame, score=alias_score, least: int = LOCK_BAND) -> DataFrame:
     """``qid, id, source, alias, score``: the best alias of each row per question, if it has
-    ``least`` points. ``queries(qid, q)``; ``aliases(id, alias, source)``, one alias a row."""
-    a = aliases.select("id", "source", "alias", lock_form(F.col("alias")).alias("_a"))
-    if a.limit(ALIAS_ROWS + 1).count() > ALIAS_ROWS:
-        raise ValueError(f"an alias table holds up to {ALIAS_ROWS} rows")
-    q = queries.select("qid", lock_form(F.col("q")).alias("_q"))
-    pairs = q.join(F.broadcast(a), score(F.col("_q"), F.col("_a")) >= least).withColumn("score", score(F.col("_q"), F.col("_a")))
+    ``least`` points. ``queries(qid, q)``; ``aliases(id, alias, source)``, one alias a row.
+
+    Who contains whom is found by equality joins of the shorter form's first two characters (or
+    its only one) with those anywhere in the longer one. Near scores compare whatever shares a
+    character."""
+    a = aliases.select("id", "source", "alias", lock_form(F.col("alias")).alias("_a")).where("_a <> ''")
+    q = queries.select("qid", lock_form(F.col("q")).alias("_q")).where("_q <> ''")
+    every = lambda c: F.explode(_grams(F.col(c), 1))
+    head = lambda c: F.substring(c, 1, 2)
+    inner = lambda c: F.explode(F.array_distinct(F.concat(_grams(F.col(c), 1), _grams(F.col(c), 2))))
+    if score is not near_score:
+        keys = [(q.withColumn("_k", inner("_q")), a.withColumn("_k", head("_a")), "_k"), (q.withColumn("_k", head("_q")), a.withColumn("_k", inner("_a")), "_k")]
+    elif a.limit(ALIAS_ROWS + 1).count() <= ALIAS_ROWS:
+        keys = [(q, F.broadcast(a), score(F.col("_q"), F.col("_a")) >= least)]
+    else:
+        keys = [(q.withColumn("_k", every("_q")), a.withColumn("_k", every("_a")), "_k")]
+    pairs = None
+    for x, y, on in keys:
+        some = x.join(y, on).withColumn("score", score(F.col("_q"), F.col("_a"))).where(F.col("score") >= least).select("qid", "id", "source", "alias", "score")
+        pairs = some if pairs is None else pairs.unionByName(some)
     best = F.max(F.struct(F.col("score"), -F.length("alias"), F.col("alias")))
     return pairs.groupBy("qid", "id", "source").agg(best.alias("b")).select("qid", "id", "source", F.col("b.alias").alias("alias"), F.col("b.score").alias("score"))
 
@@ -79,11 +101,12 @@ def pick(scored: DataFrame) -> DataFrame:
     return top.groupBy("qid").agg(F.min("id").alias("id"), F.min("source").alias("source"), F.max("source").alias("_other"), F.max("score").alias("score")).where("source = _other").drop("_other")
 
 
-def by_tokens(queries: DataFrame, aliases: DataFrame, least: int = 500) -> DataFrame:
+def by_tokens(queries: DataFrame, aliases: DataFrame, least: int = 500, several: bool = True) -> DataFrame:
     """For questions of several words: the sum of each row's scores over the single words."""
-    words = queries.where(F.trim("q").rlike("\\s")).select("qid", F.explode(F.split(F.trim("q"), "\\s+")).alias("q")).withColumn("wid", F.monotonically_increasing_id())
-    each = scores(words.select(F.col("wid").alias("qid"), "q"), aliases, least=least).withColumnRenamed("qid", "wid")
-    return each.join(words.select("wid", "qid"), "wid").groupBy("qid", "id", "source").agg(F.sum("score").alias("score"))
+    some = queries.where(F.trim("q").rlike("\\s")) if several else queries
+    words = some.select("qid", F.posexplode(F.split(F.trim("q"), "\\s+")).alias("_n", "q")).select(F.struct("qid", "_n").alias("qid"), "q")
+    each = scores(words, aliases, least=least)
+    return each.groupBy(F.col("qid.qid").alias("qid"), "id", "source").agg(F.sum("score").alias("score"))
 
 
 def locked(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -100,9 +123,13 @@ def suggestions(queries: DataFrame, aliases: DataFrame, k: int = 5) -> DataFrame
 
 
 def conflicts(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``qid, first, second``: the two lowest ids of a tie between pages."""
-    top = scores(queries, aliases).withColumn("r", F.rank().over(W.partitionBy("qid").orderBy(F.desc("score")))).where("r = 1")
-    tie = top.groupBy("qid").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
+    """``qid, first, second``: the two lowest ids of a tie between pages, of questions without a
+    lock; those no whole name fits are judged by the sums over their words."""
+    open_ = queries.join(locked(queries, aliases), "qid", "left_anti")
+    whole = scores(open_, aliases).select("qid", "id", "source", "score")
+    words = by_tokens(open_.join(whole.select("qid").distinct(), "qid", "left_anti"), aliases, LOCK_BAND, several=False)
+    top = whole.unionByName(words).withColumn("r", F.rank().over(W.partitionBy("qid").orderBy(F.desc("score")))).where(f"r = 1 and score >= {LOCK_BAND}")
+    tie = top.groupBy("qid").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b and size(ids) > 1")
     return tie.select("qid", F.get("ids", F.lit(0)).alias("first"), F.get("ids", F.lit(1)).alias("second"))
 
 
@@ -112,8 +139,10 @@ def trigger_match(queries: DataFrame, triggers: DataFrame) -> DataFrame:
     t = triggers.select("rel", F.lower("word").alias("word"))
     q = queries.select("qid", F.lower(F.trim("q")).alias("q"))
     exact = F.col("word").startswith("^")
-    points = F.when(exact & (F.concat(F.lit("^"), F.col("q")) == F.col("word")), 1000 + F.length("word") - 1).when(~exact & F.contains("q", F.col("word")), F.length("word")).otherwise(0)
-    hits = q.join(F.broadcast(t), points > 0).withColumn("score", points)
+    bare = F.when(exact, F.expr("substring(word, 2)")).otherwise(F.col("word"))
+    points = F.when(exact & (F.col("q") == bare), 1000 + F.length(bare)).when(~exact & F.contains("q", F.col("word")), F.length("word")).otherwise(0)
+    inner = F.explode(F.array_distinct(F.concat(_grams(F.col("q"), 1), _grams(F.col("q"), 2))))
+    hits = q.withColumn("_k", inner).join(t.withColumn("_k", F.substring(bare, 1, 2)), "_k").withColumn("score", points).where("score > 0")
     best = hits.withColumn("r", F.rank().over(W.partitionBy("qid").orderBy(F.desc("score")))).where("r = 1")
     return best.groupBy("qid").agg(F.min("rel").alias("rel"), F.max("score").alias("score"), (F.countDistinct("rel") > 1).alias("ambiguous"))
 

@@ -8,11 +8,6 @@ from recollect.operators import lock as L
 from recollect.operators import quality as Q
 from recollect.plans.registry import query, table
 
-# A small alias table and questions, as a person would keep them; ids as text.
-ALIASES = [("a1", "api timeout", "eng/api.md"), ("a1", "request timeout", "eng/api.md"), ("a2", "deploy", "eng/deploy.md"), ("a3", "deploy freeze", "ops/freeze.md"), ("a4", "holiday plan", "hr/plan.md"), ("a5", "vacation plan", "hr/plan.md"), ("a6", "on-call", "ops/oncall.md"), ("a7", "oncall rota", "ops/rota.md"), ("a8", "budget 2024", "fin/b24.md"), ("a9", "budget 2025", "fin/b25.md")]
-ASKED = [(1, "API timeout"), (2, "what is the request timeout now"), (3, "deploy"), (4, "deploy freeze"), (5, "plan"), (6, "on call"), (7, "the budget"), (8, "budget 2024 or budget 2025"), (9, "holiday"), (10, "???"), (11, "lunch menu")]
-
-
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
@@ -24,58 +19,92 @@ when contains({a}, {q}) and length({q}) >= 4 and 2 * length({q}) >= length({a})
 
 
 _NORM = "lower(regexp_replace({}, '[\\s\\p{{P}}\\p{{S}}]', '', 'g'))"
-_PAIRS = f"""with al as (select * from (values {_values(ALIASES)}) t(id, alias, source)), qs as (select * from (values {_values(ASKED)}) t(qid, q)),
+# Names and brands of parts as an alias table, and a question made of each part.
+_PAIRS = f"""with al as (select 'n' || min(p_partkey) as id, p_name as alias, split_part(p_name, ' ', 1) || '.md' as source from part group by p_name union all select 'b' || min(p_partkey), p_brand, p_brand || '.md' from part group by p_brand),
+qs as (select p_partkey as qid, case p_partkey % 7 when 0 then p_name when 1 then 'Price of the ' || p_name || ' today' when 2 then left(p_name, 6) when 3 then p_brand || ' or ' || p_name when 4 then split_part(p_name, ' ', 2) || ' ' || p_brand when 5 then left(p_name, 5) || ' x' else 'lunch ' || p_partkey % 11 end as q from part),
 an as (select id, alias, source, {_NORM.format("alias")} as a from al), qn as (select qid, q, {_NORM.format("q")} as k from qs),
 sc as (select qid, id, source, max({_score("k", "a")}) as score from qn, an group by all having max({_score("k", "a")}) >= 100),
 top as (select * from (select *, rank() over (partition by qid order by score desc) as r from sc) where r = 1),
-picked as (select qid, min(id) as id, min(source) as source, max(score) as score from top group by qid having min(source) = max(source))
+picked as (select qid, min(id) as id, min(source) as source, max(score) as score from top group by qid having min(source) = max(source)),
+ww as (select qid, unnest(regexp_split_to_array(trim(q), '\\s+')) as w, generate_subscripts(regexp_split_to_array(trim(q), '\\s+'), 1) as i from qs where qid not in (select qid from picked)),
+ws as (select qid, i, id, source, max({_score(_NORM.format("w"), "a")}) as s from ww, an group by all having max({_score(_NORM.format("w"), "a")}) >= 100),
+wt as (select qid, id, source, sum(s) as score from ws where s >= 500 and qid in (select qid from qs where regexp_matches(trim(q), '\\s')) group by all),
+wp as (select qid, min(id) as id, min(source) as source, max(score) as score from (select *, rank() over (partition by qid order by score desc) as r from wt) where r = 1 group by qid having min(source) = max(source)),
+locked as (select qid, id, source, score::bigint as score from picked union all select qid, id, source, score::bigint from wp)
 """
 
 
-def _tables(spark):
-    return spark.createDataFrame(ASKED, "qid int, q string"), spark.createDataFrame(ALIASES, "id string, alias string, source string")
+def _tables(spark, sf):
+    part = table(spark, sf, "part")
+    names = part.groupBy(F.col("p_name").alias("alias")).agg(F.concat(F.lit("n"), F.min("p_partkey")).alias("id")).select("id", "alias", F.concat(F.split("alias", " ")[0], F.lit(".md")).alias("source"))
+    brands = part.groupBy(F.col("p_brand").alias("alias")).agg(F.concat(F.lit("b"), F.min("p_partkey")).alias("id")).select("id", "alias", F.concat("alias", F.lit(".md")).alias("source"))
+    k, name, brand = F.col("p_partkey") % 7, F.col("p_name"), F.col("p_brand")
+    q = F.when(k == 0, name).when(k == 1, F.concat(F.lit("Price of the "), name, F.lit(" today"))).when(k == 2, F.substring(name, 1, 6)).when(k == 3, F.concat(brand, F.lit(" or "), name))
+    q = q.when(k == 4, F.concat(F.split(name, " ")[1], F.lit(" "), brand)).when(k == 5, F.concat(F.substring(name, 1, 5), F.lit(" x"))).otherwise(F.concat(F.lit("lunch "), F.col("p_partkey") % 11))
+    return part.select(F.col("p_partkey").alias("qid"), q.alias("q")), names.unionByName(brands)
 
 
-@query(
-    _PAIRS
-    + f""", w as (select qid, unnest(regexp_split_to_array(trim(q), '\\s+')) as w, generate_subscripts(regexp_split_to_array(trim(q), '\\s+'), 1) as i from qs where regexp_matches(trim(q), '\\s') and qid not in (select qid from picked)),
-ws as (select qid, i, id, source, max({_score(_NORM.format("w"), "a")}) as s from w, an group by all having max({_score(_NORM.format("w"), "a")}) >= 500),
-wt as (select qid, id, source, sum(s) as score from ws group by all),
-wp as (select qid, min(id) as id, min(source) as source, max(score) as score from (select *, rank() over (partition by qid order by score desc) as r from wt) where r = 1 group by qid having min(source) = max(source))
-select qid, id, source, score::bigint as score from picked union all select qid, id, source, score::bigint from wp"""
-)
+@query(_PAIRS + "select * from locked")
 def alias_lock(spark, sf):
-    return L.locked(*_tables(spark)).select("qid", "id", "source", F.col("score").cast("long").alias("score"))
+    return L.locked(*_tables(spark, sf)).select("qid", "id", "source", F.col("score").cast("long").alias("score"))
 
 
-@query(_PAIRS + "select qid, list_sort(list(distinct id))[1] as first, list_sort(list(distinct id))[2] as second from top group by qid having min(source) <> max(source)")
+@query(
+    _PAIRS
+    + """, ct as (select qid, id, source, score::bigint as score from sc where qid not in (select qid from locked) union all select qid, id, source, sum(s)::bigint from ws where qid not in (select qid from locked) and qid not in (select qid from sc) group by qid, id, source),
+cw as (select * from (select *, rank() over (partition by qid order by score desc) as r from ct) where r = 1)
+select qid, list_sort(list(distinct id))[1] as first, list_sort(list(distinct id))[2] as second from cw group by qid having min(source) <> max(source)"""
+)
 def alias_conflict(spark, sf):
-    return L.conflicts(*_tables(spark))
+    return L.conflicts(*_tables(spark, sf))
 
 
 @query(
     _PAIRS
-    + """, nr as (select qid, id, source, alias, k, a, coalesce(list_max(list_filter(generate_series(1, least(length(k), length(a))), lambda i: left(k, i) = left(a, i))), 0) as p, len(list_intersect(list_distinct(string_split(k, '')), list_distinct(string_split(a, '')))) as sh from qn, an where length(k) > 0),
-ns as (select qid, id, source, max(case when p >= 2 then 40 + p when sh >= 2 then 20 + sh else 0 end) as score from nr group by all having max(case when p >= 2 then 40 + p when sh >= 2 then 20 + sh else 0 end) >= 1)
-select qid, id, score::int as score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from ns) where rank <= 5"""
+    + f""", nr as (select qid, id, source, k, a, {_score("k", "a")} as hit, coalesce(list_max(list_filter(generate_series(1, least(length(k), length(a))), lambda i: left(k, i) = left(a, i))), 0) as p, len(list_intersect(list_distinct(string_split(k, '')), list_distinct(string_split(a, '')))) as sh from qn, an where length(k) > 0),
+ns as (select qid, id, source, max(case when hit > 0 then hit when length(k) < 2 or length(a) < 2 then 0 when p >= 2 then 40 + p when sh >= 2 then 20 + sh else 0 end) as score from nr group by all)
+select qid, id, score::int as score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from ns where score >= 1) where rank <= 5"""
 )
 def alias_suggest(spark, sf):
-    return L.suggestions(*_tables(spark)).select("qid", "id", F.col("score").cast("int").alias("score"), F.col("rank").cast("int").alias("rank"))
+    return L.suggestions(*_tables(spark, sf)).select("qid", "id", F.col("score").cast("int").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(
-    """with a as (select p_name as alias, 'p' || min(p_partkey) as id, p_name as source from part group by p_name)
-select id, alias, id as hit, true as ok from a where regexp_replace(alias, '[\\s\\p{P}\\p{S}]', '', 'g') <> ''"""
+    _PAIRS.replace("qs as (select p_partkey as qid, case", "qs as (select id || '/' || alias as qid, alias as q from al), unused as (select case").replace("else 'lunch ' || p_partkey % 11 end as q from part)", "else '' end as q from part)")
+    + "select al.id, alias, p.id as hit, coalesce(p.id = al.id, false) as ok from al left join picked p on p.qid = al.id || '/' || alias"
 )
 def alias_self_check(spark, sf):
-    """Every part name must lock its own row: exact matches beat all others, so equality of the
-    normal forms decides and no pair is compared."""
-    from recollect.functions.text import lock_form
-
-    a = table(spark, sf, "part").groupBy(F.col("p_name").alias("alias")).agg(F.concat(F.lit("p"), F.min("p_partkey")).alias("id"))
-    forms = a.select("id", "alias", lock_form(F.col("alias")).alias("form")).where("form <> ''")
-    winner = forms.groupBy("form").agg(F.min("id").alias("hit"))
-    return forms.join(winner, "form").select("id", "alias", "hit", (F.col("id") == F.col("hit")).alias("ok"))
+    """Whether every name locks its own row."""
+    return L.verified(_tables(spark, sf)[1])
+
+
+@query(
+    """with t as (select distinct split_part(p_name, ' ', 1) || '.md' as rel, split_part(p_name, ' ', 2) as word from part union all select distinct p_brand || '.md', '^' || p_brand from part),
+q as (select p_partkey as qid, lower(case when p_partkey % 3 = 0 then p_brand else 'the ' || p_name end) as q from part),
+s as (select qid, rel, case when word like '^%' and q = lower(word[2:]) then 1000 + length(word) - 1 when word not like '^%' and contains(q, lower(word)) then length(word) else 0 end as score from q, t),
+b as (select * from (select *, rank() over (partition by qid order by score desc) as r from s where score > 0) where r = 1)
+select qid, min(rel) as rel, max(score)::int as score, count(distinct rel) > 1 as ambiguous from b group by qid"""
+)
+def trigger_match(spark, sf):
+    part = table(spark, sf, "part")
+    words = part.select(F.concat(F.split("p_name", " ")[0], F.lit(".md")).alias("rel"), F.split("p_name", " ")[1].alias("word")).distinct()
+    words = words.unionByName(part.select(F.concat("p_brand", F.lit(".md")).alias("rel"), F.concat(F.lit("^"), "p_brand").alias("word")).distinct())
+    asked = part.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("the "), "p_name")).alias("q"))
+    return L.trigger_match(asked, words).select("qid", "rel", F.col("score").cast("int").alias("score"), "ambiguous")
+
+
+@query(
+    """with al as (select p_partkey as id, p_brand || '.md' as source from part), pg as (select p_brand || '.md' as rel, min(p_size) as k from part where p_size > 2 group by p_brand)
+select id, al.source, case when rel is null then 'missing' when k % 3 = 0 then 'retired' end as problem from al left join pg on rel = al.source where rel is null or k % 3 = 0"""
+)
+def stale_locks(spark, sf):
+    from recollect.operators import upkeep as U
+
+    part = table(spark, sf, "part")
+    aliases = part.select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit(".md")).alias("source"))
+    pages = part.where("p_size > 2").groupBy(F.concat("p_brand", F.lit(".md")).alias("rel")).agg(F.min("p_size").alias("k"))
+    dead = F.col("k") % 3 == 0
+    return U.stale_locks(aliases, pages.select("rel", F.when(dead, "dead").otherwise("rule").alias("tier"), F.when(dead, "retired").otherwise("").alias("status")))
 
 
 _ZONES = [("http:", "plain"), ("https:", "secure"), ("https://m.ththth.example.net", "mobile"), ("https://m.ththth.example.net/en", "mobile-en"), ("https:/", "never")]
