@@ -84,36 +84,74 @@ def at_coverage(answers: DataFrame, n: int) -> DataFrame:
     return answers.withColumn("_i", F.row_number().over(w)).withColumn("cited", F.when(F.col("_i") <= n, F.col("cited"))).drop("_i")
 
 
-def draws(n: int, reps: int = 2000, seed: int = 20261013) -> list[list[int]]:
-    """Resamples of 0..n-1 by the standard generator, one after another."""
-    r = random.Random(seed)
-    return [[r.randrange(n) for _ in range(n)] for _ in range(reps)]
-
+#: Questions of which resamples are drawn on the driver, one after another, at most.
+QUESTIONS = 20_000
 
-def bootstrap(grades: DataFrame, metric: Column, reps: int = 2000, seed: int = 20261013, digits: int = 4) -> DataFrame:
-    """``low, mid, high`` of the mean of ``metric`` over resamples of the questions; the
-    bounds are order statistics at int(0.025 (n - 1)) and int(0.975 (n - 1)).
 
-    The questions (a set of bounded size, sorted by id) are numbered; a resample is drawn in
-    the task that needs it, by its own number's stream of the seed."""
-    values = [r[0] for r in grades.orderBy("qid").select(metric.cast("double")).collect()]
-    spark, n = grades.sparkSession, len(values)
-    if not n:
-        return spark.createDataFrame([], "low double, mid double, high double")
+def draws(spark, n: int, reps: int = 2000, seed: int = 20261013) -> DataFrame:
+    """``rep, pos``: resamples of 0..n-1 from one stream of the standard generator, so that equal seeds
+    give the published intervals."""
+    if n > QUESTIONS:
+        raise ValueError(f"a question set holds up to {QUESTIONS} questions")
+    import numpy as np
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    r = random.Random(seed)
+    pos = np.fromiter((r.randrange(n) for _ in range(reps * n)), np.int32, reps * n)
+    return spark.createDataFrame(pa.table({"rep": np.repeat(np.arange(reps, dtype=np.int32), n), "pos": pos}))
 
-        for batch in batches:
-            means = []
-            for rep in batch.column("id").to_pylist():
-                r = random.Random(seed * 1_000_003 + rep)
-                means.append(sum(values[r.randrange(n)] for _ in range(n)) / n)
-            yield pa.RecordBatch.from_arrays([pa.array(means)], ["mean"])
 
-    means = spark.range(reps).mapInArrow(run, "mean double").agg(F.sort_array(F.collect_list("mean")).alias("m"))  # reps numbers
-    at = lambda q: F.round(F.get("m", F.lit(int(q * (reps - 1)))), digits)
-    return means.select(at(0.025).alias("low"), at(0.5).alias("mid"), at(0.975).alias("high"))
+def bootstrap(grades: DataFrame, other: DataFrame | None = None, reps: int = 2000, seed: int = 20261013, order: str = "qid") -> DataFrame:
+    """``metric, low, high`` (95 %) of the wrong rate, the right and the refused answers over resamples of the
+    questions, and with ``other`` (another system's grades of the same questions) of the differences, on
+    the same resamples. Bounds are the order statistics at int(0.025 (reps - 1)) and int(0.975 (reps - 1))."""
+    spark, n = grades.sparkSession, grades.count()
+    if not n:
+        return spark.createDataFrame([], "metric string, low double, high double")
+    place = (F.row_number().over(W.orderBy(order)) - 1).alias("pos")  # a question set, of bounded size
+    flags = lambda df, s: df.select("qid", *[F.col(c).cast("int").alias(f"{c}{s}") for c in ("answered", "wrong", "right", "refused")])
+    rows = grades.select("qid", place).join(flags(grades, ""), "qid")
+    sides = [""]
+    if other is not None:
+        rows = rows.join(flags(other, "_b"), "qid", "left").fillna(0).withColumn("refused_b", 1 - F.col("answered_b"))
+        sides.append("_b")
+    times = draws(spark, n, reps, seed).groupBy("rep", "pos").agg(F.count("*").alias("m"))
+    sums = times.join(rows, "pos").groupBy("rep").agg(*[F.sum(F.col("m") * F.col(f"{c}{s}")).alias(f"{c}{s}") for c in ("answered", "wrong", "right", "refused") for s in sides])
+    values = {}
+    for s in sides:
+        values |= {f"wrong_citation_rate{s}": rate(F.col(f"wrong{s}"), F.col(f"answered{s}")), f"right{s}": F.col(f"right{s}").cast("double"), f"refused{s}": F.col(f"refused{s}").cast("double")}
+    shown = {k: v for k, v in values.items() if not k.endswith("_b")}
+    if other is not None:
+        shown |= {f"delta_{k}": values[k] - values[f"{k}_b"] for k in list(shown)}
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in shown.items()])).alias("x")).select("x.metric", "x.v")
+    at = lambda q: F.round(F.get("s", F.lit(int(q * (reps - 1)))), 3)
+    return long.groupBy("metric").agg(F.sort_array(F.collect_list("v")).alias("s")).select("metric", at(0.025).alias("low"), at(0.975).alias("high"))  # reps numbers
+
+
+def learning(questions: DataFrame, before: DataFrame, after: DataFrame, floor: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What one pass of learning changed: ``system, n_answered, n_wrong, n_right, n_refused`` of the second
+    week's questions before and after it and for a baseline, and the intervals of after less before.
+    All answers are ``qid, cited, score``."""
+    parts = [summary(graded(questions, a)).withColumn("system", F.lit(name)) for name, a in (("before", before), ("after", after), ("baseline", floor))]
+    table = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("system", "n", "n_answered", "n_wrong", "n_right", "n_refused", "wrong_rate")
+    deltas = bootstrap(graded(questions, after), graded(questions, before)).where("metric like 'delta%'")
+    return table, deltas
+
+
+def question_pairs(questions: DataFrame) -> DataFrame:
+    """``intent, week, qid``: questions of one gold page are one intent asked twice (its first two); one
+    without a page is asked twice in the same words."""
+    w = W.partitionBy("gold").orderBy("qid")
+    told = questions.where("gold is not null").withColumn("week", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy("gold"))).where("_n >= 2 and week <= 2").select(F.col("gold").cast("string").alias("intent"), "week", "qid")
+    none = questions.where("gold is null").select(F.col("qid").cast("string").alias("intent"), F.explode(F.array(F.lit(1), F.lit(2))).alias("week"), "qid")
+    return told.unionByName(none)
+
+
+def against_matched(grades_of, answers: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two systems at equal coverage: the other one keeps as many answers as the first gives, those with
+    the highest scores. ``grades_of`` grades answers."""
+    n = answers.where("cited is not null").count()
+    return grades_of(answers), grades_of(at_coverage(other, n))
 
 
 def percentile(values: DataFrame, column: str, q: float) -> DataFrame:
@@ -123,10 +161,22 @@ def percentile(values: DataFrame, column: str, q: float) -> DataFrame:
     return values.withColumn("_i", F.row_number().over(w)).join(F.broadcast(n), F.col("_i") == F.col("_at")).select(F.col(column).alias("value"))
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """Capture scores from matched pairs ``(g, s)`` of lines wanted and lines found: a one-to-one
-    hit count, the smaller of both distinct counts."""
-    return pairs.agg(F.least(F.countDistinct("g"), F.countDistinct("s")).alias("hits"))
+def captured(pairs: DataFrame, gold: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row of capture scores: ``hits`` (the smaller count of distinct sides of the matched ``pairs(g, s)``),
+    ``missed`` of ``gold(g, is_change)``, ``wrong`` of ``lines(s)``, and how many changes were caught."""
+    hits = pairs.agg(F.least(F.countDistinct("g"), F.countDistinct("s")).alias("hits"))
+    wanted = gold.agg(F.countDistinct("g").alias("n_gold"), F.countDistinct(F.when(F.col("is_change"), F.col("g"))).alias("n_changes"))
+    found = lines.agg(F.countDistinct("s").alias("n_lines"))
+    caught = gold.where("is_change").join(pairs.select("g").distinct(), "g").agg(F.countDistinct("g").alias("changes"))
+    share = lambda n: F.round(1 - F.coalesce(F.try_divide(F.col("hits"), F.col(n)), F.lit(0.0)), 3)
+    one = hits.crossJoin(wanted).crossJoin(found).crossJoin(caught)  # one row each
+    return one.select("hits", "n_gold", "n_lines", share("n_gold").alias("missed"), share("n_lines").alias("wrong"), "changes", "n_changes")
+
+
+def judged_by_month(rows: DataFrame) -> DataFrame:
+    """Mean points of ``judged`` rows with a ``day``, by month and over all."""
+    out = judged(rows).withColumn("month", F.date_format("day", "yyyy-MM")).rollup("month").agg(F.count("*").alias("n"), F.round(F.avg("points"), 3).alias("points"))
+    return out.withColumn("month", F.coalesce("month", F.lit("all")))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -137,11 +187,32 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("points", points)
 
 
-def unsound(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """``qid, problem`` of a question set: repeats, and gold pages that are not there."""
+def unsound(questions: DataFrame, pages: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
+    """``qid, problem`` of ``questions(qid, q, gold)``: repeats and gold pages that are not there. With columns
+    ``evidence`` and ``absent``, a quote that must stand on the gold page and a word that must stand on
+    no page; with ``status`` in ``pages(rel, body, status)``, a gold page that is dead; with ``counts`` and a
+    column ``kind``, kinds of another size (``qid`` null)."""
+    from recollect.operators.index import DEAD
+
+    kind = questions.schema["qid"].dataType
     same = questions.withColumn("n", F.count("*").over(W.partitionBy(F.lower(F.trim("q"))))).where("n > 1").select("qid", F.lit("repeated").alias("problem"))
-    lost = questions.where("gold is not null").join(pages.select(F.col("rel").alias("gold")), "gold", "left_anti").select("qid", F.lit("gold is missing").alias("problem"))
-    return same.unionByName(lost)
+    told = questions.where("gold is not null")
+    out = same.unionByName(told.join(pages.select(F.col("rel").alias("gold")), "gold", "left_anti").select("qid", F.lit("gold is missing").alias("problem")))
+    on = told.join(pages.withColumnRenamed("rel", "gold"), "gold")
+    if "evidence" in questions.columns:
+        out = out.unionByName(on.where(F.col("evidence").isNotNull() & ~F.contains("body", F.col("evidence"))).select("qid", F.lit("evidence is not on the page").alias("problem")))
+    if "absent" in questions.columns:
+        from recollect.functions import text as T
+
+        words = pages.select(F.explode(F.array_distinct(T.latin_words(F.col("body"), 0))).alias("absent")).distinct()
+        out = out.unionByName(questions.where("absent is not null").withColumn("absent", F.lower("absent")).join(words, "absent", "left_semi").select("qid", F.lit("the absent word is on a page").alias("problem")))
+    if "status" in pages.columns:
+        out = out.unionByName(on.where(F.lower("status").isin(*DEAD)).select("qid", F.lit("gold is dead").alias("problem")))
+    if counts:
+        want = questions.sparkSession.createDataFrame(list(counts.items()), "kind string, want long")
+        off = want.join(questions.groupBy("kind").agg(F.count("*").alias("n")), "kind", "full_outer").where(~F.col("want").eqNullSafe(F.col("n")))
+        out = out.unionByName(off.select(F.lit(None).cast(kind).alias("qid"), F.concat(F.lit("another number of "), "kind").alias("problem")))
+    return out
 
 
 def leave_one_out(grades: DataFrame, cuts: DataFrame) -> DataFrame:

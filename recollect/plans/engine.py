@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.functions import frontmatter, redact, text as T
+from recollect.functions import digest, frontmatter, redact, text as T
 from recollect.operators import cards as C
 from recollect.operators import index as I
 from recollect.operators import lock as L
@@ -20,38 +20,100 @@ from recollect.plans.place import place
 
 # Thresholds of the refusal rules.
 STRONG, WORDNESS, SCORE_MIN, SINGLE_SCORE, SMALL, CANDIDATES = 0.5, 0.12, 8.5, 25.0, 300, 80
+RARE, ALIEN, OUTSIDE = 30, 2, 2
 FIELDS = {"title": 4.0, "triggers": 4.0, "body": 1.0, "uni": 0.0}
+#: The layout of the tables: another one means all of them are made anew.
+VERSION = "recollect-2"
+#: Questions whose words one scan of the pages looks for at once, at most.
+LITERAL = 10_000
+
+
+@dataclass
+class Lexicon:
+    """What is common in a language, beyond the pages: ``words(word, generic)`` of two characters, and
+    ``chars(char)``. Without one, all words count as unknown and all characters as uncommon."""
+
+    words: DataFrame
+    chars: DataFrame
+
+    @classmethod
+    def of(cls, frequencies: DataFrame, generic: int = 1000, chars: int = 1500) -> Lexicon:
+        """From ``frequencies(word, freq)``: the most frequent words are too general to tell anything."""
+        pairs = frequencies.where(T.is_pair(F.col("word")))
+        first = pairs.orderBy(F.desc("freq"), "word").limit(generic).select("word", F.lit(True).alias("generic"))
+        words = pairs.select("word").distinct().join(first, "word", "left").fillna(False, ["generic"])
+        each = frequencies.select(F.explode(F.regexp_extract_all("word", F.lit(f"[{T.CJK}]"), F.lit(0))).alias("char"), "freq")
+        return cls(words, each.groupBy("char").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "char").limit(chars).select("char"))
 
 
 @dataclass
 class Index:
-    """Document rows, any-column vocabulary, named and titled terms, and the number of pages."""
+    """Pages, document rows, any-column vocabulary, and the number of pages."""
 
     rows: DataFrame
     vocabulary: DataFrame
     n: int
+    pages: DataFrame
 
     @classmethod
-    def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None, path: str | None = None) -> Index:
+    def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None, path: str | None = None, cards: DataFrame | None = None) -> Index:
         """From ``pages(rel, content)``: secret pages stay out, texts are redacted first. The
-        tables are written to ``path`` (a new shared folder if none is given) and read back."""
+        tables are written to ``path`` (a new shared folder if none is given) and read back.
+
+        ``cards(rel, sha, q, a)``: the questions of those that were made from the page as it is and
+        are grounded in it count as triggers of the page."""
         spark, path = pages.sparkSession, path or place(pages.sparkSession, "index")
-        clean = pages.select("rel", redact.redact(F.col("content")).alias("content"))
-        clean.select("rel", frontmatter.split_meta(F.col("content")).alias("p")).write.mode("overwrite").parquet(f"{path}/pages")
-        parts = spark.read.parquet(f"{path}/pages").select("rel", "p.meta", "p.body")
+        _purge(spark, path)
+        text = redact.redact(F.col("content"))
+        sha = F.array(digest.body_digest(F.col("content")), digest.short(F.col("content")))
+        pages.select("rel", text.alias("content"), sha.alias("sha")).select("rel", "content", "sha", frontmatter.split_meta(F.col("content")).alias("p")).write.mode("overwrite").parquet(f"{path}/pages")
+        held = spark.read.parquet(f"{path}/pages")
+        parts = held.select("rel", "content", "sha", "p.meta", "p.body")
         parts = parts.where(~redact.is_secret_page(F.col("rel"), F.col("meta")["title"], F.col("meta")["secret"]))
-        rows = I.document_rows(parts, triggers)
+        if cards is not None:
+            asked = C.live(cards, parts).groupBy("rel").agg(F.collect_set("q").alias("words"))
+            triggers = asked if triggers is None else I.alias_words(triggers, asked)
+        rows = I.document_rows(parts.drop("content", "sha"), triggers)
         rows = rows.withColumn("tier", I.tier_of(F.col("rel"), F.col("status"), prefixes))
         rows.write.mode("overwrite").parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
         words = F.array_distinct(F.concat("title", "triggers", "body", "uni"))
         I.vocabulary(rows, "rel", words).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark.createDataFrame([(VERSION,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         rows = spark.read.parquet(f"{path}/rows")
-        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count())
+        pages = spark.read.parquet(f"{path}/pages").join(rows.select("rel"), "rel", "left_semi")
+        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count(), pages.select("rel", "content"))
+
+    @classmethod
+    def current(cls, pages: DataFrame, prefixes: list[tuple[str, str]], path: str, triggers: DataFrame | None = None, cards: DataFrame | None = None) -> Index:
+        """The index that stands in ``path``, or a new one if there is none of this version; what an
+        earlier version has left is deleted, as it may hold texts that were not redacted."""
+        spark = pages.sparkSession
+        if _exists(spark, f"{path}/version") and spark.read.parquet(f"{path}/version").first()["version"] == VERSION:
+            return cls.load(spark, path)
+        return cls.build(pages, prefixes, triggers, path, cards)
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _folder(spark, path)
+    return fs.exists(target)
+
+
+def _purge(spark: SparkSession, path: str) -> None:
+    """The version first, so that what is left of an interrupted purge is never taken for whole."""
+    for name in ("version", "pages", "rows", "vocabulary"):
+        fs, target = _folder(spark, f"{path}/{name}")
+        if fs.exists(target):
+            fs.delete(target, True)
 
 
 def _held(df: DataFrame, name: str) -> DataFrame:
@@ -72,66 +134,116 @@ def analysed(index: Index, questions: DataFrame) -> DataFrame:
         t = t.withColumn("_c", F.when(pair, F.substring("term", k, 1))).join(known.select(F.col("term").alias("_c"), F.col("df").alias(f"df{k}")), "_c", "left").drop("_c")
     word = F.when(pair, F.coalesce(F.try_divide(F.col("df"), F.least("df1", "df2")), F.lit(0.0))).otherwise(1.0)
     t = t.withColumn("wordness", word).withColumn("weight", F.when(pair, F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.col("wordness") / 0.3))).otherwise(1.0))
-    asked = F.broadcast(raw.select("term").distinct())
+    asked = raw.select("term").distinct()
     titles = index.rows.select(F.explode("title").alias("term")).join(asked, "term", "left_semi").distinct().withColumn("titled", F.lit(True))
     names = index.rows.select(F.explode(F.concat("title", "triggers")).alias("term")).join(asked, "term", "left_semi").distinct().withColumn("named", F.lit(True))
     t = t.join(titles, "term", "left").join(names, "term", "left").fillna(False, ["titled", "named"])
     return t.withColumn("present", F.col("df") > 0)
 
 
-def unknown_terms(index: Index, questions: DataFrame) -> DataFrame:
-    """``qid, unknown, alien``: latin words of four letters or more that stand nowhere in any
-    form, and CJK characters that do not."""
-    words = questions.select("qid", F.explode(T.query_terms(F.col("q"))).alias("term")).where(F.col("term").rlike("^[a-z][a-z0-9]{3,}$"))
+def unknown_terms(index: Index, questions: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """``qid, unknown, alien``: latin words of four characters or more that stand nowhere in any form,
+    and characters of pairs that stand nowhere and are not common."""
+    terms = questions.select("qid", F.explode(T.query_terms(F.col("q"))).alias("term"))
+    words = terms.where(F.col("term").rlike("^[a-z0-9]{4,}$") & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(T.ENGLISH_FUNCTION))
     forms = words.select("qid", "term", F.explode(T.latin_forms(F.col("term"))).alias("form"))
     met = forms.join(index.vocabulary.select(F.col("term").alias("form"), "df"), "form", "left").groupBy("qid", "term").agg(F.max("df").alias("df"))
     unknown = met.groupBy("qid").agg(F.sum(F.col("df").isNull().cast("int")).alias("unknown"))
-    chars = questions.select("qid", F.explode(T.unigrams(F.col("q"))).alias("term")).where(~F.col("term").rlike(f"[{T.FUNCTION_CHARS}{T.COUNT_CHARS}]"))
+    chars = terms.where(T.is_pair(F.col("term"))).select("qid", F.explode(F.split("term", "")).alias("term")).where(~F.col("term").rlike(f"[{T.FUNCTION_CHARS}]|^$")).distinct()
+    if lexicon is not None:
+        chars = chars.join(lexicon.chars.select(F.col("char").alias("term")), "term", "left_anti")
     alien = chars.join(index.vocabulary.select("term"), "term", "left_anti").groupBy("qid").agg(F.count("*").alias("alien"))
     return questions.select("qid").join(unknown, "qid", "left").join(alien, "qid", "left").fillna(0, ["unknown", "alien"])
 
 
-def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None = None, gate: bool = True) -> DataFrame:
+def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None = None, gate: bool = True, lexicon: Lexicon | None = None) -> DataFrame:
     """``qid, rel, rank, score, tier, how, margin, strong, refuse, confidence`` for a batch of
     ``questions(qid, q)``. Questions without any hit have one row with confidence ``none``."""
-    terms = _held(analysed(index, questions), "analysed")
+    terms = analysed(index, questions)
+    if lexicon is not None:
+        terms = terms.join(lexicon.words.select(F.col("word").alias("term"), "generic"), "term", "left")
+    else:
+        terms = terms.withColumn("generic", F.lit(None).cast("boolean"))
+    terms = _held(terms, "analysed")
     present = terms.where("present")
     good = (~T.is_pair(F.col("term"))) | F.col("named") | (F.col("wordness") >= WORDNESS)
     any_good = F.max(good.cast("int")).over(W.partitionBy("qid")) == 1
     used = present.withColumn("_use", F.when(any_good, good).otherwise(True)).where("_use")
     asked = used.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    scored = R.bm25(index.rows, "rel", FIELDS, asked, digits=9)
-    first = R.top(scored, "rel", CANDIDATES).withColumnRenamed("rank", "_place")
-    rows = index.rows.select("rel", "tier", "how", "name", "title", "triggers", "body")
-    q = questions.select("qid", "q", T.compact(F.col("q")).alias("_compact"), T.tokens(F.col("q")).alias("_tokens"))
-    hits = first.join(rows, "rel").join(F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q, "qid")
+    scored = R.bm25(index.rows, "rel", FIELDS, asked, digits=None)
+    first = R.top(scored, "rel", CANDIDATES, F.round("score", 9)).withColumnRenamed("rank", "_place")
+    rows = index.rows.select("rel", "tier", "how", "name", "title", "triggers", "body", "uni")
+    q = questions.select("qid", "q", T.compact(F.col("q")).alias("_compact"), T.query_terms(F.col("q")).alias("_tokens"))
+    hits = first.join(rows, "rel").join(q, "qid")
     hits = R.rerank(hits, F.col("tier"), F.arrays_overlap("title", "_tokens"), F.col("tier") == "topic", (F.length("_compact") >= 2) & F.contains("name", F.col("_compact")))
     if scope:
         hits = hits.where((F.col("rel") == scope) | F.col("rel").startswith(f"{scope}/"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "_place", "rel")
     hits = _held(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("second", F.lead("score").over(w)), "hits")
-    top = hits.where("rank = 1").withColumn("margin", F.when(F.col("second").isNull(), 9.9).otherwise(F.col("score") / F.col("second")))
-
-    on_top = top.select("qid", F.array_distinct(F.concat("title", "triggers", "body")).alias("_page"))
-    strict = F.lit(index.n < SMALL)
-    word_like = ~T.is_pair(F.col("term")) | ~strict | F.col("titled") | F.col("named")
-    strong = present.join(on_top, "qid").where(F.array_contains("_page", F.col("term")) & ((F.col("weight") >= STRONG) | F.col("titled")) & ~F.col("term").rlike(f"^[0-9]+$|[{T.FUNCTION_CHARS}]") & word_like).groupBy("qid").agg(F.count("*").alias("strong"))
-    content = terms.where(F.col("present") | (T.is_pair(F.col("term")) & (F.least("df1", "df2") < 30))).groupBy("qid").agg(F.least(F.lit(2), F.count("*")).alias("need"))
-    judged = top.join(strong, "qid", "left").join(content, "qid", "left").join(unknown_terms(index, questions), "qid", "left").fillna(0, ["strong", "need", "unknown", "alien"])
+    top = hits.where("rank = 1").withColumn("margin", F.when(F.col("second").isNull() | (F.col("second") == 0), 9.9).otherwise(F.col("score") / F.col("second")))
+
+    page = F.array_distinct(F.concat("title", "triggers", "body"))
+    on_top = top.select("qid", page.alias("_page"), F.array_union(page, F.col("uni")).alias("_all"))
+    pair, digits, hollow = T.is_pair(F.col("term")), F.col("term").rlike("^[0-9]+$"), F.col("term").rlike(f"[{T.FUNCTION_CHARS}]")
+    heavy = (F.col("weight") >= STRONG) | F.col("titled")
+    word_like = ~pair | F.lit(index.n >= SMALL) | F.col("titled") | F.col("named") | F.col("generic").isNotNull()
+    strong = present.join(on_top, "qid").where(F.array_contains("_page", F.col("term")) & heavy & ~digits & ~hollow & word_like).groupBy("qid").agg(F.count("*").alias("strong"))
+    seldom = F.least(F.coalesce("df1", F.lit(0)), F.coalesce("df2", F.lit(0))) < RARE
+    says = F.when(~pair, ~digits).when(hollow, False).when(F.col("present"), heavy).otherwise(seldom)
+    content = terms.where(says).groupBy("qid").agg(F.least(F.lit(2), F.count("*")).alias("need"))
+    # Words of the language that stand nowhere, against those the first page has.
+    real = terms.where(pair & (F.col("generic") == F.lit(False)) & ~F.substring("term", 1, 1).rlike(f"[{T.COUNT_CHARS}]"))
+    outside = real.join(on_top, "qid").groupBy("qid").agg(F.sum((~F.col("present")).cast("int")).alias("absent"), F.sum(F.array_contains("_all", F.col("term")).cast("int")).alias("on_top"))
+    judged = top.join(strong, "qid", "left").join(content, "qid", "left").join(unknown_terms(index, questions, lexicon), "qid", "left").join(outside, "qid", "left").fillna(0, ["strong", "need", "unknown", "alien", "absent", "on_top"])
     scale = min(1.0, index.n / 1000)
     s, least = F.col("score"), SCORE_MIN * scale
-    one = T.single_concept(F.col("q"))
+    one, weak = T.single_concept(F.col("q")), F.col("strong") < F.col("need")
     refuse = F.when(one, (s < least * 0.5) | ((F.col("unknown") > 0) & (F.col("strong") == 0))).otherwise(
-        (s < least) | ((F.col("strong") < F.col("need")) & (s < SINGLE_SCORE * scale)) | (F.col("strong") == 0) | ((F.col("unknown") > 0) & (F.col("strong") <= 2)) | ((F.col("strong") < F.col("need")) & (F.col("alien") >= 2))
+        (s < least) | (weak & (s < SINGLE_SCORE * scale)) | (F.col("strong") == 0) | ((F.col("unknown") > 0) & (F.col("strong") <= 2)) | (weak & (F.col("alien") >= ALIEN)) | ((F.col("absent") >= OUTSIDE) & (F.col("absent") > F.col("on_top")))
     )
     judged = judged.withColumn("refuse", refuse)
-    verdict = judged.select("qid", F.round("margin", 4).alias("margin"), "strong", "refuse", R.confidence(F.col("margin"), F.col("tier"), F.col("refuse") if gate else F.lit(False)).alias("confidence"))
+    verdict = judged.select("qid", F.round("margin", 2).alias("margin"), "strong", "refuse", R.confidence(F.col("margin"), F.col("tier"), F.col("refuse") if gate else F.lit(False)).alias("confidence"))
     out = _held(hits.select("qid", "rel", "rank", "score", "tier", "how").join(verdict, "qid"), "answers")
     missing = questions.select("qid").join(out.select("qid"), "qid", "left_anti")
     none = missing.select("qid", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns if c not in ("qid", "confidence", "margin", "strong", "refuse")], F.lit(0.0).alias("margin"), F.lit(0).cast("long").alias("strong"), F.lit(True).alias("refuse"), F.lit("none").alias("confidence"))
     return out.unionByName(none)
 
 
+def literal(index: Index, questions: DataFrame, scope: str | None = None, per_page: int = 24) -> DataFrame:
+    """``qid, rel, line_no, line``: lines that hold a whole question, in any case, the first ones of a
+    page. One scan of the pages looks for all questions (at most ``LITERAL``) at once."""
+    asked = questions.select("qid", F.lower(F.trim("q")).alias("q")).where("q <> ''").limit(LITERAL + 1).collect()
+    if len(asked) > LITERAL:
+        raise ValueError(f"a batch of refused questions holds up to {LITERAL}")
+    needles: dict[str, list] = {}
+    for r in asked:
+        needles.setdefault(r.q, []).append(r.qid)
+    kind = questions.schema["qid"].dataType.simpleString()
+    pages = index.pages if scope is None else index.pages.where((F.col("rel") == scope) | F.col("rel").startswith(f"{scope}/"))
+
+    def find(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        words = ahocorasick.Automaton()
+        for q in needles:
+            words.add_word(q, q)
+        if needles:
+            words.make_automaton()
+        schema = None
+        for batch in batches:
+            found = []
+            for rel, content in zip(*(batch.column(c).to_pylist() for c in ("rel", "content"))):
+                for no, line in enumerate((content or "").split("\n") if needles else []):
+                    for q in {q for _, q in words.iter(line.lower())}:
+                        found += [(qid, rel, no, line) for qid in needles[q]]
+            schema = schema or pa.schema([("qid", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("rel", pa.string()), ("line_no", pa.int32()), ("line", pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    hits = pages.mapInArrow(find, f"qid {kind}, rel string, line_no int, line string")
+    return hits.withColumn("_r", F.row_number().over(W.partitionBy("qid", "rel").orderBy("line_no"))).where(F.col("_r") <= per_page).drop("_r")
+
+
 def widened(index: Index, questions: DataFrame, scope: str, limit: int = 3) -> DataFrame:
     """Recall within a scope; refused questions are asked again of everything, and flagged."""
     near = recall(index, questions, limit, scope)
@@ -139,6 +251,15 @@ def widened(index: Index, questions: DataFrame, scope: str, limit: int = 3) -> D
     return near.where("confidence <> 'none'").withColumn("widened", F.lit(False)).unionByName(recall(index, lost, limit).withColumn("widened", F.lit(True)))
 
 
+def bounded(index: Index, questions: DataFrame, scope: str, limit: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Recall within a scope, then of everything; and the lines of the scope that hold, word for
+    word, the questions that both refuse."""
+    hits = widened(index, questions, scope, limit)
+    found = _held(hits, "bounded")
+    refused = questions.join(found.where("confidence <> 'none'").select("qid").distinct(), "qid", "left_anti")
+    return found, literal(index, refused, scope)
+
+
 def ask(index: Index, questions: DataFrame, aliases: DataFrame, standing: DataFrame | None = None, limit: int = 3) -> DataFrame:
     """``qid, route, rel, confidence, how``: the lock's page if a name is one, else the first
     hit of recall, else a refusal."""
@@ -161,6 +282,20 @@ def from_receipt(receipts: DataFrame, key: str) -> DataFrame:
     return receipts.select("qid", F.regexp_extract("receipt", f"(?m)^{key}: (.*)$", 1).alias(key))
 
 
+def cited(receipts: DataFrame, k: int = 3) -> DataFrame:
+    """``qid, cited, refused`` back from receipts: the lock's page, else the pages of the first recall
+    lines, else a refusal."""
+    lock = F.regexp_extract("receipt", "(?m)^canonical_match: (.+)$", 1)
+    hits = F.slice(F.regexp_extract_all("receipt", F.lit("(?m)^recall: (.+)$"), F.lit(1)), 1, k)
+    pages = F.when(F.trim(lock) != "", F.array(F.trim(lock))).otherwise(hits)
+    return receipts.select("qid", pages.alias("cited"), (F.size(pages) == 0).alias("refused"))
+
+
+def status(index: Index, prefixes_of: str = "tier") -> DataFrame:
+    """``tier, n``: what the index holds."""
+    return index.rows.groupBy(prefixes_of).agg(F.count("*").alias("n"))
+
+
 def with_cards(index: Index, hits: DataFrame, questions: DataFrame, cards: DataFrame) -> DataFrame:
     weights = analysed(index, questions).select("qid", "term", "weight")
     return hits.join(C.attach(hits.where("confidence <> 'none'"), cards, weights), ["qid", "rel"], "left")

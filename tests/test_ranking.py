@@ -61,8 +61,8 @@ def test_recall_finds_and_refuses(spark, index):
 
 def test_scope_and_lock(spark, index):
     asked = spark.createDataFrame([(1, "requests gateway timeout seconds"), (2, "the API timeout")], "qid int, q string")
-    near = engine.widened(index, asked, "logs").collect()
-    assert any(r.widened for r in near) or all(r.rel.startswith("logs/") for r in near)
+    first = lambda scope: {r.qid: (r.rel, r.widened) for r in engine.widened(index, asked, scope).collect() if r["rank"] == 1}
+    assert first("logs")[1] == ("logs/old timeout.md", False) and first("topics")[1] == ("rules/API timeout.md", True)
     aliases = spark.createDataFrame([("a1", "API timeout", "rules/API timeout.md")], "id string, alias string, source string")
     out = {r.qid: r for r in engine.ask(index, asked, aliases).collect()}
     assert out[2].route == "lock" and out[2].rel == "rules/API timeout.md" and out[1].route == "recall"
@@ -80,7 +80,10 @@ def test_cards(spark, index):
         ("rules/API timeout.md", "s1", "api timeout", "Requests time out after 30 seconds.", None, None), ("rules/API timeout.md", "s1", "x", "token: abcd1234", None, 1),
     ]
     df = spark.createDataFrame(cards, "rel string, sha string, q string, a string, empty boolean, v int")
-    assert [r.state for r in C.health(df, pages).collect()] == ["ok", "stale", "unfaithful", "off-page", "unverified", "secret"] or sorted(r.state for r in C.health(df, pages).collect()) == sorted(["ok", "stale", "unfaithful", "off-page", "unverified", "secret"])
+    assert {(r.q, r.sha, r.v): r.state for r in C.health(df, pages).collect()} == {
+        ("what is the API timeout", "s1", 1): "ok", ("q timeout", "old", 1): "stale", ("api timeout", "s1", 1): "unfaithful",
+        ("lunch menu", "s1", 1): "off-page", ("api timeout", "s1", None): "unverified", ("x", "s1", 1): "secret",
+    }
     asked = spark.createDataFrame([(1, "requests gateway timeout api")], "qid int, q string")
     hits = engine.recall(index, asked)
     assert any(r.card is not None for r in engine.with_cards(index, hits, asked, df.where("v = 1")).collect())
@@ -98,7 +101,72 @@ def test_grading_published_rows(spark):
     assert E.pick_floor(E.graded(q, bad)).first().floor == 5.0
     curve = E.coverage_curve(E.graded(q, good)).orderBy("cut").collect()
     assert curve[-1].n_answered == 6 and all(c.n_wrong == 0 for c in curve)
-    b = E.bootstrap(E.graded(q, bad), F.col("wrong").cast("double"), 200).first()
-    assert b.low <= 8 / 9 <= b.high and b == E.bootstrap(E.graded(q, bad), F.col("wrong").cast("double"), 200).first()
     assert E.summary(E.graded(q, E.with_floor(bad, 100.0))).first().wrong_rate == 0.0
     assert E.at_coverage(bad, 3).where("cited is not null").count() == 3
+
+
+def test_intervals_are_those_of_one_stream(spark):
+    """Against the resampling written out, for one system and for a difference."""
+    r = random.Random(1)
+    rows = [(i, r.choice([None, i % 3]), r.choice([None, 0, 1, 2]), r.choice([None, 0, 1, 2])) for i in range(40)]
+    q = spark.createDataFrame([(i, "k", g) for i, g, _, _ in rows], "qid int, kind string, gold int")
+    grade = lambda k: E.graded(q, spark.createDataFrame([(x[0], x[k], 1.0) for x in rows], "qid int, cited int, score double"))
+    reps, stream = 400, random.Random(20261013)
+    seen = {}
+    for _ in range(reps):
+        pick = [rows[stream.randrange(len(rows))] for _ in rows]
+        one = []
+        for k in (2, 3):
+            answered = [x for x in pick if x[k] is not None]
+            right = sum(x[k] == x[1] for x in answered)
+            one.append((round((len(answered) - right) / len(answered), 3) if answered else 0.0, right, len(pick) - len(answered)))
+        for name, a, b in zip(("wrong_citation_rate", "right", "refused"), *one):
+            seen.setdefault(name, []).append(a)
+            seen.setdefault(f"delta_{name}", []).append(a - b)
+    want = {k: (sorted(v)[int(0.025 * (reps - 1))], sorted(v)[int(0.975 * (reps - 1))]) for k, v in seen.items()}
+    got = {x.metric: (x.low, x.high) for x in E.bootstrap(grade(2), grade(3), reps).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1.1e-3) for k in want)
+    assert set(x.metric for x in E.bootstrap(grade(2), None, 50).collect()) == {"wrong_citation_rate", "right", "refused"}
+
+
+@pytest.mark.parametrize("answer, page, want", [
+    ("version 3", "we run version 1.3 here", False), ("version 1.3", "we run version 1.3 here", True), ("3 items", "30 items", False), ("v0.9.2", "tag v0.9.2 out", True), ("0.9.2", "tag v0.9.2 out", True),
+    ("8/16", "8 and 16", False), ("push/release", "push, then release", True), ("llm+DeepSeek", "llm and deepseek", True), ("`a b`", "x a b y", True), ("`a b`", "xa by", False),
+    ("没有数字", "别的", True), ("go on", "stay", True), ("Opus 5.5：/opt/x", "opus 5.5 in /opt/x", True), ("1:3.3", "1 and 3.3", False), ("ＡＢＣ", "abc", True),
+])
+def test_faithful_answers(spark, answer, page, want):
+    from recollect.operators import cards as C
+
+    df = spark.createDataFrame([(answer, page)], "a string, p string")
+    assert df.select(C.faithful(F.col("a"), F.col("p")).alias("x")).first().x is want
+
+
+def test_cards_that_hold_are_triggers(spark, tmp_path):
+    import hashlib
+
+    text = "---\ntitle: Gateway\n---\nCalls end after 30 seconds."
+    sha = hashlib.sha1(text.encode()).hexdigest()[:16]
+    cards = [("a.md", sha, "zebra question seconds", "Calls end after 30 seconds."), ("a.md", "old", "walrus question seconds", "Calls end after 30 seconds."), ("a.md", sha, "heron question seconds", "Calls end after 45 seconds."), ("a.md", sha, "otter", "Calls end after 30 seconds.")]
+    pages = spark.createDataFrame([("a.md", text), ("b.md", "Something else altogether, of lunch.")], "rel string, content string")
+    df = spark.createDataFrame(cards, "rel string, sha string, q string, a string")
+    index = engine.Index.current(pages, [], str(tmp_path / "index"), cards=df)
+    words = {r.rel: set(r.triggers) for r in index.rows.collect()}
+    assert words["a.md"] == {"zebra", "question", "seconds"} and not words["b.md"]
+    again = engine.Index.current(pages.limit(0), [], str(tmp_path / "index"))
+    assert again.n == 2  # it stands, so it is not made anew
+    spark.createDataFrame([("older",)], "version string").write.mode("overwrite").parquet(str(tmp_path / "index" / "version"))
+    index = engine.Index.current(pages.where("rel = 'b.md'"), [], str(tmp_path / "index"))
+    assert index.n == 1
+    found, lines = engine.bounded(index, spark.createDataFrame([(1, "ALTOGETHER, of lunch"), (2, "nowhere to be seen")], "qid int, q string"), "b.md")
+    assert [(r.qid, r.rel, r.line_no) for r in lines.collect()] == [(1, "b.md", 0)]
+
+
+def test_words_of_the_language_that_are_nowhere(spark, tmp_path):
+    freq = spark.createDataFrame([("常见", 900), ("房贷", 50), ("报销", 40), ("利率", 30), ("健康", 25), ("检查", 24), ("网关", 20), ("的", 5000)], "word string, freq int")
+    lexicon = engine.Lexicon.of(freq, generic=1, chars=3)
+    assert {r.char for r in lexicon.chars.collect()} == {"的", "常", "见"} and {r.word for r in lexicon.words.where("generic").collect()} == {"常见"}
+    pages = spark.createDataFrame([(f"p{i}.md", f"---\ntitle: 网关 {i}\n---\n" + ("网关 健康 检查 每天" if i == 3 else "会议 记录")) for i in range(12)], "rel string, content string")
+    index = engine.Index.build(pages, [], path=str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "网关 房贷 报销 利率"), (2, "网关 健康 检查")], "qid int, q string")
+    got = {r.qid: r.refuse for r in engine.recall(index, asked, 1, lexicon=lexicon).collect()}
+    assert got == {1: True, 2: False}
