@@ -19,7 +19,7 @@ def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def supersede_edges(pages: DataFrame) -> DataFrame:
     """``new, old`` from the heads' lists in both directions."""
-    refs = lambda c: F.explode(F.filter(F.transform(F.split(F.regexp_replace(c, "[\\[\\]\"]", ""), "[,;]"), F.trim), lambda x: x != ""))
+    refs = lambda c: F.explode(F.filter(F.transform(F.split(F.regexp_replace(c, "[\\[\\]\"]", ""), "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))
     a = pages.select(F.col("rel").alias("new"), refs(F.coalesce(F.col("meta")["supersedes"], F.lit(""))).alias("old"))
     b = pages.select(refs(F.coalesce(F.col("meta")["superseded_by"], F.lit(""))).alias("new"), F.col("rel").alias("old"))
     full = lambda x: F.when(x.endswith(".md"), x).otherwise(F.concat(x, F.lit(".md")))

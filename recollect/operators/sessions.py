@@ -108,3 +108,51 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
     w = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn(value, F.last(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(w))
     return out.where("_side = 1").select("_row.*", value)
+
+
+def replaced_by_day(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``path, state`` when a session's pages are written anew: by session and day, the page of another
+    name goes (``deleted``), and the new one is ``written`` or ``replaced``. Both are ``(session, day, path)``."""
+    a, b = old.select("session", "day", F.col("path").alias("_old")), new.select("session", "day", F.col("path"))
+    j = b.join(a, ["session", "day"], "left")
+    put = j.groupBy("path").agg(F.max(F.col("_old").isNotNull()).alias("_had")).select("path", F.when(F.col("_had"), "replaced").otherwise("written").alias("state"))
+    gone = j.where("_old <> path").select(F.col("_old").alias("path")).distinct().join(b.select("path"), "path", "left_anti")
+    return put.unionByName(gone.withColumn("state", F.lit("deleted")))
+
+
+def located(lines: DataFrame, turns_: DataFrame, tokens: Column, said: Column) -> DataFrame:
+    """``session, line_id, turn_no`` of the turn a line rests on: the first one at its time if it has one of
+    a turn, else the one with most of its words, the first among equals. ``lines(session, line_id, hhmm)``
+    with token array ``tokens``; ``turns_(session, turn_no, hhmm)`` with ``said``."""
+    a = lines.select("session", "line_id", F.col("hhmm").alias("_at"), F.array_distinct(tokens).alias("_w"))
+    b = turns_.select("session", "turn_no", "hhmm", F.array_distinct(said).alias("_s"))
+    n = F.size(F.array_intersect("_w", "_s"))
+    both = a.join(b, "session").withColumn("_fit", (F.col("_at") == F.col("hhmm")) & (F.col("_at") != "")).withColumn("_n", F.when(F.col("_fit"), 1 << 30).otherwise(n))
+    return both.groupBy("session", "line_id").agg(F.max_by("turn_no", F.struct(F.coalesce("_n", F.lit(0)), -F.col("turn_no"))).alias("turn_no"))
+
+
+def project_roots(rows: DataFrame, cwd: str, tops: DataFrame) -> DataFrame:
+    """``rows`` with ``root``: the longest of ``tops(prefix)``, folders known to be a repository's, that holds
+    the working folder, else the folder itself; without one, empty."""
+    from recollect.operators.lock import longest_prefix
+
+    flat = F.regexp_replace(F.replace(F.coalesce(F.col(cwd), F.lit("")), F.lit("\\"), F.lit("/")), "(?<=.)/+$", "")
+    found = longest_prefix(rows.withColumn("_cwd", flat), "_cwd", tops.select("prefix", F.lit(True).alias("target")))
+    return found.withColumn("root", F.coalesce("prefix", "_cwd")).drop("_cwd", "prefix", "target")
+
+
+def asks_once(asks: DataFrame, back: int = 50) -> DataFrame:
+    """``asks(ts, id, day, text)`` without repeats: a text counts once a day, and an id once within the last
+    ``back`` asks of its day."""
+    flat = F.trim(F.regexp_replace(F.lower("text"), "\\s+", " "))
+    first = first_seen(asks.withColumn("_f", flat), ["_f", "day"], ["ts", "id"]).drop("_f")
+    w = W.partitionBy("day").orderBy("ts", "id")
+    numbered = first.withColumn("_n", F.row_number().over(w))
+    before = F.lag("_n").over(W.partitionBy("day", "id").orderBy("_n"))
+    return numbered.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_n") - F.col("_b") > back)).drop("_n", "_b")
+
+
+def current_run(days: DataFrame, keys: list[str], day: str, through: str) -> DataFrame:
+    """``keys, n_days``: the length of the run that ends on ``through``, 0 without one."""
+    runs = streaks(days, keys, day).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("last_day") == F.lit(through).cast("date"), F.col("n_days"))), F.lit(0)).alias("n_days"))
+    return runs

@@ -140,22 +140,58 @@ def snapshot_diff(spark, sf):
     return I.snapshot_diff(old, new, "rel", ["size"])
 
 
-@query("select doc_id, sha1(regexp_replace(text, '(?i)\\b(token|password|secret)(\\s*[=:]\\s*[\"'']?)([A-Za-z0-9]{12,})', '\\1\\2<redacted>', 'g')) as sha from documents")
+# Redaction in SQL: a text is split at a pattern's matches; each match is judged by itself. The expression
+# engine has no look-around, so what needs it is written as conditions.
+_LABEL = "(?:[A-Za-z0-9_]*(?:API[_ -]?KEY|APIKEY|ACCESS[_ -]?KEY|SECRET[_ -]?KEY|PRIVATE[_ -]?KEY|SECRET|TOKEN|PASSWORD|PASSWD|CREDENTIALS?)[A-Za-z0-9_]*|\\bkey\\b|密钥|秘钥|私钥|密码|口令|令牌|凭据|凭证|访问密钥)"
+_SQL_ASSIGN = f"(?i)({_LABEL}[\"''`]?\\s*(?:[:=：]|\\s)\\s*[\"''`]?)([^\\s\"''`,;|)）]+)"
+_SQL_QUERY = "(?i)([?&](?:key|api_?key|apikey|token|access_token|secret|password|sig|signature|auth)=)([^&#\\s]+)"
+_SQL_CONN = "(?i)(\\b[a-z][a-z0-9+.-]*://[^:/\\s@]+:)([^@\\s/]+)@"
+_SQL_KNOWN = "sk-(?:ant-|proj-|or-)?[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{30,}|glpat-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{20,}|xai-[A-Za-z0-9]{20,}|gsk_[A-Za-z0-9]{20,}|pplx-[A-Za-z0-9]{20,}|nvapi-[A-Za-z0-9_-]{20,}|csk-[A-Za-z0-9]{20,}|fw_[A-Za-z0-9]{16,}"
+_SQL_PLAIN = "(?i)^(?:YOUR_|CHANGE_?ME|REPLACE|TODO|PASTE_|sk-your|x{4,}|<|\\.\\.\\.|…|\\*{3,})"
+
+
+def _judged(t: str, pattern: str, hide: str, put: str) -> str:
+    """``t`` with each match ``m`` of the pattern replaced by ``put`` where ``hide`` holds."""
+    return f"(select string_agg(coalesce(x, '') || coalesce(case when {hide} then {put} else m end, ''), '' order by i) from (select unnest(string_split_regex({t}, '{pattern}')) as x, unnest(regexp_extract_all({t}, '{pattern}')) as m, generate_subscripts(string_split_regex({t}, '{pattern}'), 1) as i))"
+
+
+def _hidden(v: str) -> str:
+    return f"not regexp_matches({v}, '{_SQL_PLAIN}') and not contains({v}, '<redacted>') and not regexp_matches({v}, '^[一-鿿\\W]+$') and ((length({v}) >= 12 and not regexp_matches({v}, '^[0-9]+$')) or (length({v}) >= 6 and regexp_matches({v}, '[A-Za-z]') and regexp_matches({v}, '[0-9]')))"
+
+
+def _lead(pattern: str, end: str = "") -> str:
+    return f"regexp_extract(m, '{pattern}', 1) || '<redacted>{end}'"
+
+
+_PIECE = "len(list_filter(regexp_split_to_array(m, '[-_./]'), lambda p: length(p) >= 16 and len(regexp_extract_all(p, '[A-Za-z]')) >= 2 and len(regexp_extract_all(p, '[0-9]')) >= 2)) > 0"
+_MIXED = f"not regexp_matches(m, '(?i)^sha(?:1|256|384|512)[-:]') and not regexp_full_match(replace(m, '-', ''), '[0-9a-fA-F]+') and not regexp_matches(m, '^(?:/|~/|\\./|\\.\\./|[A-Za-z][A-Za-z0-9+.-]*://)') and not regexp_matches(m, '\\.[A-Za-z][A-Za-z0-9]{{0,5}}$') and {_PIECE}"
+_VALUE = lambda p: f"regexp_extract(m, '{p}', 2)"
+_REDACTED = f"""with r1 as (select doc_id, {_judged("text", _SQL_CONN, f"not regexp_matches({_VALUE(_SQL_CONN)}, '{_SQL_PLAIN}')", _lead(_SQL_CONN, "@"))} as t from documents),
+r2 as (select doc_id, {_judged("t", _SQL_QUERY, _hidden(_VALUE(_SQL_QUERY)), _lead(_SQL_QUERY))} as t from r1),
+r3 as (select doc_id, {_judged("t", _SQL_ASSIGN, _hidden(_VALUE(_SQL_ASSIGN)), _lead(_SQL_ASSIGN))} as t from r2),
+r4 as (select doc_id, regexp_replace(regexp_replace(t, '(^|[^A-Za-z0-9])(?:{_SQL_KNOWN})', '\\1<redacted>', 'g'), '(?i)\\b(bearer\\s+)[A-Za-z0-9._~+/=-]{{16,}}', '\\1<redacted>', 'g') as t from r3),
+r5 as (select doc_id, {_judged("t", "[A-Za-z0-9+/=_.~:-]{16,}", _MIXED, "'<redacted>'")} as t from r4)
+"""
+
+
+@query(f"with r as (select doc_id, {_judged('text', _SQL_ASSIGN, _hidden(_VALUE(_SQL_ASSIGN)), _lead(_SQL_ASSIGN))} as t from documents) select doc_id, sha1(t) as sha from r")
 def redact_labels(spark, sf):
+    """Values behind labels alone."""
     return table(spark, sf, "documents").select("doc_id", F.sha1(X.redact_labelled(F.col("text")).cast("binary")).alias("sha"))
 
 
-@query()
+@query(_REDACTED + "select doc_id, ((length(t) - length(replace(t, '<redacted>', ''))) / 10)::int as n_redacted, sha1(t) as sha from r5")
 def redact_full(spark, sf):
-    """All passes; their replacements depend on the values, which SQL cannot express."""
+    """All passes."""
     text = X.redact(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.alias("text")).select("doc_id", ((F.length("text") - F.length(F.replace("text", F.lit(X.MARK), F.lit("")))) / len(X.MARK)).cast("int").alias("n_redacted"), F.sha1(F.col("text").cast("binary")).alias("sha"))
 
 
-@query("select doc_id from documents where regexp_matches(text, '(?i)(password|passwd|credential|secret|api[ _-]?key|private[ _-]?key|token[s]?\\b)')")
+@query("select doc_id from documents where regexp_matches(split_part(source || '/' || split_part(text, chr(10), 1), '/', -1), '(?i)凭据|凭证|密钥|秘钥|私钥|钥匙|口令|credential|secret|password|passwd|api[ _-]?key') or lang = 'es' and doc_id % 7 = 0")
 def secret_pages(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.where(X.is_secret_page(F.col("text"), F.lit(""), F.lit(""))).select("doc_id")
+    """By name (the source and the first line as a path) or a flag in the head."""
+    docs = table(spark, sf, "documents").withColumn("rel", F.concat("source", F.lit("/"), F.substring_index("text", "\n", 1)))
+    return docs.where(X.is_secret_page(F.col("rel"), F.lit(""), F.when((F.col("lang") == "es") & (F.col("doc_id") % 7 == 0), "Yes"))).select("doc_id")
 
 
 @query(
@@ -170,11 +206,19 @@ def link_check(spark, sf):
     return Q.broken_links(links, known).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("with o as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as new from orders) select o_custkey, o_orderkey as old, new from o where new is not null")
+_EDGES = """with o as (select o_custkey, o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as old, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as new from orders),
+ed as (select 'o' || o_orderkey || '.md' as new, 'o' || old || '.md' as old from o where old is not null and o_orderkey % 2 = 0 union select 'o' || new || '.md', 'o' || o_orderkey || '.md' from o where new is not null and o_orderkey % 3 = 0)
+"""
+
+
+@query(_EDGES + "select new, old from ed")
 def supersede_edges(spark, sf):
-    """Each order is replaced by the customer's next one."""
-    nxt = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("old"), nxt.alias("new")).where("new is not null")
+    """Orders as pages whose heads name the customer's order before them, or the next one."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("old"), F.lead("o_orderkey").over(w).alias("new"))
+    link = lambda c, on: F.when(F.col(c).isNotNull() & on, F.concat(F.lit("[[o"), c, F.lit("]]")))
+    meta = F.create_map(F.lit("supersedes"), link("old", F.col("o_orderkey") % 2 == 0), F.lit("superseded_by"), link("new", F.col("o_orderkey") % 3 == 0))
+    return Q.supersede_edges(o.select(F.concat(F.lit("o"), "o_orderkey", F.lit(".md")).alias("rel"), meta.alias("meta")))
 
 
 @query(
@@ -187,22 +231,43 @@ def tenure(spark, sf):
     o = table(spark, sf, "orders")
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     rows = o.select("o_custkey", F.col("o_orderkey").alias("key"), rank.alias("rank"))
-    edges = supersede_edges(spark, sf).select("new", "old")
+    nxt = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = o.select(F.col("o_orderkey").alias("old"), nxt.alias("new")).where("new is not null")
     own = rows.select(F.col("key").alias("qid"), "key", "rank")
     succ = edges.join(rows.select(F.col("key").alias("new"), "rank"), "new").select(F.col("old").alias("qid"), F.col("new").alias("key"), "rank")
     return Q.tenure(edges, own.unionByName(succ))
 
 
-_LINES = [
-    (1, "2025-01-01", "09:00", 1, "use port 8080 for the gateway", True), (1, "2025-01-02", "10:00", 2, "gateway port 8080 → 9090", False), (1, "2025-01-03", "11:00", 3, "cache ttl is 60 seconds", True),
-    (2, "2025-01-01", "", 1, "deploy on friday evening", True), (2, "2025-01-05", "", 2, "friday → monday", False), (2, "2025-01-06", "", 3, "monday → friday", False), (3, "2025-02-01", "08:00", 1, "keep logs for 30 days", True),
-]
+# Lines of a customer: what a queue runs, and changes of it.
+_QUEUE = """with l as (select o_custkey as root, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderkey as seq, {{d: strftime(o_orderdate, '%Y-%m-%d'), s: o_orderkey}} as at, o_orderkey % 3 = 0 as plain, 'code' || (o_orderkey // 3 % 4) as a, 'code' || (o_orderkey // 12 % 4) as b from orders),
+m as (select l.root, l.day, l.seq, l.plain, l.a, l.b, max(case when not x.plain and x.a = l.a and x.a <> x.b then x.at end) as f, max(case when not x.plain and x.b = l.a and x.a <> x.b then x.at end) as g, max(case when not x.plain and x.a = l.b then 1 end) as h from l left join l x on x.root = l.root and x.at > l.at group by all),
+st as (select root, day, seq, plain, a, b, case when plain and f is not null and (g is null or g <= f) then 'replaced' when not plain and a <> b and h = 1 then 'replaced' else 'holds' end as state from m)
+"""
 
 
-@query("select * from (values (1, 1, 'replaced'), (1, 2, 'holds'), (1, 3, 'holds'), (2, 1, 'holds'), (2, 2, 'replaced'), (2, 3, 'holds'), (3, 1, 'holds')) t(root, seq, state)")
+def _queue_lines(spark, sf):
+    k = F.col("o_orderkey")
+    code = lambda n: F.concat(F.lit("code"), F.floor(k / n) % 4)
+    line = F.when(k % 3 == 0, F.concat(F.lit("queue runs "), code(3))).otherwise(F.concat(F.lit("was queue "), code(3), F.lit(" → now queue "), code(12)))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("root"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), k.alias("seq"), line.alias("line"))
+
+
+@query(_QUEUE.replace("{{", "{").replace("}}", "}") + "select root, day, seq, state from st")
 def change_staleness(spark, sf):
-    lines = spark.createDataFrame([x[:5] for x in _LINES], "root int, day string, hhmm string, seq int, line string")
-    return C.stale(lines).select("root", "seq", "state")
+    return C.stale(_queue_lines(spark, sf)).select("root", "day", "seq", "state")
+
+
+@query(
+    _QUEUE.replace("{{", "{").replace("}}", "}")
+    + """, t as (select *, case when plain then 'queue runs ' || a else 'was queue ' || a || ' → now queue ' || b end as line from st),
+fr as (select * from t where day::date >= date '1997-12-02' and (seq % 2 = 0 or not plain) and state <> 'replaced'),
+o1 as (select * from (select *, row_number() over (partition by root, line order by day desc, seq) as r from fr) where r = 1)
+select root, seq, n::int as n from (select *, row_number() over (partition by root order by (not plain)::int desc, day desc, seq) as n from o1) where n <= 8"""
+)
+def lines_to_inject(spark, sf):
+    """Even orders' lines as confirmed ones, of the thirty days before 1998."""
+    lines = C.stale(_queue_lines(spark, sf)).withColumn("confirmed", F.col("seq") % 2 == 0).withColumn("day", F.to_date("day"))
+    return C.to_inject(lines, "1998-01-01").select("root", "seq", "n")
 
 
 @query("select case when quality is null then 'all' else quality::varchar end as quality, count(*) as n, sum(toxic)::bigint as n_toxic, round(sum(toxic)::double / count(*), 3) as toxic_rate from labels group by rollup (quality)")
@@ -243,11 +308,21 @@ def weak_queries(spark, sf):
     return Q.weak_queries(log.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "2024-01-10")
 
 
-@query("select role, count(*) as calls, sum(length(text))::bigint as chars, ceil(sum(length(text)) / 1.6)::bigint as tokens from conversations group by role")
+@query(
+    """with n as (select conv_id, role, text, row_number() over (partition by role order by conv_id, turn) as i from conversations),
+b as (select role, (i - 1) // 6 as k, string_agg(text, chr(10) || chr(10) order by i) as prompt from n group by all)
+select role, count(*) as calls, sum(length(prompt))::bigint as chars, ceil(sum(length(prompt)) / 1.6)::bigint as tokens from b group by role"""
+)
 def prompt_cost(spark, sf):
-    from recollect.plans.nightly import cost  # noqa: F401  the same sums, by role
-
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("calls"), F.sum(F.length("text")).alias("chars"), F.ceil(F.sum(F.length("text")) / 1.6).alias("tokens"))
+    """What asking a model about all turns in batches would cost, by role."""
+    from recollect.plans import nightly
+
+    rows = table(spark, sf, "conversations").select("role", F.struct("conv_id", "turn").alias("k"), "text")
+    out = None
+    for role in ("system", "user", "assistant"):
+        one = nightly.cost(nightly.batches(rows.where(F.col("role") == role), "k", "text", 6, 1)).select(F.lit(role).alias("role"), "calls", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ------------------------------------------------------------------ the engine

@@ -18,10 +18,16 @@ def _drained(spark, df, mode="append"):
     return logs.drained(df, f"{at}/out", f"{at}/checkpoint", mode)
 
 
-@query("select event_id, user_id, event_type from events where event_type = 'error'")
+@query("select props as q, min(ts) as ts from events where ts > timestamp '2024-01-10' and event_type = 'error' group by props")
 def stream_cursor(spark, sf):
-    """Weak questions of a log; the checkpoint is the cursor."""
-    return _drained(spark, _events(spark, sf).where("event_type = 'error'").select("event_id", "user_id", "event_type"))
+    """Weak questions of a log after a cursor, each once; the checkpoint is the next cursor."""
+    weak = _events(spark, sf).where("event_type = 'error' and ts > timestamp_ntz '2024-01-10'").select(F.col("props").alias("q"), "ts")
+    return _drained(spark, weak).groupBy("q").agg(F.min("ts").alias("ts"))
+
+
+@query("select ts::date as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def stream_by_day(spark, sf):
+    return _drained(spark, logs.by_day(_events(spark, sf), ["event_type"]).select("day", "event_type", "n", "total"), "complete")
 
 
 @query("select props, min(ts)::date as day from events group by props, ts::date")

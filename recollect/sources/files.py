@@ -32,16 +32,16 @@ def alias_table(spark: SparkSession, path: str) -> DataFrame:
     fields is an error, raised when the rows are read."""
     parts = F.split("line", "\\|")
     bad = F.raise_error(F.concat(F.lit("not four fields: "), F.col("line")))
-    rows = _lines(spark, path).select(F.when(F.size(parts) == 4, F.transform(parts, F.trim)).otherwise(bad.cast("array<string>")).alias("p")).where("p[0] <> 'id'")
-    words = F.filter(F.transform(F.split(F.col("p")[1], ";"), F.trim), lambda w: w != "")
+    rows = _lines(spark, path).select(F.when(F.size(parts) == 4, F.transform(parts, lambda x: F.trim(x))).otherwise(bad.cast("array<string>")).alias("p")).where("p[0] <> 'id'")
+    words = F.filter(F.transform(F.split(F.col("p")[1], ";"), lambda x: F.trim(x)), lambda w: w != "")
     return rows.select(F.col("p")[0].alias("id"), words.alias("aliases"), F.col("p")[2].alias("source"), F.col("p")[3].alias("anchor"))
 
 
 def trigger_lists(spark: SparkSession, path: str) -> DataFrame:
     """``rel, words`` of a file that mixes ``rel|a;b`` lines, alias rows and JSON lines."""
-    parts = F.transform(F.split("line", "\\|"), F.trim)
+    parts = F.transform(F.split("line", "\\|"), lambda x: F.trim(x))
     js = F.from_json("line", "rel string, words array<string>, word string")
-    split = lambda x: F.filter(F.transform(F.split(x, ";"), F.trim), lambda w: w != "")
+    split = lambda x: F.filter(F.transform(F.split(x, ";"), lambda x: F.trim(x)), lambda w: w != "")
     kind = F.when(F.col("line").startswith("{"), F.struct(js["rel"].alias("rel"), F.coalesce(js["words"], F.array_compact(F.array(js["word"]))).alias("words")))
     kind = kind.when(F.size(parts) == 4, F.struct(parts[2].alias("rel"), split(parts[1]).alias("words"))).when(F.size(parts) == 2, F.struct(parts[0].alias("rel"), split(parts[1]).alias("words")))
     return _lines(spark, path).select(kind.alias("r")).where("r.rel is not null").select("r.rel", "r.words")
@@ -50,7 +50,7 @@ def trigger_lists(spark: SparkSession, path: str) -> DataFrame:
 def topic_list(spark: SparkSession, path: str) -> DataFrame:
     """``topic, title, terms, authority`` of lines of up to four fields."""
     p = F.split(F.concat("line", F.lit("|||")), "\\|")
-    some = lambda x: F.filter(F.transform(F.split(x, ";"), F.trim), lambda w: w != "")
+    some = lambda x: F.filter(F.transform(F.split(x, ";"), lambda x: F.trim(x)), lambda w: w != "")
     return _lines(spark, path).select(F.trim(p[0]).alias("topic"), F.trim(p[1]).alias("title"), some(p[2]).alias("terms"), some(p[3]).alias("authority"))
 
 

@@ -39,54 +39,101 @@ def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
 
 
 def once_a_day(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
-    return timed(events, late).withColumn("day", F.to_date("ts")).dropDuplicates([*keys, "day"])
+    """The first row of each key and day; a key's state goes when the watermark has passed it, which is
+    ``late`` (a day at least) behind the newest event."""
+    return timed(events, late).withColumn("day", F.to_date("ts")).dropDuplicatesWithinWatermark([*keys, "day"])
 
 
-def asked_again(events: DataFrame, key: str, ask: str, clear: str, hours: int = 24) -> DataFrame:
+def asked_again(events: DataFrame, key: str, ask: str, clear: str, hours: int = 24, late: str = "1 day") -> DataFrame:
     """Asks with ``repeated``, by keyed state: an ask within the hours after another one is a
-    repeat, unless a clearing event came between. Rows of a batch are taken in time order."""
-    state = "asked timestamp"
+    repeat, unless a clearing event came between.
+
+    The state is the key's events of the last hours and of the time by which rows may be late, so a row
+    of a later batch is judged by what stands before it in time. It is dropped when the watermark
+    has passed all of it."""
+    state = "times array<long>, ids array<long>, asks array<boolean>"
     out = f"{key} long, event_id long, ts timestamp, repeated boolean"
+    span = hours * 3_600_000_000
 
     def work(k, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        asked = held.get[0] if held.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat([f for f in frames if len(f)])
+        fresh = [(pd.Timestamp(r.ts).value // 1000, int(r.event_id), r.event_type == ask, r.ts) for r in rows.itertuples()]
+        past = [(t, i, a, None) for t, i, a in zip(*held.get)] if held.exists else []
+        line = sorted([*past, *fresh], key=lambda x: x[:2])
         done = []
-        for r in rows.itertuples():
-            if r.event_type == ask:
-                repeated = asked is not None and pd.notna(asked) and r.ts - pd.Timestamp(asked) <= pd.Timedelta(hours=hours)
-                done.append((k[0], r.event_id, r.ts, repeated))
-                asked = r.ts
-            elif r.event_type == clear:
-                asked = None
-        held.update((None if asked is None else pd.Timestamp(asked).to_pydatetime(),))
+        for before, now in zip([None, *line], line):
+            if now[3] is not None and now[2]:
+                done.append((k[0], now[1], now[3], before is not None and before[2] and now[0] - before[0] <= span))
+        mark = held.getCurrentWatermarkMs() * 1000
+        line = [x for x in line if x[0] >= mark - span]
+        if line:
+            held.update(([x[0] for x in line], [x[1] for x in line], [x[2] for x in line]))
+            held.setTimeoutTimestamp(max(line[-1][0] // 1000 + hours * 3_600_000, held.getCurrentWatermarkMs() + 1))
+        elif held.exists:
+            held.remove()
         yield pd.DataFrame(done, columns=[key, "event_id", "ts", "repeated"])
 
-    rows = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").where(F.col("event_type").isin(ask, clear))
-    return rows.groupBy(key).applyInPandasWithState(work, out, state, "append", "NoTimeout")
+    rows = timed(events.select(key, "event_id", "ts", "event_type"), late).where(F.col("event_type").isin(ask, clear))
+    return rows.groupBy(key).applyInPandasWithState(work, out, state, "append", "EventTimeTimeout")
 
 
 def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, to a table; a second call goes on where the first one ended."""
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    """All that is there now, to a table; a second call goes on where the first one ended. In
+    ``complete`` mode the table is the whole result as of the last batch."""
+    w = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        q = w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path)).start()
+    else:
+        q = w.format("parquet").option("path", path).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def upserted(files: DataFrame, path: str, checkpoint: str, key: str, order: str) -> DataFrame:
-    """The newest row of each key of a stream of versions, as a table replaced batch by batch.
+#: Parts of an upserted table that are replaced by themselves.
+PARTS = 64
+
+
+def upserted(files: DataFrame, path: str, checkpoint: str, key: str, order: str, parts: int = PARTS) -> DataFrame:
+    """The newest row of each key of a stream of versions, as a table. Rows lie in parts by key, and a batch
+    writes a new version of those it touches only; the latest version of each part counts.
     The file source gives no deletions; those are found by comparing snapshots."""
-    spark, done = files.sparkSession, []
+    spark = files.sparkSession
+    schema = files.schema
 
     def put(batch: DataFrame, n: int) -> None:
-        target = f"{path}/v{n}"
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        if n:
-            old = spark.read.parquet(f"{path}/v{n - 1}")
-            newest = newest.unionByName(old.join(newest.select(key), key, "left_anti"))
-        newest.write.mode("overwrite").parquet(target)
-        done.append(n)
+        new = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in new.select("part").distinct().collect()]
+        if not touched:
+            return
+        both = new.unionByName(_latest(spark, path, schema, touched, n))
+        rows = both.groupBy("part", key).agg(F.max_by(F.struct(*schema.names), order).alias("r")).select("r.*", "part", F.lit(n).alias("version"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
 
     q = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/v{max(done)}")
+    return _latest(spark, path, schema).drop("part")
+
+
+def _latest(spark: SparkSession, path: str, schema, only: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """The latest version of each part, of some of them or before a version only; no rows if nothing is there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if fs.exists(root):
+        for p in fs.listStatus(root):
+            name = p.getPath().getName()
+            if not name.startswith("part=") or (only is not None and int(name[5:]) not in only):
+                continue
+            versions = [int(v.getPath().getName()[8:]) for v in fs.listStatus(p.getPath()) if v.getPath().getName().startswith("version=")]
+            versions = [v for v in versions if before is None or v < before]
+            if versions:
+                found.append(f"{path}/{name}/version={max(versions)}")
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+    from pyspark.sql.types import IntegerType, StructType
+
+    full = StructType([*schema.fields]).add("part", IntegerType()).add("version", IntegerType())
+    return spark.read.schema(full).option("basePath", path).parquet(*found).drop("version")

@@ -71,16 +71,71 @@ def test_lock_bands(spark):
     assert {r.qid: (r.rel, r.ambiguous) for r in lock.trigger_match(asks, triggers).collect()} == {1: ("q", False), 2: ("r", False), 4: ("s", True)}
 
 
-def test_changes():
-    def line(day, text, old=None, new=None, at=""):
-        return {"day": day, "hhmm": at, "terms": text.split(), "old": old and old.split(), "new": new and new.split()}
-
-    plain, change, back = line("1", "port 8080 gateway"), line("2", "port 8080 9090", "port 8080", "9090"), line("3", "9090 8080", "9090", "8080")
-    assert changes.judge([plain, change]) == ["replaced", "holds"]
-    assert changes.judge([change, plain]) == ["replaced", "holds"] or changes.judge([line("2", "port 8080 gateway"), line("1", "8080 9090", "8080", "9090")]) == ["holds", "holds"]
-    assert changes.judge([plain, change, back])[0] == "holds"
-    assert changes.judge([change, back]) == ["replaced", "holds"]
-    assert changes.judge([line("1", "cache ttl 60"), change]) == ["holds", "holds"]
+CHANGES = {
+    "replaced": [("1", "本地 API 端口用 8080（10:05）", "replaced"), ("1", "日志级别用 info（10:20）", "holds"), ("2", "原来本地 API 端口 8080 → 改成 9090（14:00）", "holds")],
+    "restated": [("1", "原来本地 API 端口 8080 → 改成 9090（14:00）", "holds"), ("2", "本地 API 端口用 9090，已经写进 README（09:00）", "holds")],
+    "chain": [("1", "原来缓存过期 30 分钟 → 改成 10 分钟（10:00）", "replaced"), ("2", "原来缓存过期 10 分钟 → 改成 15 分钟（15:00）", "holds")],
+    "english chain": [("1", "timeout 30 seconds → 10 seconds (10:00)", "replaced"), ("2", "timeout 10 seconds → 15 seconds (11:00)", "holds")],
+    "back": [("1", "本地 API 端口用 8080（10:00）", "holds"), ("1", "原来本地 API 端口 8080 → 改成 9090（11:00）", "replaced"), ("1", "原来本地 API 端口 9090 → 改回 8080（15:00）", "holds")],
+    "shared words": [("1", "本地 API 端口文档放在 README（10:00）", "holds"), ("1", "本地 API 用 JWT 鉴权（10:10）", "holds"), ("2", "was local API port 8080 → now 9090 (14:05)", "holds")],
+    "another subject": [("1", "缓存过期 10 分钟（10:00）", "holds"), ("1", "会议时长 10 分钟（10:05）", "replaced"), ("2", "原来会议时长 10 分钟 → 改成 15 分钟（14:00）", "holds")],
+    "part of the subject": [("1", "测试环境 API 端口用 8080（10:00）", "unsure"), ("1", "本地 API 端口用 8080（10:05）", "replaced"), ("2", "原来本地 API 端口 8080 → 改成 9090（14:00）", "holds")],
+    "order of time": [("1", "port 9090 gateway → port 8080 gateway (09:00)", "holds"), ("1", "gateway uses port 9090 (11:00)", "holds")],
+}
+
+
+def test_changes(spark):
+    rows = [(root, day, seq, line) for root, lines in CHANGES.items() for seq, (day, line, _) in enumerate(lines)]
+    got = {(r.root, r.seq): r.state for r in changes.stale(spark.createDataFrame(rows, "root string, day string, seq int, line string")).collect()}
+    assert got == {(root, seq): state for root, lines in CHANGES.items() for seq, (_, _, state) in enumerate(lines)}
+
+
+def _states(lines):
+    """The written rule, line by line, over word sets."""
+    words = [set(x["said"]) for x in lines]
+    value = lambda s: {w for w in s if any(c.isdigit() or "a" <= c <= "z" for c in w)} or s
+    out = []
+    for i, x in enumerate(lines):
+        later = [y for y in lines if y["at"] > x["at"] and y["change"]]
+        state = "holds"
+        if x["change"]:
+            gone, came = value(x["old"] - x["new"]), value(x["new"] - x["old"])
+            core = (x["old"] | x["new"]) - gone - came
+            if any(came and came <= y["old"] and (not core or core & y["old"]) for y in later):
+                state = "replaced"
+        else:
+            for y in sorted(later, key=lambda y: y["at"]):
+                less, more = y["old"] - y["new"], y["new"] - y["old"]
+                gone, came, about = value(less), value(more), {w for w in less if not any(c.isdigit() or "a" <= c <= "z" for c in w)}
+                undone = any(z["at"] > y["at"] and value(z["new"] - z["old"]) and value(z["new"] - z["old"]) <= words[i] for z in later)
+                if gone and gone <= words[i] and not (came and 2 * len(came & words[i]) >= len(came)) and (not about or about & words[i]) and not undone:
+                    if about <= words[i]:
+                        state = "replaced"
+                    elif state == "holds":
+                        state = "unsure"
+        out.append(state)
+    return out
+
+
+def test_changes_against_the_rule(spark):
+    import random
+
+    r = random.Random(5)
+    vocabulary = ["缓存", "端口", "会议", "日志", "a1", "b2", "c3"]
+    some = lambda n: r.sample(vocabulary, n)
+    rows, want = [], {}
+    for root in range(150):
+        lines = []
+        for seq in range(r.randint(2, 6)):
+            change = r.random() < 0.6
+            old, new = some(r.randint(1, 4)), some(r.randint(1, 3))
+            text = f"{' '.join(old)} → {' '.join(new)}" if change else " ".join(old)
+            day = str(r.randint(1, 3))
+            rows.append((root, day, seq, text))
+            lines.append({"said": old + (new if change else []), "old": set(old), "new": set(new), "change": change, "at": (day, seq), "seq": seq})
+        want |= {(root, x["seq"]): s for x, s in zip(lines, _states(lines))}
+    got = {(x.root, x.seq): x.state for x in changes.stale(spark.createDataFrame(rows, "root int, day string, seq int, line string")).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {} and {"holds", "replaced", "unsure"} <= set(want.values())
 
 
 def test_days(spark):
@@ -134,13 +189,31 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert {r.event_id: r.repeated for r in again().collect()} == {1: False, 2: True, 4: False, 5: False}
 
 
+def test_a_late_row_is_judged_by_time(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    put = lambda rows: spark.createDataFrame([(i, t, 1, k, 1.0, "p") for i, t, k in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    t, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    go = lambda: {r.event_id: r.repeated for r in logs.drained(logs.asked_again(logs.stream(spark, str(tmp_path / "in"), logs.EVENTS), "user_id", "view", "purchase"), str(tmp_path / "out"), str(tmp_path / "c")).collect()}
+    put([(1, t, "view"), (2, t + 10 * h, "purchase")])
+    assert go() == {1: False}
+    put([(3, t + 5 * h, "view"), (4, t + 11 * h, "view")])  # 3 comes after 2 has been seen, but stands before it
+    assert go() == {1: False, 3: True, 4: False}
+    put([(5, t + 400 * h, "view")])
+    go()
+    put([(6, t + 401 * h, "view")])
+    assert go()[6] is True
+
+
 def test_stream_upsert(spark, tmp_path):
     put = lambda rows: spark.createDataFrame(rows, "k int, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    (tmp_path / "in").mkdir()
+    go = lambda: {r.k: r.v for r in logs.upserted(logs.stream(spark, str(tmp_path / "in"), "k int, v int"), str(tmp_path / "t"), str(tmp_path / "c"), "k", "v", 4).collect()}
+    assert go() == {}
     put([(1, 1), (1, 2), (2, 1)])
-    go = lambda: logs.upserted(logs.stream(spark, str(tmp_path / "in"), "k int, v int"), str(tmp_path / "t"), str(tmp_path / "c"), "k", "v")
-    assert {r.k: r.v for r in go().collect()} == {1: 2, 2: 1}
-    put([(2, 5), (3, 1)])
-    assert {r.k: r.v for r in go().collect()} == {1: 2, 2: 5, 3: 1}
+    assert go() == {1: 2, 2: 1}
+    assert go() == {1: 2, 2: 1}  # nothing new
+    put([(2, 5), (3, 1), (1, 0)])  # an older version of 1 comes late
+    assert go() == {1: 2, 2: 5, 3: 1}
 
 
 def test_ledger_lines_and_ticks(spark):
@@ -168,3 +241,33 @@ def test_slices_and_leaving_out(spark):
     g = E.graded(q, spark.createDataFrame([(1, 1, 5.0), (2, 9, 3.0)], "qid int, cited int, score double"))
     cuts = spark.createDataFrame([(0.0,), (4.0,)], "floor double")
     assert {(r.left_out, r.floor): r.points for r in E.leave_one_out(g, cuts).collect()} == {(1, 0.0): -1, (2, 0.0): 1, (1, 4.0): 0, (2, 4.0): 1}
+
+
+def test_pages_of_sessions_and_other_memories(spark):
+    from recollect.operators import upkeep as U
+
+    lines = spark.createDataFrame([("r", 1, "first", True, "holds"), ("r", 2, "second", False, "unsure"), ("z", 1, "用 8080", True, "holds"), ("z", 2, "x" * 2000, True, "holds")], "root string, n int, line string, confirmed boolean, state string")
+    got = {r.root: (r.zh, r.context) for r in U.session_start(lines).collect()}
+    assert got == {"r": (False, "- first\n- second (unconfirmed) (may have changed; check)"), "z": (True, "- 用 8080")}
+    days = spark.createDataFrame([("a.md", "# x\n## Decisions\n- use a\n* use b\nplain\n\n## Other\n- no"), ("b.md", "## 定下来的事\n- 没有定下来的事"), ("c.md", "none")], "rel string, body string")
+    assert sorted((r.rel, r.seq, r.line) for r in U.digest_lines(days).collect()) == [("a.md", 0, "- use a"), ("a.md", 1, "* use b")]
+    s = spark.createDataFrame([("s1", ""), ("s2", "asked")], "session string, request string")
+    o = spark.createDataFrame([("s1", 1, None, None, "f1", "p"), ("s1", 2, "T", "do it", "f2", "q"), ("s1", 3, "U", "no", "f1", None), ("s2", 1, "V", None, None, None)], "session string, seq int, title string, decision string, fact string, file string")
+    assert sorted((r.session, r.title, r.how, r.facts, r.files, r.n) for r in U.memory_pages(s, o).collect()) == [("s1", "T", "do it", ["f1", "f2"], ["p", "q"], 3), ("s2", "asked", None, [], [], 1)]
+    p = spark.createDataFrame([("k", 3), ("l", 4)], "key string, n long")
+    assert sorted((r.key, r.digest) for r in U.reused_digests(p, spark.createDataFrame([("k", 3, "d"), ("l", 3, "e")], "key string, n long, digest string")).collect()) == [("k", "d"), ("l", None)]
+    f = spark.createDataFrame([("x", 1, "/home/u/v/notes/b.md"), ("x", 2, "notes/a.md"), ("x", 3, "/w/notes/b.md"), ("x", 4, "/other")], "answer string, seq int, file string")
+    assert sorted((r.place, r.rel) for r in U.source_pages(f, ["notes"]).collect()) == [(1, "notes/b.md"), (2, "notes/a.md")]
+    r = spark.createDataFrame([("1: Yes\n2: maybe\n9: yes\nno line",)], "reply string")
+    assert [(x.id, x.label) for x in U.parsed_labels(r, spark.createDataFrame([(1,), (2,)], "id int"), ["yes", "no"]).collect()] == [("1", "yes")]
+    t = spark.createDataFrame([("a", "x"), ("b", "y")], "rel string, text string")
+    assert U.vector_key(t, "m").first().sha == U.vector_key(t.orderBy("text", ascending=False), "m").first().sha != U.vector_key(t, "n").first().sha
+    v = spark.createDataFrame([("a", "T", "body"), ("b", "U", "x")], "rel string, title string, body string")
+    assert [(x.rel, x.text) for x in U.view_texts(v, spark.createDataFrame([("a", "n2"), ("a", "n1")], "source string, alias string")).collect()] == [("a", "n1 n2\nT\nbody")]
+    c = spark.createDataFrame([("a.md", "provisional", ["x"]), ("b.md", "provisional", []), ("c.md", "active", ["x"]), ("d.md", "Provisional", ["y"])], "file string, status string, triggers array<string>")
+    assert [x.file for x in U.to_ask(c, spark.createDataFrame([("d.md", True), ("a.md", False)], "file string, repeated boolean")).collect()] == ["a.md"]
+    k = spark.createDataFrame([("r/a.md", "rule", {"title": "x"}), ("r/b.md", "rule", {"title": "api key"}), ("n/c.md", "topic", {}), ("o.md", "other", {})], "rel string, tier string, meta map<string,string>")
+    assert [x.rel for x in U.card_targets(k, ["n/"]).collect()] == ["r/a.md"]
+    st = spark.createDataFrame([("a1", "n, m", "p.md", "do"), ("a0", "k", "q.md", "be")], "id string, names string, source string, how string")
+    page = U.standing_page(st).first()
+    assert page.page == "a0 | k | q.md | be\na1 | n, m | p.md | do" and page.n == 2 and U.stale_triggers(st.select(F.col("source").alias("rel")), spark.createDataFrame([("p.md", "dead"), ("q.md", "rule")], "rel string, tier string")).first().rel == "p.md"
