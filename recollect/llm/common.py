@@ -194,19 +194,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- semi-join with wide rows
-#: Bits of the filter that spares rows without a partner the shuffle: 2 MB.
-FILTER_BITS = 24
+#: Bits of the filter that spares rows without a partner the shuffle: eight a key, from 2**20 up to
+#: 2**29 (64 MB in every worker). Beyond 2**26 keys more rows pass it than need to, to be dropped by
+#: the join; the result is the same.
+LEAST_BITS, MOST_BITS = 20, 29
 
 
 def split(wide: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """The rows of ``wide`` whose bigint ``on`` may be in ``keys``, and those for which it is
-    not, by a filter of fixed size made from all keys. At any fill no key is missed."""
+    not, by a filter made from all keys and sized by their number. At any fill no key is missed."""
     spark = wide.sparkSession
-    slot = F.pmod(F.xxhash64(on), F.lit(1 << FILTER_BITS))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    size = min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(on), F.lit(1 << size))
+    bits = np.zeros(1 << (size - 6), np.int64)
     words = keys.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))).alias("b"))
-    for row in words.toLocalIterator():
-        bits[row.w] = row.b
+    got = words.toArrow()
+    bits[got["w"].to_numpy()] = got["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bits.view(np.uint64))
     names = wide.columns
 

@@ -9,7 +9,8 @@ keys are all pairs of collections, ``m * (m - 1) / 2`` tables of ``2 * r`` minha
 of only ``m * r``. Two documents of similarity s meet in a table unless fewer than two of
 the collections agree: with m = 14, r = 2 that is 1.6e-5 at s = 0.8 and less above.
 
-*Work stays in proportion to the documents.* Equal sets collapse to one representative.
+*Work stays in proportion to the documents.* Equal sets collapse to one node, a row that has it;
+ids do not matter until the end, so an id that stands on several texts takes part with each.
 A bucket is never expanded to pairs: each member is tried against the bucket's smallest and
 largest member. Links that hold on the full sets give components;
 then buckets that still hold more than one component are looked at again, and members of
@@ -17,8 +18,12 @@ different ones are matched by their rarest shingles, which is exact.
 
 Edge cases: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; a text of fewer words than a shingle has its whole word sequence as
-one shingle; rows repeated with one id are one set member each and fall into one group;
-an empty table gives an empty result; other columns are ignored.
+one shingle; rows repeated with one id are one set member each: with equal texts they fall
+into one group, with different texts each row has the group of its own text; a null id takes
+part like any other, a group's id is its smallest one that is not null, and a group of null ids
+alone has a null id and is kept; long texts are whole (a slice of the work is one text at
+least); pairs exactly at the threshold are links; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ from .common import U64, Words, long_hash, mix, stored, text_rows, windows
 
 COLLECTIONS = 14
 ROWS = 2
-#: Counters of shingle frequencies, as a power of two; 8 bytes each.
-SLOT_BITS = 18
+#: Counters of shingle frequencies, as a power of two: about one for 16 shingles, 4 bytes each. They
+#: only order the shingles, rare ones first; any order gives the same links.
+LEAST_SLOTS, MOST_SLOTS = 18, 24
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +77,8 @@ def signatures(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, m: int = COLLECTIONS, r: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, digest`` (of the whole set) and ``sig``: the m collections, each
-    hashed to one number; null for an empty set."""
+    """``doc_id, row`` (the key of a row, of its id and text), ``n_shingles, digest`` (of the whole set)
+    and ``sig``: the m collections, each hashed to one number."""
 
     def run(batch):
         flat, at = shingle_sets(batch.column("text"), words)
@@ -90,9 +96,15 @@ def sketches(docs: DataFrame, words: int, m: int = COLLECTIONS, r: int = ROWS) -
                     sig[full, c] = h
         digest = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
         sigs = pa.FixedSizeListArray.from_arrays(pa.array(long_hash(sig.reshape(-1))), m).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), sigs], ["doc_id", "n_shingles", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), sigs], ["doc_id", "row", "n_shingles", "digest", "sig"])
 
-    return text_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, digest binary, sig array<long>")
+    return text_rows(_keyed(docs), run, "doc_id long, row long, n_shingles long, digest binary, sig array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, text``: rows are told apart by a hash of id and text."""
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return some.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def _buckets(reps: DataFrame, m: int) -> DataFrame:
@@ -139,14 +151,17 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
     nodes = named.join(mixed, "key").select("node", "label").distinct()
     open_ = stored(texts.join(nodes, "node"), "open")
 
+    total = open_.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(total).bit_length() - 4))
+
     def tally(batch):
         flat, _ = shingle_sets(batch.column("text"), words)
-        slot, n = np.unique((flat >> U64(64 - SLOT_BITS)).astype(np.int32), return_counts=True)
+        slot, n = np.unique((flat >> U64(64 - bits)).astype(np.int32), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for row in text_rows(open_, tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row.slot] = row.n
+    got = text_rows(open_, tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.uint32)
+    counts[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 32) - 1)
     shared = spark.sparkContext.broadcast(counts)
 
     def prefixes(batch):
@@ -156,7 +171,7 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
         for i in range(len(at) - 1):
             x = flat[at[i] : at[i + 1]]
             n = len(x) - (-(-percent * len(x) // 100)) + 1
-            order = np.lexsort((x, count[(x >> U64(64 - SLOT_BITS)).astype(np.int64)]))[:n]
+            order = np.lexsort((x, count[(x >> U64(64 - bits)).astype(np.int64)]))[:n]
             head.append(x[order])
             row.append(np.full(len(order), i))
             rank.append(np.arange(len(order)))
@@ -176,16 +191,15 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = COLLECTIONS, r: int = ROWS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``."""
-    docs = docs.select("doc_id", "text")
     sk = stored(sketches(docs, words, m, r), "sketches")
     full = sk.where("n_shingles > 0")
-    groups = stored(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "groups")
+    groups = stored(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "groups")
     buckets = _buckets(groups, m)
     heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     met = stored(buckets.join(heads, "key"), "buckets")  # only buckets with two members or more
     size = groups.select("node", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = stored(common.matching(texts, met.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+    texts = _keyed(docs).select(F.col("row").alias("node"), "text")
+    texts = stored(common.matching(texts, stored(met.select("node").distinct(), "nodes"), "node").dropDuplicates(["node"]).join(size, "node"), "texts")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """In order, each once, and not of sizes that rule a link out."""
@@ -200,8 +214,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     late = stored(_links(stored(rest, "pairs"), texts, words, percent), "links")
     if not late.isEmpty():
         labels = common.components(edges.unionByName(late))
-    member = groups.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
-    own = sk.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(member, "digest").select("doc_id", "n_shingles", F.col("group").alias("component_id"))
+    member = groups.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
+    first = member.groupBy("label").agg(F.min("id").alias("component_id"))
+    group = member.join(first, "label").select("digest", "component_id")
+    own = full.select("doc_id", "n_shingles", "digest").join(group, "digest").select("doc_id", "n_shingles", "component_id")
     bare = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return own.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

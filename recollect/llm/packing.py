@@ -1,48 +1,50 @@
 """Mixture-controlled packing of token streams into fixed-length sequences.
 
-Documents stand in one queue per source. Deficit round-robin serves the queues: each round
-adds to a source's deficit its share of a window, and a source with a positive deficit hands
-over tokens, a quantum at a time, until it is negative again; what is over or short is
-carried to the next window. Windows are filled without gaps, so only the very last sequence
-is padded.
-
-Documents are dealt into buckets of about ``BUCKET`` tokens, which are packed side by side:
-by hash into small cells, and the cells of each source in turn to buckets by the tokens
-before them, so that every bucket has the target mixture. A bucket starts where the ones before it end: its first token's place and each
-source's deficit at that point follow from the token totals by bucket and source, which are
-known before packing. So deficits carry across buckets, sequences run through them, and no
-task holds more than a bucket, however large one source is.
-
-Edge cases: a null or empty text is packed as its end id alone; a null source is a source of
-its own; rows repeated with one id are packed once each; an empty table gives an empty
-result; other columns are ignored.
+Documents stand in one queue per source. Deficit round-robin serves the queues: every window is
+a round, in which each queue's credit grows by its target share of the window, it hands over
+whole tokens, and what it is over or short of, always less than a token, is carried to the next
+window. So every window has every source in its target proportion, and no window has gaps. A
+queue that runs empty leaves the round, and the others share its part; only the very last
+sequence is padded.
+
+As quanta are fixed, the credits after any number of rounds are known without going through
+them: over w windows the first q queues together hand over the whole part of w windows times
+their summed share. Each document's place in its queue then says which windows its tokens go to
+and where in them. Places are sums of tokens before: those of the same task, counted while it
+encodes, and those of the tasks before it, from a small table by task and source. So credits are
+carried across windows and partitions, token ids are not shuffled, and no task holds a source.
+
+Targets are the sources' parts of all tokens, or given by name; a source without a target is
+served when the others are empty.
+
+Edge cases: a null or empty text is packed as its end id alone; a null source counts as an
+empty name; rows repeated with one id are packed once each, in the order they are read, which
+also decides between equals; a document longer than a window is cut over as many as its
+source's share takes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-from collections import deque
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .common import stored, text_rows, word_spans
+from .common import stored, word_spans
 
 LENGTH = 2048
-#: Tokens taken from a queue at a time, at most.
-QUANTUM = 128
-#: Tokens of a bucket, about: 4 bytes each in the task that packs it.
-BUCKET = 1 << 21
+#: Target shares are whole numbers of parts, as a power of two.
+SHARE_BITS = 31
 END_ID = 1
 #: Ids of known words (of some 10 bytes each, with the tables) after which a worker starts anew.
 IDS_KEPT = 10_000_000
-#: Parts of a source's tokens that are dealt to a bucket as one.
-CELLS = 16
-#: Rows (of a short name and two numbers) up to which the table of cells is broadcast.
+#: Rows (of a short name and two numbers) up to which the table by task and source is broadcast.
 BROADCAST_ROWS = 300_000
 
 
@@ -190,114 +192,193 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, source, n, ids``: the ids of each whole text and ``end_id``, two bytes each."""
+    """``doc_id, source, n, within, part, ids``: the ids of each whole text and ``end_id``, two bytes
+    each, the task, and the tokens of the source that stand before the row in the task."""
 
-    def run(batch):
+    def run(batches):
         import public_tokenizers
 
         file = path or public_tokenizers.path("word_bpe_49k.json")
         words = _WORDS.get(file) or _WORDS.setdefault(file, WordIds(file))
-        ids, at = words.of(batch.column("text"), end_id)
-        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(at)), packed.cast(pa.binary())], ["doc_id", "source", "n", "ids"])
-
-    return text_rows(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string")), run, "doc_id long, source string, n long, ids binary", 2 * common.SLICE)
-
-
-def round_robin(lengths: np.ndarray, queue_of: np.ndarray, share: np.ndarray, deficit: np.ndarray, place: int, window: int = LENGTH, quantum: int = QUANTUM):
-    """Serve the documents ``0..n-1`` of ``lengths`` tokens, in order within their queues.
-
-    Yields ``(document, start, length, place)``; no piece crosses a multiple of ``window``.
-    ``share``: target part of each queue; ``deficit``: tokens it is short of at ``place``.
-    """
-    queues = [deque() for _ in share]
-    for doc, q in enumerate(queue_of):
-        queues[q].append(doc)
-    owed = [float(x) for x in deficit]
-    done = [0] * len(share)  # tokens taken from the head of each queue
-    active = [q for q in range(len(share)) if queues[q]]
-    while active:
-        total = sum(share[q] for q in active)
-        lack = max(owed[q] + window * share[q] / total for q in active)
-        for q in active:
-            # Where all are in advance, everyone waits as long as it takes the first to be due.
-            owed[q] += window * share[q] / total + (max(0.0, 1.0 - lack) if lack <= 0 else 0.0)
-            queue = queues[q]
-            while owed[q] > 0 and queue:
-                doc = queue[0]
-                left = int(lengths[doc]) - done[q]
-                n = min(quantum, left, window - place % window)
-                yield doc, done[q], n, place
-                place += n
-                owed[q] -= n
-                if n == left:
-                    queue.popleft()
-                    done[q] = 0
-                else:
-                    done[q] += n
-        active = [q for q in active if queues[q]]
-
-
-def pack(docs: DataFrame, path: str | None = None, window: int = LENGTH, quantum: int = QUANTUM, bucket: int = BUCKET) -> DataFrame:
+        part, so_far = TaskContext.get().partitionId(), {}
+        for whole in batches:
+            _, offs = common.buffers(whole.column("text"))
+            for i, j in common.slices(offs, 2 * common.SLICE):
+                batch = whole.slice(i, j - i)
+                ids, at = words.of(batch.column("text"), end_id)
+                sizes, within = np.diff(at), []
+                for source, n in zip(batch.column("source").to_pylist(), sizes.tolist()):
+                    within.append(so_far.get(source, 0))
+                    so_far[source] = within[-1] + n
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
+                arrays = [batch.column("doc_id"), batch.column("source"), pa.array(sizes), pa.array(within, pa.int64()), pa.array(np.full(len(sizes), part, np.int64)), packed.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "n", "within", "part", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, source string, n long, within long, part long, ids binary")
+
+
+def _share_of(tokens: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The whole part of ``tokens`` times ``share`` / 2**SHARE_BITS, for up to 2**50 tokens."""
+    high = (tokens >> 20) * share
+    return (high >> 11) + ((((high & 2047) << 20) + (tokens & 0xFFFFF) * share) >> SHARE_BITS)
+
+
+class Rounds:
+    """Which tokens of each queue go to which window.
+
+    Windows come in stretches. In a regular one, all windows have the same targets: ``sums`` holds
+    the summed shares of the queues before each. In others, of one window each, in which a queue
+    runs empty, it holds the summed tokens themselves. ``first`` is a stretch's first window and
+    ``served`` what the queues have handed over before it."""
+
+    def __init__(self, totals: list[int], targets: list[float] | None = None, window: int = LENGTH):
+        self.window, left = window, list(totals)
+        weights = [Fraction(x) for x in (totals if targets is None else targets)]
+        first, served, sums, regular, w = [], [], [], [], 0
+        while any(left):
+            now = [x if n else Fraction(0) for x, n in zip(weights, left)]
+            if not any(now):  # only queues without a target are left
+                now = [Fraction(n) for n in left]
+            whole, run, cum = sum(now), Fraction(0), [0]
+            for x in now:
+                run += x
+                cum.append(int(run * (1 << SHARE_BITS) / whole))
+            full = min(self._lasts(n, a, b) for n, a, b in zip(left, cum, cum[1:]))
+            first.append(w)
+            served.append([t - n for t, n in zip(totals, left)])
+            regular.append(full > 0)
+            if full:
+                t = full * window
+                gone = [(t * b >> SHARE_BITS) - (t * a >> SHARE_BITS) for a, b in zip(cum, cum[1:])]
+                sums.append(cum)
+                w += full
+            else:
+                gone = self._one(left, now)
+                sums.append([0, *np.cumsum(gone).tolist()])
+                w += 1
+            left = [n - x for n, x in zip(left, gone)]
+        self.n_windows = w
+        self.first, self.regular = np.array(first, np.int64), np.array(regular, bool)
+        self.served, self.sums = np.array(served, np.int64).reshape(len(first), len(totals)), np.array(sums, np.int64).reshape(len(first), len(totals) + 1)
+
+    def _lasts(self, n: int, low: int, high: int) -> int:
+        """Windows in a row that a queue of ``n`` tokens can serve."""
+        if low == high:
+            return 1 << 62
+        takes = lambda w: (w * self.window * high >> SHARE_BITS) - (w * self.window * low >> SHARE_BITS)
+        w = max(0, (n << SHARE_BITS) // ((high - low) * self.window) - 1)
+        while takes(w + 1) <= n:
+            w += 1
+        while w and takes(w) > n:
+            w -= 1
+        return w
+
+    def _one(self, left: list[int], weights: list[Fraction]) -> list[int]:
+        """Tokens of each queue for one window in which not all can serve their share."""
+        space, gone = min(self.window, sum(left)), [0] * len(left)
+        while space:
+            open_ = [x if n > g else Fraction(0) for x, n, g in zip(weights, left, gone)]
+            if not any(open_):
+                open_ = [Fraction(n - g) for n, g in zip(left, gone)]
+            whole, run, before, took = sum(open_), Fraction(0), 0, 0
+            for q, x in enumerate(open_):
+                run += x
+                until = int(space * run / whole)
+                some = min(until - before, left[q] - gone[q])
+                gone[q] += some
+                took += some
+                before = until
+            space -= took
+        return gone
+
+    def starts(self, queue: int, w: np.ndarray) -> np.ndarray:
+        """The queue's first token that is not handed over before window ``w``."""
+        k = np.searchsorted(self.first, w, "right") - 1
+        t = (w - self.first[k]) * self.window
+        return self.served[k, queue] + np.where(self.regular[k], _share_of(t, self.sums[k, queue + 1]) - _share_of(t, self.sums[k, queue]), 0)
+
+    def before(self, queue: int, w: np.ndarray) -> np.ndarray:
+        """The tokens of the queues before this one in window ``w``."""
+        k = np.searchsorted(self.first, w, "right") - 1
+        t, low = (w - self.first[k]) * self.window, self.sums[k, queue]
+        return np.where(self.regular[k], _share_of(t + self.window, low) - _share_of(t, low), low)
+
+    def windows(self, queue: int, token: np.ndarray) -> np.ndarray:
+        """The window to which a token of the queue goes."""
+        k = np.searchsorted(self.served[:, queue], token, "right") - 1
+        share = np.maximum(self.sums[k, queue + 1] - self.sums[k, queue], 1)
+        most = np.append(self.first[1:], self.n_windows)[k] - 1
+        guess = (token - self.served[k, queue]) * (float(1 << SHARE_BITS) / self.window) / share
+        w = np.where(self.regular[k], np.clip(self.first[k] + guess.astype(np.int64), self.first[k], most), self.first[k])
+        while (late := self.starts(queue, w) > token).any():
+            w = w - late
+        while (early := (w < self.n_windows - 1) & (self._ends(queue, w) <= token)).any():
+            w = w + early
+        return w
+
+    def _ends(self, queue: int, w: np.ndarray) -> np.ndarray:
+        last = w == self.n_windows - 1
+        return np.where(last, np.int64(1) << 62, self.starts(queue, np.minimum(w + 1, self.n_windows - 1)))
+
+    def pieces(self, queue: int, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, first token in the row, tokens, window and place in it of the pieces of documents that stand
+        from ``begin`` on in the queue."""
+        a, b = self.windows(queue, begin), self.windows(queue, begin + size - 1)
+        many = b - a + 1
+        row = np.repeat(np.arange(len(a)), many)
+        w = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + a[row]
+        start = self.starts(queue, w)
+        low, high = np.maximum(start, begin[row]), np.minimum(self._ends(queue, w), (begin + size)[row])
+        some = high > low
+        row, w, low, high, start = row[some], w[some], low[some], high[some], start[some]
+        return row, low - begin[row], high - low, w, self.before(queue, w) + low - start
+
+
+def pack(docs: DataFrame, path: str | None = None, window: int = LENGTH, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces ``doc_id, source, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian
-    32-bit) of all ``docs(doc_id, source, text)``. Targets are the sources' parts of all tokens."""
+    32-bit) of all ``docs(doc_id, source, text)``. ``targets``: the sources' parts of a window by name;
+    without them, their parts of all tokens."""
     tokens = stored(token_ids(docs, path), "ids", "snappy")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // bucket))
-    tokens = tokens.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets * CELLS)))
-    cells = tokens.groupBy("source", "cell").agg(F.sum("n").alias("n"))
-    by_source = W.partitionBy("source")
-    before = F.sum("n").over(by_source.orderBy("cell")) - F.col("n")
-    cells = cells.select("source", "cell", "n", before.alias("before"), F.sum("n").over(by_source).alias("all"))
-    cells = stored(cells.withColumn("bucket", F.floor(F.lit(buckets) * (F.col("before") + F.col("n") / 2) / F.col("all"))), "cells")
-    sums = cells.groupBy("bucket", "source").agg(F.sum("n").alias("n"), F.min("before").alias("served"), F.first("all").alias("all"))
-    begins = sums.groupBy("bucket").agg(F.sum("n").alias("here")).select("bucket", (F.sum("here").over(W.orderBy("bucket")) - F.col("here")).alias("place"))
-    cells_of = cells.select("source", "cell", "bucket")
-    tokens = tokens.join(F.broadcast(cells_of) if cells.count() <= BROADCAST_ROWS else cells_of, ["source", "cell"])
-    cells = sums.select("bucket", "source", "served", (F.col("all") / F.lit(float(max(total, 1)))).alias("share"))
-    plan = stored(cells.join(begins, "bucket"), "plan")
-
-    def serve(_, rows: pa.Table, state: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
-        # Neighbouring ids are often of one kind: queues stand in hashed order.
-        key = rows["doc_id"].fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)
-        rows = rows.take(pa.array(np.argsort(common.mix(key), kind="stable")))
-        names = {s: i for i, s in enumerate(state["source"].to_pylist())}
-        share, place = state["share"].to_numpy(), state["place"][0].as_py()
-        deficit = share * place - state["served"].to_numpy()
-        lengths = rows["n"].to_numpy()
-        queue_of = np.fromiter(map(names.__getitem__, rows["source"].to_pylist()), np.int64, len(rows))
-        out = np.array(list(round_robin(lengths, queue_of, share, deficit, place, window, quantum)), np.int64).reshape(-1, 4)
-        out = _joined(out, window)
-        doc, start, n, at = out.T
-        data, offs = common.buffers(rows["ids"])
-        wide = np.ascontiguousarray(data).view("<u2").astype("<u4")
-        first, until = offs[doc] // 2 + start, np.cumsum(n)
-        ids = wide[np.repeat(first - until + n, n) + np.arange(until[-1] if len(until) else 0)]
-        parts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 4 * until).astype(np.int32)), pa.py_buffer(ids)])
-        pick = rows.take(pa.array(doc))
-        return pa.table([pick["doc_id"], pick["source"], pa.array(start), pa.array(n), pick["n"], pa.array(at // window), pa.array(at % window), parts], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+    sums = stored(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "sums")
+    total = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    names = sorted(total)
+    rounds = Rounds([total[k] for k in names], None if targets is None else [targets.get(k, 0.0) for k in names], window)
+    before = F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")  # a row a task
+    base = sums.select("source", "part", before.alias("base"))
+    lines = tokens.join(F.broadcast(base) if sums.count() <= BROADCAST_ROWS else base, ["source", "part"])
+    shared = docs.sparkSession.sparkContext.broadcast((rounds, {k: q for q, k in enumerate(names)}))
+
+    def serve(batches):
+        rounds, number = shared.value
+        for whole in batches:
+            _, offs = common.buffers(whole.column("ids"))
+            for i, j in common.slices(offs, 2 * common.SLICE):
+                rows = whole.slice(i, j - i)
+                queue = np.fromiter(map(number.__getitem__, rows.column("source").to_pylist()), np.int64, len(rows))
+                size, place = rows.column("n").to_numpy(), rows.column("line").to_numpy()
+                parts = []
+                for q in np.unique(queue).tolist():
+                    own = np.flatnonzero(queue == q)
+                    row, *rest = rounds.pieces(q, place[own], size[own])
+                    parts.append((own[row], *rest))
+                doc, start, n, w, at = (np.concatenate(x) for x in zip(*parts))
+                data, offs_ = common.buffers(rows.column("ids"))
+                wide = np.ascontiguousarray(data).view("<u2").astype("<u4")
+                begin, until = offs_[doc] // 2 + start, np.cumsum(n)
+                ids = wide[np.repeat(begin - until + n, n) + np.arange(until[-1] if len(until) else 0)]
+                cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 4 * until).astype(np.int32)), pa.py_buffer(ids)])
+                pick = pa.array(doc)
+                arrays = [rows.column("doc_id").take(pick), rows.column("source").take(pick), pa.array(start), pa.array(n), pa.array(size[doc]), pa.array(w), pa.array(at), cut]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     schema = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return tokens.groupBy("bucket").cogroup(plan.groupBy("bucket")).applyInArrow(serve, schema)
-
-
-def _joined(pieces: np.ndarray, window: int) -> np.ndarray:
-    """Pieces of one document that follow each other within a window, as one."""
-    if not len(pieces):
-        return pieces
-    doc, start, n, at = pieces.T
-    new = np.ones(len(pieces), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (at[1:] % window == 0)
-    first = np.flatnonzero(new)
-    out = pieces[first].copy()
-    out[:, 2] = np.add.reduceat(n, first)
-    return out
+    return lines.select("doc_id", "source", "n", (F.col("base") + F.col("within")).alias("line"), "ids").mapInArrow(serve, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+    return pack(docs, targets=targets).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

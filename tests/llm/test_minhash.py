@@ -8,12 +8,12 @@ from .conftest import TEXTS, words
 
 
 def brute(texts, k=4, percent=80):
+    """Each row's id, set size and the smallest id of the rows it is linked with, over some others or not."""
     sets = []
     for _, t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
-    ids = [-1 if d is None else d for d, _ in texts]
-    parent = {i: i for i in ids}
+    parent = list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
@@ -23,9 +23,13 @@ def brute(texts, k=4, percent=80):
     for a, b in combinations(range(len(texts)), 2):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= percent * len(sets[a] | sets[b]):
-            x, y = sorted((find(ids[a]), find(ids[b])))
-            parent[y] = x
-    return sorted((i, len(s), find(i)) for i, s in zip(ids, sets))
+            parent[find(a)] = find(b)
+    first = {}
+    for i, (d, _) in enumerate(texts):
+        if d is not None:
+            first[find(i)] = min(d, first.get(find(i), d))
+    some = lambda x: -1 if x is None else x
+    return sorted((some(d), len(s), some(first.get(find(i)))) for i, ((d, _), s) in enumerate(zip(texts, sets)))
 
 
 def got(df):
@@ -56,7 +60,24 @@ def test_edited_copies(make, words_):
 
 
 def test_odd_rows(odd, none):
-    out = [x for x in got(M.near_duplicates(odd, words=4)) if x[0] != -1]
-    want = [x for x in brute(TEXTS) if x[0] != -1]
-    assert out == want
+    assert got(M.near_duplicates(odd, words=4)) == brute(TEXTS)
     assert M.near_duplicates(none, words=4).count() == 0
+
+
+A, B = words(60, 120, 5000), words(61, 120, 5000)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_id_on_several_texts(make, turn):
+    """Links of each text hold, whatever the order of the rows."""
+    texts = [(5, A), (5, B), (8, A + " more"), (9, B + " else"), (7, words(62, 90, 5000)), (7, A)][::turn]
+    want = brute(texts)
+    assert got(M.near_duplicates(make(texts), words=4)) == want
+    assert [x for x in want if x[0] in (8, 9)] == [(8, 118, 5), (9, 118, 5)]
+
+
+def test_null_ids_take_part(make):
+    texts = [(None, B), (9, B + " else"), (None, A), (None, A + " more"), (None, None), (3, ""), (2, A + " x y z")]
+    assert got(M.near_duplicates(make(texts), words=4)) == brute(texts)
+    lone = [(None, A), (None, A), (4, B)]
+    assert got(M.near_duplicates(make(lone), words=4)) == brute(lone) == [(-1, 117, -1), (-1, 117, -1), (4, 117, 4)]
