@@ -5,7 +5,8 @@ gets features of its tag, attribute words, depth, subtree density, links and sib
 tree ensemble gives the odds that it is part of the article. Decoding is hierarchical: going
 down from the body, a subtree is kept or dropped as a whole wherever that scores better, and
 nothing below a dropped node can be kept, so an advert inside an article and an article inside
-a wrapper are both possible, but no contradiction is.
+a wrapper are both possible, but no contradiction is. Reading a page takes time in proportion to its
+length, whatever is broken in it: unclosed tags, quotes and comments, end tags without a beginning.
 
 The trees are trained on the driver, from pages made by a seeded generator with known labels
 (``PAGES`` of them, the only sample size); they are small and go to the tasks as they are.
@@ -45,84 +46,121 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 BOUNDS = frozenset("html body div section article main aside td th table ul ol nav header footer form blockquote figure".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*+>""", re.S)
+#: The same with quotes as any other character, for what the first does not fit.
+_LENIENT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>")
+#: Tags with broken quotes after which a page is read leniently: each may take a look at all that is left.
+BROKEN = 16
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _tokens(source: str):
+    """Matches of the markup in a page, in order: each has a begin and an end, and for tags a slash, a name
+    and attributes. Takes time in proportion to the page, whatever is broken in it."""
+    at, broken, last = 0, 0, source.rfind(">")
+    while (at := source.find("<", at)) >= 0:
+        if at > last and not source.startswith("<!--", at):
+            return  # nothing is closed any more
+        match = _TOKEN.match(source, at) if broken < BROKEN or source.startswith("<!--", at) else None
+        if match is None:
+            match = _LENIENT.match(source, at)
+            broken += match is not None and match[2] is not None
+        if match is None:
+            at += 1
+            continue
+        at = yield match
+        at = match.end() if at is None else at
+
+
 class Page:
     """Block nodes in page order: ``tag, parent, depth, words`` (of attributes), and the texts
-    ``(node, text, linked)``."""
+    ``(node, text, linked)``. Open elements are found by name, so that no tag looks through all of them."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.depth, self.words = ["#"], [-1], [0], [frozenset()]
         self.texts: list[tuple[int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("#", 0)]  # open elements with the block they are in
-        silent = links = 0
+        self._stack: list[tuple[str, int]] = [("#", 0)]  # open elements with the block they are in
+        self._open: dict[str, list[int]] = {}  # places in the stack by name
+        self._bounds: list[int] = []  # places of elements that others do not reach across
+        self._silent = self._links = 0
         at = 0
-        for_raw = source
-        match = _TOKEN.search(source, 0)
-        while match:
-            if match.start() > at and not silent:
-                self.texts.append((stack[-1][1], for_raw[at : match.start()], links > 0))
+        tokens, jump = _tokens(source), None
+        while True:
+            try:
+                match = next(tokens) if jump is None else tokens.send(jump)
+            except StopIteration:
+                break
+            jump = None
+            if match.start() > at and not self._silent:
+                self.texts.append((self._stack[-1][1], source[at : match.start()], self._links > 0))
             at = match.end()
-            name = match[2]
+            name = match.group(2) if match.re.groups >= 2 else None
             if name is not None:
                 name = name.lower()
                 if match[1]:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            for tag, _ in stack[k:]:
-                                silent -= tag in NO_TEXT
-                                links -= tag == "a"
-                            block = stack[k][1]
-                            del stack[k:]
-                            if name not in INLINE and not silent:
-                                self.texts.append((stack[-1][1], "\n", False))
-                            break
-                        if name in INLINE and stack[k][0] in BOUNDS:
-                            break
+                    self._end(name)
                 elif name in RAW:
                     end = re.compile(f"</{name}", re.I).search(source, at)
                     stop = end.start() if end else len(source)
                     close = source.find(">", stop) if end else -1
-                    at = close + 1 if close >= 0 else len(source)
-                elif name == "br" or name in ("hr",):
-                    if not silent:
-                        self.texts.append((stack[-1][1], "\n", False))
+                    at = jump = close + 1 if close >= 0 else len(source)
+                elif name == "br" or name == "hr":
+                    if not self._silent:
+                        self.texts.append((self._stack[-1][1], "\n", False))
                 elif name not in VOID:
-                    if name in CLOSES_P:
-                        self._close(stack, {"p"})
-                    if name in SAME:
-                        self._close(stack, SAME[name])
-                    links = sum(t == "a" for t, _ in stack) if links else 0
-                    silent = sum(t in NO_TEXT for t, _ in stack) if silent else 0
-                    if name == "body":  # whatever the head has left open
-                        silent = 0
-                        stack = [s for s in stack if s[0] not in NO_TEXT]
-                    block = stack[-1][1]
-                    if name not in INLINE:
-                        self.tag.append(name)
-                        self.parent.append(block)
-                        self.depth.append(self.depth[block] + 1)
-                        attributes = match[3]
-                        self.words.append(frozenset(w.lower() for v in _ATTRIBUTE.findall(attributes) for w in _PART.findall(v)) if attributes else frozenset())
-                        block = len(self.tag) - 1
-                    if not match[3].endswith("/") or name not in ("svg", "math"):
-                        stack.append((name, block))
-                        silent += name in NO_TEXT
-                        links += name == "a"
-            match = _TOKEN.search(source, at)
-        if at < len(source) and not silent:
-            self.texts.append((stack[-1][1], source[at:], links > 0))
-
-    @staticmethod
-    def _close(stack: list[tuple[str, int]], names: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in BOUNDS and stack[k][0] not in names:
-                return
+                    self._begin(name, match[3])
+        if at < len(source) and not self._silent:
+            self.texts.append((self._stack[-1][1], source[at:], self._links > 0))
+
+    def _begin(self, name: str, attributes: str) -> None:
+        if name in CLOSES_P:
+            self._close({"p"})
+        if name in SAME:
+            self._close(SAME[name])
+        if name == "body" and self._silent:  # whatever the head has left open
+            self._cut(min(self._open[n][0] for n in NO_TEXT if self._open.get(n)))
+        block = self._stack[-1][1]
+        if name not in INLINE:
+            self.tag.append(name)
+            self.parent.append(block)
+            self.depth.append(self.depth[block] + 1)
+            self.words.append(frozenset(w.lower() for v in _ATTRIBUTE.findall(attributes) for w in _PART.findall(v)) if attributes else frozenset())
+            block = len(self.tag) - 1
+        if not attributes.endswith("/") or name not in ("svg", "math"):
+            self._push(name, block)
+
+    def _push(self, name: str, block: int) -> None:
+        place = len(self._stack)
+        self._stack.append((name, block))
+        self._open.setdefault(name, []).append(place)
+        if name in BOUNDS:
+            self._bounds.append(place)
+        self._silent += name in NO_TEXT
+        self._links += name == "a"
+
+    def _cut(self, place: int) -> None:
+        """Close all that is open from ``place`` on."""
+        while len(self._stack) > place:
+            name, _ = self._stack.pop()
+            self._open[name].pop()
+            if name in BOUNDS:
+                self._bounds.pop()
+            self._silent -= name in NO_TEXT
+            self._links -= name == "a"
+
+    def _end(self, name: str) -> None:
+        places = self._open.get(name)
+        if not places or (name in INLINE and self._bounds and self._bounds[-1] > places[-1]):
+            return
+        self._cut(places[-1])
+        if name not in INLINE and not self._silent:
+            self.texts.append((self._stack[-1][1], "\n", False))
+
+    def _close(self, names: set[str]) -> None:
+        """End the nearest open element of some names, if no boundary of another name is nearer."""
+        place = max((self._open[n][-1] for n in names if self._open.get(n)), default=0)
+        if place and not (self._bounds and self._bounds[-1] > place):
+            self._cut(place)
 
 
 # Words in attributes, by what they are a sign of.
@@ -157,7 +195,7 @@ def features(page: Page, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             own[node] += size
             linked[node] += size * link
             stops[node] += text.count(". ") + text.count(", ") + text.rstrip().endswith((".", "!", "?"))
-            upper[node] += len(_UPPER.findall(text[:200]))
+            upper[node] += len(_UPPER.findall(text))
             if start[node] < 0:
                 start[node] = pos
             pos += size
@@ -195,7 +233,7 @@ def features(page: Page, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     one = np.maximum(total, 1.0)
     numeric = np.stack(
         [np.log1p(own), np.log1p(total), total / whole, total_linked / one, total_linked[pa_] / one[pa_], np.log1p(total / nodes), np.log1p(total[pa_] / nodes[pa_]), total_stops / one * 100, total_stops[pa_] / one[pa_] * 100, np.array(page.depth, float), first / whole, order / np.maximum(children[pa_], 1),
-         children[pa_], children, like / np.maximum(children[pa_], 1), np.log1p((total[pa_] - own[pa_]) / np.maximum(children[pa_], 1)), own / one, upper / np.maximum(np.minimum(own, 200), 1), total / one[pa_]],
+         children[pa_], children, like / np.maximum(children[pa_], 1), np.log1p((total[pa_] - own[pa_]) / np.maximum(children[pa_], 1)), own / one, upper / np.maximum(own, 1), total / one[pa_]],
         axis=1,
     )
     return np.concatenate([numeric, signs, own_kind, above], axis=1).astype(np.float32), own

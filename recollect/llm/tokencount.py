@@ -12,22 +12,26 @@ becomes bytes and merges with nothing. At both the automaton is back in its star
 and a whole run between two such places is one compiled transition from start to start;
 these are memoised.
 
-A text is cut into chunks anywhere. A chunk's state map is: the part before its first reset
-(which needs the state the chunk is entered in), the tokens between resets, and the part
-behind the last reset. Maps compose associatively, and the chunks of a text are composed in
-a balanced prefix scan, so that one long text needs no long sequential pass.
+A long text is cut into chunks, which are dealt to tasks. A chunk's state map says for each state
+it may be entered in the state it is left in and the tokens in between. Where a chunk begins at a
+reset that is one state; else it is entered in one of the few states that reading what lies before
+the cut leads to. Maps compose associatively: neighbouring chunks are composed in groups, those
+again, in a few rounds over all texts, so that no task passes through one long text. If a chunk
+turns out to be entered in a state its map does not have (no text is known to do that), its text is
+counted in one pass, so the result is exact anyway.
 
 Counts are those of the library for the vocabulary, without begin or end tokens; strings
 that look like special tokens are text.
 
 Edge cases: a null text counts as empty and has no tokens; rows are independent, so ties,
-repeated rows and repeated ids each give a row; an empty table gives an empty result; other
-columns are ignored.
+repeated rows, repeated and null ids each give a row; a run of space marks stands in one chunk,
+however long it is; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 
 import numpy as np
@@ -37,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import text_rows
+from .common import stored, text_rows
 
 MARK = "▁"
-#: Characters of a chunk of a text.
-CHUNK = 1 << 16
+#: Characters of a chunk of a text, and of what is read before a cut to know the states there.
+CHUNK, LOOK = 1 << 16, 64
+#: Maps composed in one go.
+FAN = 64
 #: Transitions and whole runs kept by a worker before it starts anew.
 KEEP = 400_000
 
@@ -49,6 +55,9 @@ KEEP = 400_000
 class Vocabulary:
     """Pieces with their scores, and the merge procedure over short strings."""
 
+    #: The state before anything is read.
+    START = (("", "", 0),)
+
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores))
@@ -111,7 +120,7 @@ class Transducer:
         self._anew()
 
     def _anew(self) -> None:
-        self.start = State((("", "", 0),))
+        self.start = State(Vocabulary.START)
         self.states = {self.start.ends: self.start}
 
     def _stands(self, piece: str) -> bool:
@@ -161,6 +170,18 @@ class Transducer:
             total += gain
         return total
 
+    def walk(self, ends: tuple, text: str) -> tuple[tuple, int]:
+        """From the state ``ends`` through a part of a run, with characters that become bytes: the state at its
+        end, and by how many tokens the prefix's count changes."""
+        state, total = self.states.get(ends) or State(ends), 0
+        for char in text:
+            if char in self.v.chars:
+                state, gain = state.next.get(char) or self._compile(state, char)
+            else:
+                state, gain = self.start, len(char.encode())
+            total += gain
+        return state.ends, total
+
 
 class _Runs(dict):
     """Memoised transitions from start to start, by run."""
@@ -187,54 +208,99 @@ class _Runs(dict):
 _RUN = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
+def marked(text: str) -> str:
+    """The text as the vocabulary has it: spaces are marks, and one stands in front."""
+    return MARK + text.replace(" ", MARK)
+
+
+def cuts(text: str, chunk: int = CHUNK) -> list[int]:
+    """Where the chunks of a marked text begin: at the last reset of a chunk's latter half, else at its
+    end; but never in a run that several marks begin."""
+    out, at = [0], 0
+    while at + chunk < len(text):
+        end = at + chunk
+        mark, line = text.rfind(MARK, at + 1, end + 1), text.rfind("\n", at, end) + 1
+        while mark > at and text[mark - 1] == MARK:
+            mark -= 1
+        near = max(mark, line)
+        if near > at + chunk // 2:
+            at = near
+        elif text[max(near, at) : max(near, at) + 2] == MARK * 2:
+            stops = [x for x in (_AFTER.search(text, max(near, at)),) if x]
+            at = stops[0].end() if stops else len(text)
+        else:
+            at = end
+        if at < len(text):
+            out.append(at)
+    return out
+
+
+#: A run that several marks begin, up to the next reset.
+_AFTER = re.compile(f"{MARK}+[^{MARK}\n]*")
+
+
 class StateMap:
-    """What a chunk does to the automaton: ``head``, the part before its first reset, awaits
-    the state the chunk is entered in; ``count`` tokens follow up to the last reset, and
-    ``tail`` is what comes behind it. Without a reset there is only a head."""
+    """What a chunk does to the automaton: for each state it may be entered in, the state it is left in
+    and the tokens in between (the change of the prefix's count)."""
 
-    __slots__ = ("count", "head", "tail")
+    __slots__ = ("to",)
 
-    def __init__(self, head: str, count: int = 0, tail: str | None = None):
-        self.head, self.count, self.tail = head, count, tail
+    def __init__(self, to: dict[tuple, tuple[tuple, int]]):
+        self.to = to
 
     @classmethod
-    def of(cls, chunk: str, runs: _Runs) -> StateMap:
+    def of(cls, before: str, chunk: str, after: str, runs: _Runs) -> StateMap:
+        """Of a chunk between ``before`` and ``after``, some characters of its text, or nothing at its ends."""
+        t, start = runs.t, runs.t.start.ends
         found = _RUN.findall(chunk)
-        return cls(found[0]) if len(found) == 1 else cls(found[0], sum(map(runs.__getitem__, found[1:-1])), found[-1])
-
-    def then(self, other: StateMap, runs: _Runs) -> StateMap:
-        """This map, then the other one; associative."""
-        *before, last = _RUN.findall((self.head if self.tail is None else self.tail) + other.head)
-        head, count = self.head, self.count
-        if self.tail is None:
-            head = before.pop(0) if before else None
-        count += sum(map(runs.__getitem__, before))
-        if other.tail is None:
-            return StateMap(last) if head is None else StateMap(head, count, last)
-        if head is None:
-            return StateMap(last, other.count, other.tail)
-        return StateMap(head, count + runs[last] + other.count, other.tail)
-
-    def total(self, runs: _Runs) -> int:
-        """From the start state to the end of the text."""
-        return runs[self.head] + self.count + (runs[self.tail] if self.tail is not None else 0)
-
-
-def scan(maps: list[StateMap], runs: _Runs) -> StateMap:
+        open_end = bool(after) and after[0] not in (MARK, "\n") and chunk[-1] != "\n"
+        if not before or chunk[0] in (MARK, "\n") or before[-1] == "\n":
+            *whole, last = found if open_end else [*found, ""]
+            end, n = t.walk(start, last)
+            return cls({start: (end, sum(map(runs.__getitem__, whole)) + n)})
+        first, rest = found[0], found[1:]
+        begin = max(before.rfind(MARK), before.rfind("\n") + 1)
+        states = dict.fromkeys(t.walk(start, before[k:])[0] for k in ([begin] if begin > 0 or before[0] == MARK else range(len(before))))
+        if not rest and open_end:
+            return cls({s: t.walk(s, first) for s in states})
+        *whole, last = rest if open_end else [*rest, ""]
+        end, n = t.walk(start, last)
+        n += sum(map(runs.__getitem__, whole))
+        return cls({s: (end, t.walk(s, first)[1] + n) for s in states})
+
+    def then(self, other: StateMap) -> StateMap:
+        """This map, then the other one; associative. Without an entry in the other one, there is none."""
+        out = {}
+        for entry, (middle, n) in self.to.items():
+            if (end := other.to.get(middle)) is not None:
+                out[entry] = end[0], n + end[1]
+        return StateMap(out)
+
+    def packed(self) -> str:
+        return json.dumps([[e, x, n] for e, (x, n) in self.to.items()])
+
+    @classmethod
+    def unpacked(cls, text: str) -> StateMap:
+        state = lambda x: tuple(map(tuple, x))
+        return cls({state(e): (state(x), n) for e, x, n in json.loads(text)})
+
+
+def scan(maps: list[StateMap]) -> StateMap:
     """Compose neighbours in rounds, a balanced tree."""
     while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], runs) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0]
 
 
-def count(text: str, runs: _Runs, chunk: int = CHUNK) -> int:
-    """Tokens of a whole text."""
-    if not text:
-        return 0
-    marked = MARK + text.replace(" ", MARK)
-    if len(marked) <= chunk:
-        return sum(map(runs.__getitem__, _RUN.findall(marked)))
-    return scan([StateMap.of(marked[i : i + chunk], runs) for i in range(0, len(marked), chunk)], runs).total(runs)
+def state_maps(text: str, runs: _Runs, chunk: int = CHUNK, look: int = LOOK) -> list[StateMap]:
+    """The maps of all chunks of a marked text."""
+    at = cuts(text, chunk)
+    return [StateMap.of(text[max(0, a - look) : a], text[a:b], text[b : b + 1], runs) for a, b in zip(at, [*at[1:], len(text)])]
+
+
+def count(text: str, runs: _Runs) -> int:
+    """Tokens of a whole text in one pass."""
+    return sum(map(runs.__getitem__, _RUN.findall(marked(text)))) if text else 0
 
 
 _COMPILED: dict[str, Transducer] = {}
@@ -247,20 +313,81 @@ def compiled(path: str) -> Transducer:
     return _COMPILED[path]
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, chunk: int = CHUNK, look: int = LOOK) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs(doc_id, text)``.
-    ``path``: a sentencepiece BPE model, there on every machine."""
+    ``path``: a sentencepiece BPE model, there on every machine. Texts of up to ``chunk`` characters are
+    counted where they are read."""
+    runs = lambda: compiled(path or _default()).runs
 
     def run(batch):
-        import public_tokenizers
-
-        runs = compiled(path or public_tokenizers.path("piece_bpe_32k.model")).runs
+        known = runs()
         text = pc.fill_null(batch.column("text"), "")
-        n = np.fromiter((count(t, runs) for t in text.to_pylist()), np.int64, len(text))
+        n = np.fromiter((count(t, known) for t in text.to_pylist()), np.int64, len(text))
         size = pc.binary_length(text).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return text_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    short = text_rows(rows.where(~long), run, "doc_id long, n_bytes long, n_tokens long")
+    keyed = rows.where(long).withColumn("key", F.md5(F.col("text").cast("binary")))
+    counted = _long_counts(keyed.select("key", "text"), runs, chunk, look)
+    parts = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key").join(counted, "key").select("doc_id", "n_bytes", "n_tokens")
+    return short.unionByName(parts).withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _default() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _long_counts(texts: DataFrame, runs, chunk: int, look: int) -> DataFrame:
+    """``key, n_tokens`` of long texts: their chunks' state maps, composed ``FAN`` at a time in as many rounds
+    as the longest string there can be takes."""
+    texts = stored(texts.dropDuplicates(["key"]), "long")
+
+    def pieces(batch):
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            text = marked(text)
+            at = cuts(text, chunk)
+            for no, (a, b) in enumerate(zip(at, [*at[1:], len(text)])):
+                yield pa.RecordBatch.from_pylist([{"key": key, "no": no, "before": text[max(0, a - look) : a], "chunk": text[a:b], "after": text[b : b + 1]}])
+
+    def maps(batches):
+        known = runs()
+        for batch in batches:
+            rows = batch.to_pydict()
+            done = [StateMap.of(*x, known).packed() for x in zip(rows["before"], rows["chunk"], rows["after"])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(done, pa.string())], ["key", "no", "map"])
+
+    def composed(batches):
+        for batch in batches:
+            done = [scan([StateMap.unpacked(x["map"]) for x in sorted(some, key=lambda x: x["no"])]).packed() for some in batch.column("maps").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(done, pa.string())], ["key", "no", "map"])
+
+    def totals(batches):
+        for batch in batches:
+            start = Vocabulary.START
+            n = [StateMap.unpacked(x).to.get(start, (None, None))[1] for x in batch.column("map").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
+
+    rows = text_rows(texts, pieces, "key string, no long, before string, chunk string, after string").repartition("key", "no").mapInArrow(maps, "key string, no long, map string")
+    most = (1 << 31) // max(chunk // 2, 1)
+    while most > 1:
+        rows = rows.groupBy("key", F.floor(F.col("no") / FAN).alias("no")).agg(F.collect_list(F.struct("no", "map")).alias("maps")).mapInArrow(composed, "key string, no long, map string")  # FAN small maps
+        most = -(-most // FAN)
+    counts = stored(rows.mapInArrow(totals, "key string, n_tokens long"), "counts")
+    lost = counts.where("n_tokens is null")
+    if lost.isEmpty():
+        return counts
+
+    def again(batch):
+        known = runs()
+        n = [count(t, known) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
+
+    rest = text_rows(texts.join(lost.select("key"), "key", "left_semi"), again, "key string, n_tokens long")
+    return counts.where("n_tokens is not null").unionByName(rest)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,40 @@ def test_odd_pages(spark):
     out = M.extract(df).collect()
     assert len(out) == len(rows) and all(r.text is not None and r.n_chars == len(r.text) for r in out)
     assert M.extract(df.limit(0)).count() == 0
+
+
+SHAPES = {
+    "open tags": lambda n: "<a " * (n // 3), "open quotes": lambda n: '<a href="x ' * (n // 11), "end tags of another kind": lambda n: "<b>" * (n // 7) + "</x>" * (n // 7),
+    "end tags without a beginning": lambda n: "<div>" * (n // 9) + "</p>" * (n // 9), "links around all": lambda n: "<a>" + "<div>" * (n // 5), "quotes across tags": lambda n: "<a \"b' >" * (n // 9),
+    "ends below a boundary": lambda n: "<b><div>" + "<i>" * (n // 7) + "</b>" * (n // 7), "declarations": lambda n: "<!" * (n // 2), "comments": lambda n: "<!--" * (n // 4), "bodies": lambda n: "<head><body>" * (n // 12),
+    "one quote at the end": lambda n: '<a ">' * (n // 5) + '"', "list items": lambda n: "<li>" * (n // 4), "text": lambda n: "word < word " * (n // 12),
+}
+
+
+def test_broken_markup_takes_time_in_proportion():
+    """A megabyte of each shape, against an eighth of it; and no shape takes long."""
+    import time
+
+    for name, shape in SHAPES.items():
+        took = []
+        for n in (1 << 17, 1 << 20):
+            text = shape(n)
+            began = time.process_time()
+            M.Page(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * 4 * max(took[0], 0.02) and took[1] < 15, (name, took)
+
+
+def test_elements_end_where_they_should():
+    p = M.Page("<div><p>a<p>b<b>c</div><p>d</i></p>e</div>")
+    assert [(p.tag[k], t) for k, t, _ in p.texts if t.strip()] == [("p", "a"), ("p", "b"), ("p", "c"), ("p", "d"), ("#", "e")]
+    p = M.Page('<ul><li>a<ul><li>b</ul><li>c</ul><a href="x>y">z</a> t')
+    assert [(p.depth[k], t, link) for k, t, link in p.texts if t.strip()] == [(2, "a", False), (4, "b", False), (2, "c", False), (0, "z", True), (0, " t", False)]
+
+
+def test_a_long_page(spark):
+    body = "".join(f"<p>Here is sentence number {i}, of some length, which belongs to the article.</p>" for i in range(20_000))
+    page = f"<html><body><nav><a href=/>Home</a></nav><article>{body}</article><footer>of all</footer></body></html>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = M.extract(df).first().text
+    assert text.startswith("Here is sentence number 0,") and "number 19999," in text and "of all" not in text
