@@ -9,7 +9,8 @@ shard misses its capacity by about half a row for each cut.
 Places along the lines and in the new shards are prefix sums over hashed cells (a small
 table) plus those inside a cell, so that no task sorts a whole shard.
 
-Edge cases: a null text has no bytes (size 1, checksum 0); rows of one id are separate rows;
+Edge cases: long texts are sizes here and never move but when files are rewritten; equal rows have no
+order among each other, so which of them goes is arbitrary; a null text has no bytes (size 1, checksum 0); rows of one id are separate rows;
 a null id is a row as any other; an empty table gives an empty result; with less rows than
 shards some shards stay empty; other columns are ignored.
 """
@@ -31,16 +32,17 @@ CELL_ROWS = 2_000
 LARGE = 1 / 512
 
 
-def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(i != j)) -> list[list[int]]:
+def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> list[list[int]]:
     """Amounts ``f[i][j]`` that take all of ``supply`` to sinks of ``capacity`` at the least cost.
 
-    Successive shortest paths with potentials over the shards' graph. Capacities must hold
-    the supply; costs are non-negative.
+    Successive shortest paths with potentials over the shards' graph. Capacities must hold the supply;
+    costs ``cost(i, j)`` are non-negative. Without them staying is free and any move costs one: then
+    moves go through one node between old and new shards, and there are only as many edges as shards.
     """
     n, m = len(supply), len(capacity)
     if sum(supply) > sum(capacity):
         raise ValueError("the capacities are too small")
-    source, sink, size = n + m, n + m + 1, n + m + 2
+    source, sink, hub, size = n + m, n + m + 1, n + m + 2, n + m + 3
     graph: list[list[list]] = [[] for _ in range(size)]  # [to, room, cost, index of the reverse]
 
     def edge(a: int, b: int, room: int, price: float) -> None:
@@ -51,9 +53,17 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(
         edge(source, i, x, 0)
     for j, x in enumerate(capacity):
         edge(n + j, sink, x, 0)
-    for i in range(n):
+    if cost is None:
+        for i in range(n):
+            if i < m:
+                edge(i, n + i, supply[i], 0)
+            edge(i, hub, supply[i], 1)
         for j in range(m):
-            edge(i, n + j, supply[i], cost(i, j))
+            edge(hub, n + j, capacity[j], 0)
+    else:
+        for i in range(n):
+            for j in range(m):
+                edge(i, n + j, supply[i], cost(i, j))
     left, height = sum(supply), [0.0] * size
     while left:
         far, via, heap = [float("inf")] * size, [None] * size, [(0.0, source)]
@@ -79,10 +89,23 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: int(
             b = a
         left -= amount
     flow = [[0] * m for _ in range(n)]
+    out = [0] * n  # through the node between
     for i in range(n):
         for b, room, _, _ in graph[i]:
             if n <= b < n + m:
-                flow[i][b - n] = supply[i] - room
+                flow[i][b - n] += supply[i] - room
+            elif b == hub:
+                out[i] = supply[i] - room
+    into = [[j, capacity[j] - room] for b, room, _, _ in graph[hub] if n <= b < n + m and (j := b - n) >= 0]
+    for i, x in enumerate(out):
+        while x:
+            if not into[-1][1]:
+                into.pop()
+                continue
+            some = min(x, into[-1][1])
+            flow[i][into[-1][0]] += some
+            into[-1][1] -= some
+            x -= some
     return flow
 
 
@@ -125,17 +148,52 @@ def reshard(docs: DataFrame, old: Column, n_old: int, capacity: list[int] | int)
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Rewrite the affected shards of a layout ``path/shard=K`` and return their numbers.
+_KEY = ["_shard", "_id", "_size", "_crc"]
 
-    ``docs`` holds the rows, ``plan`` is what ``reshard`` gave for them (unique ids). A shard
-    that neither gives nor takes a row is left as it is.
-    """
+
+def rewrite(plan: DataFrame, path: str) -> list[int]:
+    """Rewrite the affected shards of a layout ``path/shard=K`` by what ``reshard`` gave for its rows, and
+    return their numbers. A shard that neither gives nor takes a row is left as it is; of one that gives
+    all its rows the folder is deleted.
+
+    Rows are found by shard, id, size and checksum; those that are equal in all of these stand for each
+    other, and are numbered only where the plan deals them to several shards. All rows are written
+    beside the layout and counted before anything in it is replaced; if their number differs, nothing is."""
+    spark = plan.sparkSession
     moved = plan.where("shard <> old_shard")
     touched = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect())
-    rows = docs.drop("shard").join(plan.where(F.col("shard").isin(touched)).select("doc_id", "shard"), "doc_id")
-    fresh = stored(rows, "reshard")  # read in full before anything is replaced
-    fresh.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if not touched:
+        return touched
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = spark.read.parquet(path).where(F.col("shard").isin(touched))
+    names = [c for c in rows.columns if c != "shard"]
+    keyed = rows.select(F.struct(*names).alias("_row"), F.col("shard").alias("_shard"), F.col("doc_id").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
+    want = plan.where(F.col("old_shard").isin(touched)).select(F.col("old_shard").alias("_shard"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    groups = stored(want.groupBy(*_KEY).agg(F.min("shard").alias("low"), F.max("shard").alias("high")), "groups")
+
+    def same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        """Joined on equal columns, with nulls equal to nulls, that of ``a`` staying."""
+        other = b.select(*[F.col(c).alias(f"{c}_b") if c in on else F.col(c) for c in b.columns])
+        cond = F.lit(True)
+        for c in on:
+            cond &= F.col(c).eqNullSafe(F.col(f"{c}_b"))
+        out = a.join(other, cond, how)
+        return out if how == "left_semi" else out.drop(*[f"{c}_b" for c in on])
+
+    lone = same(keyed, groups.where("low = high"), _KEY).select("_row", F.col("low").alias("shard"))
+    many = groups.where("low < high")
+    order = W.partitionBy(*_KEY)
+    mine = same(keyed, many, _KEY, "left_semi").withColumn("_n", F.row_number().over(order.orderBy(F.xxhash64("_row"))))
+    dealt = same(want, many, _KEY, "left_semi").withColumn("_n", F.row_number().over(order.orderBy(F.col("shard") != F.col("_shard"), "shard", "slot")))
+    both = lone.unionByName(same(mine, dealt.select(*_KEY, "_n", "shard"), [*_KEY, "_n"]).select("_row", "shard"))
+    fresh = stored(both, "reshard")
+    if fresh.count() != rows.count():
+        raise ValueError("the plan is not of this layout's rows")
+    fresh.select("_row.*", "shard").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    left = {r[0] for r in fresh.select("shard").distinct().collect()}
+    for shard in set(touched) - left:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     return touched
 
 
