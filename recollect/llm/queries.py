@@ -9,6 +9,7 @@ from .minhash import op10_minhash
 from .packing import op9_packing
 from .quality import op7_quality
 from .sharding import op1_resharding
+from .sql import SQL
 from .suffixes import op6_repeats
 from .templates import op3_decontamination
 from .tokencount import op5_token_counts
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
