@@ -40,9 +40,9 @@ from .common import U64, Words, long_hash, mix, stored, text_rows, windows
 
 COLLECTIONS = 14
 ROWS = 2
-#: Counters of shingle frequencies, as a power of two: about one for 16 shingles, 4 bytes each. They
+#: Counters of shingle frequencies, as a power of two: about one for 64 shingles, 4 bytes each. They
 #: only order the shingles, rare ones first; any order gives the same links.
-LEAST_SLOTS, MOST_SLOTS = 18, 24
+LEAST_SLOTS, MOST_SLOTS = 18, 22
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
     open_ = stored(texts.join(nodes, "node"), "open")
 
     total = open_.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(total).bit_length() - 4))
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(total).bit_length() - 6))
 
     def tally(batch):
         flat, _ = shingle_sets(batch.column("text"), words)
@@ -193,13 +193,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``."""
     sk = stored(sketches(docs, words, m, r), "sketches")
     full = sk.where("n_shingles > 0")
-    groups = stored(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "groups")
+    sets = stored(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
+    # A set's node is its smallest id, so that buckets agree on their first member; a row's key where
+    # that id stands on other sets, too, or is null.
+    shared = sets.groupBy("id").agg(F.count("*").alias("m")).where("m > 1 and id is not null")
+    groups = stored(sets.join(shared, "id", "left").withColumn("node", F.when(F.col("id").isNull() | F.col("m").isNotNull(), F.col("row")).otherwise(F.col("id"))).drop("m"), "groups")
     buckets = _buckets(groups, m)
     heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     met = stored(buckets.join(heads, "key"), "buckets")  # only buckets with two members or more
     size = groups.select("node", "n")
-    texts = _keyed(docs).select(F.col("row").alias("node"), "text")
-    texts = stored(common.matching(texts, stored(met.select("node").distinct(), "nodes"), "node").dropDuplicates(["node"]).join(size, "node"), "texts")
+    wanted = stored(groups.select("row", "node", "n").join(met.select("node").distinct(), "node"), "wanted")
+    texts = stored(common.matching(_keyed(docs).select("row", "text"), wanted, "row").dropDuplicates(["row"]).select("node", "n", "text"), "texts")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """In order, each once, and not of sizes that rule a link out."""
