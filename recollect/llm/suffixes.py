@@ -282,7 +282,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR, run:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
     spots = stored(_anchors(docs, passage, anchor), "anchors")
-    often = spots.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("hash")
+    often = stored(spots.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("hash"), "often")
     spots = stored(spots.join(often, "hash"), "spots")
     first = F.min(F.struct("doc", "pos"))
     contexts = spots.groupBy("hash", "context").agg(first.alias("f"), F.max("doc").alias("high")).select("hash", "context", "f.doc", "f.pos", (F.col("f.doc") != F.col("high")).alias("many"))
