@@ -10,13 +10,15 @@ For each document and item the windows that met are checked for slots: along one
 (one offset between the texts), equal values in the item's slots must stand for equal values
 in the document, and different ones for different ones. An item counts as found if the
 windows left cover at least ``COVER`` percent of its words, so a re-parameterised question
-is found and a common turn of phrase is not. Items shorter than a window are matched as a
-whole.
+is found and a common turn of phrase is not, or if ``VERBATIM`` of its words in a row stand
+there as they are. Items shorter than a window are matched as a whole, as they are and as
+templates.
 
 If the benchmark has at most ``FILTER_ROWS`` windows, their hashes are broadcast to spare
 other windows the join; beyond that all windows are joined. The result is the same.
 
-Edge cases: null and empty texts hold nothing and are clean; empty items match nothing; an
+Edge cases: long texts are whole, and windows run over all of them; a word that may be several
+kinds is the first of number, unit, name; null and empty texts hold nothing and are clean; null ids are ids like others; empty items match nothing; an
 item that stands twice is found under each of its ids; repeated rows are one document each,
 by id and text; empty tables give empty results; other columns are ignored.
 """
@@ -39,6 +41,7 @@ from .common import U64, long_hash, mix, windows
 WINDOW = 6
 LITERAL = 3
 COVER = 50
+VERBATIM = 13
 #: Hashes of 8 bytes each.
 FILTER_ROWS = 2_000_000
 
@@ -175,6 +178,9 @@ def window_rows(rows: DataFrame, n: int, whole: bool, wanted=None) -> DataFrame:
             for i in np.flatnonzero((np.diff(t.first) < n) & (np.diff(t.first) > 0)):
                 k = int(t.first[i + 1] - t.first[i])
                 parts.append((windows(t.plain, t.first[i : i + 2], k)[0], np.array([i]), t.first[i : i + 1]))
+                slots = int((t.kind[t.first[i] : t.first[i + 1]] != PLAIN).sum())
+                if slots and k - slots >= LITERAL:
+                    parts.append((windows(t.typed, t.first[i : i + 2], k)[0] ^ U64(1), np.array([i]), t.first[i : i + 1]))
         h, row, word = (np.concatenate(x) for x in zip(*parts))
         if wanted is not None:
             keys = wanted.value
@@ -194,20 +200,34 @@ def window_rows(rows: DataFrame, n: int, whole: bool, wanted=None) -> DataFrame:
     return common.text_rows(rows, run, _SCHEMA)
 
 
-def _consistent(rows: list) -> set[int]:
-    """Of windows on one alignment, the item words covered by those whose slots agree with
-    the slots before them: one value there for one value here, both ways."""
-    there, here, covered = {}, {}, set()
+def _consistent(rows: list) -> tuple[set[int], set[int]]:
+    """Of windows on one alignment, the item's words covered by those whose slots agree with the slots
+    before them (one value there for one value here, both ways), and those that stand as they are."""
+    there, here, covered, verbatim = {}, {}, set(), set()
     for r in sorted(rows, key=lambda r: r.at):
-        new = []
-        if r.values is not None and r.item_values is not None:
-            new = [(k, a, b) for k, a, b in zip(r.kinds, r.item_values, r.values) if k != PLAIN]
-            if any(there.get((k, a), b) != b or here.get((k, b), a) != a for k, a, b in new) or len({(k, a) for k, a, _ in new}) != len({(k, b) for k, _, b in new}):
-                continue
+        slots = r.values is not None and r.item_values is not None
+        new = [(k, a, b) for k, a, b in zip(r.kinds, r.item_values, r.values) if k != PLAIN] if slots else []
+        if any(there.get((k, a), b) != b or here.get((k, b), a) != a for k, a, b in new) or len({(k, a) for k, a, _ in new}) != len({(k, b) for k, _, b in new}):
+            continue
         for k, a, b in new:
             there[k, a], here[k, b] = b, a
-        covered.update(range(r.item_at, r.item_at + len(r.kinds)))
-    return covered
+        span = range(r.item_at, r.item_at + len(r.kinds))
+        covered.update(span)
+        if all(a == b for _, a, b in new):
+            verbatim.update(span)
+    return covered, verbatim
+
+
+def _longest(words: set[int]) -> int:
+    """The most numbers in a row."""
+    best = 0
+    for w in words:
+        if w - 1 not in words:
+            end = w
+            while end + 1 in words:
+                end += 1
+            best = max(best, end - w + 1)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, cover: int = COVER) -> DataFrame:
@@ -233,10 +253,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, cover: int = C
         by_offset: dict[int, list] = {}
         for r in group.itertuples():
             by_offset.setdefault(r.at - r.item_at, []).append(r)
+        longest = 0
         for aligned in by_offset.values():
-            covered |= _consistent(aligned)
+            some, same = _consistent(aligned)
+            covered |= some
+            longest = max(longest, _longest(same))
         size = int(group["item_words"].iloc[0])
-        if 100 * len(covered) < cover * size:
+        if 100 * len(covered) < cover * size and longest < VERBATIM:
             return pd.DataFrame({"n_words": [], "n_covered": [], "changed": []}).assign(doc_id=[], tag=[], item_id=[])
         changed = any(r.values is not None and list(r.values) != list(r.item_values) for r in group.itertuples() if r.item_values is not None)
         return pd.DataFrame({"doc_id": [key[0]], "tag": [key[1]], "item_id": [key[2]], "n_words": [size], "n_covered": [len(covered)], "changed": [changed]})
