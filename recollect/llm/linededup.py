@@ -18,7 +18,9 @@ Chunks of a single line (texts of one line) and those without a word are never r
 Only chunks whose hash repeats move their text; equal hashes are counted before the shuffle,
 and a hash as common as it may be meets one row, the first chunk.
 
-Edge cases: a null text stays null and an empty one empty; rows repeated with equal id and
+Edge cases: a text that loses a chunk loses the newlines at its end, too, any other stays as it is;
+a long text is whole, and its chunks are pieces of bytes; of equal chunks the one of the smallest id, then
+the first place, stays; a null text stays null and an empty one empty; rows repeated with equal id and
 text are one document and stay alike; a null id sorts first and is a document as any other;
 an empty table gives an empty result; other columns are kept as they are.
 """

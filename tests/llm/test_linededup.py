@@ -1,6 +1,31 @@
+import numpy as np
 import pyarrow as pa
 
-from recollect.llm import linededup as L
+from recollect.llm import common, linededup as L
+
+
+def chunked(raw):
+    """The chunks of a text, line by line: a line with a smaller hash than both neighbours ends one, pairs are
+    cut from there backwards, behind the last one forwards, and an odd line goes with its neighbours."""
+    lines = raw.split(b"\n")
+    if lines[-1] == b"":
+        lines.pop()
+    if not lines:
+        return []
+    data, ends = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([len(x) for x in lines])
+    h = common.span_hashes(data, ends - [len(x) for x in lines], ends).tolist()
+    cuts = [i for i in range(1, len(lines) - 2) if h[i - 1] > h[i] < h[i + 1]] + [len(lines) - 1]
+    out, at = [], 0
+    for c in cuts:
+        n, sizes = c + 1 - at, []
+        while n > 3:
+            sizes.append(2)
+            n -= 2
+        sizes.append(n)
+        for k in sizes if c == len(lines) - 1 else sizes[::-1]:
+            out.append(lines[at : at + k])
+            at += k
+    return out
 
 
 def brute(docs):
@@ -8,17 +33,16 @@ def brute(docs):
     seen, out = set(), {}
     for key in sorted(docs, key=lambda k: (k is not None, k)):
         raw = (docs[key] or "").encode()
-        _, a, b, n, _ = L.chunks(pa.array([docs[key]], pa.string()))
-        left, gone = b"", 0
-        for x, y, k in zip(a, b, n):
-            body = raw[x : y - 1] if raw[y - 1 : y] == b"\n" else raw[x:y]
-            if k >= L.LINES and body.split():
+        left, gone = [], 0
+        for some in chunked(raw):
+            body = b"\n".join(some)
+            if len(some) >= L.LINES and body.split():
                 if body in seen:
                     gone += 1
                     continue
                 seen.add(body)
-            left += raw[x:y]
-        out[key] = (left.rstrip(b"\n") if gone else raw).decode(), gone
+            left += some
+        out[key] = (b"\n".join(left).rstrip(b"\n") if gone else raw).decode(), gone
     return out
 
 
