@@ -41,17 +41,44 @@ def test_the_model_is_a_distribution(spark, sf):
     """Over all seen tokens and the unseen one, from every class."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
     model, counts = B.train(docs, vocabulary=500, core=100, classes=8)
-    rare = [r.n for r in counts.collect()]
-    word = 10.0 ** model.word[:-1]
-    kinds = model.kind[:-1]
-    inside = np.bincount(kinds, word, 9)
-    seen = sorted(rare, reverse=True)[len(word) :]
-    inside[8] = sum((1 - model.new) * n / model.n_rare for n in seen) + model.new
-    used = np.unique(np.append(kinds, 8))
-    assert inside[used] == pytest.approx(1.0)
+    rows = counts.collect()
+    inside = np.bincount(model.kind[:-1], 10.0 ** model.word[:-1], 9)
+    for r in rows:
+        if r.kind is not None:
+            inside[r.kind] += r.n / model.totals[r.kind]
+    assert len({r.key for r in rows if r.kind is None}) == len(model.word) - 1  # every other word has a class
+    used = np.flatnonzero(inside)
+    assert len(used) == 8 and inside[used] == pytest.approx(1.0)
     assert (10.0**model.bigram).sum(1) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("vocabulary", [300, 200_000])
+def test_scores_are_those_of_the_model(spark, sf, vocabulary):
+    """Token by token, from the classes and counts."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model, counts = B.train(docs.where(~B.held_out()), vocabulary, 100, 8)
+    count, kind, past = {}, {}, {}
+    for r in counts.collect():
+        count[r.key], kind[r.key] = r.n, r.kind
+    frequent = {int(h): i for i, h in enumerate(model.lookup.sorted.view(np.int64)[np.argsort(model.lookup.order)])}
+    for key, i in frequent.items():
+        kind[key] = past[key] = int(model.kind[i])
+    total = Counter()
+    for key, n in count.items():
+        total[kind[key]] += n
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in B.score(docs, model, counts).collect():
+        keys = B.long_hash(B._tokens(pa.array([texts[r.doc_id]]))[0]).tolist()
+        want, before = 0.0, int(B.END.astype(np.int64))
+        for key in keys:
+            c = kind.get(key, 8)
+            want += model.bigram[past.get(before, 8), c] + (math.log10(count[key] / total[c]) if key in count else 0.0)
+            before = key
+        assert r.score == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
 def test_exchange_finds_classes():
     """Words of two languages that never mix."""
     left, right, n = [], [], []
