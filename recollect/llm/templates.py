@@ -235,7 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, cover: int = C
     differ) for the items found in ``docs(doc_id, text)``."""
     text = F.col("text").cast("string").alias("text")
     tag = F.xxhash64(F.col("text").cast("string")).alias("tag")
-    items = common.stored(window_rows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), text), n, True), "items")
+    # Items of one text are looked for once, and found under each of their ids.
+    names = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tag.alias("rep"))
+    items = common.stored(window_rows(benchmark.select(tag.alias("id"), F.lit(0).cast("long").alias("tag"), text).distinct(), n, True), "items")
     spark = docs.sparkSession
     short = [r[0] for r in items.where(F.size("kinds") < n).select(F.size("kinds")).distinct().collect()]
     wanted = None
@@ -245,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, cover: int = C
     seen = window_rows(rows, n, False, wanted)
     for k in short:  # at most n - 1 lengths
         seen = seen.unionByName(window_rows(rows, k, False, wanted))
-    item = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("kinds").alias("item_kinds"), F.col("values").alias("item_values"))
+    item = items.select("hash", F.col("id").alias("rep"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("kinds").alias("item_kinds"), F.col("values").alias("item_values"))
     hits = seen.join(item, "hash").where(F.size("kinds") == F.size("item_kinds"))
 
     def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -260,11 +262,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, cover: int = C
             longest = max(longest, _longest(same))
         size = int(group["item_words"].iloc[0])
         if 100 * len(covered) < cover * size and longest < VERBATIM:
-            return pd.DataFrame({"n_words": [], "n_covered": [], "changed": []}).assign(doc_id=[], tag=[], item_id=[])
+            return pd.DataFrame({"n_words": [], "n_covered": [], "changed": []}).assign(doc_id=[], tag=[], rep=[])
         changed = any(r.values is not None and list(r.values) != list(r.item_values) for r in group.itertuples() if r.item_values is not None)
-        return pd.DataFrame({"doc_id": [key[0]], "tag": [key[1]], "item_id": [key[2]], "n_words": [size], "n_covered": [len(covered)], "changed": [changed]})
+        return pd.DataFrame({"doc_id": [key[0]], "tag": [key[1]], "rep": [key[2]], "n_words": [size], "n_covered": [len(covered)], "changed": [changed]})
 
-    return hits.groupBy("id", "tag", "item_id").applyInPandas(check, "doc_id long, tag long, item_id long, n_words long, n_covered long, changed boolean")
+    found = hits.groupBy("id", "tag", "rep").applyInPandas(check, "doc_id long, tag long, rep long, n_words long, n_covered long, changed boolean")
+    return found.join(names, "rep").select("doc_id", "tag", "item_id", "n_words", "n_covered", "changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
