@@ -37,10 +37,16 @@ def test_run_is_the_stages(spark, sf):
 
 
 def test_odd_and_empty_documents(spark, sf, odd, none):
+    """Columns stay, nothing new comes, what is kept is packed whole; of no documents nothing is left."""
     for docs in (odd, none):
+        empty = docs.isEmpty()
         for name, stage in P.STAGES:
-            docs = common.stored(stage(spark, docs, sf), "t")
-        assert docs.count() >= 0
+            before, docs = docs, common.stored(stage(spark, docs, sf), "t")
+            if name != "packing":
+                assert docs.columns == before.columns and docs.count() <= before.count()
+                assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in before.collect()}
+            assert docs.isEmpty() == empty, name
+        packs(docs.collect(), [(r.doc_id, r.text) for r in before.collect()])
 
 
 def test_entry_points_are_used():
