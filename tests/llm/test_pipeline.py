@@ -1,11 +1,29 @@
 import corpus_pipeline as P
 from recollect.llm import common, linededup, minhash, packing, quality, templates
 
-from .test_linededup import brute as lines
+from .conftest import TEXTS
 from .test_minhash import brute as groups
 from .test_packing import check as packs
 
 
+def lines(docs):
+    """Texts without the lines of pairs of neighbours that stand in an earlier place, and how many went."""
+    first, out = {}, {}
+    for d in sorted(docs):
+        text = docs[d].split("\n")
+        if text[-1] == "":
+            text.pop()
+        gone = set()
+        for i, pair in enumerate(zip(text, text[1:])):
+            if "".join(pair).split():
+                at = first.setdefault(pair, (d, i))
+                if at != (d, i):
+                    gone |= {k for k in (i, i + 1) if at[0] != d or k > at[1] + 1}
+        left = "\n".join(x for i, x in enumerate(text) if i not in gone)
+        out[d] = (left.rstrip("\n") if gone else docs[d]), len(gone)
+    return out
+
+
 def test_stages_against_brute_force(spark, sf):
     docs = common.documents(spark, sf)
     names = docs.columns
@@ -37,16 +55,22 @@ def test_run_is_the_stages(spark, sf):
 
 
 def test_odd_and_empty_documents(spark, sf, odd, none):
-    """Columns stay, nothing new comes, what is kept is packed whole; of no documents nothing is left."""
-    for docs in (odd, none):
-        empty = docs.isEmpty()
-        for name, stage in P.STAGES:
-            before, docs = docs, common.stored(stage(spark, docs, sf), "t")
-            if name != "packing":
-                assert docs.columns == before.columns and docs.count() <= before.count()
-                assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in before.collect()}
-            assert docs.isEmpty() == empty, name
-        packs(docs.collect(), [(r.doc_id, r.text) for r in before.collect()])
+    """Every stage on all of them: columns stay, nothing new comes, what is packed is whole; of no
+    documents nothing is left."""
+    ids = {r.doc_id for r in odd.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = common.stored(stage(spark, odd, sf), "t")
+        kept = [r.doc_id for r in out.collect()]
+        assert out.columns == odd.columns and set(kept) <= ids and len(kept) <= odd.count(), name
+        if name == "line dedup":
+            assert {4, 5, 12, None} <= set(kept)
+        if name == "near duplicates":
+            assert {1, 4, 5, 6, 7, 9, 11} <= set(kept) and not {2, 3, 8, 10} & set(kept)
+        if name == "decontamination":
+            assert len(kept) == odd.count()
+    packs(P.packing_stage(spark, odd, sf).collect(), TEXTS)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
 
 
 def test_entry_points_are_used():
