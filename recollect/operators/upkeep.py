@@ -204,11 +204,12 @@ def view_texts(pages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return pages.join(names, "rel").select("rel", F.concat_ws("\n", "names", text).alias("text"))
 
 
-def in_order_digest(rows: DataFrame, order: list, text: Column) -> DataFrame:
-    """``sha``: one digest over the texts of a bounded set in order, each with its length before it."""
+def in_order_digest(rows: DataFrame, order: list, text: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """``sha``: one digest over the texts of a bounded set in order, each with its length before it; ``by``
+    some columns, one for each set."""
     part = F.concat(F.length(text).cast("string"), F.lit(":"), text)
     every = F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], part.alias("_t")))), lambda x: x["_t"])
-    return rows.agg(F.sha2(F.array_join(every, "\n").cast("binary"), 256).alias("sha"))
+    return (rows.groupBy(*by) if by else rows).agg(F.sha2(F.array_join(every, "\n").cast("binary"), 256).alias("sha"))
 
 
 def vector_key(texts: DataFrame, model: str) -> DataFrame:

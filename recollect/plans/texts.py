@@ -127,8 +127,7 @@ def folder_digests(spark, sf):
 def fingerprint(spark, sf):
     """Of the turns of some conversations, in order, by role."""
     rows = table(spark, sf, "conversations").where("conv_id % 5 = 0")
-    one = lambda r: U.in_order_digest(rows.where(F.col("role") == r), ["conv_id", "turn"], F.col("text")).select(F.lit(r).alias("role"), "sha")
-    return one("user").unionByName(one("assistant"))
+    return U.in_order_digest(rows, ["conv_id", "turn"], F.col("text"), ("role",))
 
 
 @query("select event_id, to_timestamp(floor(epoch(ts)))::timestamp as at, to_timestamp(floor(epoch(ts)))::timestamp as ms, (ts + interval 8 hour)::date as day from events")
