@@ -1,22 +1,23 @@
 """Removal of repeated line chunks with content-defined boundaries.
 
-A text is its lines (split at the newline). Lines are hashed; a line whose hash is smaller than
-those of both its neighbours ends a chunk, so that boundaries follow the content and a passage is
-cut alike wherever it stands. What lies before such a line is cut into pairs of lines backwards
-from it, what lies behind a text's last one forwards, so that a chunk has two lines, or three
-where an odd one is left; the end of a text ends one too, and a last line goes with those
-before it. Of the chunks with equal bytes in all documents, the first (by id, then place) stays
-and the others are removed: hashes and lengths find candidates, and their bytes are compared
-with the first one's.
-
-A passage goes only as far as whole chunks lie in it. ``cleaned``, the pipeline's form, compares
-every pair of neighbouring lines instead (``pairs``), so that each repeated passage of ``LINES``
-lines or more goes from its first line to its last, wherever boundaries are; a line that stands
-for the first time stays.
-
-Chunks of a single line (texts of one line) and those without a word are never removed.
-Only chunks whose hash repeats move their text; equal hashes are counted before the shuffle,
-and a hash as common as it may be meets one row, the first chunk.
+A text is its lines (split at the newline). Lines are hashed, and hashes of two lines at a time roll
+over the text: a line with a smaller hash than the one before it ends a run of lines, so that
+boundaries follow the content and a passage is cut alike wherever it stands. Each run is cut into
+pairs of lines from both its ends (which differ in runs of odd length, so that neither end of a
+passage depends on what stands beyond it); a run of one line makes a pair with the line before it.
+So chunks cover their text and may share a line. Of the chunks with equal bytes in all documents,
+the first (by id, then place) stays and the others are removed: hashes and lengths find
+candidates, and their bytes are compared with the first one's. The first place of a line is in no
+later copy, so no line vanishes from all documents.
+
+A passage goes only as far as whole chunks lie in it, and one of two lines may be in none.
+``cleaned``, the pipeline's form, compares every pair of neighbouring lines instead (``pairs``), so
+that each repeated passage of ``LINES`` lines or more goes from its first line to its last, wherever
+boundaries are; a line that stands for the first time stays.
+
+Texts of one line and chunks without a word are never removed. Only chunks whose hash repeats move
+their text; equal hashes are counted before the shuffle, and a hash as common as it may be meets
+one row, the first chunk.
 
 Edge cases: a text that loses a chunk loses the newlines at its end, too, any other stays as it is;
 a long text is whole, and its chunks are pieces of bytes; of equal chunks the one of the smallest id, then
@@ -53,29 +54,26 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Row, first byte, end (past the newline), number of lines and hash of the chunks."""
+    """Row, first byte, end (past the newline), number of lines and hash of the chunks; two may
+    share a line."""
     data, row, start, end, body = _lines(column)
     if not len(start):
         e = np.empty(0, np.int64)
         return e, e, e, e, e.view(U64)
     h = span_hashes(data, start, body)
     fresh = np.append(True, row[1:] != row[:-1])  # first line of a text
-    last = np.append(fresh[1:], True)
-    cut = ~fresh & ~last
-    cut[1:] &= h[1:] < h[:-1]
-    cut[:-1] &= h[:-1] < h[1:]
-    cut[:-1] &= ~last[1:]  # a text's last line is no chunk by itself, so that copies vanish whole
-    cut |= last
-    # Between two cuts, pairs, counted from the cut that follows the content.
-    at = np.arange(len(start))
+    cut = np.append(fresh[1:], True)
+    cut[1:] |= ~fresh[1:] & (h[1:] < h[:-1])
+    # Places in the run of lines between two boundaries, from either end.
     ends = np.flatnonzero(cut)
     size = np.diff(ends, prepend=-1)
-    place, left = at - np.repeat(ends - size + 1, size) + 1, np.repeat(ends, size) - at
-    back = np.repeat(~last[ends], size)
-    ends = np.flatnonzero(cut | ((np.where(back, left, place) % LINES == 0) & (place >= LINES) & (left >= LINES)))
-    begins = np.append(0, ends[:-1] + 1)
-    a, b = start[begins], end[ends]
-    return row[begins], a, b, ends - begins + 1, span_hashes(data, a, body[ends])
+    left = np.repeat(ends, size) - np.arange(len(start))
+    place = np.repeat(size, size) - left
+    closes = np.where(place >= LINES, (left % LINES == 0) | (place % LINES == 0), cut & ~fresh)
+    ends = np.flatnonzero(closes)
+    begins = ends - LINES + 1
+    a = start[begins]
+    return row[begins], a, end[ends], np.full(len(begins), LINES), span_hashes(data, a, body[ends])
 
 
 def pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -111,7 +109,7 @@ def _spans(docs: DataFrame, pieces: Callable) -> DataFrame:
 
 def _removals(docs: DataFrame, pieces: Callable) -> DataFrame:
     """``doc, spans``: for each document that loses pieces, first bytes and sizes; pieces that
-    overlap make up one."""
+    overlap or follow each other make up one."""
     spans = stored(_spans(docs, pieces).dropDuplicates(["doc", "at"]), "chunks")
     repeated = spans.groupBy("hash", "size").agg(F.count("*").alias("n")).where("n > 1").select("hash", "size")
     candidates = stored(spans.join(repeated, ["hash", "size"]), "candidates")
@@ -126,8 +124,8 @@ def _removals(docs: DataFrame, pieces: Callable) -> DataFrame:
     # A piece that overlaps its first, in a run of equal lines, goes from where that ends.
     begin = F.when(F.col("doc") == F.col("o.doc"), F.greatest("at", F.col("o.at") + F.col("size") + 1)).otherwise(F.col("at"))
     lost = same.select("doc", begin.alias("at"), (F.col("at") + F.col("size")).alias("end")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("s"))
-    starts = F.expr("filter(s, (x, i) -> i = 0 or x.at > s[i - 1].end)")
-    ends = F.expr("filter(s, (x, i) -> i = size(s) - 1 or s[i + 1].at > x.end)")
+    starts = F.expr("filter(s, (x, i) -> i = 0 or x.at > s[i - 1].end + 1)")
+    ends = F.expr("filter(s, (x, i) -> i = size(s) - 1 or s[i + 1].at > x.end + 1)")
     return lost.select("doc", F.zip_with(starts, ends, lambda x, y: F.struct(x["at"].alias("at"), (y["end"] - x["at"]).alias("size"))).alias("spans"))
 
 
@@ -161,6 +159,6 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated chunks."""
+    """Every document's text without repeated chunks; ``n_removed`` runs of lines went, ``removed_bytes`` long."""
     out = deduplicated(common.documents(spark, sf_dir))
     return out.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["size"]), F.lit(0)).alias("removed_bytes"))

@@ -4,54 +4,48 @@ import pyarrow as pa
 from recollect.llm import common, linededup as L
 
 
-def chunked(raw):
-    """The chunks of a text, line by line: a line with a smaller hash than both neighbours ends one, pairs are
-    cut from there backwards, behind the last one forwards, and an odd line goes with its neighbours."""
-    lines = raw.split(b"\n")
-    if lines[-1] == b"":
-        lines.pop()
-    if not lines:
-        return []
+def chunked(lines):
+    """First lines of a text's chunks, which are pairs: a line with a smaller hash than the one before ends a run,
+    runs are cut from both ends, and a run of one line goes with the line before it."""
     data, ends = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([len(x) for x in lines])
     h = common.span_hashes(data, ends - [len(x) for x in lines], ends).tolist()
-    cuts = [i for i in range(1, len(lines) - 2) if h[i - 1] > h[i] < h[i + 1]] + [len(lines) - 1]
-    out, at = [], 0
-    for c in cuts:
-        n, sizes = c + 1 - at, []
-        while n > 3:
-            sizes.append(2)
-            n -= 2
-        sizes.append(n)
-        for k in sizes if c == len(lines) - 1 else sizes[::-1]:
-            out.append(lines[at : at + k])
-            at += k
-    return out
+    out, at = set(), 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or (i and h[i] < h[i - 1]):
+            out |= {*range(at, i, 2), *range(i - 1, at - 1, -2)} if i > at else {i - 1} if i else set()
+            at = i + 1
+    return sorted(out)
+
+
+def split(raw):
+    lines = raw.split(b"\n")
+    return lines[:-1] if lines[-1] == b"" else lines
 
 
 def brute(docs):
-    """One document after the other, with a set of the chunks' bytes."""
-    seen, out = set(), {}
+    """One document after the other, with the first place of each chunk's bytes: what is left, the runs of lines that went."""
+    first, out = {}, {}
     for key in sorted(docs, key=lambda k: (k is not None, k)):
         raw = (docs[key] or "").encode()
-        left, gone = [], 0
-        for some in chunked(raw):
-            body = b"\n".join(some)
-            if len(some) >= L.LINES and body.split():
-                if body in seen:
-                    gone += 1
-                    continue
-                seen.add(body)
-            left += some
-        out[key] = (b"\n".join(left).rstrip(b"\n") if gone else raw).decode(), gone
+        lines, gone = split(raw), set()
+        for i in chunked(lines) if lines else ():
+            body = b"\n".join(lines[i : i + 2])
+            if body.split():
+                at = first.setdefault(body, (key, i))
+                if at != (key, i):
+                    gone |= {k for k in (i, i + 1) if at[0] != key or k > at[1] + 1}
+        left = b"\n".join(x for i, x in enumerate(lines) if i not in gone).rstrip(b"\n")
+        out[key] = (left if gone else raw).decode(), len([i for i in gone if i - 1 not in gone])
     return out
 
 
-def test_chunks_partition_the_text():
+def test_chunks_cover_the_text():
     text = "\n".join(f"line {i % 7}" for i in range(50))
-    for t in (text, text + "\n", "\n\n\n", "x", "", "\n"):
+    for t in (text, text + "\n", "\n\n\n", "x", "", "\n", "a\na\na\na"):
+        lines = split(t.encode())
         _, a, b, n, _ = L.chunks(pa.array([t]))
-        assert "".join(t[x:y] for x, y in zip(a, b)) == t
-        assert all(k >= L.LINES for k in n[:-1])
+        assert [t[: x].count("\n") for x in a] == (chunked(lines) if lines else []) and all(k == L.LINES for k in n)
+        assert len(lines) < 2 or {i for x, y in zip(a, b) for i in range(x, y)} == set(range(len(t)))
 
 
 def test_boundaries_shift_with_the_text():
@@ -129,8 +123,8 @@ def test_chunks_find_most_planted_passages(make):
     later = [d for d in rows if d >= 1000]
     assert all(rows[d].removed is None for d in rows if d < 1000)
     left = sum(len([x for x in rows[d].text.split("\n") if x.startswith("passage")]) for d in later)
-    assert sum(rows[d].removed is not None for d in later) >= 0.6 * len(later)
-    assert left <= 0.55 * sum(len(gone[d]) for d in later)
+    assert sum(rows[d].removed is not None for d in later) >= 0.85 * len(later)
+    assert left <= 0.3 * sum(len(gone[d]) for d in later)
 
 
 def test_copies_of_all_line_counts_vanish_whole(make):
