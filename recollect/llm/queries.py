@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import op11_filter_audit
 from .brown import op8_brown
 from .linededup import op4_line_dedup
 from .maintext import op2_main_text
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_brown": op8_brown,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 __all__ = ["QUERIES", "SQL"]

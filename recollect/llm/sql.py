@@ -61,4 +61,22 @@ k as (select rid, i, sum(fresh) over (partition by rid order by i) as k from b)
 select doc_id, min(i)::int as start, (max(i) + 50 - min(i))::int as n_words from k join w using (rid) group by rid, doc_id, k
 """
 
-SQL = {"op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
+FILTER_AUDIT = f"""
+with recursive t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as w from documents),
+d as (select doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
++ 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from t),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+c as (select part, mask, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from d left join l using (doc_id) group by part, mask),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+o as (select '' as filter_order, 0 as used union all select filter_order || f, used + bit from o join f on used & bit = 0),
+s as (select filter_order, unnest(range(1, 6))::int as step from o where used = 31),
+b as (select filter_order, step, bit, f, (select coalesce(sum(bit), 0)::int from f as e where contains(left(filter_order, step - 1), e.f)) as before from s join f on f = filter_order[step]),
+r as (select part, filter_order, step, f,
+sum(n) filter (mask & (before | bit) = 0) as kept, sum(n) filter (mask & before = 0 and mask & bit <> 0) as removed, sum(n) filter (mask & before <> 0 and mask & bit <> 0) as redundant,
+sum(n) filter (mask = bit) as unique_fails, sum(g) filter (mask & before = 0 and mask & bit <> 0) as good_lost, sum(x) filter (mask & before = 0 and mask & bit <> 0) as toxic_lost
+from b, c group by part, filter_order, step, f)
+select part, filter_order, step, {", ".join(f"coalesce({x}, 0)::bigint as {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+(sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley from r
+"""
+
+SQL = {"op11_filter_audit": FILTER_AUDIT, "op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
