@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audit import op11_filter_audit
 from .brown import op8_brown
+from .exact import op13_exact_dedup
 from .linededup import op4_line_dedup
 from .maintext import op2_main_text
 from .minhash import op10_minhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
     "op11_filter_audit": op11_filter_audit,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -79,4 +79,10 @@ select part, filter_order, step, {", ".join(f"coalesce({x}, 0)::bigint as {x}" f
 (sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley from r
 """
 
-SQL = {"op11_filter_audit": FILTER_AUDIT, "op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
+EXACT = """
+with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as body from documents)
+select doc_id, first(doc_id) over g as keep_id, count(*) over (partition by body) as group_size, row_number() over g = 1 as kept, sha256(body) as text_sha256
+from t window g as (partition by body order by length(text) desc, doc_id)
+"""
+
+SQL = {"op11_filter_audit": FILTER_AUDIT, "op13_exact_dedup": EXACT, "op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
