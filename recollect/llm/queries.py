@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audit import op11_filter_audit
 from .brown import op8_brown
+from .collocations import op12_collocations
 from .exact import op13_exact_dedup
 from .linededup import op4_line_dedup
 from .maintext import op2_main_text
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_exact_dedup": op13_exact_dedup,
 }
 

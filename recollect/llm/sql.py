@@ -85,4 +85,22 @@ select doc_id, first(doc_id) over g as keep_id, count(*) over (partition by body
 from t window g as (partition by body order by length(text) desc, doc_id)
 """
 
-SQL = {"op11_filter_audit": FILTER_AUDIT, "op13_exact_dedup": EXACT, "op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
+COLLOCATIONS = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from p),
+i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+g as (select lang, unnest(list_transform(range(0, least(4, len(w) - i + 1)), lambda k: w[i : i + k])) as g from i),
+s as (select lang, count(*) as n from i group by lang),
+f as materialized (select lang, g, count(*) as f from g group by lang, g having count(*) >= 30),
+k as (select lang, g, f as a, unnest(range(1, len(g))) as k from f),
+x as (select k.lang, k.g, a, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score from k join f l on l.lang = k.lang and l.g = k.g[1 : k] join f r on r.lang = k.lang and r.g = k.g[k + 1 :]),
+b as (select * from x qualify row_number() over (partition by lang, g order by score, k) = 1),
+o as (select lang, f, g, unnest(range(2, len(g))) as m from f where len(g) > 2),
+u as (select lang, f, unnest(list_transform(range(1, len(g) - m + 2), lambda i: g[i : i + m - 1])) as g from o),
+c as (select lang, g, max(f) as most from u group by lang, g),
+e as (select b.*, array_to_string(b.g, ' ') as phrase from b left join c on c.lang = b.lang and c.g = b.g where most is null or 100::hugeint * most < 80 * a),
+v as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from e)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from v join s using (lang) where rank <= 2000
+"""
+
+SQL = {"op11_filter_audit": FILTER_AUDIT, "op12_collocations": COLLOCATIONS, "op13_exact_dedup": EXACT, "op6_repeats": REPEATS, "op7_quality": QUALITY, "op10_minhash": NEAR_DUPLICATES}
