@@ -189,8 +189,9 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
     return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = COLLECTIONS, r: int = ROWS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``."""
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, m: int = COLLECTIONS, r: int = ROWS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, row, n_shingles, label`` (of its group, null for an
+    empty set), ``component_id``."""
     sk = stored(sketches(docs, words, m, r), "sketches")
     full = sk.where("n_shingles > 0")
     sets = stored(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
@@ -220,10 +221,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
         labels = common.components(edges.unionByName(late))
     member = groups.select("digest", "node", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
     first = member.groupBy("label").agg(F.min("id").alias("component_id"))
-    group = member.join(first, "label").select("digest", "component_id")
-    own = full.select("doc_id", "n_shingles", "digest").join(group, "digest").select("doc_id", "n_shingles", "component_id")
-    bare = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return own.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    group = member.join(first, "label").select("digest", "label", "component_id")
+    own = full.select("doc_id", "row", "n_shingles", "digest").join(group, "digest").drop("digest")
+    bare = sk.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return own.unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = COLLECTIONS, r: int = ROWS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``."""
+    rows = grouped(docs, words, percent, m, r)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group: the one with the smallest id (null ids are
+    the largest), of several texts with that id one, and one of rows that repeat id and text. Rows
+    without words stay."""
+    rows = stored(grouped(docs, words, percent).where("label is not null").select("doc_id", "row", "label"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row"))
+    stay = rows.groupBy("label").agg(first.alias("f")).select(F.col("f.row").alias("row"))
+    each = rows.groupBy("row").agg(F.count("*").alias("n"))
+    # Rows that go, and those of which one stays; all others are passed on as they are.
+    marked = stored(each.join(stay.withColumn("stays", F.lit(True)), "row", "left").where("stays is null or n > 1").select(F.col("row").alias("_row"), F.col("stays").isNotNull().alias("_one")), "marked")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    some, others = common.split(keyed, marked.select("_row"), "_row")
+    met = some.join(marked, "_row", "left")
+    passed = met.where("_one is null").unionByName(met.where("_one").dropDuplicates(["_row"]))
+    return others.select(*docs.columns).unionByName(passed.select(*docs.columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

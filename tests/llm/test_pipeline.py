@@ -1,7 +1,9 @@
 import corpus_pipeline as P
 from recollect.llm import common, linededup, minhash, packing, quality, templates
 
-from .conftest import TEXTS
+import pytest
+
+from .conftest import TEXTS, words
 from .test_minhash import brute as groups
 from .test_packing import check as packs
 
@@ -73,5 +75,43 @@ def test_odd_and_empty_documents(spark, sf, odd, none):
         assert stage(spark, none, sf).count() == 0, name
 
 
+A, B = words(80, 120, 5000), words(81, 120, 5000)
+SHARED = [
+    [(3, A), (5, A + " more"), (5, B), (None, A + " more"), (9, words(82, 90, 5000))],
+    [(5, B), (5, B + " x"), (5, B + " x"), (7, A), (8, B + " y"), (None, None), (None, ""), (7, None)],
+    [(None, A), (None, A), (None, A + " z"), (2, B), (2, B), (4, words(83, 60, 5000))],
+    [(6, A), (6, B), (1, B + " q"), (2, A + " q"), (6, words(84, 70, 5000)), (6, words(84, 70, 5000))],
+]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+@pytest.mark.parametrize("texts", SHARED)
+def test_near_duplicates_lose_no_text(spark, make, texts, turn):
+    """One row of each group stays, the one with the smallest id, and every row without words."""
+    texts = texts[::turn]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for _, t in texts)]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a & b and 100 * len(a & b) >= 80 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    large = lambda d: (d is None, d or 0)
+    left = sorted((large(r.doc_id), r.text or "") for r in P.near_duplicate_stage(spark, make(texts).repartition(3), "").collect())
+    assert [k for k, t in left if t] == sorted(min(large(d) for g, (d, t) in zip(group, texts) if g == i) for i in set(group) if texts[i][1])
+    assert all(any(large(d) == k and t == (u or "") for d, u in texts) for k, t in left)
+    assert sum(not t for _, t in left) == sum(not t for _, t in texts)
+    assert len({group[[u or "" for _, u in texts].index(t)] for _, t in left if t}) == sum(1 for _, t in left if t)
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_null_and_repeated_ids_in_every_stage(spark, sf, make, name, stage):
+    """Rows are decided on by themselves: what is not alike, rejected or a leak stays under any id."""
+    whole = [f"The {words(90 + i, 30, 5000)} and that {words(190 + i, 30, 5000)} of it was for them as they are.\nThis is the end of the line {i} which we have." for i in range(6)]
+    texts = [(None, whole[0]), (None, whole[1]), (4, whole[2]), (4, whole[3]), (5, whole[4])]
+    out = [(r.doc_id, r.text) for r in stage(spark, make(texts), sf).collect()]
+    assert sorted(out, key=str) == sorted(texts, key=str)
+
+
 def test_entry_points_are_used():
     assert P.linededup is linededup and P.minhash is minhash and P.packing is packing
