@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.operators.index import boost
+from recollect.operators.segments import View
 
 K1, B = 1.2, 0.75
 #: Rows of query terms up to which they are sent to every task.
 BROADCAST_TERMS = 200_000
+#: Cells of a block of documents by terms, and questions that it is multiplied with at once.
+CELLS, QUESTIONS = 2_000_000, 256
 
 
 def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,50 +28,20 @@ def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (F.broadcast(asked), F.broadcast(terms)) if few else (asked, terms)
 
 
-class Postings(NamedTuple):
-    """Written once for many batches of questions: ``rows(key, len, field, term, tf)`` in the order of
-    terms, ``lengths(key, len)``, ``df(term, df)`` and ``norms(key, norm)`` of the TF-IDF weights."""
-
-    rows: DataFrame
-    lengths: DataFrame
-    df: DataFrame
-    norms: DataFrame
-
-    @classmethod
-    def build(cls, docs: DataFrame, key: str, fields: list[str], path: str) -> Postings:
-        """Of token arrays named ``fields``. A row without a term stands for each document, so the
-        texts are read once."""
-        none = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"))
-        length = sum((F.size(f) for f in fields), F.lit(0)).cast("double")
-
-        def words(field: str) -> Column:
-            return F.transform(F.col(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+def _idf(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``term, avg, idf`` of ``df(term, df)``; ``totals(n, avg)`` is one row."""
+    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.crossJoin(F.broadcast(totals)).select("term", "avg", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
 
-        long = docs.select(key, length.alias("len"), F.explode(F.flatten(F.array(F.array(none), *map(words, fields)))).alias("p")).select(key, "len", "p.field", "p.term")
-        counted = long.groupBy(key, "len", "field", "term").agg(F.count("*").alias("tf"))
-        counted.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-        held = docs.sparkSession.read.parquet(f"{path}/postings")
-        rows, lengths = held.where("term is not null"), held.where("term is null").select(key, "len")
-        rows.groupBy("term").agg(F.countDistinct(key).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-        df = docs.sparkSession.read.parquet(f"{path}/df")
-        counts = rows.groupBy(key, "term").agg(F.sum("tf").alias("c"))
-        _weighted(counts, _inverse(df, lengths)).groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
-        return cls(rows, lengths, df, docs.sparkSession.read.parquet(f"{path}/norms"))
 
-    def without(self, key: str, dead: DataFrame) -> Postings:
-        """As if some documents had never been there; for BM25 only (frequencies of terms are
-        counted with the question)."""
-        gone = dead.select(key).distinct()
-        return Postings(self.rows.join(gone, key, "left_anti"), self.lengths.join(gone, key, "left_anti"), self.df, self.norms)
+def _bm25_part() -> Column:
+    return F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
 
 
 def _scored(tf: DataFrame, totals: DataFrame, asked: DataFrame, key: str, digits: int | None) -> DataFrame:
     """BM25 of the postings ``key, term, f, len`` of asked terms; ``totals(n, avg)`` is one row."""
-    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
-    idf = df.select("term", "avg", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = tf.join(idf, "term").select(key, "term", part.alias("s"))
+    idf = _idf(tf.groupBy("term").agg(F.count("*").alias("df")), totals)
+    scored = tf.join(idf, "term").select(key, "term", _bm25_part().alias("s"))
     total = F.sum("s")
     return scored.join(asked, "term").groupBy("qid", key).agg((total if digits is None else F.round(total, digits)).alias("score"))
 
@@ -92,14 +66,86 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame
     return _scored(tf, totals, asked, key, digits)
 
 
-def bm25_of(postings: Postings, key: str, fields: dict[str, float], queries: DataFrame, digits: int | None = 4) -> DataFrame:
-    """The same from postings: nothing is read but those of the asked terms, and the lengths."""
-    asked, terms = _asked(queries)
+def bm25_of(view: View, fields: dict[str, float], queries: DataFrame, k: int, digits: int | None = 4) -> DataFrame:
+    """The first ``k`` of each question, and some more, by BM25 from an index: nothing is read but the
+    buckets of the asked terms."""
+    field = next(iter(fields)) if len(fields) == 1 else None
+    asked, terms, few = _numbered(queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")))
+    rows, df = view.of(terms, field)
     weight = F.element_at(F.create_map(*[x for f, w in fields.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field"))
-    rows = postings.rows.join(terms, "term").where(weight != 0)
-    tf = rows.groupBy(key, "len", "term").agg(F.sum(weight * F.col("tf")).alias("f"))
-    totals = postings.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
-    return _scored(tf, totals, asked, key, digits)
+    length = sum((F.col(f"n_{f}") for f in fields), F.lit(0)).cast("double")
+    tf = rows.select(view.key, "t", "term", length.alias("len"), weight.alias("w"), "tf").where("w <> 0").groupBy(view.key, "t", "term", "len").agg(F.sum(F.col("w") * F.col("tf")).alias("f"))
+    n = view.totals.select(F.col("n").cast("double").alias("n"), F.try_divide(sum((F.col(f"n_{f}") for f in fields), F.lit(0)), F.col("n")).alias("avg"))
+    every = field is not None or all(fields.get(f) for f in view.fields)
+    df = df if df is not None and every else tf.groupBy("term").agg(F.count("*").alias("df"))
+    parts = tf.join(_idf(df, n), "term").select(view.key, "t", _bm25_part().alias("s"))
+    return _best(parts, asked.withColumn("w", F.lit(1.0)), view.key, k, few, digits)
+
+
+def _numbered(asked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """``qid, term, t`` and the distinct ``term, t``, numbered by their order if they are few."""
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = asked.select("term").distinct()
+    if not few:
+        terms = terms.withColumn("t", F.xxhash64("term"))
+        return asked.join(terms, "term"), terms, False
+    spark = asked.sparkSession
+    words = sorted(r[0] for r in terms.collect())
+    terms = F.broadcast(spark.createDataFrame(list(zip(words, range(len(words)))), "term string, t long"))
+    return asked.join(terms, "term"), terms, True
+
+
+def _best(parts: DataFrame, asked: DataFrame, key: str, k: int, few: bool, digits: int | None) -> DataFrame:
+    """``qid, key, score`` from ``parts(key, t, s)`` and ``asked(qid, t, w)``, the sums of s * w: those that may be
+    among the first ``k`` of a question, by documents. Of a few terms a partition's scores are a product
+    of two matrices, a bounded number of documents at a time, and all but its first ones stay there."""
+    total = F.sum(F.col("s") * F.col("w"))
+    if not few:
+        return parts.join(asked, "t").groupBy("qid", key).agg((total if digits is None else F.round(total, digits)).alias("score"))
+    spark, kind = parts.sparkSession, parts.schema[key].dataType.simpleString()
+    rows = asked.select("qid", "t", "w").toArrow()
+    ids = rows["qid"].combine_chunks().dictionary_encode()
+    n_terms = 1 + (pc.max(rows["t"]).as_py() or 0)
+    matrix = (ids.dictionary, ids.indices.to_numpy(), rows["t"].to_numpy(), rows["w"].to_numpy())
+    shared, margin = spark.sparkContext.broadcast(matrix), 10.0 ** -(digits or 9)
+
+    def scores(table: pa.Table, names, q, t, w, least: np.ndarray):
+        runs = pc.run_end_encode(table.column(key).combine_chunks())
+        ends = runs.run_ends.to_numpy()
+        begin, at, s = np.concatenate([[0], ends[:-1]]), table.column("t").to_numpy(), table.column("s").to_numpy()
+        step = max(16, CELLS // n_terms)
+        for i in range(0, len(ends), step):
+            a, b = begin[i], ends[min(i + step, len(ends)) - 1]
+            size = ends[i : i + step] - begin[i : i + step]
+            have = np.zeros((len(size), n_terms))
+            have[np.repeat(np.arange(len(size)), size), at[a:b]] = s[a:b]
+            for c in range(0, len(names), QUESTIONS):
+                some = (q >= c) & (q < c + QUESTIONS)
+                want = np.zeros((n_terms, min(QUESTIONS, len(names) - c)))
+                want[t[some], q[some] - c] = w[some]
+                got = have @ want
+                best = least[c : c + QUESTIONS]
+                new = np.sort(np.concatenate([best, got.T], 1), 1)[:, -k:]
+                least[c : c + QUESTIONS] = new
+                doc, question = np.nonzero((got > 0) & (got >= new[:, 0] - margin))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(question + c)), runs.values.take(pa.array(doc + i)), pa.array(got[doc, question])], ["qid", key, "score"])
+
+    def run(batches):
+        names, q, t, w = shared.value
+        least, held = np.zeros((len(names), k)), None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            runs = pc.run_end_encode(table.column(key).combine_chunks()) if table.num_rows else None
+            last = int(runs.run_ends[-2].as_py()) if runs is not None and len(runs.run_ends) > 1 else 0
+            held = table.slice(last)  # the last document may go on
+            if last:
+                yield from scores(table.slice(0, last), names, q, t, w, least)
+        if held is not None and held.num_rows:
+            yield from scores(held, names, q, t, w, least)
+
+    found = parts.select(key, "t", "s").repartition(key).sortWithinPartitions(key).mapInArrow(run, f"qid {asked.schema['qid'].dataType.simpleString()}, {key} {kind}, score double")
+    return found if digits is None else found.withColumn("score", F.round("score", digits))
 
 
 def top(scored: DataFrame, key: str, k: int, by: str | Column = "score", partition: str = "qid") -> DataFrame:
@@ -135,10 +181,9 @@ def lexical_count(words: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     return each.join(terms, "term").groupBy("qid", key).agg(F.sum("n").alias("hits"))
 
 
-def _inverse(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """``term, idf`` for TF-IDF: ln((1 + n) / (1 + df)) + 1."""
-    n = docs.agg(F.count("*").alias("_n"))
-    return df.crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))  # one row
+def _inverse(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``term, idf`` for TF-IDF: ln((1 + n) / (1 + df)) + 1; ``totals`` is one row."""
+    return df.crossJoin(F.broadcast(totals.select(F.col("n").alias("_n")))).select("term", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 
 def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -146,16 +191,19 @@ def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return counts.join(idf, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf")).drop("idf", "c")
 
 
-def tfidf_of(postings: Postings, key: str, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """``qid, key, score``: cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) between documents and
-    ``queries(qid, terms)``, where a term may stand more than once."""
-    idf = _inverse(postings.df, postings.lengths)
-    q = _weighted(queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("c")), idf).withColumnRenamed("w", "qw")
-    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qnorm"))
-    _, terms = _asked(queries)
-    counts = postings.rows.join(terms, "term").groupBy(key, "term").agg(F.sum("tf").alias("c"))
-    dot = _weighted(counts, idf).join(q, "term").groupBy("qid", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dot.join(postings.norms, key).join(qnorm, "qid").select("qid", key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits).alias("score"))
+def tfidf_of(view: View, field: str, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """The first ``k`` of each question, and some more, by cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)
+    between a field of the documents and ``queries(qid, terms)``, where a term may stand more than once."""
+    counts = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("c"))
+    asked, terms, few = _numbered(counts)
+    rows, df = view.of(terms, field)
+    idf = _inverse(df, view.totals)
+    q = _weighted(asked, idf)
+    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("qnorm"))
+    every = _inverse(view.df.where(F.col("field") == field).select("term", "df"), view.totals)
+    norms = view.norms(lambda all_: _weighted(all_.where(F.col("field") == field).select(view.key, "term", F.col("tf").alias("c")), every))
+    parts = _weighted(rows.select(view.key, "t", "term", F.col("tf").alias("c")), idf).join(norms, view.key).select(view.key, "t", (F.col("w") / F.col("norm")).alias("s"))
+    return _best(parts, q.join(qnorm, "qid").select("qid", "t", (F.col("w") / F.col("qnorm")).alias("w")), view.key, k, few, digits)
 
 
 def reciprocal_rank_fusion(key: str, *ranked: DataFrame, k: int = 60, digits: int = 6) -> DataFrame:

@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; only a local master without
-    that setting gets a temporary one."""
+def base(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local master without that setting gets a
+    temporary folder, one for the session."""
     sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
+    have = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not have:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="recollect-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-"))
+        have = sc.getCheckpointDir()
+    return have.rstrip("/")
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder there."""
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"

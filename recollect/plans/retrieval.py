@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
@@ -9,7 +11,8 @@ from recollect.operators import evaluate as E
 from recollect.operators import index as I
 from recollect.operators import rank as R
 from recollect.operators import vectors as V
-from recollect.plans.place import place
+from recollect.operators.segments import Segments, View
+from recollect.plans.place import base
 from recollect.plans.registry import query, table
 
 WORDS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2)"
@@ -46,29 +49,37 @@ def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.latin_words(F.col("text")).alias("terms"))
 
 
-_BUILT: dict[tuple, R.Postings] = {}
+FIELDS = ["title", "triggers", "body"]
 
 
-def _postings(spark, sf) -> R.Postings:
-    """The words of all documents as postings, written once a session and table for all lexical queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BUILT:
-        words = _docs(spark, sf).select("doc_id", T.latin_words(F.col("source")).alias("title"), T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))).alias("triggers"), T.latin_words(F.col("text")).alias("body"))
-        _BUILT[key] = R.Postings.build(words, "doc_id", ["title", "triggers", "body"], place(spark, "postings"))
-    return _BUILT[key]
+def _state(spark, path: str) -> str:
+    """What tells one state of a table from another: the names, sizes and times of its files."""
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    n, total = files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
 
 
-def _bodies(spark, sf) -> R.Postings:
-    """The same of the texts alone."""
-    key = (spark.sparkContext.applicationId, sf, "body")
-    if key not in _BUILT:
-        _BUILT[key] = R.Postings.build(_docs(spark, sf).select("doc_id", T.latin_words(F.col("text")).alias("body")), "doc_id", ["body"], place(spark, "postings"))
-    return _BUILT[key]
+def _index(spark, sf) -> View:
+    """The words of all documents, kept up in the shared folder: what has changed in the table since it was
+    last asked about goes in as one more segment, and nothing is read while its files are the same."""
+    path = f"{sf}/documents.parquet"
+    index = Segments(spark, f"{base(spark)}/lexical-{hashlib.sha256(path.encode()).hexdigest()[:16]}", "doc_id", FIELDS)
+    now, held = _state(spark, path), index.manifest()
+    if not held or held[-1]["source"] != now:
+        words = _docs(spark, sf).select(
+            "doc_id",
+            F.xxhash64("source", "lang", "text").cast("string").alias("mark"),
+            T.latin_words(F.col("source")).alias("title"),
+            T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))).alias("triggers"),
+            T.latin_words(F.col("text")).alias("body"),
+        )
+        index.update(words.where("doc_id is not null"), now)
+    return index.view()
 
 
 def _ranked(spark, sf, k: int, dead=None, digits: int | None = 4):
-    words = _bodies(spark, sf)
-    scored = R.bm25_of(words if dead is None else words.without("doc_id", dead), "doc_id", {"body": 1.0}, _questions(spark, sf), digits)
+    index = _index(spark, sf)
+    scored = R.bm25_of(index if dead is None else index.without(dead), {"body": 1.0}, _questions(spark, sf), k, digits)
     return R.top(scored, "doc_id", k, "score" if digits is not None else F.round("score", 9))
 
 
@@ -111,7 +122,7 @@ select qid, doc_id, score, rank from r where rank <= 3"""
 )
 def bm25_weighted_cols(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.latin_words(F.concat("text", F.lit(" src0 text"))).alias("terms"))
-    hits = R.top(R.bm25_of(_postings(spark, sf), "doc_id", {"title": 4.0, "triggers": 4.0, "body": 1.0}, asked), "doc_id", 3)
+    hits = R.top(R.bm25_of(_index(spark, sf), {"title": 4.0, "triggers": 4.0, "body": 1.0}, asked, 3), "doc_id", 3)
     return hits.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -250,7 +261,7 @@ select qid, doc_id, hits from (select *, row_number() over (partition by qid ord
 )
 def lexical_count(spark, sf):
     terms = _questions(spark, sf).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    return R.top(R.lexical_count(_bodies(spark, sf).rows, "doc_id", terms), "doc_id", 3, "hits").select("qid", "doc_id", "hits")
+    return R.top(R.lexical_count(_index(spark, sf).rows.where("field = 'body'"), "doc_id", terms), "doc_id", 3, "hits").select("qid", "doc_id", "hits")
 
 
 _TFIDF = f"""
@@ -267,7 +278,7 @@ tr as (select *, row_number() over (partition by qid order by score desc, doc_id
 
 
 def _tfidf(spark, sf, k):
-    return R.top(R.tfidf_of(_bodies(spark, sf), "doc_id", _questions(spark, sf)), "doc_id", k)
+    return R.top(R.tfidf_of(_index(spark, sf), "body", _questions(spark, sf), k), "doc_id", k)
 
 
 @query(_TFIDF + "select qid, doc_id, score from tr where rank = 1 and score >= 0.05")
