@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.operators.orders import running
+
 
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), digits)
@@ -33,22 +35,30 @@ def summary(grades: DataFrame, by: str | None = None) -> DataFrame:
     return grades.rollup(by).agg(*agg).withColumn(by, F.coalesce(F.col(by), F.lit("all")))
 
 
+def _by_score(grades: DataFrame) -> DataFrame:
+    """``score, n, r``: answers and right ones of each score that occurs."""
+    return grades.where("answered").groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("right").cast("long")).alias("r"))
+
+
+def _floor_row(floor: Column) -> list[Column]:
+    a, r = F.col("n_answered"), F.col("n_right")
+    return [floor.alias("floor"), a, r, (a - r).alias("n_wrong"), (2 * r - a).alias("points")]
+
+
 def floors(grades: DataFrame, cuts: DataFrame) -> DataFrame:
     """``floor, n_answered, n_right, n_wrong, points``: what stays answered at each floor of
-    ``cuts(floor)``. Rows are counted by score first, so the join is of distinct scores."""
-    some = grades.where("answered").groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("right").cast("int")).alias("r"))
-    met = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
-    out = cuts.join(F.broadcast(some), F.col("score") >= F.col("floor"), "left")
-    out = out.groupBy("floor").agg(F.sum(met[0]).alias("n_answered"), F.sum(met[1]).alias("n_right"))
-    return out.select("floor", F.col("n_answered").cast("long").alias("n_answered"), F.col("n_right").cast("long").alias("n_right"), (F.col("n_answered") - F.col("n_right")).cast("long").alias("n_wrong"), (2 * F.col("n_right") - F.col("n_answered")).cast("long").alias("points"))
+    ``cuts(floor)``. Cuts stand in one order with the scores, behind those they let pass, and take
+    the running sums that are there."""
+    marks = cuts.select(F.col("floor").cast("double").alias("score")).distinct().select("score", F.lit(True).alias("cut"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("r"))
+    both = _by_score(grades).select(F.col("score").cast("double").alias("score"), F.lit(False).alias("cut"), "n", "r").unionByName(marks)
+    run = running(both, [F.desc("score"), F.asc("cut")], {"n_answered": F.col("n"), "n_right": F.col("r")})
+    return run.where("cut").select(*_floor_row(F.col("score")))
 
 
 def floor_table(grades: DataFrame) -> DataFrame:
-    """The same at every score that occurs, by running sums."""
-    some = grades.where("answered").groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("right").cast("int")).alias("r"))
-    w = W.orderBy(F.desc("score"))  # one row per distinct score of a question set
-    a, r = F.sum("n").over(w), F.sum("r").over(w)
-    return some.select(F.col("score").alias("floor"), a.alias("n_answered"), r.alias("n_right"), (a - r).alias("n_wrong"), (2 * r - a).alias("points"))
+    """The same at every score that occurs."""
+    run = running(_by_score(grades), [F.desc("score")], {"n_answered": F.col("n"), "n_right": F.col("r")})
+    return run.select(*_floor_row(F.col("score")))
 
 
 def pick_floor(grades: DataFrame) -> DataFrame:
@@ -70,18 +80,18 @@ def without_dead(ranked: DataFrame, dead: DataFrame, key: str) -> DataFrame:
 def coverage_curve(grades: DataFrame, points: int = 12) -> DataFrame:
     """``n_answered, n_wrong, wrong_rate`` at ``points`` cuts, strict to loose, over answers
     in order of score (ties by question)."""
-    w = W.orderBy(F.desc("score"), "qid")  # of a question set
     some = grades.where("answered")
     total = some.agg(F.count("*").alias("total"))
-    run = some.withColumn("i", F.row_number().over(w)).withColumn("n_wrong", F.sum(F.col("wrong").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    cuts = total.select(F.explode(F.sequence(F.lit(1), F.lit(points))).alias("cut"), "total").select("cut", F.greatest(F.lit(1), F.floor(F.col("cut") * F.col("total") / points)).alias("i"))
-    return run.join(F.broadcast(cuts), "i").select("cut", F.col("i").cast("long").alias("n_answered"), F.col("n_wrong").cast("long").alias("n_wrong"), rate(F.col("n_wrong"), F.col("i")).alias("wrong_rate"))
+    run = running(some, [F.desc("score"), F.asc("qid")], {"_wrong": F.col("wrong").cast("long")})
+    cuts = total.select(F.explode(F.sequence(F.lit(1), F.lit(points))).alias("cut"), "total").select("cut", F.greatest(F.lit(1), F.floor(F.col("cut") * F.col("total") / points)).alias("at"))
+    met = run.join(F.broadcast(cuts), "at")  # as many rows as points
+    return met.select("cut", F.col("at").alias("n_answered"), F.col("_wrong").alias("n_wrong"), rate(F.col("_wrong"), F.col("at")).alias("wrong_rate"))
 
 
 def at_coverage(answers: DataFrame, n: int) -> DataFrame:
     """Only the ``n`` answers with the highest scores stay."""
-    w = W.orderBy(F.col("cited").isNull(), F.desc("score"), "qid")
-    return answers.withColumn("_i", F.row_number().over(w)).withColumn("cited", F.when(F.col("_i") <= n, F.col("cited"))).drop("_i")
+    run = running(answers, [F.col("cited").isNull().asc(), F.desc("score"), F.asc("qid")])
+    return run.withColumn("cited", F.when(F.col("at") <= n, F.col("cited"))).drop("at")
 
 
 #: Questions of which resamples are drawn on the driver, one after another, at most.
@@ -155,10 +165,12 @@ def against_matched(grades_of, answers: DataFrame, other: DataFrame) -> tuple[Da
 
 
 def percentile(values: DataFrame, column: str, q: float) -> DataFrame:
-    """An order statistic without interpolation, by rank and count."""
-    w = W.orderBy(column)
-    n = values.agg((F.floor(F.count("*") * q) + 1).alias("_at"))
-    return values.withColumn("_i", F.row_number().over(w)).join(F.broadcast(n), F.col("_i") == F.col("_at")).select(F.col(column).alias("value"))
+    """An order statistic without interpolation, by rank and count; nulls come first. Equal values are one
+    row with their number, so ties need no order."""
+    each = values.groupBy(column).agg(F.count("*").alias("_n"))
+    at = int(values.count() * q) + 1
+    run = running(each, [F.asc(column)], {"_upto": F.col("_n")})
+    return run.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_n") < at)).select(F.col(column).alias("value"))
 
 
 def captured(pairs: DataFrame, gold: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.functions import redact
+
 # States of a step, the worst first.
 SEVERITY = ["failed", "skipped", "degraded", "ok"]
 
@@ -118,9 +120,11 @@ def ledger_check(ledger: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def without_secret_hits(hits: DataFrame, secret: DataFrame) -> DataFrame:
-    """Lines ``path.md:NN: text`` whose page is not among ``secret(rel)``."""
-    page = F.regexp_extract("line", "^(.*?\\.md):\\d+:", 1)
-    return hits.withColumn("_p", page).join(secret.select(F.col("rel").alias("_p")), "_p", "left_anti").drop("_p")
+    """Lines of a search, ``path.md:NN:`` or, beside a match, ``path.md-NN-`` and text, whose page is not
+    among ``secret(rel)``, redacted; other lines are only redacted."""
+    page = F.regexp_extract("line", "^(.*?\\.md)[:-][0-9]+[:-]", 1)
+    kept = hits.withColumn("_p", page).join(secret.select(F.col("rel").alias("_p")).distinct(), "_p", "left_anti").drop("_p")
+    return kept.withColumn("line", redact.redact(F.col("line")))
 
 
 def pending_days(days: DataFrame, stubs: DataFrame) -> DataFrame:

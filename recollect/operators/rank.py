@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.functions import redact
+from recollect.functions import text as T
 from recollect.operators.index import boost
 from recollect.operators.segments import View
 
 K1, B = 1.2, 0.75
+#: What ends a line.
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 #: Rows of query terms up to which they are sent to every task.
 BROADCAST_TERMS = 200_000
 #: Cells of a block of documents by terms, and questions that it is multiplied with at once.
@@ -214,13 +218,17 @@ def reciprocal_rank_fusion(key: str, *ranked: DataFrame, k: int = 60, digits: in
     return both.groupBy("qid", key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), digits).alias("score"))
 
 
-def best_lines(docs: DataFrame, key: str, text: Column, terms: DataFrame, k: int = 3, width: int = 160) -> DataFrame:
-    """``qid, key, line_no, line``: the lines of ``docs(qid, key)`` that hold most of the
-    question's words (``terms(qid, terms)``), in line order, cut to ``width``."""
-    lines = docs.join(terms, "qid").select("qid", key, "terms", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower("line"), t)))
-    w = W.partitionBy("qid", key).orderBy(F.desc("n"), "line_no")
-    return lines.withColumn("n", hits).where("n > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("qid", key, "line_no", F.substring("line", 1, width).alias("line"), F.col("n").alias("hits"))
+def best_lines(docs: DataFrame, key: str, text: Column, terms: DataFrame, k: int = 3, width: int = 160, secret: Column | None = None) -> DataFrame:
+    """``qid, key, line_no, line, hits``: the ``k`` lines of ``docs(qid, key, ..)`` whose tokens hold most of
+    ``terms(qid, terms)``, the earlier one of equals, from line 1 on; redacted, then cut to ``width``. Of
+    ``secret`` pages there are none."""
+    open_ = docs if secret is None else docs.where(~F.coalesce(secret, F.lit(False)))
+    lines = open_.join(terms, "qid").select("qid", key, "terms", F.posexplode(F.split(text, LINE_END)).alias("_at", "line"))
+    hits = T.let(T.tokens(F.col("line")), lambda have: F.size(F.filter("terms", lambda t: F.array_contains(have, t))))
+    w = W.partitionBy("qid", key).orderBy(F.desc("hits"), "_at")
+    first = lines.withColumn("hits", hits).where("hits > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    shown = F.substring(redact.redact(F.regexp_replace("line", "^\\s+|\\s+$", "")), 1, width)
+    return first.select("qid", key, (F.col("_at") + 1).alias("line_no"), shown.alias("line"), "hits")
 
 
 def literal_context(docs: DataFrame, key: str, text: Column, needle: str, per_doc: int = 4) -> DataFrame:

@@ -73,14 +73,14 @@ class View(NamedTuple):
     def norms(self, weighted) -> DataFrame:
         """``key, norm``, written once a version: the length of each document's vector of ``weighted(rows)``."""
         spark, at = self.rows.sparkSession, f"{self.path}/norms/version={self.version}"
-        have = _table(spark, at)
+        have = written(spark, at)
         if have is None:
             weighted(self.rows).groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).write.mode("overwrite").parquet(at)
             have = spark.read.parquet(at)
         return have
 
 
-def _table(spark: SparkSession, path: str, schema: StructType | None = None, parts: list[str] | None = None) -> DataFrame | None:
+def written(spark: SparkSession, path: str, schema: StructType | None = None, parts: list[str] | None = None) -> DataFrame | None:
     """A table, or some of its parts; None if it was never written."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
@@ -119,7 +119,7 @@ class Segments:
         """A table, of some rounds; no rows if nothing was ever written."""
         schema = StructType.fromDDL(self.schema[name])
         none = rounds == []
-        have = None if none else _table(self.spark, f"{self.path}/{name}", schema, None if rounds is None else [f"round={r}" for r in rounds])
+        have = None if none else written(self.spark, f"{self.path}/{name}", schema, None if rounds is None else [f"round={r}" for r in rounds])
         if have is None and rounds:
             raise FileNotFoundError(f"{self.path}/{name} lacks one of the rounds {rounds}")
         return self.spark.createDataFrame([], schema) if have is None else have

@@ -16,49 +16,44 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k:
     """``qid, key, score, rank``: the ``k`` nearest rows by cosine to each of
     ``queries(qid, vector)``, itself left out if ``qid`` is the key; ties by key.
 
-    Queries are packed to blocks of bounded size; each batch of rows meets each block in one
-    matrix product and hands on its best ``k``, so a row's vector is never shuffled."""
-    n = queries.count()
-    blocks = queries.select("qid", F.col(vector).cast("array<double>").alias("v")).where("v is not null").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // BLOCK)))))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("qid", "v")).alias("q"))
+    Queries are sent to the rows in blocks of about ``BLOCK``; each batch of rows meets a block in one
+    matrix product and hands on its best ``k``, so a row's vector is never shuffled, whatever the
+    number of queries."""
+    sc = vectors.sparkSession.sparkContext
+    asked = queries.select("qid", F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n = max(1, -(-asked.count() // BLOCK))
     rows = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
-    shared = packed.select("q").collect() if n <= BLOCK else None
-    if shared is not None:  # one block: every task gets it
-        pairs = rows
-        known = vectors.sparkSession.sparkContext.broadcast([([r["qid"] for r in s["q"]], np.array([r["v"] for r in s["q"]])) for s in shared])
-    else:
-        pairs, known = rows.groupBy(F.pmod(F.xxhash64("_key"), F.lit(max(1, rows.count() // 4096)))).agg(F.collect_list(F.struct("_key", "_v")).alias("rows")).crossJoin(packed.select("q")), None
 
     def unit(x):
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n == 0, 1, n)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size == 0, 1, size)
 
-    def best(ids, x, qids, q):
-        s = np.round(unit(q) @ unit(x).T, digits)
-        out = []
-        ids = np.array(ids)
-        for i, qid in enumerate(qids):
-            order = np.lexsort((ids, -s[i]))[: k + 1]
-            out += [(qid, int(ids[j]), float(s[i, j])) for j in order if ids[j] != qid and (floor is None or s[i, j] >= floor)]
-        return out
+    def near(known):
+        def run(batches):
+            for batch in batches:
+                qids, q = known.value
+                found = [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+                if batch.num_rows and len(qids):
+                    ids = batch.column("_key").to_numpy()
+                    s = np.round(q @ unit(batch.column("_v").flatten().to_numpy().reshape(batch.num_rows, -1)).T, digits)
+                    s[qids[:, None] == ids[None, :]] = -np.inf
+                    for i, qid in enumerate(qids):
+                        order = np.lexsort((ids, -s[i]))[:k]
+                        order = order[np.isfinite(s[i, order]) & (s[i, order] >= (-np.inf if floor is None else floor))]
+                        found.append((np.full(len(order), qid), ids[order], s[i, order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["qid", key, "score"])
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            if known is not None:
-                v = batch.column("_v")
-                if batch.num_rows:
-                    x = v.flatten().to_numpy().reshape(batch.num_rows, -1)
-                    for qids, q in known.value:
-                        out += best(batch.column("_key").to_pylist(), x, qids, q)
-            else:
-                for r in batch.to_pylist():
-                    out += best([a["_key"] for a in r["rows"]], np.array([a["_v"] for a in r["rows"]]), [a["qid"] for a in r["q"]], np.array([a["v"] for a in r["q"]]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["qid", key, "score"])
+        return rows.mapInArrow(run, f"qid long, {key} long, score double")
 
-    near = pairs.mapInArrow(run, f"qid long, {key} long, score double")
+    pairs = None
+    for b in range(n):
+        got = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b).toArrow()
+        ids = got["qid"].to_numpy().astype(np.int64)
+        block = unit(got["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)) if len(ids) else np.empty((0, 0))
+        some = near(sc.broadcast((ids, block)))
+        pairs = some if pairs is None else pairs.unionByName(some)
     w = W.partitionBy("qid").orderBy(F.desc("score"), key)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def decide(lexical: DataFrame, dense: DataFrame, rule: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recollect.functions import digest, frontmatter, redact, text as T
 from recollect.operators import cards as C
 from recollect.operators import index as I
+from recollect.operators import literal as literal_
 from recollect.operators import lock as L
 from recollect.operators import rank as R
 from recollect.plans.place import place
@@ -23,9 +24,7 @@ STRONG, WORDNESS, SCORE_MIN, SINGLE_SCORE, SMALL, CANDIDATES = 0.5, 0.12, 8.5, 2
 RARE, ALIEN, OUTSIDE = 30, 2, 2
 FIELDS = {"title": 4.0, "triggers": 4.0, "body": 1.0, "uni": 0.0}
 #: The layout of the tables: another one means all of them are made anew.
-VERSION = "recollect-2"
-#: Questions whose words one scan of the pages looks for at once, at most.
-LITERAL = 10_000
+VERSION = "recollect-3"
 
 
 @dataclass
@@ -54,6 +53,7 @@ class Index:
     vocabulary: DataFrame
     n: int
     pages: DataFrame
+    grams: literal_.Grams
 
     @classmethod
     def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None, path: str | None = None, cards: DataFrame | None = None) -> Index:
@@ -79,6 +79,7 @@ class Index:
         rows = spark.read.parquet(f"{path}/rows")
         words = F.array_distinct(F.concat("title", "triggers", "body", "uni"))
         I.vocabulary(rows, "rel", words).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        literal_.Grams.build(held.join(rows.select("rel"), "rel", "left_semi"), "rel", F.col("content"), f"{path}/grams")
         spark.createDataFrame([(VERSION,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
         return cls.load(spark, path)
 
@@ -86,7 +87,7 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         rows = spark.read.parquet(f"{path}/rows")
         pages = spark.read.parquet(f"{path}/pages").join(rows.select("rel"), "rel", "left_semi")
-        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count(), pages.select("rel", "content"))
+        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count(), pages.select("rel", "content"), literal_.Grams.load(spark, f"{path}/grams", "rel"))
 
     @classmethod
     def current(cls, pages: DataFrame, prefixes: list[tuple[str, str]], path: str, triggers: DataFrame | None = None, cards: DataFrame | None = None) -> Index:
@@ -110,7 +111,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _purge(spark: SparkSession, path: str) -> None:
     """The version first, so that what is left of an interrupted purge is never taken for whole."""
-    for name in ("version", "pages", "rows", "vocabulary"):
+    for name in ("version", "pages", "rows", "vocabulary", "grams"):
         fs, target = _folder(spark, f"{path}/{name}")
         if fs.exists(target):
             fs.delete(target, True)
@@ -209,39 +210,11 @@ def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None
     return out.unionByName(none)
 
 
-def literal(index: Index, questions: DataFrame, scope: str | None = None, per_page: int = 24) -> DataFrame:
-    """``qid, rel, line_no, line``: lines that hold a whole question, in any case, the first ones of a
-    page. One scan of the pages looks for all questions (at most ``LITERAL``) at once."""
-    asked = questions.select("qid", F.lower(F.trim("q")).alias("q")).where("q <> ''").limit(LITERAL + 1).collect()
-    if len(asked) > LITERAL:
-        raise ValueError(f"a batch of refused questions holds up to {LITERAL}")
-    needles: dict[str, list] = {}
-    for r in asked:
-        needles.setdefault(r.q, []).append(r.qid)
-    kind = questions.schema["qid"].dataType.simpleString()
+def literal(index: Index, questions: DataFrame, scope: str | None = None, per_page: int = literal_.PER_PAGE, lines: int = literal_.LINES) -> DataFrame:
+    """``qid, rel, line_no, line, hit, truncated``: lines that hold a whole question, in any case, and one line
+    around them. Pages that the question's rarest trigrams do not name are not read."""
     pages = index.pages if scope is None else index.pages.where((F.col("rel") == scope) | F.col("rel").startswith(f"{scope}/"))
-
-    def find(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        words = ahocorasick.Automaton()
-        for q in needles:
-            words.add_word(q, q)
-        if needles:
-            words.make_automaton()
-        schema = None
-        for batch in batches:
-            found = []
-            for rel, content in zip(*(batch.column(c).to_pylist() for c in ("rel", "content"))):
-                for no, line in enumerate((content or "").split("\n") if needles else []):
-                    for q in {q for _, q in words.iter(line.lower())}:
-                        found += [(qid, rel, no, line) for qid in needles[q]]
-            schema = schema or pa.schema([("qid", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("rel", pa.string()), ("line_no", pa.int32()), ("line", pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    hits = pages.mapInArrow(find, f"qid {kind}, rel string, line_no int, line string")
-    return hits.withColumn("_r", F.row_number().over(W.partitionBy("qid", "rel").orderBy("line_no"))).where(F.col("_r") <= per_page).drop("_r")
+    return literal_.found(index.grams, pages, F.col("content"), questions.select("qid", F.trim("q").alias("needle")), per_page, lines)
 
 
 def widened(index: Index, questions: DataFrame, scope: str, limit: int = 3) -> DataFrame:

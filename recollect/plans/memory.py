@@ -166,7 +166,7 @@ def _lead(pattern: str, end: str = "") -> str:
 _PIECE = "len(list_filter(regexp_split_to_array(m, '[-_./]'), lambda p: length(p) >= 16 and len(regexp_extract_all(p, '[A-Za-z]')) >= 2 and len(regexp_extract_all(p, '[0-9]')) >= 2)) > 0"
 _MIXED = f"not regexp_matches(m, '(?i)^sha(?:1|256|384|512)[-:]') and not regexp_full_match(replace(m, '-', ''), '[0-9a-fA-F]+') and not regexp_matches(m, '^(?:/|~/|\\./|\\.\\./|[A-Za-z][A-Za-z0-9+.-]*://)') and not regexp_matches(m, '\\.[A-Za-z][A-Za-z0-9]{{0,5}}$') and {_PIECE}"
 _VALUE = lambda p: f"regexp_extract(m, '{p}', 2)"
-_REDACTED = f"""with r1 as (select doc_id, {_judged("text", _SQL_CONN, f"not regexp_matches({_VALUE(_SQL_CONN)}, '{_SQL_PLAIN}')", _lead(_SQL_CONN, "@"))} as t from documents),
+REDACTED = f"""r1 as (select doc_id, {_judged("text", _SQL_CONN, f"not regexp_matches({_VALUE(_SQL_CONN)}, '{_SQL_PLAIN}')", _lead(_SQL_CONN, "@"))} as t from documents),
 r2 as (select doc_id, {_judged("t", _SQL_QUERY, _hidden(_VALUE(_SQL_QUERY)), _lead(_SQL_QUERY))} as t from r1),
 r3 as (select doc_id, {_judged("t", _SQL_ASSIGN, _hidden(_VALUE(_SQL_ASSIGN)), _lead(_SQL_ASSIGN))} as t from r2),
 r4 as (select doc_id, regexp_replace(regexp_replace(t, '(^|[^A-Za-z0-9])(?:{_SQL_KNOWN})', '\\1<redacted>', 'g'), '(?i)\\b(bearer\\s+)[A-Za-z0-9._~+/=-]{{16,}}', '\\1<redacted>', 'g') as t from r3),
@@ -180,7 +180,7 @@ def redact_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha1(X.redact_labelled(F.col("text")).cast("binary")).alias("sha"))
 
 
-@query(_REDACTED + "select doc_id, ((length(t) - length(replace(t, '<redacted>', ''))) / 10)::int as n_redacted, sha1(t) as sha from r5")
+@query("with " + REDACTED + "select doc_id, ((length(t) - length(replace(t, '<redacted>', ''))) / 10)::int as n_redacted, sha1(t) as sha from r5")
 def redact_full(spark, sf):
     """All passes."""
     text = X.redact(F.col("text"))
@@ -318,11 +318,8 @@ def prompt_cost(spark, sf):
     from recollect.plans import nightly
 
     rows = table(spark, sf, "conversations").select("role", F.struct("conv_id", "turn").alias("k"), "text")
-    out = None
-    for role in ("system", "user", "assistant"):
-        one = nightly.cost(nightly.batches(rows.where(F.col("role") == role), "k", "text", 6, 1)).select(F.lit(role).alias("role"), "calls", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = nightly.cost(nightly.batches(rows, "k", "text", 6, "role"), "role")
+    return out.select("role", "calls", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"))
 
 
 # ------------------------------------------------------------------ the engine

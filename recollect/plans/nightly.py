@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.operators.orders import running
 from recollect.operators.quality import SEVERITY
 
 
@@ -16,15 +17,16 @@ class NoModel(Exception):
     """No model is there to answer; the step is skipped."""
 
 
-def batches(rows: DataFrame, key: str, text: str, size: int = 6, parts: int = 64) -> DataFrame:
-    """``batch, prompt``: texts joined in batches of ``size``. Rows are numbered within hashed
-    parts, so that no task orders them all."""
-    from pyspark.sql import Window as W
-
-    p = F.pmod(F.xxhash64(key), F.lit(parts))
-    n = rows.withColumn("_p", p).withColumn("_b", F.floor((F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1) / size))
+def batches(rows: DataFrame, key: str, text: str, size: int = 6, by: str | None = None) -> DataFrame:
+    """``batch, prompt, n``: texts joined in batches of ``size`` in the order of ``key``, of each ``by``. Rows are
+    numbered over ranges of the order, so no task sees them all."""
+    over = [by] if by else []
+    run = running(rows.select(*over, key, text), [F.asc(c) for c in [*over, key]])
+    first = run.groupBy(*over).agg(F.min("at").alias("_first"))
+    run = run.join(first, by) if by else run.withColumn("_first", F.lit(1))
+    n = run.withColumn("batch", F.floor((F.col("at") - F.col("_first")) / size))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))), lambda x: x["t"]), "\n\n")
-    return n.groupBy("_p", "_b").agg(joined.alias("prompt"), F.count("*").alias("n")).select(F.concat_ws("-", "_p", "_b").alias("batch"), "prompt", "n")
+    return n.groupBy(*over, "batch").agg(joined.alias("prompt"), F.count("*").alias("n"))
 
 
 def complete(prompts: DataFrame, model: Callable[[pd.Series], pd.Series] | None) -> DataFrame:
@@ -52,9 +54,9 @@ def adapter(questions: DataFrame, system: Callable[[pd.DataFrame], pd.DataFrame]
     return questions.mapInPandas(run, f"qid {dict(questions.dtypes)['qid']}, cited string, score double")
 
 
-def cost(prompts: DataFrame) -> DataFrame:
-    """A dry run: calls, characters and about how many tokens."""
-    return prompts.agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias("chars"), F.ceil(F.coalesce(F.sum(F.length("prompt")), F.lit(0)) / 1.6).alias("tokens"))
+def cost(prompts: DataFrame, by: str | None = None) -> DataFrame:
+    """A dry run, of each ``by``: calls, characters and about how many tokens."""
+    return prompts.groupBy(*([by] if by else [])).agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias("chars"), F.ceil(F.coalesce(F.sum(F.length("prompt")), F.lit(0)) / 1.6).alias("tokens"))
 
 
 def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[], str]]]) -> DataFrame:

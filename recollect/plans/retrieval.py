@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 from recollect.operators import evaluate as E
 from recollect.operators import index as I
+from recollect.operators import literal as L
 from recollect.operators import rank as R
 from recollect.operators import vectors as V
-from recollect.operators.segments import Segments, View
+from recollect.operators.segments import Segments, View, written
+from recollect.plans.memory import REDACTED
 from recollect.plans.place import base
 from recollect.plans.registry import query, table
 
@@ -77,6 +79,13 @@ def _index(spark, sf) -> View:
     return index.view()
 
 
+def _grams(spark, sf, docs) -> L.Grams:
+    """Their trigrams, of the table as it stands."""
+    path = f"{sf}/documents.parquet"
+    at = f"{base(spark)}/grams-{hashlib.sha256((path + _state(spark, path)).encode()).hexdigest()[:16]}"
+    return L.Grams.load(spark, at, "doc_id") if written(spark, f"{at}/df") is not None else L.Grams.build(docs, "doc_id", F.col("text"), at)
+
+
 def _ranked(spark, sf, k: int, dead=None, digits: int | None = 4):
     index = _index(spark, sf)
     scored = R.bm25_of(index if dead is None else index.without(dead), {"body": 1.0}, _questions(spark, sf), k, digits)
@@ -303,19 +312,26 @@ def rrf_fusion(spark, sf):
     return R.top(fused, "doc_id", 3).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 1)"
+
+
 @query(
     f"""
 with q as (select item_id as qid, list_distinct({WORDS.format("text")}) as terms from benchmark),
 {_BM25.format(words=WORDS.format("d.text"), qwords=WORDS.format("text"), dead="").strip().removeprefix("with").replace("q as (select distinct", "qq as (select distinct").replace("join q using", "join qq using").replace("from q)", "from qq)")},
-l as (select qid, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from r join documents using (doc_id) where rank = 1),
-h as (select qid, doc_id, line_no, line, len(list_filter(terms, lambda t: contains(lower(line), t))) as hits from l join q using (qid)),
-o as (select *, row_number() over (partition by qid, doc_id order by hits desc, line_no) as k from h where hits > 0)
-select qid, doc_id, line_no::int as line_no, substring(line, 1, 160) as line, hits::int as hits from o where k <= 3"""
+l as (select qid, r.doc_id as page, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\x{{2028}}\\x{{2029}}]')) as line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\x{{2028}}\\x{{2029}}]'), 1) as line_no from r join documents using (doc_id) left join labels using (doc_id) where rank = 1 and coalesce(toxic, 0) = 0),
+h as (select qid, page, line_no, trim(line, ' ' || chr(9) || chr(11) || chr(12)) as text, len(list_filter(terms, lambda t: list_contains({_TOKENS.format("line")}, t))) as hits from l join q using (qid)),
+o as (select *, row_number() over (partition by qid, page order by hits desc, line_no) as k from h where hits > 0),
+k as (select *, row_number() over () as doc_id from o where k <= 3),
+{REDACTED.replace("from documents", "from k")}
+select qid, page as doc_id, line_no::int as line_no, substring(t, 1, 160) as line, hits::int as hits from k join r5 using (doc_id)"""
 )
 def best_lines(spark, sf):
+    """Of the first hits' pages, but of those marked as toxic, as if they were secret."""
     hits = _ranked(spark, sf, 1).select("qid", "doc_id").join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+    hits = hits.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     terms = _questions(spark, sf).select("qid", F.array_distinct("terms").alias("terms"))
-    return R.best_lines(hits, "doc_id", F.col("text"), terms)
+    return R.best_lines(hits, "doc_id", F.col("text"), terms, secret=F.col("toxic") == 1)
 
 
 @query(
@@ -329,6 +345,33 @@ def literal_context(spark, sf):
     return R.literal_context(_docs(spark, sf), "doc_id", F.col("text"), "licensed under")
 
 
+@query(
+    """
+with n as (select 'b' || item_id as qid, lower(trim(substring(text, 11, 30))) as needle from benchmark union all select 'd' || doc_id, lower(trim(substring(text, 1, 25))) from documents where doc_id % 100 = 0
+union all select 's' || (item_id % 7), lower(substring(text, 1 + (item_id % 5)::int, (1 + item_id % 2)::int)) || '#' from benchmark),
+q as (select distinct qid, needle from n where needle <> '' and not contains(needle, chr(10))),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+f as (select qid, needle, doc_id, line_no, row_number() over (partition by qid, needle, doc_id order by line_no) as r from l join q on contains(lower(line), needle)),
+a as (select qid, needle, doc_id, line_no + o as line_no, bool_or(o = 0) as hit from f, (select unnest([-1, 0, 1]) as o) where r <= 4 group by all),
+s as (select qid, needle, doc_id, line_no, hit, line, row_number() over (partition by qid, needle order by doc_id, line_no) as k, count(*) over (partition by qid, needle) as n from a join l using (doc_id, line_no))
+select qid, needle, doc_id, line_no::int as line_no, hit, length(line)::int as n_chars, n > 24 as truncated from s where k <= 24"""
+)
+def literal_search(spark, sf):
+    """Fragments of questions and of a hundredth of the documents, and needles of two or three characters, in
+    all documents."""
+    some = table(spark, sf, "benchmark")
+    needles = some.select(F.concat(F.lit("b"), "item_id").alias("qid"), F.trim(F.substring("text", 11, 30)).alias("needle"))
+    needles = needles.unionByName(_docs(spark, sf).where("doc_id % 100 = 0").select(F.concat(F.lit("d"), "doc_id").alias("qid"), F.trim(F.substring("text", 1, 25)).alias("needle")))
+    cut = F.substring(F.col("text"), 1 + F.col("item_id") % 5, 1 + F.col("item_id") % 2)
+    needles = needles.unionByName(some.select(F.concat(F.lit("s"), F.col("item_id") % 7).alias("qid"), F.concat(cut, F.lit("#")).alias("needle")))
+    docs = _docs(spark, sf)
+    grams = _grams(spark, sf, docs)
+    # A question may have several needles here, so each has a name of its own.
+    named = needles.select(F.struct("qid", F.lower("needle").alias("needle")).alias("qid"), "needle")
+    hits = L.found(grams, docs, F.col("text"), named)
+    return hits.select("qid.qid", "qid.needle", "doc_id", F.col("line_no").cast("int").alias("line_no"), "hit", F.length("line").alias("n_chars"), "truncated")
+
+
 @query(
     """
 with t as (select item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as f from benchmark),
