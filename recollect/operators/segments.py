@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from recollect.operators.index import snapshot_diff
 
 #: Parts by term and by key; a larger index takes more.
-BUCKETS, SLOTS = 32, 8
+BUCKETS, SLOTS = 32, 16
 #: A segment is merged with the later ones once these have a half of its postings.
 SHARE = 0.5
 #: Keys and terms up to which they are sent to every task.
@@ -158,14 +158,15 @@ class Segments:
         return View(rows, totals, df, self._alive("documents", segments).drop("round", "slot", "terms"), self.key, self.fields, self.buckets, self.path, max([s["version"] for s in segments], default=0))
 
     # ------------------------------------------------------------ rounds
-    def update(self, docs: DataFrame, source: str = "") -> dict[str, int]:
+    def update(self, docs: DataFrame, source: str = "", tokens: dict[str, Column] | None = None) -> dict[str, int]:
         """Make the index that of the snapshot ``docs(key, mark, <fields>)``: a document has changed when its
-        ``mark`` has. Token arrays are worked out for new and changed ones only. Returns how many were
-        added, changed and removed; ``source`` is kept as the name of what was read."""
+        ``mark`` has. ``tokens`` makes the token arrays of the fields from other columns, for new and
+        changed documents only and after these are dealt to all tasks. Returns how many were added,
+        changed and removed; ``source`` is kept as the name of what was read."""
         segments = self.manifest()
         old = self._alive("documents", segments).select(self.key, "mark")
         diff = snapshot_diff(old, docs.select(self.key, "mark"), self.key, ["mark"])
-        return self._round(segments, docs, diff, source)
+        return self._round(segments, docs, diff, source, tokens)
 
     def apply(self, docs: DataFrame, removed: DataFrame | None = None, source: str = "") -> dict[str, int]:
         """One batch of new versions of some documents, and keys to be ``removed``; others stay. A batch
@@ -178,7 +179,7 @@ class Segments:
         new = docs.select(self.key, "mark")
         return self._round(segments, docs, snapshot_diff(old, new, self.key, ["mark"]), source)
 
-    def _round(self, segments: list, docs: DataFrame, diff: DataFrame, source: str) -> dict[str, int]:
+    def _round(self, segments: list, docs: DataFrame, diff: DataFrame, source: str, tokens: dict[str, Column] | None = None) -> dict[str, int]:
         number = self._next()
         diff.where("state <> 'unchanged'").write.mode("overwrite").parquet(f"{self.path}/changes/round={number}")
         changes = self.spark.read.parquet(f"{self.path}/changes/round={number}").drop("round")
@@ -187,7 +188,7 @@ class Segments:
         if not n and segments and segments[-1]["source"] == source:
             return told
         put, out = changes.where("state <> 'removed'").select(self.key), changes.where("state <> 'added'").select(self.key)
-        sums = self._write(number, docs.join(F.broadcast(put) if sum(n.values()) <= FEW_KEYS else put, self.key, "left_semi"))
+        sums = self._write(number, docs.join(F.broadcast(put) if sum(n.values()) <= FEW_KEYS else put, self.key, "left_semi"), tokens or {})
         n_gone = told["changed"] + told["removed"]
         if n_gone:
             out.write.mode("overwrite").parquet(f"{self.path}/gone/round={number}")
@@ -207,7 +208,7 @@ class Segments:
     def _slot(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.slots)).cast("int")
 
-    def _write(self, number: int, docs: DataFrame) -> dict[str, int]:
+    def _write(self, number: int, docs: DataFrame, tokens: dict[str, Column]) -> dict[str, int]:
         """The tables of new documents, tokenised once; their numbers."""
         at = f"{self.path}/documents/round={number}"
         sizes = [F.size(f).cast("long").alias(f"n_{f}") for f in self.fields]
@@ -216,12 +217,15 @@ class Segments:
             return F.transform(F.col(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 
         terms = F.flatten(F.array(*map(named, self.fields)))
-        rows = docs.select(self.key, "mark", *sizes, terms.alias("terms"), self._slot().alias("slot"))
-        rows.repartition(self.slots, "slot").write.mode("overwrite").partitionBy("slot").parquet(at)
+        dealt = docs.withColumn("slot", self._slot()).repartitionById(self.slots, F.col("slot"))
+        rows = dealt.select(self.key, "mark", "slot", *[tokens.get(f, F.col(f)).alias(f) for f in self.fields]).select(self.key, "mark", *sizes, terms.alias("terms"), "slot")
+        rows.write.mode("overwrite").partitionBy("slot").parquet(at)
         held = self.spark.read.schema(StructType.fromDDL(self.schema["documents"])).option("basePath", f"{self.path}/documents").parquet(at)
         lens = [f"n_{f}" for f in self.fields]
-        counted = held.select(self.key, *lens, F.explode("terms").alias("t")).groupBy(self.key, *lens, "t.term", "t.field").agg(F.count("*").alias("tf"))
-        counted = counted.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", self.key)
+        # By key, so that a document's terms are counted where they are.
+        long = held.select(self.key, *lens, "terms").repartition(self.key).select(self.key, *lens, F.explode("terms").alias("t"))
+        counted = long.groupBy(self.key, *lens, "t.term", "t.field").agg(F.count("*").alias("tf"))
+        counted = counted.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term", self.key)
         counted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/round={number}")
         written = self._read("postings", [number])
         self._frequencies(written, number, 1, "overwrite")
@@ -229,10 +233,11 @@ class Segments:
 
     def _frequencies(self, rows: DataFrame, number: int, sign: int, mode: str) -> None:
         """Of ``rows(key, field, term)``: in how many documents a term stands, in each field and in any."""
-        each = rows.groupBy("term", self.key).agg(F.collect_set("field").alias("f"))
-        fields = F.explode(F.concat("f", F.array(F.lit(ANY)))).alias("field")
-        df = each.select("term", fields).groupBy("term", "field").agg((sign * F.count("*")).alias("df"))
-        df.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartition(self.buckets, "bucket").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/frequencies/round={number}")
+        bit = F.element_at(F.create_map(*[x for i, f in enumerate(self.fields) for x in (F.lit(f), F.lit(1 << i))]), F.col("field"))
+        each = rows.select("term", self.key, bit.alias("bit")).groupBy("term", self.key).agg(F.bit_or("bit").alias("in"))
+        stands = F.array(F.lit(ANY), *[F.when(F.col("in").bitwiseAND(1 << i) > 0, F.lit(f)) for i, f in enumerate(self.fields)])
+        df = each.select("term", F.explode(F.array_compact(stands)).alias("field")).groupBy("term", "field").agg((sign * F.count("*")).alias("df"))
+        df.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartitionById(self.buckets, F.col("bucket")).write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/frequencies/round={number}")
 
     # ------------------------------------------------------------ merging
     def _compact(self) -> None:
@@ -250,11 +255,11 @@ class Segments:
         old, keep = segments[start:], segments[:start]
         number, rounds = self._next(), [s["round"] for s in old]
         rows = self._alive("postings", old).drop("round")
-        rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/round={number}")
+        rows.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "term", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/round={number}")
         docs = self._alive("documents", old).drop("round")
-        docs.repartition(self.slots, "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/documents/round={number}")
+        docs.repartitionById(self.slots, F.col("slot")).write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/documents/round={number}")
         df = self._read("frequencies", rounds).groupBy("bucket", "term", "field").agg(F.sum("df").alias("df")).where("df <> 0")
-        df.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/frequencies/round={number}")
+        df.repartitionById(self.buckets, F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/frequencies/round={number}")
         # Marks still hold for what is older.
         marks = 0
         if keep and any(s["gone"] for s in old):

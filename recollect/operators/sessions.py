@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.plans.place import place
+
 
 def turns(messages: DataFrame, session: str, order: str, is_ask: Column, is_answer: Column, text: str) -> DataFrame:
     """``session, turn_no, ask, answer``: each ask opens a turn, whose answer is the last
@@ -156,3 +158,35 @@ def current_run(days: DataFrame, keys: list[str], day: str, through: str) -> Dat
     """``keys, n_days``: the length of the run that ends on ``through``, 0 without one."""
     runs = streaks(days, keys, day).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("last_day") == F.lit(through).cast("date"), F.col("n_days"))), F.lit(0)).alias("n_days"))
     return runs
+
+
+def slug_paths(slugs: DataFrame, folders: DataFrame, mark: str = "-") -> DataFrame:
+    """``slug, path``: the folder that a name was made from by putting ``mark`` for each slash, among
+    ``folders(path)``. A name may hold the mark itself, so there may be several: the one whose first name is the
+    longest counts, then whose second is, and so on; empty if there is none.
+
+    Places reached so far meet the folders below them by an equality join, a level of folders a round."""
+    parts = F.filter(F.split("slug", mark), lambda x: x != "")
+    below = folders.where("path <> '/'").select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("at"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).distinct()
+    below = _kept(below, "folders")
+    asked = slugs.select("slug").where("slug is not null").distinct().select("slug", parts.alias("parts"))
+    front = _kept(asked.select("slug", "parts", F.lit("").alias("at"), F.array().cast("array<int>").alias("sizes")), "front")
+    done = None
+    while True:
+        i = F.aggregate("sizes", F.lit(0), lambda s, x: s + x)
+        here = front.withColumn("i", i)
+        ended = here.where(F.col("i") == F.size("parts")).select("slug", "sizes", F.when(F.col("at") == "", "/").otherwise(F.col("at")).alias("path"))
+        done = ended if done is None else done.unionByName(ended)
+        names = here.where(F.col("i") < F.size("parts")).select("slug", "parts", "at", "sizes", "i", F.explode(F.sequence(F.lit(1), F.size("parts") - F.col("i"))).alias("n"))
+        names = names.withColumn("name", F.array_join(F.slice("parts", F.col("i") + 1, F.col("n")), mark))
+        front = _kept(names.join(below, ["at", "name"]).select("slug", "parts", F.concat("at", F.lit("/"), "name").alias("at"), F.concat("sizes", F.array("n")).alias("sizes")), "front")
+        if front.isEmpty():
+            best = done.groupBy("slug").agg(F.max_by("path", "sizes").alias("path"))
+            return asked.select("slug").join(best, "slug", "left").select("slug", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back, so that rounds do not carry the plans of earlier ones."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

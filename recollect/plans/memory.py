@@ -318,7 +318,7 @@ def prompt_cost(spark, sf):
     from recollect.plans import nightly
 
     rows = table(spark, sf, "conversations").select("role", F.struct("conv_id", "turn").alias("k"), "text")
-    out = nightly.cost(nightly.batches(rows, "k", "text", 6, "role"), "role")
+    out = nightly.cost(nightly.batches(rows, "k", "text", 6, by="role"), "role")
     return out.select("role", "calls", F.col("chars").cast("long").alias("chars"), F.col("tokens").cast("long").alias("tokens"))
 
 

@@ -17,11 +17,11 @@ class NoModel(Exception):
     """No model is there to answer; the step is skipped."""
 
 
-def batches(rows: DataFrame, key: str, text: str, size: int = 6, by: str | None = None) -> DataFrame:
+def batches(rows: DataFrame, key: str, text: str, size: int = 6, parts: int | None = None, by: str | None = None) -> DataFrame:
     """``batch, prompt, n``: texts joined in batches of ``size`` in the order of ``key``, of each ``by``. Rows are
-    numbered over ranges of the order, so no task sees them all."""
+    numbered over ``parts`` ranges of the order, so no task sees them all."""
     over = [by] if by else []
-    run = running(rows.select(*over, key, text), [F.asc(c) for c in [*over, key]])
+    run = running(rows.select(*over, key, text), [F.asc(c) for c in [*over, key]], parts=parts)
     first = run.groupBy(*over).agg(F.min("at").alias("_first"))
     run = run.join(first, by) if by else run.withColumn("_first", F.lit(1))
     n = run.withColumn("batch", F.floor((F.col("at") - F.col("_first")) / size))

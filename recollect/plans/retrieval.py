@@ -68,14 +68,9 @@ def _index(spark, sf) -> View:
     index = Segments(spark, f"{base(spark)}/lexical-{hashlib.sha256(path.encode()).hexdigest()[:16]}", "doc_id", FIELDS)
     now, held = _state(spark, path), index.manifest()
     if not held or held[-1]["source"] != now:
-        words = _docs(spark, sf).select(
-            "doc_id",
-            F.xxhash64("source", "lang", "text").cast("string").alias("mark"),
-            T.latin_words(F.col("source")).alias("title"),
-            T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))).alias("triggers"),
-            T.latin_words(F.col("text")).alias("body"),
-        )
-        index.update(words.where("doc_id is not null"), now)
+        docs = _docs(spark, sf).withColumn("mark", F.xxhash64("source", "lang", "text").cast("string"))
+        tokens = {"title": T.latin_words(F.col("source")), "triggers": T.latin_words(F.concat("lang", F.lit(" "), "lang", F.lit(" text"))), "body": T.latin_words(F.col("text"))}
+        index.update(docs.where("doc_id is not null"), now, tokens)
     return index.view()
 
 
