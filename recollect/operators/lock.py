@@ -1,7 +1,7 @@
 """The alias lock: exact names pinned to one page, with validity, conflicts and suggestions.
 
 Questions and aliases are compared by containment; pairs that may fit are found by equality
-joins on what the shorter form begins with, so no table is sent to all tasks.
+joins on what is rarest in the shorter form, so no table is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.functions.text import lock_form
+from recollect.plans.place import place
 
 LOCK_BAND = 100
-#: Names up to which near scores go to every task; most pairs have one.
-ALIAS_ROWS = 100_000
 
 
 def in_force(valid_from: Column, invalid_at: Column, today: Column, status: Column | None = None) -> Column:
@@ -69,30 +68,49 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(size < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
 
 
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back, as several joins start from it."""
+    path = place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _names(aliases: DataFrame) -> DataFrame:
+    return _held(aliases.select("id", "source", "alias", lock_form(F.col("alias")).alias("_a")).where("_a <> ''").withColumn("_row", F.xxhash64("id", "source", "alias")), "names")
+
+
+def _holding(q: DataFrame, names: DataFrame) -> DataFrame:
+    """``_q`` of ``q(_q)`` and the rows of names of which one holds the other, and some more: both have the
+    rarest two characters of the shorter one (or its only one), by how many names have them."""
+    both = lambda c: F.array_distinct(F.concat(_grams(F.col(c), 1), _grams(F.col(c), 2)))
+    within = names.select("_row", "_a", F.explode(both("_a")).alias("_k"))
+    df = within.groupBy("_k").agg(F.count("*").alias("_df"))
+    long = lambda c: F.length("_k") == F.least(F.lit(2), F.length(c))
+    rarest = F.min_by("_k", F.struct("_df", "_k")).alias("_k")
+    own = within.where(long("_a")).join(df, "_k").groupBy("_row").agg(rarest)
+    asked = q.select("_q", F.explode(both("_q")).alias("_k"))
+    # Two characters that no name has are in the question all the same: no name holds it.
+    short = asked.where(long("_q")).join(df, "_k", "left").groupBy("_q").agg(F.min_by("_k", F.struct(F.coalesce("_df", F.lit(0)), "_k")).alias("_k"))
+    inside = asked.join(own, "_k").select("_q", "_row")
+    around = short.join(within.select("_row", "_k"), "_k").select("_q", "_row")
+    return inside.unionByName(around).distinct()
+
+
+def _best(pairs: DataFrame, names: DataFrame, score, least: int) -> DataFrame:
+    """``_q, id, source, alias, score`` of pairs ``_q, _row``: the best alias of each row of the table."""
+    some = pairs.join(names, "_row").withColumn("score", score(F.col("_q"), F.col("_a"))).where(F.col("score") >= least)
+    best = F.max(F.struct(F.col("score"), -F.length("alias"), F.col("alias"))).alias("b")
+    return some.groupBy("_q", "id", "source").agg(best).select("_q", "id", "source", F.col("b.alias").alias("alias"), F.col("b.score").alias("score"))
+
+
 def scores(queries: DataFrame, aliases: DataFrame, score=alias_score, least: int = LOCK_BAND) -> DataFrame:
     """``qid, id, source, alias, score``: the best alias of each row per question, if it has
-    ``least`` points. ``queries(qid, q)``; ``aliases(id, alias, source)``, one alias a row.
-
-    Who contains whom is found by equality joins of the shorter form's first two characters (or
-    its only one) with those anywhere in the longer one. Near scores compare whatever shares a
-    character."""
-    a = aliases.select("id", "source", "alias", lock_form(F.col("alias")).alias("_a")).where("_a <> ''")
-    q = queries.select("qid", lock_form(F.col("q")).alias("_q")).where("_q <> ''")
-    every = lambda c: F.explode(_grams(F.col(c), 1))
-    head = lambda c: F.substring(c, 1, 2)
-    inner = lambda c: F.explode(F.array_distinct(F.concat(_grams(F.col(c), 1), _grams(F.col(c), 2))))
-    if score is not near_score:
-        keys = [(q.withColumn("_k", inner("_q")), a.withColumn("_k", head("_a")), "_k"), (q.withColumn("_k", head("_q")), a.withColumn("_k", inner("_a")), "_k")]
-    elif a.limit(ALIAS_ROWS + 1).count() <= ALIAS_ROWS:
-        keys = [(q, F.broadcast(a), score(F.col("_q"), F.col("_a")) >= least)]
-    else:
-        keys = [(q.withColumn("_k", every("_q")), a.withColumn("_k", every("_a")), "_k")]
-    pairs = None
-    for x, y, on in keys:
-        some = x.join(y, on).withColumn("score", score(F.col("_q"), F.col("_a"))).where(F.col("score") >= least).select("qid", "id", "source", "alias", "score")
-        pairs = some if pairs is None else pairs.unionByName(some)
-    best = F.max(F.struct(F.col("score"), -F.length("alias"), F.col("alias")))
-    return pairs.groupBy("qid", "id", "source").agg(best.alias("b")).select("qid", "id", "source", F.col("b.alias").alias("alias"), F.col("b.score").alias("score"))
+    ``least`` points. ``queries(qid, q)``; ``aliases(id, alias, source)``, one alias a row. Who holds whom
+    is found by the rarest two characters of the shorter one."""
+    q = _held(queries.select("qid", lock_form(F.col("q")).alias("_q")).where("_q <> ''"), "asked")
+    names = _names(aliases)
+    found = _best(_holding(q.select("_q").distinct(), names), names, score, least)
+    return q.join(found, "_q").select("qid", "id", "source", "alias", "score")
 
 
 def pick(scored: DataFrame) -> DataFrame:
@@ -117,9 +135,59 @@ def locked(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def suggestions(queries: DataFrame, aliases: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest names of each question, by near score and id."""
-    near = scores(queries, aliases, near_score, 1)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    """The ``k`` nearest names of each question, by near score and id.
+
+    Names that hold the question or are held by it are found as in ``scores``. Of the names with a common
+    beginning the ``k`` lowest ids are enough, for every length of it. Names that share at least t
+    characters with a question of m share two of its m - t + 2 rarest ones: t goes down from m, each time for
+    the questions of which the k-th best name could still be beaten by one that shares fewer. The last
+    step, t = 2, needs no more than the lowest ids for any two characters, as all that share just these
+    two are equal."""
+    q = _held(queries.select("qid", lock_form(F.col("q")).alias("_q")).where("_q <> ''"), "asked")
+    names, one = _names(aliases), q.select("_q").distinct()
+    order = [F.desc("score"), F.asc("id")]
+    lowest = lambda df, by, n: df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("id", "_row"))).where(F.col("_r") <= n).drop("_r")
+
+    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(2), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))).alias("_k")
+    heads = names.where(F.length("_a") >= 2).select("id", "_row", begins("_a"))
+    # Rows of one id count once; each of its aliases has a row of its own, so the lowest of each id is kept.
+    heads = lowest(heads.groupBy("_k", "id").agg(F.min("_row").alias("_row")), ["_k"], k)
+    first = one.where(F.length("_q") >= 2).select("_q", begins("_q")).join(heads, "_k").select("_q", "_row")
+    best = _held(_best(_holding(one, names).unionByName(first).distinct(), names, near_score, 1), "near")
+
+    chars = lambda c: F.array_distinct(F.filter(F.split(F.col(c), ""), lambda x: x != ""))
+    df = names.select(F.explode(chars("_a")).alias("c")).groupBy("c").agg(F.count("*").alias("df"))
+    each = one.where(F.length("_q") >= 2).select("_q", F.explode(chars("_q")).alias("c")).join(df, "c", "left")
+    rare = each.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "c"))).alias("s"))
+    open_ = _held(rare.select("_q", F.transform("s", lambda x: x["c"]).alias("c"), F.size("s").alias("m")).where("m >= 2"), "open")
+
+    def pairs(c: Column) -> Column:
+        """Any two of some characters, as one string."""
+        some = F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat(F.least(x, y), F.greatest(x, y))))
+        return F.flatten(some)
+
+    twos = _held(names.where(F.size(chars("_a")) >= 2).select("id", "_row", F.substring("_a", 1, 2).alias("head"), F.explode(pairs(chars("_a"))).alias("_k")), "twos")
+    step = 0
+    while not open_.isEmpty():
+        t = F.greatest(F.lit(3), F.col("m") - step)
+        keys = open_.where("m >= 3").select("_q", F.explode(pairs(F.slice("c", F.lit(1), F.col("m") - t + 2))).alias("_k"))
+        more = _best(keys.join(twos.select("_k", "_row"), "_k").select("_q", "_row").distinct(), names, near_score, 1)
+        both = best.unionByName(more).groupBy("_q", "id", "source").agg(F.max(F.struct("score", -F.length("alias"), "alias")).alias("b")).select("_q", "id", "source", F.col("b.alias").alias("alias"), F.col("b.score").alias("score"))
+        best = _held(both.withColumn("_r", F.row_number().over(W.partitionBy("_q").orderBy(*order))).where(F.col("_r") <= k).drop("_r"), "near")
+        sure = best.groupBy("_q").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        left = open_.join(sure, "_q", "left").where(F.coalesce(F.col("n") < k, F.lit(True)) | (F.col("least") < 20 + t))
+        last = left.where((t == 3) | (F.col("m") < 3)).select("_q", "c")
+        # Of any two characters the lowest ids, of one beginning and of all, as one with the question's own does not count here.
+        low = lowest(lowest(twos.groupBy("_k", "head", "id").agg(F.min("_row").alias("_row")), ["_k", "head"], k), ["_k"], 2 * k)
+        ends = _best(last.select("_q", F.explode(pairs(F.col("c"))).alias("_k")).join(low, "_k").select("_q", "_row").distinct(), names, near_score, 1)
+        if not last.isEmpty():
+            best = _held(best.unionByName(ends).groupBy("_q", "id", "source").agg(F.max(F.struct("score", -F.length("alias"), "alias")).alias("b")).select("_q", "id", "source", F.col("b.alias").alias("alias"), F.col("b.score").alias("score")), "near")
+        open_ = _held(left.where((t > 3) & (F.col("m") >= 3)).select("_q", "c", "m"), "open")
+        step = max(1, 2 * step)
+    # Of the rows that are found, whichever of their aliases fits best.
+    every = best.select("_q", "id", "source").join(names.select("_row", "id", "source"), ["id", "source"]).select("_q", "_row")
+    found = q.join(_best(every, names, near_score, 1), "_q")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k).select("qid", "id", "source", "alias", "score", "rank")
 
 
 def conflicts(queries: DataFrame, aliases: DataFrame) -> DataFrame:
