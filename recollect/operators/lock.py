@@ -243,14 +243,31 @@ def proposals(pages: DataFrame, aliases: DataFrame, nouns: DataFrame, demand: Da
     return ranked.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "rel")) + (first_id - 1))  # at most k rows
 
 
+def accepted(ticked: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
+    """``ticked(n, id, alias, source)`` taken in the order of ``n``, with ``reason`` where one is not: its page is not
+    among ``pages(rel)``, or its id or alias is taken by ``aliases(id, alias)`` or a row before it that was
+    accepted. ``n`` tells rows apart.
+
+    In each round all rows are accepted that are the first of those left both for their id and for their
+    alias, and what claims the same goes; the very first is always among them."""
+    t = _held(ticked.select("n", "id", "alias", "source"), "ticked")
+    there = pages.select(F.col("rel").alias("source")).distinct()
+    left = _held(t.join(there, "source", "left_semi").join(aliases.select("id").distinct(), "id", "left_anti").join(aliases.select("alias").distinct(), "alias", "left_anti").select("n", "id", "alias"), "left")
+    taken = left.limit(0)
+    while not left.isEmpty():
+        first = lambda c: left.groupBy(c).agg(F.min("n").alias(f"_{c}"))
+        won = _held(left.join(first("id"), "id").join(first("alias"), "alias").where((F.col("n") == F.col("_id")) & (F.col("n") == F.col("_alias"))).select("n", "id", "alias"), "won")
+        taken = _held(taken.unionByName(won), "taken")
+        left = _held(left.join(won.select("id"), "id", "left_anti").join(won.select("alias"), "alias", "left_anti").select("n", "id", "alias"), "left")
+    claims = lambda c: aliases.select(c).distinct().withColumn(f"_{c}", F.lit(-1).cast("long")).unionByName(taken.select(c, F.col("n").cast("long").alias(f"_{c}"))).groupBy(c).agg(F.min(f"_{c}").alias(f"_{c}"))
+    told = t.join(there.withColumn("_page", F.lit(True)), "source", "left").join(claims("id"), "id", "left").join(claims("alias"), "alias", "left")
+    reason = F.when(F.col("_page").isNull(), "no such page").when(F.col("_id") < F.col("n"), "id is taken").when(F.col("_alias") < F.col("n"), "alias is taken")
+    return told.select("n", "id", "alias", "source", reason.alias("reason"))
+
+
 def apply_ticked(spark, aliases: list[tuple], ticked: list[tuple], pages: set[str]) -> DataFrame:
-    """``id, alias, source, reason`` of ticked proposals ``(id, alias, source)`` taken in order:
-    each accepted row counts for those behind it, so the short list is walked on the driver."""
-    ids, names, out = {a[0] for a in aliases}, {a[1] for a in aliases}, []
-    for i, name, source in ticked:
-        reason = "no such page" if source not in pages else "id is taken" if i in ids else "alias is taken" if name in names else None
-        if reason is None:
-            ids.add(i)
-            names.add(name)
-        out.append((i, name, source, reason))
-    return spark.createDataFrame(out, "id string, alias string, source string, reason string")
+    """The same of lists, ``aliases`` of ``(id, alias, ...)`` and ``ticked`` of ``(id, alias, source)``: ``id, alias, source,
+    reason``."""
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(ticked)], "n long, id string, alias string, source string")
+    have = spark.createDataFrame([a[:2] for a in aliases], "id string, alias string")
+    return accepted(rows, have, spark.createDataFrame([(p,) for p in pages], "rel string")).orderBy("n").drop("n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollect.operators.orders import running
 from recollect.plans.place import place
 
 
@@ -38,17 +39,37 @@ def running_budget(rows: DataFrame, key: str, order: list, size: Column, budget:
 
 
 def segments(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
-    """``key, segment, n``: turns packed greedily, in order, to segments of a character budget."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n")))), lambda x: x["n"])  # of one session
-    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("ids"), F.lit(0).alias("now"))
-
-    def step(s, n):
-        new = (s["size"] > 0) & (s["size"] + n > budget)
-        now = s["now"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(s["size"] + n).alias("size"), F.concat(s["ids"], F.array(now)).alias("ids"), now.alias("now"))
-
-    ids = rows.groupBy(key).agg(items.alias("sizes")).select(key, F.explode(F.aggregate("sizes", start, step, lambda s: s["ids"])).alias("segment"))
-    return ids.groupBy(key, "segment").agg(F.count("*").alias("n"))
+    """``key, segment, n``: turns packed greedily, in order, to segments of a character budget: a turn begins
+    one if there is something before it that it does not fit behind. A null text has no characters.
+
+    From sums over all turns every turn knows where the next segment would begin if one began with it. From
+    the first turns on these pointers are followed, first one, then two, four, eight at once, so that a
+    session of a million turns takes some twenty rounds and no task holds it."""
+    items = rows.select(key, F.col(order).alias("_o"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_n"))
+    line = _kept(running(items, [F.asc(key), F.asc("_o"), F.asc("_n")], {"_upto": F.col("_n")}).withColumnRenamed("at", "_at"), "line")
+    ends = line.groupBy(key).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    # How many turns end at or below a sum: in one order with the sums that are asked for, behind equal ones.
+    before = F.col("_upto") - F.col("_n")
+    marks = line.select(F.col("_upto").alias("_v"), F.lit(0).alias("_asks"), "_at").unionByName(line.select(before.alias("_v"), F.lit(1).alias("_asks"), "_at")).unionByName(line.select((before + budget).alias("_v"), F.lit(2).alias("_asks"), "_at"))
+    told = running(marks, [F.asc("_v"), F.asc("_asks"), F.asc("_at")], {"_below": (F.col("_asks") == 0).cast("long")}).where("_asks > 0")
+    count = lambda k: F.max(F.when(F.col("_asks") == k, F.col("_below")))
+    fits = told.groupBy("_at").agg(count(1).alias("_empty"), count(2).alias("_full"))
+    # A turn that is too long by itself still ends its segment.
+    follows = F.col("_full") + F.when(F.col("_full") == F.col("_empty"), 2).otherwise(1)
+    nodes = _kept(line.select(key, "_at").join(fits.select("_at", follows.alias("_next")), "_at").join(ends, key).withColumn("_next", F.least("_next", F.col("_last") + 1)), "nodes")
+    jump = nodes.where(F.col("_next") <= F.col("_last")).select("_at", "_next")
+    reached = ends.select(key, F.col("_first").alias("_at"))
+    while True:
+        more = _kept(reached.join(jump, "_at").select(key, F.col("_next").alias("_at")), "reached")
+        if more.isEmpty():
+            break
+        reached = _kept(reached.unionByName(more), "reached")
+        far = jump.select(F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        jump = _kept(jump.join(far, "_next").select("_at", F.col("_far").alias("_next")), "jump")
+    starts = running(reached, [F.asc(key), F.asc("_at")])
+    lowest = starts.groupBy(key).agg(F.min("at").alias("_low"))
+    out = starts.join(lowest, key).join(nodes.select("_at", "_next"), "_at")
+    return out.select(key, (F.col("at") - F.col("_low")).cast("int").alias("segment"), (F.col("_next") - F.col("_at")).alias("n"))
 
 
 def first_seen(rows: DataFrame, keys: list, order: list) -> DataFrame:

@@ -46,9 +46,14 @@ def evidence_budget(spark, sf):
     return S.running_budget(rows, "conv_id", ["turn", "role"], F.col("n"), 600, False).select("conv_id", "turn", "running", "n")
 
 
-@query()
+@query(
+    """with recursive t as (select conv_id, row_number() over (partition by conv_id order by turn, length(text)) as i, length(text) as n from conversations),
+r as (select conv_id, i, n as size, 0 as segment from t where i = 1
+union all select t.conv_id, t.i, case when size > 0 and size + n > 500 then n else size + n end, segment + (size > 0 and size + n > 500)::int from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
+select conv_id, segment, count(*) as n from r group by conv_id, segment"""
+)
 def turn_segments(spark, sf):
-    """Greedy packing of turns, a fold."""
+    """Greedy packing of turns."""
     return S.segments(table(spark, sf, "conversations"), "conv_id", "turn", "text", 500)
 
 

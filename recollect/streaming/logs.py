@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from recollect.operators.segments import written
+from recollect.plans.nightly import NoModel, complete
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -92,6 +96,61 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Questions that one round of learning takes; what is beyond them is passed over.
+ROUND = 40
+
+
+class Cursor:
+    """How far a log was learnt from, with what was learnt, in the folder ``path``. A round's answers stand
+    beside the others before the cursor moves, and count only once it has: a round that was stopped in
+    between is done again under its own number, so nothing is lost and nothing stands there twice."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _moves(self) -> DataFrame:
+        schema = StructType.fromDDL("round int, upto timestamp, batch string")
+        have = written(self.spark, f"{self.path}/cursor", schema)
+        return self.spark.createDataFrame([], schema) if have is None else have
+
+    def last(self) -> tuple[int, object, str | None]:
+        """The last round, where the cursor stands, and the batch it was moved by."""
+        r = self._moves().orderBy(F.desc("round")).first()
+        return (0, None, None) if r is None else (r["round"], r["upto"], r["batch"])
+
+    def move(self, log: DataFrame, model, now, batch: str | None = None, most: int = ROUND) -> bool:
+        """One round over ``log(q, ts, confidence)``: the first row of each weak question that is newer than the
+        cursor, ``most`` in the order of time, is asked of ``model``; the cursor then stands at ``now``, the time at
+        which the log was read. Rows up to the cursor that come later are never read, nor are those
+        beyond ``most``. Without a model, and for a ``batch`` that was done already, nothing moves."""
+        number, since, done = self.last()
+        if batch is not None and done == batch:
+            return False
+        fresh = log.where((F.col("ts") <= F.lit(now)) if since is None else (F.col("ts") > F.lit(since)) & (F.col("ts") <= F.lit(now)))
+        weak = fresh.where(F.col("confidence").isin("none", "low")).select(F.trim("q").alias("prompt"), "ts").where("prompt <> ''")
+        first = weak.groupBy("prompt").agg(F.min("ts").alias("ts")).orderBy("ts", "prompt").limit(most)
+        try:
+            answers = complete(first, model)
+        except NoModel:
+            return False
+        answers.write.mode("overwrite").parquet(f"{self.path}/answers/round={number + 1}")
+        self.spark.createDataFrame([(number + 1, now, batch)], self._moves().schema).coalesce(1).write.mode("append").parquet(f"{self.path}/cursor")
+        return True
+
+    def answers(self) -> DataFrame | None:
+        """``prompt, ts, answer, round`` of the rounds that count; None before the first."""
+        have = written(self.spark, f"{self.path}/answers")
+        return None if have is None or not self.last()[0] else have.where(F.col("round") <= self.last()[0])
+
+    def follow(self, log: DataFrame, model, clock, checkpoint: str, most: int = ROUND) -> None:
+        """The rounds of a stream of the log, one a batch, by ``clock()``."""
+
+        def put(batch: DataFrame, n: int) -> None:
+            self.move(batch, model, clock(), f"{checkpoint}#{n}", most)
+
+        log.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 #: Parts of an upserted table that are replaced by themselves.
 PARTS = 64
 
