@@ -218,12 +218,12 @@ def vector_key(texts: DataFrame, model: str) -> DataFrame:
 
 
 def capture_sample(sessions: DataFrame, quota: dict[str, int], seed: int, low: int = 8, high: int = 60, answered: float = 0.7) -> DataFrame:
-    """Sessions ``(session, stratum, n_turns, n_answered)`` fit for judging, up to a quota of each stratum, in
-    the order of a seeded hash."""
+    """Sessions ``(session, stratum, n_turns, n_answered)`` fit for judging, up to a quota of each stratum, with
+    their ``place`` in the order of a seeded hash."""
     fit = sessions.where(F.col("n_turns").between(low, high) & (F.col("n_answered") >= answered * F.col("n_turns")))
-    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "session"), "session"))
+    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("session").cast("string"))), "session"))
     most = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col("stratum"))
-    return fit.withColumn("_p", place).where(F.col("_p") <= F.coalesce(most, F.lit(0))).drop("_p")
+    return fit.withColumn("place", place).where(F.col("place") <= F.coalesce(most, F.lit(0)))
 
 
 def parsed_labels(replies: DataFrame, ids: DataFrame, labels: list[str]) -> DataFrame:

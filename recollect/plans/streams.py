@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from recollect.plans.place import place
-from recollect.plans.registry import query
+from recollect.plans.registry import query, table
 from recollect.streaming import logs
 
 
@@ -42,3 +44,21 @@ select event_id, user_id, (a is not null and ts - a.ts <= interval 24 hour and (
 def stream_asked_again(spark, sf):
     """A day's suppression by keyed state; the file is drained as one batch, in time order."""
     return _drained(spark, logs.asked_again(_events(spark, sf), "user_id", "view", "purchase")).select("event_id", "user_id", F.col("repeated"))
+
+
+_TIMES = ["2024-01-08", "2024-01-20", "2024-01-29"]
+
+
+@query(
+    """with c as (select unnest([1, 2, 3]) as round, unnest(['1900-01-01', '2024-01-08', '2024-01-20']::timestamp[]) as since, unnest(['2024-01-08', '2024-01-20', '2024-01-29']::timestamp[]) as upto),
+w as (select round, trim(props) as prompt, min(ts) as ts from c join events on ts > since and ts <= upto where event_type = 'error' group by all),
+k as (select *, row_number() over (partition by round order by ts, prompt) as r from w)
+select round, prompt, ts, 'seen: ' || prompt as answer from k where r <= 40"""
+)
+def learning_cursor(spark, sf):
+    """Three rounds of learning from the log, as of three times; a round takes forty questions."""
+    log = table(spark, sf, "events").select(F.col("props").alias("q"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "none").otherwise("high").alias("confidence"))
+    cursor = logs.Cursor(spark, place(spark, "cursor"))
+    for day in _TIMES:
+        cursor.move(log, lambda prompts: "seen: " + prompts, datetime.datetime.fromisoformat(day).replace(tzinfo=datetime.timezone.utc))
+    return cursor.answers().select(F.col("round").cast("int").alias("round"), "prompt", F.col("ts").cast("timestamp_ntz").alias("ts"), "answer")

@@ -16,6 +16,7 @@ from recollect.operators import rank as R
 from recollect.operators import sessions as S
 from recollect.operators import upkeep as U
 from recollect.operators import vectors as V
+from recollect.plans.memory import REDACTED
 from recollect.plans.registry import query, table
 
 
@@ -117,17 +118,16 @@ def page_digests(spark, sf):
     return _pages(spark, sf).select("doc_id", D.body_digest(c).alias("body"), D.short(c).alias("page"), D.row_id(F.col("rel"), F.col("doc_id").cast("string")).alias("id"))
 
 
-@query("select lang, sha1(string_agg(text, '' order by doc_id)) as sha from documents where doc_id < 0 or source = 'src1' group by lang")
+@query("select doc_id // 500 as folder, lang, sha1(string_agg(text, '' order by doc_id)) as sha from documents group by all")
 def folder_digests(spark, sf):
-    """One digest over a source's texts in order, by language."""
-    return _docs(spark, sf).where("source = 'src1'").groupBy("lang").agg(D.combined(F.col("text"), F.col("doc_id")).alias("sha"))
+    """One digest over the texts of each folder, here five hundred ids, and language in order."""
+    return _docs(spark, sf).withColumn("folder", F.floor(F.col("doc_id") / 500)).groupBy("folder", "lang").agg(D.combined(F.col("text"), F.col("doc_id")).alias("sha"))
 
 
-@query("select role, sha256(string_agg(length(text)::varchar || ':' || text, chr(10) order by conv_id, turn)) as sha from conversations where conv_id % 5 = 0 group by role")
+@query("select conv_id, role, sha256(string_agg(length(text)::varchar || ':' || text, chr(10) order by turn)) as sha from conversations group by all")
 def fingerprint(spark, sf):
-    """Of the turns of some conversations, in order, by role."""
-    rows = table(spark, sf, "conversations").where("conv_id % 5 = 0")
-    return U.in_order_digest(rows, ["conv_id", "turn"], F.col("text"), ("role",))
+    """Of the turns of each conversation, in order, by role."""
+    return U.in_order_digest(table(spark, sf, "conversations"), ["turn"], F.col("text"), ("conv_id", "role"))
 
 
 @query("select event_id, to_timestamp(floor(epoch(ts)))::timestamp as at, to_timestamp(floor(epoch(ts)))::timestamp as ms, (ts + interval 8 hour)::date as day from events")
@@ -261,12 +261,12 @@ def replaced_page(spark, sf):
     return U.replaced_page(pages)
 
 
-@query("select doc_id as rel, case when not (lang = 'de') then left(trim(regexp_replace(replace(text, 'x', 'y'), '\\s+', ' ', 'g')), 4000) end as view from documents where not regexp_matches(text, '[A-Za-z0-9+/=_.~:-]{16,}') and not regexp_matches(text, '(?i)key|token|secret|password|passwd|credential|bearer|://|sk-|fw_')")
+@query(f"with {REDACTED} select doc_id as rel, case when lang <> 'de' then left(trim(regexp_replace(t, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), 4000) end as view from r5 join documents using (doc_id)")
 def learner_view(spark, sf):
-    """Pages without anything that looks like a secret; those in German are said to be secret."""
-    docs = _docs(spark, sf).where(~F.col("text").rlike("[A-Za-z0-9+/=_.~:-]{16,}") & ~F.col("text").rlike("(?i)key|token|secret|password|passwd|credential|bearer|://|sk-|fw_"))
+    """All pages, redacted and in one line; those in German are said to be secret."""
     meta = F.create_map(F.lit("secret"), F.when(F.col("lang") == "de", "true").otherwise("false"), F.lit("title"), F.lit("t"))
-    return U.learner_view(docs.select(F.col("doc_id").cast("string").alias("rel"), meta.alias("meta"), F.replace("text", F.lit("x"), F.lit("y")).alias("body"))).select(F.col("rel").cast("long").alias("rel"), "view")
+    pages = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("rel"), meta.alias("meta"), F.col("text").alias("body"))
+    return U.learner_view(pages).select(F.col("rel").cast("long").alias("rel"), "view")
 
 
 @query(
@@ -315,11 +315,11 @@ def at_coverage(spark, sf):
     return E.at_coverage(answers, 500).select("qid", "cited")
 
 
-@query(f"with {_MARKS}, a as (select *, cited is not null as answered, cited is not distinct from gold as r from g where qid % 100 = 1), f as (select unnest(list_value(0.0, 1000.0, 2500.0)) as floor), t as (select floor::double as floor, coalesce(sum(case when r then 1 else -1 end) filter (where answered and score >= floor), 0) as p from f, a group by floor) select qid as left_out, floor, (p - case when answered and score >= floor then case when r then 1 else -1 end else 0 end)::bigint as points from a, t")
+@query(f"with {_MARKS}, a as (select *, cited is not null as answered, cited is not distinct from gold as r from g), f as (select unnest(list_value(0.0, 1000.0, 2500.0)) as floor), t as (select floor::double as floor, coalesce(sum(case when r then 1 else -1 end) filter (where answered and score >= floor), 0) as p from f, a group by floor) select qid as left_out, floor, (p - case when answered and score >= floor then case when r then 1 else -1 end else 0 end)::bigint as points from a, t")
 def leave_one_out(spark, sf):
     asked, answers = _marks(spark, sf)
     cuts = spark.createDataFrame([(0.0,), (1000.0,), (2500.0,)], "floor double")
-    return E.leave_one_out(E.graded(asked, answers).where("qid % 100 = 1"), cuts)
+    return E.leave_one_out(E.graded(asked, answers), cuts)
 
 
 @query(
@@ -333,9 +333,9 @@ def slice_rates(spark, sf):
     return E.slices_exact(items, answers.select(F.col("qid").alias("id"), "cited"))
 
 
-@query("with p as (select distinct l_orderkey % 400 as g, l_suppkey as s from lineitem where l_linenumber = 1), h as (select least(count(distinct g), count(distinct s)) as hits from p), w as (select count(distinct o_orderkey % 500) as n, count(distinct case when o_orderkey % 2 = 0 then o_orderkey % 500 end) as c from orders), l as (select count(*) as n from supplier), c as (select count(distinct o_orderkey % 500) as n from orders where o_orderkey % 2 = 0 and o_orderkey % 500 in (select g from p)) select hits, w.n as n_gold, l.n as n_lines, round(1 - hits::double / w.n, 3) as missed, round(1 - hits::double / l.n, 3) as wrong, c.n as changes, w.c as n_changes from h, w, l, c")
+@query("with p as (select distinct l_orderkey % 400 as g, l_suppkey as s from lineitem), h as (select least(count(distinct g), count(distinct s)) as hits from p), w as (select count(distinct o_orderkey % 500) as n, count(distinct case when o_orderkey % 2 = 0 then o_orderkey % 500 end) as c from orders), l as (select count(*) as n from supplier), c as (select count(distinct o_orderkey % 500) as n from orders where o_orderkey % 2 = 0 and o_orderkey % 500 in (select g from p)) select hits, w.n as n_gold, l.n as n_lines, round(1 - hits::double / w.n, 3) as missed, round(1 - hits::double / l.n, 3) as wrong, c.n as changes, w.c as n_changes from h, w, l, c")
 def capture_scores(spark, sf):
-    pairs = table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("g"), F.col("l_suppkey").alias("s"))
+    pairs = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 400).alias("g"), F.col("l_suppkey").alias("s"))
     gold = table(spark, sf, "orders").select((F.col("o_orderkey") % 500).alias("g"), (F.col("o_orderkey") % 2 == 0).alias("is_change"))
     return E.captured(pairs, gold, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s")))
 
@@ -377,10 +377,12 @@ def question_pairs(spark, sf):
 
 
 @query(
-    """with t as (select (l_orderkey % 90)::varchar as stratum_id, l_orderkey as session, count(*) as n, count(*) filter (where l_quantity > 10) as a from lineitem group by l_orderkey)
-select count(*) as n from t where n between 3 and 7 and a >= 0.7 * n"""
+    """with t as (select l_orderkey as session, ['even', 'odd', 'none'][1 + (l_orderkey % 3)::int] as stratum, count(*) as n, count(*) filter (where l_quantity > 10) as a from lineitem group by l_orderkey),
+f as (select stratum, session, row_number() over (partition by stratum order by md5('7:' || session), session) as k from t where n between 3 and 7 and a >= 0.7 * n)
+select stratum, session, k from f where k <= case stratum when 'even' then 40 when 'odd' then 25 else 0 end"""
 )
 def sample_frame(spark, sf):
-    """How many sessions a capture sample is drawn from, with a quota that takes all of them."""
-    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.count("*").alias("n_turns"), F.count(F.when(F.col("l_quantity") > 10, 1)).alias("n_answered")).withColumn("stratum", F.lit("all"))
-    return U.capture_sample(s, {"all": 1 << 30}, 7, 3, 7).agg(F.count("*").alias("n"))
+    """Sessions drawn for judging, up to a quota of each stratum, in their seeded order."""
+    stratum = F.element_at(F.array(F.lit("even"), F.lit("odd"), F.lit("none")), (1 + F.col("session") % 3).cast("int"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.count("*").alias("n_turns"), F.count(F.when(F.col("l_quantity") > 10, 1)).alias("n_answered")).withColumn("stratum", stratum)
+    return U.capture_sample(s, {"even": 40, "odd": 25}, 7, 3, 7).select("stratum", "session", F.col("place").cast("long").alias("k"))
