@@ -74,19 +74,10 @@ def csv_with_examples(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def store(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    """A table of a small database file, read-only, on the driver; columns it lacks are null.
-    For page stores of a person's size; a larger one is read by JDBC."""
-    import sqlite3
-
-    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    try:
-        have = [r[1] for r in db.execute(f'pragma table_info("{name}")')]
-        some = [c for c in columns if c in have]
-        rows = db.execute(f'select {", ".join(f"cast({chr(34)}{c}{chr(34)} as text)" for c in some)} from "{name}"').fetchall() if some else []
-    finally:
-        db.close()
-    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in some)) if some else spark.createDataFrame([], "none string")
-    return df.select(*[F.col(c) if c in some else F.lit(None).cast("string").alias(c) for c in columns])
+    """A table of a database file, read-only, as text; columns it lacks are null."""
+    from recollect.sources import stores
+
+    return stores.store(spark, path, name, columns)
 
 
 def transcripts(spark: SparkSession, path: str, dialect: str, since: str | None = None) -> DataFrame:
