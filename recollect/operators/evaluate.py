@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollect.operators.orders import running
+from recollect.plans.place import place
 
 
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:
@@ -236,6 +238,38 @@ def leave_one_out(grades: DataFrame, cuts: DataFrame) -> DataFrame:
     return each.select(F.col("qid").alias("left_out"), "floor", (F.col("points") - own).alias("points"))
 
 
+def hinge(items: DataFrame, floors: list[float]) -> DataFrame:
+    """Whether it hangs on one item that no floor does as well as the lock: ``dropped, part, score, inverted,
+    still_no_floor`` for each rewrite and negative of ``items(id, slice, kind, gold, score, pred)`` that is left out in
+    turn. ``inverted`` rewrites score less than the best negative.
+
+    A floor does as well if every hit is answered and right, and nothing that is wrong is answered: it
+    lies above the highest score of those that would be wrong, and not above the lowest of the hits. Leaving
+    one item out moves such an end to the next score at most, so two of each tell all sweeps at once."""
+    some = items.select("id", "slice", "kind", "gold", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), "pred")
+    at = place(items.sparkSession, "items")
+    some.write.parquet(at)  # ranked once, looked at several times
+    some = items.sparkSession.read.schema(some.schema).parquet(at)
+    right = F.col("pred").isNotNull() & F.col("pred").eqNullSafe(F.col("gold"))
+    wrong, hit = some.where(F.col("pred").isNotNull() & ~right), some.where("slice = 'hit'")
+    high = [(r["id"], r["score"]) for r in wrong.orderBy(F.desc("score"), "id").select("id", "score").limit(2).collect()]
+    low = [(r["id"], r["score"]) for r in hit.orderBy("score", "id").select("id", "score").limit(2).collect()]
+    lost = [r["id"] for r in hit.where(~right).select("id").limit(2).collect()]
+    best = some.where("slice = 'negative'").agg(F.max("score")).first()[0]
+
+    def end(pair: list, none: float) -> Column:
+        """The first of two scores without the dropped item."""
+        out = F.lit(float(pair[-1][1]) if len(pair) > 1 else none)
+        return F.when(F.col("id") == pair[0][0], out).otherwise(F.lit(float(pair[0][1]))) if pair else F.lit(none)
+
+    above, upto = end(high, -math.inf), end(low, math.inf)
+    left = F.lit(len(lost)) - (F.when(F.col("id").isin(lost), 1).otherwise(0) if lost else F.lit(0))
+    fits = F.exists(F.array(*[F.lit(float(f)) for f in floors]), lambda f: (f > above) & (f <= upto)) & (left == 0)
+    part = F.when(F.col("kind") == "rewrite", "rewrite").when(F.col("slice") == "negative", "negative")
+    inverted = (part == "rewrite") & (F.col("score") < F.lit(0.0 if best is None else best))
+    return some.withColumn("part", part).where("part is not null").select(F.col("id").alias("dropped"), "part", "score", inverted.alias("inverted"), (~fits).alias("still_no_floor"))
+
+
 def slices_exact(items: DataFrame, answers: DataFrame) -> DataFrame:
     """Per slice and overall: exact, neighbour, old-page, trapped and missed rates of
     ``items(id, slice, gold, old, trap)`` and ``answers(id, cited)``; a miss is right without gold."""

@@ -291,6 +291,27 @@ def tfidf_cosine_top1(spark, sf):
     return _tfidf(spark, sf, 1).where("score >= 0.05").select("qid", "doc_id", "score")
 
 
+_FLOORS_HINGE = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8]
+
+
+@query(
+    _TFIDF.rstrip()
+    + ", top as (select * from tr where rank = 1)"
+    + _GOLD
+    + f""", it as (select g.qid, case g.kind when 'current' then 'hit' when 'correction' then 'supersede' else 'negative' end as slice, case when g.kind = 'current' and g.qid % 2 = 0 then 'rewrite' else 'plain' end as sort, g.gold, round(coalesce(top.score, 0), 4) as score, doc_id as pred from g left join top using (qid)),
+fl as (select unnest({_FLOORS_HINGE}::double[]) as floor),
+dr as (select qid, case when sort = 'rewrite' then 'rewrite' else 'negative' end as part, score from it where sort = 'rewrite' or slice = 'negative'),
+ok as (select dr.qid, floor, bool_and((i.slice <> 'hit' or (i.pred is not null and i.score >= floor and i.pred is not distinct from i.gold)) and not (i.pred is not null and i.score >= floor and i.pred is distinct from i.gold)) as fits from dr, fl, it i where i.qid <> dr.qid group by dr.qid, floor)
+select dr.qid as dropped, part, dr.score, part = 'rewrite' and dr.score < (select coalesce(max(score), 0) from it where slice = 'negative') as inverted, not bool_or(fits) as still_no_floor from dr join ok using (qid) group by dr.qid, part, dr.score"""
+)
+def hinge_report(spark, sf):
+    """Whether one question decides that no floor of the cosine ranker does as well as the lock."""
+    told = _gold(spark, sf).join(_tfidf(spark, sf, 1).select("qid", "score", F.col("doc_id").alias("pred")), "qid", "left")
+    part = F.when(F.col("kind") == "current", "hit").when(F.col("kind") == "correction", "supersede").otherwise("negative")
+    items = told.select(F.col("qid").alias("id"), part.alias("slice"), F.when((F.col("kind") == "current") & (F.col("qid") % 2 == 0), "rewrite").otherwise("plain").alias("kind"), "gold", "score", "pred")
+    return E.hinge(items, _FLOORS_HINGE)
+
+
 _RRF = _TFIDF.strip().removeprefix("with")
 
 

@@ -165,3 +165,26 @@ def test_slug_paths(spark):
     slugs = ["-".join(r.choice("abc") for _ in range(r.randrange(1, 8))) for _ in range(80)] + ["", "-a--b-", "zz"] + [f[1:].replace("/", "-") for f in folders]
     got = {x.slug: x.path for x in S.slug_paths(spark.createDataFrame([(s,) for s in [*slugs, None]], "slug string"), spark.createDataFrame([(f,) for f in folders], "path string")).collect()}
     assert got == {s: walk(s, folders) for s in slugs} and sum(bool(v) for v in got.values()) > 20
+
+
+# ---------------------------------------------------------------- hinge
+@pytest.mark.parametrize("seed", range(6))
+def test_hinge_is_the_sweep_without_each_item(spark, seed):
+    r = random.Random(seed)
+    items = []
+    for i in range(14):
+        part = r.choice(["hit", "hit", "negative", "neighbor"])
+        gold = None if part == "negative" else i % 4
+        good = {0: 0.95, 1: 1.0}.get(seed % 3, 0.7)
+        pred = gold if gold is not None and r.random() < good else r.choice([0, 1, 2, 3])
+        score = r.choice([0.3, 0.5, 0.55, 0.7, 0.9]) if pred == gold else r.choice([0.1, 0.3, 0.52])
+        items.append((i, part, "rewrite" if part == "hit" and i % 2 else None, gold, score, pred))
+    floors = [0.0, 0.2, 0.4, 0.6]
+
+    def matches(rest, f):
+        return all(s >= f and p == g for _, part, _, g, s, p in rest if part == "hit") and not any(s >= f and p != g for _, _, _, g, s, p in rest)
+
+    best = max((x[4] for x in items if x[1] == "negative"), default=0.0)
+    want = {x[0]: (x[2] == "rewrite" and x[4] < best, not any(matches([y for y in items if y is not x], f) for f in floors)) for x in items if x[2] == "rewrite" or x[1] == "negative"}
+    df = spark.createDataFrame(items, "id int, slice string, kind string, gold int, score double, pred int")
+    assert {x.dropped: (x.inverted, x.still_no_floor) for x in E.hinge(df, floors).collect()} == want
