@@ -1,16 +1,18 @@
 """Removal of repeated line chunks with content-defined boundaries.
 
 A text is its lines (split at the newline). Lines are hashed, and hashes of two lines at a time roll
-over the text: a line with a smaller hash than the one before it ends a run of lines, so that
-boundaries follow the content and a passage is cut alike wherever it stands. Each run is cut into
+over the text: a line whose hash is not larger than that of the line before it ends a run of lines, so
+that boundaries follow the content and a passage is cut alike wherever it stands. Each run is cut into
 pairs of lines from both its ends (which differ in runs of odd length, so that neither end of a
 passage depends on what stands beyond it); a run of one line makes a pair with the line before it.
+This is done with hashes of three seeds: the last line of a short passage is cut off or not by what
+follows it, which one rolling hash decides for one of two places otherwise than for the other.
 So chunks cover their text and may share a line. Of the chunks with equal bytes in all documents,
 the first (by id, then place) stays and the others are removed: hashes and lengths find
 candidates, and their bytes are compared with the first one's. The first place of a line is in no
 later copy, so no line vanishes from all documents.
 
-A passage goes only as far as whole chunks lie in it, and one of two lines may be in none.
+A passage goes as far as whole chunks lie in it; a short one is in none where all seeds cut it.
 ``cleaned``, the pipeline's form, compares every pair of neighbouring lines instead (``pairs``), so
 that each repeated passage of ``LINES`` lines or more goes from its first line to its last, wherever
 boundaries are; a line that stands for the first time stays.
@@ -40,6 +42,9 @@ from .common import U64, long_hash, span_hashes, stored
 
 LINES = 2
 
+#: Of rolling hashes, each with boundaries of its own: a passage that one of them cuts through, another keeps.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
     """The bytes, and row, first byte, end (past the newline) and end of the body of the lines."""
@@ -53,23 +58,30 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, row, start, end, np.where(data[end - 1] == 10, end - 1, end)
 
 
+def _closes(h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which lines close a chunk: runs end with a hash not larger than the one before and are cut in pairs from both ends."""
+    cut = np.append(fresh[1:], True)
+    cut[1:] |= ~fresh[1:] & (h[1:] <= h[:-1])
+    # Places in the run of lines between two boundaries, from either end.
+    ends = np.flatnonzero(cut)
+    size = np.diff(ends, prepend=-1)
+    left = np.repeat(ends, size) - np.arange(len(h))
+    place = np.repeat(size, size) - left
+    return np.where(place >= LINES, (left % LINES == 0) | (place % LINES == 0), cut & ~fresh)
+
+
 def chunks(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Row, first byte, end (past the newline), number of lines and hash of the chunks; two may
-    share a line."""
+    """Row, first byte, end (past the newline), number of lines and hash of the chunks; they may
+    share lines."""
     data, row, start, end, body = _lines(column)
     if not len(start):
         e = np.empty(0, np.int64)
         return e, e, e, e, e.view(U64)
     h = span_hashes(data, start, body)
     fresh = np.append(True, row[1:] != row[:-1])  # first line of a text
-    cut = np.append(fresh[1:], True)
-    cut[1:] |= ~fresh[1:] & (h[1:] < h[:-1])
-    # Places in the run of lines between two boundaries, from either end.
-    ends = np.flatnonzero(cut)
-    size = np.diff(ends, prepend=-1)
-    left = np.repeat(ends, size) - np.arange(len(start))
-    place = np.repeat(size, size) - left
-    closes = np.where(place >= LINES, (left % LINES == 0) | (place % LINES == 0), cut & ~fresh)
+    closes = np.zeros(len(h), bool)
+    for seed in SEEDS:
+        closes |= _closes(common.mix(h ^ U64(seed)), fresh)
     ends = np.flatnonzero(closes)
     begins = ends - LINES + 1
     a = start[begins]

@@ -5,15 +5,17 @@ from recollect.llm import common, linededup as L
 
 
 def chunked(lines):
-    """First lines of a text's chunks, which are pairs: a line with a smaller hash than the one before ends a run,
-    runs are cut from both ends, and a run of one line goes with the line before it."""
+    """First lines of a text's chunks, which are pairs: a line whose hash is not larger than the one before ends a
+    run, runs are cut from both ends, and a run of one line goes with the line before it; for each seed."""
     data, ends = np.frombuffer(b"".join(lines), np.uint8), np.cumsum([len(x) for x in lines])
-    h = common.span_hashes(data, ends - [len(x) for x in lines], ends).tolist()
-    out, at = set(), 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i and h[i] < h[i - 1]):
-            out |= {*range(at, i, 2), *range(i - 1, at - 1, -2)} if i > at else {i - 1} if i else set()
-            at = i + 1
+    plain = common.span_hashes(data, ends - [len(x) for x in lines], ends)
+    out = set()
+    for seed in L.SEEDS:
+        h, at = common.mix(plain ^ np.uint64(seed)).tolist(), 0
+        for i in range(len(lines)):
+            if i == len(lines) - 1 or (i and h[i] <= h[i - 1]):
+                out |= {*range(at, i, 2), *range(i - 1, at - 1, -2)} if i > at else {i - 1} if i else set()
+                at = i + 1
     return sorted(out)
 
 
@@ -123,8 +125,8 @@ def test_chunks_find_most_planted_passages(make):
     later = [d for d in rows if d >= 1000]
     assert all(rows[d].removed is None for d in rows if d < 1000)
     left = sum(len([x for x in rows[d].text.split("\n") if x.startswith("passage")]) for d in later)
-    assert sum(rows[d].removed is not None for d in later) >= 0.85 * len(later)
-    assert left <= 0.3 * sum(len(gone[d]) for d in later)
+    assert sum(rows[d].removed is not None for d in later) >= 0.95 * len(later)
+    assert left <= 0.1 * sum(len(gone[d]) for d in later)
 
 
 def test_copies_of_all_line_counts_vanish_whole(make):
