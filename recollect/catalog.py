@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import answers, locking, memory, retrieval, streams, texts, upkeep  # noqa: F401  they register their queries
+from recollect.plans import answers, locking, memory, retrieval, sources, streams, texts, upkeep  # noqa: F401  they register their queries
 from recollect.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

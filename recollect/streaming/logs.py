@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from recollect.operators.segments import written
@@ -14,6 +15,9 @@ from recollect.plans.nightly import NoModel, complete
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
+#: The state store that list state and timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream(spark: SparkSession, path: str, schema: str, format: str = "parquet", files: int = 100) -> DataFrame:
     """A folder of files that is appended to."""
@@ -48,40 +52,55 @@ def once_a_day(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return timed(events, late).withColumn("day", F.to_date("ts")).dropDuplicatesWithinWatermark([*keys, "day"])
 
 
+class _Repeats(StatefulProcessor):
+    """The asks and clearing events of a key that may still stand before others, as list state; a timer ends it."""
+
+    def __init__(self, key: str, span: int):
+        self.key, self.span = key, span
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.line = handle.getListState("line", "at long, event_id long, ask boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat([f[["at", "event_id", "ask"]] for f in rows], ignore_index=True).assign(fresh=True)
+        past = pd.DataFrame(list(self.line.get()), columns=["at", "event_id", "ask"]).assign(fresh=False)
+        line = (pd.concat([past, fresh], ignore_index=True) if len(past) else fresh).astype({"at": "int64", "event_id": "int64", "ask": bool, "fresh": bool})
+        line = line.sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+        line["repeated"] = line["ask"].shift(fill_value=False) & (line["at"].diff().fillna(0) <= self.span)
+        # Rows that are not too late yet come after the mark: what stands further before it counts no more.
+        mark = timerValues.getCurrentWatermarkInMs()
+        left = line[line["at"] >= mark * 1000 - self.span]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(left):
+            self.line.put([(int(t), int(i), bool(a)) for t, i, a in zip(left["at"], left["event_id"], left["ask"])])
+            self.handle.registerTimer(max(int(left["at"].iloc[-1] + self.span) // 1000, mark) + 1)
+        else:
+            self.line.clear()
+        said = line[line["fresh"] & line["ask"]]
+        yield pd.DataFrame({self.key: key[0], "event_id": said["event_id"], "at": said["at"], "repeated": said["repeated"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.line.clear()
+        yield pd.DataFrame({self.key: pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "at": pd.Series(dtype="int64"), "repeated": pd.Series(dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
 def asked_again(events: DataFrame, key: str, ask: str, clear: str, hours: int = 24, late: str = "1 day") -> DataFrame:
     """Asks with ``repeated``, by keyed state: an ask within the hours after another one is a
     repeat, unless a clearing event came between.
 
     The state is the key's events of the last hours and of the time by which rows may be late, so a row
-    of a later batch is judged by what stands before it in time. It is dropped when the watermark
-    has passed all of it."""
-    state = "times array<long>, ids array<long>, asks array<boolean>"
-    out = f"{key} long, event_id long, ts timestamp, repeated boolean"
-    span = hours * 3_600_000_000
-
-    def work(k, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        rows = pd.concat([f for f in frames if len(f)])
-        fresh = [(pd.Timestamp(r.ts).value // 1000, int(r.event_id), r.event_type == ask, r.ts) for r in rows.itertuples()]
-        past = [(t, i, a, None) for t, i, a in zip(*held.get)] if held.exists else []
-        line = sorted([*past, *fresh], key=lambda x: x[:2])
-        done = []
-        for before, now in zip([None, *line], line):
-            if now[3] is not None and now[2]:
-                done.append((k[0], now[1], now[3], before is not None and before[2] and now[0] - before[0] <= span))
-        mark = held.getCurrentWatermarkMs() * 1000
-        line = [x for x in line if x[0] >= mark - span]
-        if line:
-            held.update(([x[0] for x in line], [x[1] for x in line], [x[2] for x in line]))
-            held.setTimeoutTimestamp(max(line[-1][0] // 1000 + hours * 3_600_000, held.getCurrentWatermarkMs() + 1))
-        elif held.exists:
-            held.remove()
-        yield pd.DataFrame(done, columns=[key, "event_id", "ts", "repeated"])
-
+    of a later batch is judged by what stands before it in time. A timer drops it when the watermark
+    has passed all of it. Such state needs the session's state store to be RocksDB, which is set here."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = timed(events.select(key, "event_id", "ts", "event_type"), late).where(F.col("event_type").isin(ask, clear))
-    return rows.groupBy(key).applyInPandasWithState(work, out, state, "append", "EventTimeTimeout")
+    rows = rows.select(key, "ts", "event_id", F.unix_micros("ts").alias("at"), (F.col("event_type") == ask).alias("ask"))
+    out = rows.groupBy(key).transformWithStateInPandas(_Repeats(key, hours * 3_600_000_000), f"{key} long, event_id long, at long, repeated boolean", "append", "eventTime")
+    return out.select(key, "event_id", F.timestamp_micros("at").alias("ts"), "repeated")
 
 
 def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -204,6 +204,26 @@ def test_a_late_row_is_judged_by_time(spark, tmp_path):
     assert go()[6] is True
 
 
+def test_state_is_gone_after_its_time(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    put = lambda rows: spark.createDataFrame([(i, t, u, "view", 1.0, "p") for i, t, u in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    t, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    go = lambda: logs.drained(logs.asked_again(logs.stream(spark, str(tmp_path / "in"), logs.EVENTS), "user_id", "view", "purchase"), str(tmp_path / "out"), str(tmp_path / "c"))
+
+    def held():
+        rows = spark.read.format("statestore").option("stateVarName", "line").load(str(tmp_path / "c")).select("key.user_id", "list_element.event_id")
+        return {(r.user_id, r.event_id) for r in rows.collect()}
+
+    put([(1, t, 1), (2, t + h, 1), (3, t, 2)])
+    go()
+    assert held() == {(1, 1), (1, 2), (2, 3)}
+    put([(4, t + 100 * h, 2)])
+    go()
+    put([(5, t + 101 * h, 2)])  # the mark is 76 hours on now
+    assert {r.event_id: r.repeated for r in go().collect()} == {1: False, 2: True, 3: False, 4: False, 5: True}
+    assert held() == {(2, 4), (2, 5)}
+
+
 def test_stream_upsert(spark, tmp_path):
     put = lambda rows: spark.createDataFrame(rows, "k int, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     (tmp_path / "in").mkdir()
