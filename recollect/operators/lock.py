@@ -222,6 +222,23 @@ def verified(aliases: DataFrame) -> DataFrame:
     return q.join(hit, "qid", "left").select(F.col("own").alias("id"), F.col("q").alias("alias"), "hit", F.coalesce(F.col("own") == F.col("hit"), F.lit(False)).alias("ok"))
 
 
+def proven(aliases: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+    """``id, problem, alias, hit`` of an alias table ``(id, alias, source)`` with ``pages(rel, valid_from, invalid_at,
+    status)``: rows whose page is missing or not in force, ids of several sources, and names of the live rows
+    that lock nothing, another row or another page. Only live rows take part in the lock; ``hit`` is what a name
+    has locked, for a row without a page its source. No rows: the table is sound."""
+    none = F.lit(None).cast("string")
+    rows = aliases.select("id", "source").distinct().join(pages.select(F.col("rel").alias("source"), in_force(F.col("valid_from"), F.col("invalid_at"), today, F.col("status")).alias("_in")), "source", "left")
+    gone = rows.where("_in is null or not _in").select("id", F.when(F.col("_in").isNull(), "missing").otherwise("not in force").alias("problem"), none.alias("alias"), F.col("source").alias("hit"))
+    several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("several sources").alias("problem"), none.alias("alias"), none.alias("hit"))
+    live = _held(aliases.join(rows.where("_in").select("id", "source"), ["id", "source"], "left_semi").select("id", "alias", "source"), "live")
+    asked = live.distinct().select(F.concat_ws("\u0000", "id", "source", "alias").alias("qid"), F.col("alias").alias("q"), F.col("id").alias("own"), F.col("source").alias("page"))
+    got = asked.join(pick(scores(asked.select("qid", "q"), live)).select("qid", F.col("id").alias("_id"), F.col("source").alias("_page")), "qid", "left")
+    problem = F.when(F.col("_id").isNull(), "locks nothing").when(F.col("_id") != F.col("own"), "locks another row").when(F.col("_page") != F.col("page"), "locks another page")
+    names = got.select(F.col("own").alias("id"), problem.alias("problem"), F.col("q").alias("alias"), F.when(problem == "locks another page", F.col("_page")).otherwise(F.col("_id")).alias("hit")).where("problem is not null")
+    return gone.unionByName(several).unionByName(names)
+
+
 def longest_prefix(paths: DataFrame, path: str, zones: DataFrame) -> DataFrame:
     """``paths`` with the longest of ``zones(prefix, target)`` that ends at a separator; null
     if none does. The prefixes of each path are made and looked up by equality."""

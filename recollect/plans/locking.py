@@ -154,3 +154,23 @@ def alias_proposals(spark, sf):
     use = Q.demand(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("rel")), "rel")
     out = L.proposals(part.select("rel"), none, part, use, 100, 20)
     return out.select("rel", F.get("words", F.lit(0)).alias("word"), F.col("n").cast("long").alias("n"), F.col("id").cast("int").alias("id"))
+
+
+@query(
+    _PAIRS.replace("an as (select id, alias, source,", "pg as (select split_part(p_name, ' ', 1) || '.md' as rel, min(p_size) % 4 as k from part group by 1 union all select p_brand || '.md', min(p_size) % 5 from part group by 1),\nrw as (select distinct a.id, a.source, p.k from al a left join pg p on p.rel = a.source and k < 4),\nlv as (select al.* from al join rw using (id, source) where k not in (1, 2)),\nan as (select id, alias, source,").replace('from al), qn', 'from lv), qn').replace(
+        "qs as (select p_partkey as qid, case", "qs as (select id || '/' || source || '/' || alias as qid, alias as q from al), unused as (select case"
+    ).replace("else 'lunch ' || p_partkey % 11 end as q from part)", "else '' end as q from part)").replace("'b' || min(p_partkey), p_brand", "'b' || min(p_partkey) % 20, p_brand")
+    + """select id, case when k is null then 'missing' else 'not in force' end as problem, null::varchar as alias, source as hit from rw where k is null or k in (1, 2)
+union all select id, 'several sources', null, null from rw group by id having count(*) > 1
+union all select lv.id, case when p.id is null then 'locks nothing' when p.id <> lv.id then 'locks another row' else 'locks another page' end, alias, case when p.id = lv.id then p.source else p.id end from (select distinct * from lv) lv left join picked p on p.qid = lv.id || '/' || lv.source || '/' || alias where p.id is null or p.id <> lv.id or p.source <> lv.source"""
+)
+def alias_table_report(spark, sf):
+    """What is wrong with an alias table in which ids repeat and pages are missing, over or dead."""
+    part = table(spark, sf, "part")
+    names = _tables(spark, sf)[1]
+    aliases = names.withColumn("id", F.when(F.col("id").startswith("b"), F.concat(F.lit("b"), F.expr("cast(substring(id, 2) as int) % 20"))).otherwise(F.col("id")))
+    k = lambda c, n: part.groupBy(c.alias("rel")).agg((F.min("p_size") % n).alias("k"))
+    pages = k(F.concat(F.split("p_name", " ")[0], F.lit(".md")), 4).unionByName(k(F.concat("p_brand", F.lit(".md")), 5)).where("k < 4")
+    day = F.lit("2024-06-01").cast("date")
+    pages = pages.select("rel", F.lit("2024-01-01").cast("date").alias("valid_from"), F.when(F.col("k") == 1, day).alias("invalid_at"), F.when(F.col("k") == 2, "Superseded").otherwise("active").alias("status"))
+    return L.proven(aliases, pages, day)

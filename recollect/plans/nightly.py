@@ -29,17 +29,48 @@ def batches(rows: DataFrame, key: str, text: str, size: int = 6, parts: int | No
     return n.groupBy(*over, "batch").agg(joined.alias("prompt"), F.count("*").alias("n"))
 
 
-def complete(prompts: DataFrame, model: Callable[[pd.Series], pd.Series] | None) -> DataFrame:
-    """``prompts`` with ``answer`` from an injected batch function; without one, NoModel."""
-    if model is None:
+Model = Callable[[pd.Series], pd.Series]
+
+
+def complete(prompts: DataFrame, model: Model | list[tuple[str, Model]] | None) -> DataFrame:
+    """``prompts`` with ``answer`` from an injected batch function; without one, NoModel.
+
+    Of a list of ``(name, function)`` each is tried in turn: what the first one raises for, or gives no text for,
+    goes to the next. ``channel`` then says which one has answered; a prompt that all of them failed
+    is an error with what each has said, an empty list NoModel."""
+    if model is None or model == []:
         raise NoModel("no model is set")
     from pyspark.sql.types import StringType, StructField, StructType
 
+    several = isinstance(model, list)
+    channels = model if several else [("", model)]
     schema = StructType([*prompts.schema.fields, StructField("answer", StringType())])
+    if several:
+        schema = schema.add("channel", StringType())
+
+    def tried(frame: pd.DataFrame) -> pd.DataFrame:
+        answers = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+        by, said = answers.copy(), []
+        for name, ask in channels:
+            left = answers.isna()
+            if not left.any():
+                break
+            try:
+                got = ask(frame.loc[left, "prompt"])
+            except Exception as e:  # noqa: BLE001  what a channel raises sends its prompts to the next one
+                said.append(f"{name}: {type(e).__name__}: {e}"[:200])
+                continue
+            got = pd.Series(list(got), index=frame.index[left], dtype=object)
+            if got.isna().any():
+                said.append(f"{name}: no text")
+            answers[left], by[left] = got, [name if x is not None and x == x else None for x in got]
+        if answers.isna().any():
+            raise RuntimeError("all models failed: " + " | ".join(said))
+        return frame.assign(answer=answers, channel=by)
 
     def run(frames):
         for frame in frames:
-            yield frame.assign(answer=model(frame["prompt"]))
+            yield tried(frame) if several else frame.assign(answer=model(frame["prompt"]))
 
     return prompts.mapInPandas(run, schema)
 

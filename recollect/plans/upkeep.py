@@ -10,9 +10,11 @@ from recollect.operators import evaluate as E
 from recollect.operators import index as I
 from recollect.operators import quality as Q
 from recollect.operators import sessions as S
+from recollect.operators import topics as T
 from recollect.operators import upkeep as U
 from recollect.plans.place import place
 from recollect.plans.registry import query, table
+from recollect.plans.retrieval import _grams
 from recollect.streaming import logs
 
 
@@ -182,3 +184,28 @@ def reused_digests(spark, sf):
     pages = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.count("*").alias("n"))
     known = pages.where("key % 4 <> 0").select("key", F.when(F.col("key") % 3 == 0, F.col("n") - 1).otherwise(F.col("n")).alias("n"), F.concat(F.lit("d"), "key").alias("digest"))
     return U.reused_digests(pages, known).select("key", "digest")
+
+
+_TOPICS = [("licence", "Licensed"), ("licence", "license"), ("rights", "rights reserved"), ("rights", "re"), ("none", "no such words at all")]
+
+
+@query(
+    f"""with t as (select topic, list(lower(term)) as terms from (values {", ".join(f"('{a}', '{b}')" for a, b in _TOPICS)}) t(topic, term) group by topic),
+p as (select doc_id, case when doc_id % 4 = 0 then '2024-' || lpad((doc_id % 12 + 1)::varchar, 2, '0') end as day, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+o as (select topic, doc_id from p, t where doc_id % 500 = 7 and topic <> 'licence'),
+h as (select topic, doc_id, day, l, list_filter(range(0, len(l)), lambda i: len(list_filter(terms, lambda x: contains(lower(l[i + 1]), x))) > 0) as hits from p, t where not exists (select 1 from o where o.topic = t.topic and o.doc_id = p.doc_id)),
+f as (select topic, doc_id, day, case when day is null then 1 else 2 end as k, case when day is null then len(hits) else 0 end as n,
+ left(array_to_string(list_filter(list_transform(list_sort(list_filter(list_distinct(flatten(list_transform(hits[1:12], lambda i: [i - 1, i, i + 1]))), lambda j: j >= 0 and j < len(l))), lambda j: l[j + 1]), lambda x: regexp_matches(x, '\\S')), chr(10)), 1800) as body from h where len(hits) > 0
+ union all select topic, doc_id, day, 0, 0, left(text, 3500) from o join p using (doc_id)),
+b as (select topic, doc_id, k, n, day, '### [' || ['{T.KINDS[0]}', '{T.KINDS[1]}', '{T.KINDS[2]}'][k + 1] || case when k = 2 then ' ' || day else '' end || '] ' || doc_id || chr(10) || body as block from f),
+r as (select *, row_number() over (partition by topic order by k, case when k = 0 then doc_id end, n desc, case when k = 2 then day end desc, doc_id desc) as place from b),
+s as (select *, sum(length(block)) over (partition by topic order by place) as upto from r)
+select topic, place::int as place, doc_id, ['{T.KINDS[0]}', '{T.KINDS[1]}', '{T.KINDS[2]}'][k + 1] as kind, block, upto::bigint as upto from s where upto <= 30000"""
+)
+def topic_dossier(spark, sf):
+    """Evidence of each topic: authorities, pages by hits, logs by day; every fourth document is a log."""
+    pages = table(spark, sf, "documents").withColumn("day", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("2024-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))))
+    grams = _grams(spark, sf, pages)
+    terms = spark.createDataFrame(_TOPICS, "topic string, term string")
+    own = pages.where("doc_id % 500 = 7").select("doc_id").withColumn("topic", F.explode(F.array(F.lit("rights"), F.lit("none"))))
+    return T.evidence(grams, pages, F.col("text"), terms, own).withColumn("upto", F.col("upto").cast("long"))

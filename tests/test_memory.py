@@ -178,6 +178,21 @@ def test_model_steps(spark):
     assert out.first().cited == "p"
 
 
+def test_models_are_tried_in_turn(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(9)], "k int, prompt string").repartition(3)
+
+    def broken(s):
+        raise OSError("offline")
+
+    half = lambda s: pd.Series([x if int(x[1:]) % 2 else None for x in s], index=s.index)
+    out = nightly.complete(prompts, [("a", broken), ("b", half), ("c", lambda s: s + "!"), ("d", broken)]).collect()
+    assert {r.k: (r.answer, r.channel) for r in out} == {i: (f"p{i}", "b") if i % 2 else (f"p{i}!", "c") for i in range(9)}
+    with pytest.raises(Exception, match="a: OSError: offline . b: no text"):
+        nightly.complete(prompts, [("a", broken), ("b", half)]).collect()
+    steps = nightly.run_steps(spark, [("none", lambda: nightly.complete(prompts, [])), ("down", lambda: str(nightly.complete(prompts, [("a", broken)]).collect()))])
+    assert [r.state for r in steps.collect()] == ["skipped", "failed"]
+
+
 def test_streams_go_on_where_they_ended(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     put = lambda rows, n: spark.createDataFrame([(i, t, 1, k, 1.0, "p") for i, t, k in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
