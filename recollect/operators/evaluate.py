@@ -201,6 +201,39 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("points", points)
 
 
+def judge_points(refused: Column, existed: Column, invalid: Column, points: Column) -> Column:
+    """Of one pass: a refusal is worth 2 if no answer existed, else 0; without an answer or with citations
+    that are all invalid 0; else 0, 1 or 2, as judged (anything else is 0)."""
+    return F.when(refused, F.when(existed, 0).otherwise(2)).when(invalid | ~existed, 0).when(points.isin(0, 1, 2), points).otherwise(0).cast("int")
+
+
+def duel(verdicts: DataFrame, a: str, b: str, reps: int | None = 10_000, seed: int = 0, order: str = "qid") -> DataFrame:
+    """Two systems by a judge's ``verdicts(qid, day, system, pass, refused, existed, invalid, points)``: by month and
+    over ``all``, ``n`` questions that both have verdicts of, the means of their means over passes, and the
+    share of all questions for which an answer existed (by the first pass; of equal ones, not if one of them says so). ``low, high``: the middle 95 % of
+    the mean difference over resamples of the questions from one stream of the standard generator, of
+    all months together; with ``reps`` None there are no such columns."""
+    point = judge_points(F.col("refused"), F.col("existed"), F.col("invalid"), F.col("points"))
+    of = lambda name: F.avg(F.when(F.col("system") == name, point))
+    first = F.min_by("existed", F.struct("pass", "system", "existed"))
+    each = verdicts.groupBy("qid").agg(F.min(F.date_format("day", "yyyy-MM")).alias("month"), of(a).alias("_a"), of(b).alias("_b"), first.cast("int").alias("_e"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    mean = lambda c: F.round(F.avg(F.when(both, F.col(c))), 3)
+    out = each.rollup("month").agg(F.grouping("month").alias("_g"), F.count(F.when(both, 1)).alias("n"), mean("_a").alias("mean_a"), mean("_b").alias("mean_b"), F.round(F.avg("_e"), 3).alias("existed"))
+    out = out.withColumn("month", F.when(F.col("_g") == 1, "all").otherwise(F.col("month"))).where("_g = 1 or n > 0")
+    if reps is None:
+        return out.drop("_g")
+    diffs = each.where(both).select((F.row_number().over(W.orderBy(order)) - 1).alias("pos"), (F.col("_a") - F.col("_b")).alias("d"))  # a question set, of bounded size
+    spark, n = verdicts.sparkSession, diffs.count()
+    if not n:
+        return out.drop("_g").withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+    times = draws(spark, n, reps, seed).groupBy("rep", "pos").agg(F.count("*").alias("m"))
+    means = times.join(diffs, "pos").groupBy("rep").agg((F.sum(F.col("m") * F.col("d")) / n).alias("v"))
+    at = lambda i: F.round(F.get("s", F.lit(i)), 3)
+    bounds = means.agg(F.sort_array(F.collect_list("v")).alias("s")).select(F.lit(1).cast("tinyint").alias("_g"), at(int(0.025 * reps)).alias("low"), at(int(0.975 * reps) - 1).alias("high"))  # reps numbers
+    return out.join(F.broadcast(bounds), "_g", "left").drop("_g")
+
+
 def unsound(questions: DataFrame, pages: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     """``qid, problem`` of ``questions(qid, q, gold)``: repeats and gold pages that are not there. With columns
     ``evidence`` and ``absent``, a quote that must stand on the gold page and a word that must stand on

@@ -82,6 +82,29 @@ def newest(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("n") <= k)
 
 
+# Observations that count as decisions.
+DECISIONS = ["decision", "change", "feature", "bugfix", "refactor"]
+
+
+def decisions(observations: DataFrame, k: int = 120) -> DataFrame:
+    """``project, root, tag, n, session, type, title, at`` of ``observations(session, seq, project, root, type, title, at)``: of
+    each project and root the newest decisions with a title. What has no time comes last; equal times are
+    in the order of session and ``seq``. Projects of one name in two folders are two, told apart by
+    ``tag``, the beginning of the root's digest (empty without a root); a project without a name is ``?``."""
+    named = observations.where(F.col("type").isin(*DECISIONS) & (F.coalesce("title", F.lit("")) != ""))
+    named = named.withColumn("project", F.when(F.coalesce("project", F.lit("")) == "", "?").otherwise(F.col("project"))).withColumn("root", F.coalesce("root", F.lit("")))
+    order = W.partitionBy("project", "root").orderBy(F.desc_nulls_last("at"), "session", "seq")
+    tag = F.when(F.col("root") == "", "").otherwise(F.substring(F.sha1("root"), 1, 6))
+    return named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("project", "root", tag.alias("tag"), "n", "session", "type", "title", "at")
+
+
+def to_distill(turns: DataFrame, session: str, ts: str, most: int = 40, least: int = 2) -> DataFrame:
+    """``session, n, last``: the sessions with ``least`` turns or more whose last turn is newest, ``most`` of them;
+    equal times by session."""
+    each = turns.groupBy(session).agg(F.count("*").alias("n"), F.max(ts).alias("last")).where(F.col("n") >= least)
+    return each.orderBy(F.desc_nulls_last("last"), session).limit(most)
+
+
 def roll_up(observations: DataFrame, session: str, order: str, first: list[str], last: list[str]) -> DataFrame:
     """Per session the first value of some columns, the last of others, and the count."""
     return observations.groupBy(session).agg(*[F.min_by(c, order).alias(f"first_{c}") for c in first], *[F.max_by(c, order).alias(f"last_{c}") for c in last], F.count("*").alias("n"))

@@ -116,6 +116,31 @@ def newest_decisions(spark, sf):
     return S.newest(table(spark, sf, "orders"), "o_custkey", [F.desc("o_orderdate"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "n")
 
 
+@query(
+    """with o as (select user_id as session, event_id as seq, case when user_id % 10 > 0 then 'p' || user_id % 10 else '' end as project, case when user_id % 3 > 0 then '/r' || user_id % 3 end as root,
+case event_type when 'view' then 'decision' when 'click' then 'change' when 'purchase' then 'feature' else event_type end as type, case when event_id % 17 = 0 then '' else props end as title, case when event_id % 5 > 0 then ts end as at_ from events),
+d as (select case when project = '' then '?' else project end as project, coalesce(root, '') as root, session, seq, type, title, at_ from o where type in ('decision', 'change', 'feature', 'bugfix', 'refactor') and title <> ''),
+r as (select *, row_number() over (partition by project, root order by at_ desc nulls last, session, seq) as n from d)
+select project, root, case when root = '' then '' else left(sha1(root), 6) end as tag, n::int as n, session, type, title, at_ as "at" from r where n <= 120"""
+)
+def project_decisions(spark, sf):
+    """The newest decisions of each project and folder, those without a time last."""
+    kinds = F.when(F.col("event_type") == "view", "decision").when(F.col("event_type") == "click", "change").when(F.col("event_type") == "purchase", "feature").otherwise(F.col("event_type"))
+    user = F.col("user_id")
+    rows = table(spark, sf, "events").select(
+        user.alias("session"), F.col("event_id").alias("seq"), F.when(user % 10 > 0, F.concat(F.lit("p"), user % 10)).otherwise("").alias("project"), F.when(user % 3 > 0, F.concat(F.lit("/r"), user % 3)).alias("root"),
+        kinds.alias("type"), F.when(F.col("event_id") % 17 == 0, "").otherwise(F.col("props")).alias("title"), F.when(F.col("event_id") % 5 > 0, F.col("ts").cast("timestamp_ntz")).alias("at"),
+    )
+    return S.decisions(rows)
+
+
+@query("select user_id, count(*) as n, max(ts) as last from events where event_type = 'view' group by user_id having count(*) >= 2 order by max(ts) desc, user_id limit 40")
+def sessions_to_distill(spark, sf):
+    """The forty sessions with the newest last turns, of two turns or more (a top-k report)."""
+    turns = table(spark, sf, "events").where("event_type = 'view'").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return S.to_distill(turns, "user_id", "ts")
+
+
 @query("select user_id, arg_min(event_type, event_id) as first_event_type, arg_max(event_type, event_id) as last_event_type, count(*) as n from events group by user_id")
 def session_roll_up(spark, sf):
     return S.roll_up(table(spark, sf, "events"), "user_id", "event_id", ["event_type"], ["event_type"])

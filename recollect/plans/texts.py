@@ -346,6 +346,22 @@ def judge_months(spark, sf):
     return E.judged_by_month(rows)
 
 
+@query(
+    """with v as (select l_orderkey as qid, l_shipdate::date as day, case when l_linenumber % 2 = 0 then 'a' else 'b' end as system, l_linenumber as pass, l_returnflag = 'R' as refused, l_quantity > 10 as existed, l_tax > 0.06 as invalid, l_partkey % 4 as points from lineitem),
+p as (select *, case when refused then case when existed then 0 else 2 end when invalid or not existed then 0 when points in (0, 1, 2) then points else 0 end as score from v),
+e as (select qid, min(strftime(day, '%Y-%m')) as month, avg(case when system = 'a' then score end) as a, avg(case when system = 'b' then score end) as b, arg_min(existed, pass * 2 + existed::int)::int as ex from p group by qid),
+m as (select month, count(case when a is not null and b is not null then 1 end) as n, round(avg(case when b is not null then a end), 3) as mean_a, round(avg(case when a is not null then b end), 3) as mean_b, round(avg(ex), 3) as existed from e group by rollup (month))
+select coalesce(month, 'all') as month, n, mean_a, mean_b, existed from m where n > 0 or month is null"""
+)
+def judged_duel(spark, sf):
+    """Two systems by a judge's passes, by month."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("qid"), F.to_date("l_shipdate").alias("day"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("system"), F.col("l_linenumber").alias("pass"),
+        (F.col("l_returnflag") == "R").alias("refused"), (F.col("l_quantity") > 10).alias("existed"), (F.col("l_tax") > 0.06).alias("invalid"), (F.col("l_partkey") % 4).alias("points"),
+    )
+    return E.duel(rows, "a", "b", None)
+
+
 @query(
     f"""with {_MARKS}, d as (select gold as k from (values (1), (4)) t(gold)), r as (select kind as qid, qid % 50 as key, min(qid % 1000) as rank from g group by all), k as (select qid, key, row_number() over (partition by qid order by rank, key) as rank from r),
 x as (select qid, key, rank from k where key not in (select k from d))

@@ -129,6 +129,25 @@ def test_intervals_are_those_of_one_stream(spark):
     assert set(x.metric for x in E.bootstrap(grade(2), None, 50).collect()) == {"wrong_citation_rate", "right", "refused"}
 
 
+def test_a_duel_and_its_interval(spark):
+    """Against the rule and the resampling written out; marks that are no points, and a question of one system only."""
+    r = random.Random(4)
+    rows = [(q, f"2025-0{1 + q % 3}-05", s, p, r.random() < 0.2, r.random() < 0.8, r.random() < 0.2, r.choice([0, 1, 2, 5, None])) for q in range(50) for s in "ab" for p in (0, 1) if (q, s) != (7, "b")]
+    df = spark.createDataFrame(rows, "qid int, day string, system string, pass int, refused boolean, existed boolean, invalid boolean, points int").withColumn("day", F.col("day").cast("date"))
+    points = lambda x: (0 if x[5] else 2) if x[4] else 0 if x[6] or not x[5] else x[7] if x[7] in (0, 1, 2) else 0
+    mean = lambda xs: sum(xs) / len(xs)
+    each = {q: [mean([points(x) for x in rows if x[0] == q and x[2] == s]) for s in "ab"] for q in range(50) if q != 7}
+    diffs = [a - b for a, b in each.values()]
+    stream, reps = random.Random(0), 400
+    means = sorted(mean([stream.choice(diffs) for _ in diffs]) for _ in range(reps))
+    out = {x.month: x for x in E.duel(df, "a", "b", reps).collect()}
+    assert (out["all"].n, out["all"].mean_a, out["all"].mean_b) == (49, round(mean([a for a, _ in each.values()]), 3), round(mean([b for _, b in each.values()]), 3))
+    assert (out["all"].low, out["all"].high) == pytest.approx((means[10], means[389]), abs=1e-3)
+    assert set(out) == {"all", "2025-01", "2025-02", "2025-03"} and out["2025-02"].n == len([q for q in each if q % 3 == 1]) and out["2025-01"].low is None
+    assert out["all"].existed == pytest.approx(mean([x[5] for x in rows if x[2:4] == ("a", 0)]), abs=1e-3)
+    assert E.duel(df.limit(0), "a", "b", 10).where("n > 0").count() == 0
+
+
 @pytest.mark.parametrize("answer, page, want", [
     ("version 3", "we run version 1.3 here", False), ("version 1.3", "we run version 1.3 here", True), ("3 items", "30 items", False), ("v0.9.2", "tag v0.9.2 out", True), ("0.9.2", "tag v0.9.2 out", True),
     ("8/16", "8 and 16", False), ("push/release", "push, then release", True), ("llm+DeepSeek", "llm and deepseek", True), ("`a b`", "x a b y", True), ("`a b`", "xa by", False),
