@@ -108,3 +108,23 @@ def test_lines_may_be_compressed(spark, tmp_path):
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
         f.write('{"k": 1}\nno\n{"k": 2}\n')
     assert sorted(r.k for r in files.json_lines(spark, str(tmp_path), "k int").collect()) == [1, 2]
+
+
+def test_the_other_two_dialects(spark, tmp_path):
+    a, b = tmp_path / "codex", tmp_path / "cursor" / "x" / "agent-transcripts"
+    (a / "2025").mkdir(parents=True)
+    b.mkdir(parents=True)
+    meta = lambda who: {"type": "session_meta", "payload": {"cwd": "/w", "originator": who}}
+    say = lambda role, text, kind="response_item": {"type": kind, "timestamp": "2025-01-01T00:00:00Z", "payload": {"role": role, "content": [{"type": "input_text", "text": text}]}}
+    (a / "2025" / "s1.jsonl").write_text("\n".join(map(json.dumps, [meta("cli"), say("user", "ask"), say("assistant", "answer"), say("system", "no"), say("user", "event", "event_msg"), say("user", " ")])))
+    (a / "s2.jsonl").write_text("\n".join(map(json.dumps, [meta("codex_exec"), say("user", "robot")])))
+    rows = files.transcripts(spark, str(a), "codex").orderBy("seq").collect()
+    assert [(r.session, r.role, r.text, r.cwd, r.entry) for r in rows] == [("s1", "user", "ask", "/w", "cli"), ("s1", "assistant", "answer", "/w", "cli")]
+    ask = "<timestamp>Monday, Oct 13, 2025, 9:05 PM (UTC+8)</timestamp>\n<user_query>\nwhat\nnow\n</user_query>"
+    lines = [{"role": "user", "message": {"content": [{"type": "text", "text": ask}]}}, {"role": "assistant", "message": {"content": "this"}}]
+    (b / "c1.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "cursor" / "c2.jsonl").write_text(json.dumps(lines[0]))  # not among the transcripts
+    (b / "subagents").mkdir()
+    (b / "subagents" / "c3.jsonl").write_text(json.dumps(lines[0]))
+    rows = files.transcripts(spark, str(tmp_path / "cursor"), "cursor").orderBy("seq").select("session", "role", "text", files.cursor_time(F.col("ts")).cast("string").alias("ts")).collect()
+    assert [tuple(r)[:3] for r in rows] == [("c1", "user", "what\nnow"), ("c1", "assistant", "this")] and rows[0].ts == "2025-10-13 13:05:00"
