@@ -14,6 +14,8 @@ from recollect.functions.text import lock_form
 from recollect.plans.place import place
 
 LOCK_BAND = 100
+#: Triggers up to which they are sent to every task.
+FEW_TRIGGERS = 50_000
 
 
 def in_force(valid_from: Column, invalid_at: Column, today: Column, status: Column | None = None) -> Column:
@@ -83,12 +85,13 @@ def _holding(q: DataFrame, names: DataFrame) -> DataFrame:
     """``_q`` of ``q(_q)`` and the rows of names of which one holds the other, and some more: both have the
     rarest two characters of the shorter one (or its only one), by how many names have them."""
     both = lambda c: F.array_distinct(F.concat(_grams(F.col(c), 1), _grams(F.col(c), 2)))
-    within = names.select("_row", "_a", F.explode(both("_a")).alias("_k"))
+    # Spark takes what is exploded for no larger than it was before, and would send it to every task.
+    within = names.select("_row", "_a", F.explode(both("_a")).alias("_k")).hint("merge")
     df = within.groupBy("_k").agg(F.count("*").alias("_df"))
     long = lambda c: F.length("_k") == F.least(F.lit(2), F.length(c))
     rarest = F.min_by("_k", F.struct("_df", "_k")).alias("_k")
     own = within.where(long("_a")).join(df, "_k").groupBy("_row").agg(rarest)
-    asked = q.select("_q", F.explode(both("_q")).alias("_k"))
+    asked = q.select("_q", F.explode(both("_q")).alias("_k")).hint("merge")
     # Two characters that no name has are in the question all the same: no name holds it.
     short = asked.where(long("_q")).join(df, "_k", "left").groupBy("_q").agg(F.min_by("_k", F.struct(F.coalesce("_df", F.lit(0)), "_k")).alias("_k"))
     inside = asked.join(own, "_k").select("_q", "_row")
@@ -203,16 +206,26 @@ def conflicts(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def trigger_match(queries: DataFrame, triggers: DataFrame) -> DataFrame:
     """``qid, rel, score, ambiguous`` by the longest trigger in the question; ``^x`` must be
-    the whole question; two pages with equal scores are ambiguous. ``triggers(rel, word)``."""
-    t = triggers.select("rel", F.lower("word").alias("word"))
+    the whole question; two pages with equal scores are ambiguous. ``triggers(rel, word)``.
+
+    A question that is asked several times is looked up once. Triggers up to ``FEW_TRIGGERS`` are sent to
+    every task; more of them meet the questions' characters in a merge join."""
+    t = triggers.select("rel", F.lower("word").alias("word")).distinct()
     q = queries.select("qid", F.lower(F.trim("q")).alias("q"))
     exact = F.col("word").startswith("^")
     bare = F.when(exact, F.expr("substring(word, 2)")).otherwise(F.col("word"))
     points = F.when(exact & (F.col("q") == bare), 1000 + F.length(bare)).when(~exact & F.contains("q", F.col("word")), F.length("word")).otherwise(0)
     inner = F.explode(F.array_distinct(F.concat(_grams(F.col("q"), 1), _grams(F.col("q"), 2))))
-    hits = q.withColumn("_k", inner).join(t.withColumn("_k", F.substring(bare, 1, 2)), "_k").withColumn("score", points).where("score > 0")
-    best = hits.withColumn("r", F.rank().over(W.partitionBy("qid").orderBy(F.desc("score")))).where("r = 1")
-    return best.groupBy("qid").agg(F.min("rel").alias("rel"), F.max("score").alias("score"), (F.countDistinct("rel") > 1).alias("ambiguous"))
+    few = t.limit(FEW_TRIGGERS + 1).count() <= FEW_TRIGGERS
+    keyed = t.withColumn("_k", F.substring(bare, 1, 2))
+    hits = q.select("q").distinct().withColumn("_k", inner).join(F.broadcast(keyed) if few else keyed.hint("merge"), "_k").withColumn("score", points).where("score > 0")
+
+    def best(rows: DataFrame, by: str, low: str, high: str) -> DataFrame:
+        each = rows.groupBy(by, "score").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+        return each.groupBy(by).agg(F.max_by(F.struct("low", "high"), "score").alias("r"), F.max("score").alias("score")).select(by, "score", "r.low", "r.high")
+
+    top = best(q.join(best(hits, "q", "rel", "rel"), "q"), "qid", "low", "high")
+    return top.select("qid", F.col("low").alias("rel"), "score", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("ambiguous"))
 
 
 def verified(aliases: DataFrame) -> DataFrame:

@@ -58,3 +58,37 @@ def test_no_key_of_many_names(spark):
     asked = spark.createDataFrame([(i, f"about the common name {i:04}x today") for i in range(40)], "qid int, q string").selectExpr("replace(q, ' ', '') as _q")
     pairs = L._holding(asked, L._names(names))
     assert 40 <= pairs.count() < 40 * 400 / 10
+
+
+def sent(df):
+    """What the plan sends to every task."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for x in lines[i + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                out.append(x)
+    return "\n".join(out)
+
+
+def test_exploded_questions_are_not_sent_to_every_task(spark, tmp_path, monkeypatch):
+    """The questions' file is smaller than what Spark broadcasts; their characters are not."""
+    asked = [(i, f"the {'ring' if i % 2 else 'bolt'} {i % 50} of x{i % 7}") for i in range(2000)] + [(3000, "Brand#1"), (3001, "none"), (3002, None)]
+    spark.createDataFrame(asked, "qid long, q string").write.parquet(f"{tmp_path}/q")
+    words = [("a.md", "ring"), ("b.md", "ring"), ("c.md", "bolt"), ("c.md", "bolt"), ("d.md", "x3"), ("e.md", "bolt 4"), ("f.md", "^Brand#1")]
+    q, t = spark.read.parquet(f"{tmp_path}/q"), spark.createDataFrame(words, "rel string, word string")
+    want = {}
+    for i, x in asked:
+        at = [((1000 + len(w) - 1) if w[0] == "^" else len(w), rel) for rel, w in words if x and ((w[0] == "^" and x.lower() == w[1:].lower()) or (w[0] != "^" and w.lower() in x.lower()))]
+        if at:
+            first = {rel for n, rel in at if n == max(at)[0]}
+            want[i] = (min(first), max(at)[0], len(first) > 1)
+    for few in (50_000, 2):
+        monkeypatch.setattr(L, "FEW_TRIGGERS", few)
+        out = L.trigger_match(q, t)
+        assert "Generate" not in sent(out)
+        assert {r.qid: (r.rel, r.score, r.ambiguous) for r in out.collect()} == want
+    names = L._names(spark.createDataFrame([(f"n{i}", f"name {i}", "p") for i in range(50)], "id string, alias string, source string"))
+    assert "Generate" not in sent(L._holding(q.select(L.F.col("q").alias("_q")), names))
