@@ -188,3 +188,19 @@ def test_hinge_is_the_sweep_without_each_item(spark, seed):
     want = {x[0]: (x[2] == "rewrite" and x[4] < best, not any(matches([y for y in items if y is not x], f) for f in floors)) for x in items if x[2] == "rewrite" or x[1] == "negative"}
     df = spark.createDataFrame(items, "id int, slice string, kind string, gold int, score double, pred int")
     assert {x.dropped: (x.inverted, x.still_no_floor) for x in E.hinge(df, floors).collect()} == want
+
+
+def test_live_cards_against_sql_on_odd_rows(spark, tmp_path):
+    """A heading that is cut, other scripts and forms, rows that repeat id and text, one id on two texts."""
+    import duckdb
+
+    from recollect import catalog
+
+    texts = ["a" * 70 + " more", "plain words of a page", "x " * 40, "", None, "日本語の文章", "ﬁne ＡＢＣ", "İs it", "Ks", "has `code` in it", "１２", "é è", "word" * 12 + "zz tail", "😀 smile at it", "的 了"]
+    rows = [(1 + i * 4 + k, x) for k in (0, 3) for i, x in enumerate(texts)]
+    rows += [(1001, "twice the same"), (1001, "twice the same"), (1002, "one text"), (1002, "another text"), (None, "no id"), (1003, "b" * 60), (1003, "b" * 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(r[0] for r in db.execute(catalog.SQL["live_cards"]).fetchall())
+    assert sorted(r.rel for r in catalog.QUERIES["live_cards"](spark, str(tmp_path)).collect()) == want
