@@ -108,9 +108,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, m: int) -> DataFrame:
-    """``key, node``: one row for each pair of collections."""
+    """``key, node``: one row for each pair of collections. Spark takes them for as small as ``reps``, which it
+    would send to every task by way of the driver, so joins with them are merged."""
     keys = [F.xxhash64(F.lit(i * m + j), F.col("sig")[i], F.col("sig")[j]) for i in range(m) for j in range(i + 1, m)]
-    return reps.select(F.explode(F.array(*keys)).alias("key"), "node")
+    return reps.select(F.explode(F.array(*keys)).alias("key"), "node").hint("merge")
+
+
+def _met(reps: DataFrame, m: int) -> DataFrame:
+    """The buckets of two members or more, with the smallest and the largest: ``key, node, low, high``."""
+    buckets = _buckets(reps, m)
+    heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    return buckets.join(heads, "key")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -133,7 +141,7 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").hint("merge").join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(check, "a long, b long")
 
 
 def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -146,9 +154,9 @@ def _rest(met: DataFrame, labels: DataFrame, texts: DataFrame, words: int, perce
     in a table of fixed size, so that what is common comes last. Exact: no link is lost.
     """
     spark = texts.sparkSession
-    named = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = met.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    nodes = named.join(mixed, "key").select("node", "label").distinct()
+    nodes = named.hint("merge").join(mixed, "key").select("node", "label").distinct()
     open_ = stored(texts.join(nodes, "node"), "open")
 
     total = open_.agg(F.sum("n")).first()[0] or 0
@@ -199,16 +207,14 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, m: int = COLLECT
     # that id stands on other sets, too, or is null.
     shared = sets.groupBy("id").agg(F.count("*").alias("m")).where("m > 1 and id is not null")
     groups = stored(sets.join(shared, "id", "left").withColumn("node", F.when(F.col("id").isNull() | F.col("m").isNotNull(), F.col("row")).otherwise(F.col("id"))).drop("m"), "groups")
-    buckets = _buckets(groups, m)
-    heads = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    met = stored(buckets.join(heads, "key"), "buckets")  # only buckets with two members or more
+    met = stored(_met(groups, m), "buckets")
     size = groups.select("node", "n")
     wanted = stored(groups.select("row", "node", "n").join(met.select("node").distinct(), "node"), "wanted")
     texts = stored(common.matching(_keyed(docs).select("row", "text"), wanted, "row").dropDuplicates(["row"]).select("node", "n", "text"), "texts")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """In order, each once, and not of sizes that rule a link out."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().hint("merge")
         pairs = pairs.join(size.withColumnRenamed("node", "a").withColumnRenamed("n", "na"), "a").join(size.withColumnRenamed("node", "b").withColumnRenamed("n", "nb"), "b")
         return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 

@@ -81,3 +81,12 @@ def test_null_ids_take_part(make):
     assert got(M.near_duplicates(make(texts), words=4)) == brute(texts)
     lone = [(None, A), (None, A), (4, B)]
     assert got(M.near_duplicates(make(lone), words=4)) == brute(lone) == [(-1, 117, -1), (-1, 117, -1), (4, 117, 4)]
+
+
+def test_buckets_are_not_sent_to_every_task(spark, tmp_path):
+    """The file of the sets is smaller than what Spark broadcasts; their 91 keys each are not."""
+    spark.range(300).selectExpr("id as node", "transform(sequence(0, 13), i -> (id div 2) * 14 + i) as sig").write.parquet(f"{tmp_path}/sets")
+    out = M._met(spark.read.parquet(f"{tmp_path}/sets"), M.COLLECTIONS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "BroadcastExchange" not in plan
+    assert {(r.node, r.low, r.high) for r in out.collect()} == {(i, i - i % 2, i - i % 2 + 1) for i in range(300)} and out.count() == 300 * 91
