@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,23 @@ def test_evidence_equals_a_walk(spark, tmp_path, seed, budget):
     assert got == walk(pages, terms, own, budget)
 
 
+def test_a_topic_of_many_pages_is_ranked_in_parts(spark):
+    """No task reads all pages of a topic; what it gets from a part fits into the budget."""
+    r = random.Random(4)
+    pages = [(i, None if i % 3 else f"2025-{1 + i % 12:02}", "\n".join(r.choice(["alpha", "beta", "none of it"]) for _ in range(r.randrange(1, 30)))) for i in range(3000)]
+    terms, own = [("a", "alpha"), ("b", "beta")], {("a", 17), ("b", 2999)}
+    df = spark.createDataFrame(pages, "rel int, day string, text string")
+    out = topics.evidence(literal.Scan(df, "rel", F.col("text")), df, F.col("text"), spark.createDataFrame(terms, "topic string, term string"), spark.createDataFrame(list(own), "topic string, rel int"), 1500)
+    got = {}
+    for x in out.orderBy("topic", "place").collect():
+        got.setdefault(x.topic, []).append((x.place, x.block, x.upto))
+    assert got == walk(pages, terms, own, 1500)
+    # Of what is ranked as a whole topic, each part was ranked by itself before.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    by = [bool(x) for x in re.findall(r"windowspecdefinition\(topic#\d+(, _part#\d+)?", plan)]
+    assert not by[0] and by[-1]
+
+
 def test_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "rel string, day string, text string")
     grams = literal.Grams.build(none, "rel", F.col("text"), str(tmp_path / "grams"))
