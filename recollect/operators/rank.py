@@ -13,6 +13,7 @@ from recollect.functions import redact
 from recollect.functions import text as T
 from recollect.operators.index import boost
 from recollect.operators.segments import View
+from recollect.plans.place import place
 
 K1, B = 1.2, 0.75
 #: What ends a line.
@@ -121,8 +122,8 @@ def _best(parts: DataFrame, asked: DataFrame, key: str, k: int, few: bool, digit
         for i in range(0, len(ends), step):
             a, b = begin[i], ends[min(i + step, len(ends)) - 1]
             size = ends[i : i + step] - begin[i : i + step]
-            have = np.zeros((len(size), n_terms))
-            have[np.repeat(np.arange(len(size)), size), at[a:b]] = s[a:b]
+            # A term may have several parts in a document.
+            have = np.bincount(np.repeat(np.arange(len(size)) * n_terms, size) + at[a:b], s[a:b], len(size) * n_terms).reshape(len(size), n_terms)
             for c in range(0, len(names), QUESTIONS):
                 some = (q >= c) & (q < c + QUESTIONS)
                 want = np.zeros((n_terms, min(QUESTIONS, len(names) - c)))
@@ -169,20 +170,27 @@ def rerank(candidates: DataFrame, tier: Column, topic_named: Column | None = Non
     return candidates.withColumn("score", F.round(score, 3))
 
 
-def lexical_count(words: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """``qid, key, hits``: how often the question's words occur as substrings of a document's, from
-    ``words(key, term, tf)`` and ``terms(qid, term)``, both runs of a-z and 0-9 of three or more.
+def lexical_count(view: View, field: str, queries: DataFrame, k: int) -> DataFrame:
+    """``qid, key, score``: how often the distinct ``queries(qid, terms)`` occur as substrings of a document's
+    words in a field of the index, for those that may be among the first ``k`` of a question. Terms and
+    words are runs of a-z and 0-9 of three or more.
 
-    A word that holds a term holds its first three characters: distinct words and terms meet on
-    those, so texts are not scanned, and a word is compared once however often it occurs."""
+    A word that holds a term holds its first three characters: the words of the index (from its frequencies,
+    each once) and terms meet on those, so texts are not scanned, and a word is compared once however often
+    it occurs. Documents then get numbers by term, not by question and term."""
+    asked, terms, few = _numbered(queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")))
     n = F.length("word")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3))))
-    known = words.select(F.col("term").alias("word")).distinct().withColumn("_g", F.explode(grams))
-    asked = terms.select("term").distinct().withColumn("_g", F.substring("term", 1, 3))
+    words = view.rows.where(F.col("field") == field).select(F.col("term").alias("word")).distinct() if view.df is None else view.df.where(F.col("field") == field).select(F.col("term").alias("word"))
+    known = words.withColumn("_g", F.explode(grams))
+    begun = terms.withColumn("_g", F.substring("term", 1, 3))
     times = ((n - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term")).cast("long")
-    holds = known.join(asked, "_g").where(F.contains("word", F.col("term"))).select("word", "term", times.alias("times"))
-    each = words.select(key, F.col("term").alias("word"), "tf").join(holds, "word").groupBy(key, "term").agg(F.sum(F.col("tf") * F.col("times")).alias("n"))
-    return each.join(terms, "term").groupBy("qid", key).agg(F.sum("n").alias("hits"))
+    at = place(view.rows.sparkSession, "holds")
+    known.join(F.broadcast(begun) if few else begun, "_g").where(F.contains("word", F.col("term"))).select("word", "t", times.alias("times")).write.parquet(at)
+    holds = view.rows.sparkSession.read.parquet(at)  # looked at twice
+    holds = F.broadcast(holds) if holds.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else holds
+    parts = view.rows.where(F.col("field") == field).select(view.key, F.col("term").alias("word"), "tf").join(holds, "word").select(view.key, "t", (F.col("tf") * F.col("times")).cast("double").alias("s"))
+    return _best(parts, asked.withColumn("w", F.lit(1.0)), view.key, k, few, None)
 
 
 def _inverse(df: DataFrame, totals: DataFrame) -> DataFrame:
