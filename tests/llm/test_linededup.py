@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -136,3 +138,55 @@ def test_copies_of_all_line_counts_vanish_whole(make):
     for out in (L.deduplicated(docs).where("doc_id >= 10000").collect(), L.cleaned(docs).where("doc_id >= 10000").collect()):
         assert [r.text for r in out if r.text] == []
     assert {r.doc_id: r.text for r in L.cleaned(docs).collect()} == texts
+
+
+def odd_lines(seed, n=60):
+    """Texts of few different lines, blank ones among them, so that runs, copies and overlaps of all kinds arise."""
+    r = random.Random(seed)
+    lines = ["a", "b", "cc", "d d", "", " ", "\t", "  ", "e", "ff"]
+    texts = [(i, "\n".join(r.choices(lines[: r.randrange(2, 11)], k=r.randrange(1, 14))) + r.choice(["", "\n"])) for i in range(n)]
+    return texts + [(n + i, "\n".join([texts[i][1], *r.choices(lines, k=3), texts[i + 1][1]])) for i in range(n // 2)]
+
+
+def test_runs_follow_the_content_and_hold_every_pair_once():
+    for _, text in odd_lines(1, 200):
+        lines = split(text.encode())
+        at = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+        row, a, b, n, _, (p, size, _) = L.runs(pa.array(["x\ny", text]))
+        assert list(zip(p[1:] - 3, size[1:])) == [(at[i], at[i + 2] - 1 - at[i]) for i in range(len(lines) - 1) if b"".join(lines[i : i + 2]).split()]
+        assert sum(n - 1) == len(p) and all(x == y for x, y in zip(a, p[np.append(0, np.cumsum(n - 1)[:-1])]))
+    passage = "\n".join(f"shared line number {i}" for i in range(40))
+    found = []
+    for head in ("", "one\n", "one\ntwo\nthree\n"):
+        _, a, b, n, _, _ = L.runs(pa.array([head + passage]))
+        assert max(n) > L.LINES
+        found.append({(head + passage)[x:y] for x, y in zip(a, b)})
+    assert len(found[0] & found[1]) >= len(found[0]) - 2 and len(found[1] & found[2]) >= len(found[1]) - 2
+
+
+def test_the_pipeline_goes_by_chunks_and_checks_only_the_rest(make):
+    """Of a passage that is copied often, whole chunks are found; pairs are compared in its first place and where
+    chunks meet other lines."""
+    passage = "\n".join(f"a line of number {i}" for i in range(60))
+    docs = L._key(make([(d, f"own {d}\n{passage}\nend {d}") for d in range(20)]))
+    again, pairs = L._rest(docs)
+    assert again.count() >= 19 * 15
+    assert pairs.count() <= 61 + 19 * 8
+
+
+def test_exact_form_on_odd_lines(make):
+    """As every pair of neighbouring lines compared with all before it."""
+    for seed in range(3):
+        texts = odd_lines(seed)
+        first, want = {}, {}
+        for d, t in texts:
+            lines, gone = split(t.encode()), set()
+            for i, pair in enumerate(zip(lines, lines[1:])):
+                if b"".join(pair).split():
+                    at = first.setdefault(pair, (d, i))
+                    if at != (d, i):
+                        gone |= {k for k in (i, i + 1) if at[0] != d or k > at[1] + 1}
+            left = b"\n".join(x for i, x in enumerate(lines) if i not in gone).rstrip(b"\n").decode()
+            if left.strip() or not gone:
+                want[d] = left if gone else t
+        assert {r.doc_id: r.text for r in L.cleaned(make(texts + texts[:5])).collect()} == want
