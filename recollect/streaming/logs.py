@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -53,7 +52,10 @@ def once_a_day(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 
 class _Repeats(StatefulProcessor):
-    """The asks and clearing events of a key that may still stand before others, as list state; a timer ends it."""
+    """The asks and clearing events of a key that may still stand before others, as list state; a timer ends it.
+
+    A key has few events, so they are plain rows, and the state is asked for no more than it holds: a key without
+    events kept has no timer either."""
 
     def __init__(self, key: str, span: int):
         self.key, self.span = key, span
@@ -62,28 +64,30 @@ class _Repeats(StatefulProcessor):
         self.handle = handle
         self.line = handle.getListState("line", "at long, event_id long, ask boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat([f[["at", "event_id", "ask"]] for f in rows], ignore_index=True).assign(fresh=True)
-        past = pd.DataFrame(list(self.line.get()), columns=["at", "event_id", "ask"]).assign(fresh=False)
-        line = (pd.concat([past, fresh], ignore_index=True) if len(past) else fresh).astype({"at": "int64", "event_id": "int64", "ask": bool, "fresh": bool})
-        line = line.sort_values(["at", "event_id"], kind="stable", ignore_index=True)
-        line["repeated"] = line["ask"].shift(fill_value=False) & (line["at"].diff().fillna(0) <= self.span)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        past = [(at, event_id, ask, False) for at, event_id, ask in self.line.get()]
+        line = past + [(r["at"], r["event_id"], r["ask"], True) for r in rows]
+        line.sort(key=lambda e: e[:2])
         # Rows that are not too late yet come after the mark: what stands further before it counts no more.
         mark = timerValues.getCurrentWatermarkInMs()
-        left = line[line["at"] >= mark * 1000 - self.span]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if len(left):
-            self.line.put([(int(t), int(i), bool(a)) for t, i, a in zip(left["at"], left["event_id"], left["ask"])])
-            self.handle.registerTimer(max(int(left["at"].iloc[-1] + self.span) // 1000, mark) + 1)
-        else:
+        left = [e[:3] for e in line if e[0] >= mark * 1000 - self.span]
+        if past:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if left:
+            self.line.put(left)
+            self.handle.registerTimer(max((left[-1][0] + self.span) // 1000, mark) + 1)
+        elif past:
             self.line.clear()
-        said = line[line["fresh"] & line["ask"]]
-        yield pd.DataFrame({self.key: key[0], "event_id": said["event_id"], "at": said["at"], "repeated": said["repeated"]})
+        before = None
+        for at, event_id, ask, fresh in line:
+            if fresh and ask:
+                yield Row(**{self.key: key[0], "event_id": event_id, "at": at, "repeated": before is not None and before[2] and at - before[0] <= self.span})
+            before = (at, event_id, ask)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.line.clear()
-        yield pd.DataFrame({self.key: pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "at": pd.Series(dtype="int64"), "repeated": pd.Series(dtype=bool)})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -99,7 +103,7 @@ def asked_again(events: DataFrame, key: str, ask: str, clear: str, hours: int =
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = timed(events.select(key, "event_id", "ts", "event_type"), late).where(F.col("event_type").isin(ask, clear))
     rows = rows.select(key, "ts", "event_id", F.unix_micros("ts").alias("at"), (F.col("event_type") == ask).alias("ask"))
-    out = rows.groupBy(key).transformWithStateInPandas(_Repeats(key, hours * 3_600_000_000), f"{key} long, event_id long, at long, repeated boolean", "append", "eventTime")
+    out = rows.groupBy(key).transformWithState(_Repeats(key, hours * 3_600_000_000), f"{key} long, event_id long, at long, repeated boolean", "append", "eventTime")
     return out.select(key, "event_id", F.timestamp_micros("at").alias("ts"), "repeated")
 
 

@@ -306,3 +306,46 @@ def test_pages_of_sessions_and_other_memories(spark):
     st = spark.createDataFrame([("a1", "n, m", "p.md", "do"), ("a0", "k", "q.md", "be")], "id string, names string, source string, how string")
     page = U.standing_page(st).first()
     assert page.page == "a0 | k | q.md | be\na1 | n, m | p.md | do" and page.n == 2 and U.stale_triggers(st.select(F.col("source").alias("rel")), spark.createDataFrame([("p.md", "dead"), ("q.md", "rule")], "rel string, tier string")).first().rel == "p.md"
+
+
+def test_a_fresh_key_asks_no_more_of_its_state_than_it_needs():
+    """Keys are told from each other with plain rows; timers are looked up only where events were kept."""
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers, self.calls = [], [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def listTimers(self):
+            self.calls.append("listTimers")
+            return iter(self.timers)
+
+        def deleteTimer(self, timer):
+            self.timers.remove(timer)
+
+        def registerTimer(self, timer):
+            self.timers.append(timer)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, p = Handle(), logs._Repeats("user_id", 10)
+    p.init(handle)
+    big = 2**60 + 1
+    out = list(p.handleInputRows((None,), iter([Row(at=15, event_id=big, ask=True), Row(at=5, event_id=2, ask=True)]), handle))
+    assert [tuple(r) for r in out] == [(None, 2, 5, False), (None, big, 15, True)] and handle.calls == []
+    out = list(p.handleInputRows((None,), iter([Row(at=6, event_id=3, ask=False), Row(at=26, event_id=4, ask=True)]), handle))
+    assert [tuple(r) for r in out] == [(None, 4, 26, False)] and handle.calls == ["listTimers"] and len(handle.timers) == 1
+    assert [r[1] for r in handle.rows] == [2, 3, big, 4]
