@@ -296,7 +296,7 @@ select root, seq, n::int as n from (select *, row_number() over (partition by ro
 )
 def lines_to_inject(spark, sf):
     """Even orders' lines as confirmed ones, of the thirty days before 1998."""
-    lines = C.stale(_queue_lines(spark, sf)).withColumn("confirmed", F.col("seq") % 2 == 0).withColumn("day", F.to_date("day"))
+    lines = C.stale(C.recent(_queue_lines(spark, sf), "1998-01-01")).withColumn("confirmed", F.col("seq") % 2 == 0).withColumn("day", F.to_date("day"))
     return C.to_inject(lines, "1998-01-01").select("root", "seq", "n")
 
 

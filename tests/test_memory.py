@@ -308,6 +308,22 @@ def test_pages_of_sessions_and_other_memories(spark):
     assert page.page == "a0 | k | q.md | be\na1 | n, m | p.md | do" and page.n == 2 and U.stale_triggers(st.select(F.col("source").alias("rel")), spark.createDataFrame([("p.md", "dead"), ("q.md", "rule")], "rel string, tier string")).first().rel == "p.md"
 
 
+def test_lines_to_inject_need_no_earlier_lines(spark, sf, monkeypatch):
+    """What is no longer shown is not compared, and the states of what is are the same."""
+    from recollect.plans import memory
+
+    seen, stale = [], changes.stale
+    monkeypatch.setattr(memory.C, "stale", lambda lines: seen.append(lines) or stale(lines))
+    memory.lines_to_inject(spark, sf)
+    every = memory._queue_lines(spark, sf)
+    late = every.where("day >= '1997-12-02'")
+    assert 0 < seen[0].count() == late.count() < every.count()
+    rows = [(str(dt.date(2024, 1, 1) + dt.timedelta(days=k % 9 * 8)), k, f"{'was ' if k % 2 else ''}queue c{k % 3}{f' → now queue c{k % 4}' if k % 2 else ''}") for k in range(60)]
+    lines = spark.createDataFrame([("r", *x) for x in rows], "root string, day string, seq int, line string")
+    short, long = (sorted(map(tuple, df.collect())) for df in (stale(changes.recent(lines, "2024-02-20")), changes.recent(stale(lines), "2024-02-20")))
+    assert short == long and 0 < len(short) < 60 and len({x[-1] for x in short}) > 1
+
+
 def test_a_fresh_key_asks_no_more_of_its_state_than_it_needs():
     """Keys are told from each other with plain rows; timers are looked up only where events were kept."""
     from pyspark.sql import Row
