@@ -10,6 +10,7 @@ from recollect.operators import cards as C
 from recollect.operators import quality as Q
 from recollect.operators import sessions as S
 from recollect.plans.memory import REDACTED
+from recollect.plans.place import place
 from recollect.plans.registry import query, table
 
 _LITERAL = "'`[^`]+`|[A-Za-z0-9][A-Za-z0-9_./:~+#-]*[A-Za-z0-9]|[0-9]'"
@@ -47,7 +48,8 @@ len(list_filter(case when len(list_filter(asked, lambda x: not list_contains({_S
 
 
 def _cards(spark, sf):
-    """``item_id, k, rel, sha, q, a, empty, v`` and the page's ``page, now``."""
+    """``item_id, k, rel, sha, q, a, empty, v`` and the page's ``page, now``. They are written: what judges a card by its
+    page would else be worked out below the join that finds the page, in Python on all documents."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("rel"), F.col("text").alias("page"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 16).alias("now"))
     b = table(spark, sf, "benchmark").select("item_id", "text", F.substring("text", 1, 60).alias("head"), F.substring("text", 21, 110).alias("mid"))
     lines = lambda df: df.select("*", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 40)
@@ -59,7 +61,10 @@ def _cards(spark, sf):
         F.when(i % 6 == 1, F.concat("mid", F.lit(" after 4521.7 hours"))).when(i % 6 == 2, F.concat("mid", F.lit(" password: tiger"))).when(i % 6 == 3, "--").when(i % 6 == 4, F.concat(word(1), F.lit("/"), word(2))).otherwise(F.col("mid"))
     )
     c = b.join(gold.unionByName(others), "item_id").join(docs, "rel")
-    return c.select("item_id", "k", "rel", F.when(i % 11 == 5, "old").otherwise(F.col("now")).alias("sha"), F.when(i % 4 == 3, "was ist").otherwise(F.col("head")).alias("q"), answer.alias("a"), (i % 13 == 4).alias("empty"), F.when(i % 3 == 0, 1).alias("v"), "page", "now")
+    c = c.select("item_id", "k", "rel", F.when(i % 11 == 5, "old").otherwise(F.col("now")).alias("sha"), F.when(i % 4 == 3, "was ist").otherwise(F.col("head")).alias("q"), answer.alias("a"), (i % 13 == 4).alias("empty"), F.when(i % 3 == 0, 1).alias("v"), "page", "now")
+    at = place(spark, "cards")
+    c.write.parquet(at)
+    return spark.read.schema(c.schema).parquet(at)
 
 
 @query(

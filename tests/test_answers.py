@@ -241,3 +241,11 @@ def test_live_cards_against_sql_on_odd_rows(spark, tmp_path):
     db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(r[0] for r in db.execute(catalog.SQL["live_cards"]).fetchall())
     assert sorted(r.rel for r in catalog.QUERIES["live_cards"](spark, str(tmp_path)).collect()) == want
+
+
+def test_cards_are_judged_without_all_documents(spark, sf):
+    """What is judged are the cards with their pages; a condition on the page is not moved below the join, to the documents."""
+    from recollect.plans import answers
+
+    for df in (answers._cards(spark, sf), answers.card_acceptance(spark, sf), answers.cards_attached(spark, sf)):
+        assert not [f for f in df.inputFiles() if "documents.parquet" in f]
