@@ -83,7 +83,8 @@ def bm25_of(view: View, fields: dict[str, float], queries: DataFrame, k: int, di
     n = view.totals.select(F.col("n").cast("double").alias("n"), F.try_divide(sum((F.col(f"n_{f}") for f in fields), F.lit(0)), F.col("n")).alias("avg"))
     every = field is not None or all(fields.get(f) for f in view.fields)
     df = df if df is not None and every else tf.groupBy("term").agg(F.count("*").alias("df"))
-    parts = tf.join(_idf(df, n), "term").select(view.key, "t", _bm25_part().alias("s"))
+    idf = F.broadcast(_idf(df, n)) if few else _idf(df, n)
+    parts = tf.join(idf, "term").select(view.key, "t", _bm25_part().alias("s"))
     return _best(parts, asked.withColumn("w", F.lit(1.0)), view.key, k, few, digits)
 
 
@@ -209,7 +210,7 @@ def tfidf_of(view: View, field: str, queries: DataFrame, k: int, digits: int = 6
     counts = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("c"))
     asked, terms, few = _numbered(counts)
     rows, df = view.of(terms, field)
-    idf = _inverse(df, view.totals)
+    idf = F.broadcast(_inverse(df, view.totals)) if few else _inverse(df, view.totals)
     q = _weighted(asked, idf)
     qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("qnorm"))
     every = _inverse(view.df.where(F.col("field") == field).select("term", "df"), view.totals)
