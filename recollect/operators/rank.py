@@ -214,7 +214,8 @@ def tfidf_of(view: View, field: str, queries: DataFrame, k: int, digits: int = 6
     q = _weighted(asked, idf)
     qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("qnorm"))
     every = _inverse(view.df.where(F.col("field") == field).select("term", "df"), view.totals)
-    norms = view.norms(lambda all_: _weighted(all_.where(F.col("field") == field).select(view.key, "term", F.col("tf").alias("c")), every))
+    # Of all postings and words, the words are looked up; postings are not sorted for that.
+    norms = view.norms(lambda all_: _weighted(all_.where(F.col("field") == field).select(view.key, "term", F.col("tf").alias("c")), every.hint("shuffle_hash")))
     parts = _weighted(rows.select(view.key, "t", "term", F.col("tf").alias("c")), idf).join(norms, view.key).select(view.key, "t", (F.col("w") / F.col("norm")).alias("s"))
     return _best(parts, q.join(qnorm, "qid").select("qid", "t", (F.col("w") / F.col("qnorm")).alias("w")), view.key, k, few, digits)
 
