@@ -88,6 +88,91 @@ def bm25_of(view: View, fields: dict[str, float], queries: DataFrame, k: int, di
     return _best(parts, asked.withColumn("w", F.lit(1.0)), view.key, k, few, digits)
 
 
+def bm25_first(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each question, and some more, by ``bm25`` without rounding; where a key has several rows, all scores.
+
+    Tokens are looked up among the asked ones in one reading; what is found is written, a row a document, and
+    counted and scored from there, so that no posting is moved and no pair of question and document but the first ones."""
+    asked, terms, few = _numbered(queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")))
+    if not few:
+        return bm25(docs, key, fields, queries, digits=None)
+    spark, at = docs.sparkSession, place(docs.sparkSession, "met")
+    words = spark.sparkContext.broadcast([r["term"] for r in terms.orderBy("t").collect()])
+    counted = [f for f, w in fields.items() if w]
+
+    def meet(batches):
+        known = pa.array(words.value, pa.string())
+        n = max(len(known), 1)
+        for batch in batches:
+            own, weight = [np.empty(0, np.int64)], [np.empty(0)]
+            for f in counted:
+                lists = batch.column(f)
+                code = pc.index_in(lists.flatten(), known)
+                hit = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                own.append(row[hit] * n + code.take(pa.array(hit)).to_numpy())
+                weight.append(np.full(len(hit), float(fields[f])))
+            each, which = np.unique(np.concatenate(own), return_inverse=True)
+            f = np.bincount(which, np.concatenate(weight), len(each))
+            row, t = np.divmod(each, n)
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t.astype(np.int32), f)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("len"), *lists], [key, "len", "t", "f"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    length = sum((F.size(f) for f in fields), F.lit(0)).cast("double")
+    docs.select(key, length.alias("len"), *counted).mapInArrow(meet, f"{key} {kind}, len double, t array<int>, f array<double>").write.parquet(at)
+    met = spark.read.schema(f"{key} {kind}, len double, t array<int>, f array<double>").parquet(at)
+    if not met.groupBy(key).count().where("count > 1").isEmpty():
+        return bm25(docs, key, fields, queries, digits=None)
+    totals = met.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg")).first()
+    df = np.zeros(len(words.value))
+    for r in met.select(F.explode("t").alias("t")).groupBy("t").count().collect():
+        df[r["t"]] = r["count"]
+    raw = np.log((totals["n"] - df + 0.5) / (df + 0.5))
+    idf, mean = np.where(raw > 0, raw, 1e-6), totals["avg"]
+    rows = asked.select("qid", "t").toArrow()
+    ids = rows["qid"].combine_chunks().dictionary_encode()
+    shared = spark.sparkContext.broadcast((ids.dictionary, ids.indices.to_numpy(), rows["t"].to_numpy(), np.ones(rows.num_rows), idf))
+
+    def score(batches):
+        names, q, t, w, idf = shared.value
+        least = np.zeros((len(names), k))
+        for batch in batches:
+            size = pc.list_value_length(batch.column("t")).to_numpy().astype(np.int64)
+            code, f = batch.column("t").flatten().to_numpy(), batch.column("f").flatten().to_numpy()
+            long = np.repeat(batch.column("len").to_numpy(), size)
+            s = idf[code] * f * (K1 + 1) / (f + K1 * (1 - B + B * long / mean))
+            for question, doc, got in _products(size, code, s, len(idf), len(names), q, t, w, least, 1e-9):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(question)), batch.column(key).take(pa.array(doc)), pa.array(got)], ["qid", key, "score"])
+
+    return met.mapInArrow(score, f"qid {asked.schema['qid'].dataType.simpleString()}, {key} {kind}, score double")
+
+
+def _products(size: np.ndarray, at: np.ndarray, s: np.ndarray, n_terms: int, n_names: int, q: np.ndarray, t: np.ndarray, w: np.ndarray, least: np.ndarray, margin: float):
+    """Questions, documents and scores: documents with ``size`` parts ``s`` of the terms ``at`` times questions ``q`` with
+    weights ``w`` of the terms ``t``, a bounded number of both at a time; what may be among the first ones, whose
+    scores are kept in ``least`` by question."""
+    ends = np.cumsum(size)
+    begin = ends - size
+    step = max(16, CELLS // max(n_terms, 1))
+    for c in range(0, n_names, QUESTIONS):
+        some = (q >= c) & (q < c + QUESTIONS)
+        want = np.zeros((n_terms, min(QUESTIONS, n_names - c)))
+        want[t[some], q[some] - c] = w[some]
+        for i in range(0, len(ends), step):
+            a, b = begin[i], ends[min(i + step, len(ends)) - 1]
+            own = size[i : i + step]
+            # A term may have several parts in a document.
+            have = np.bincount(np.repeat(np.arange(len(own)) * n_terms, own) + at[a:b], s[a:b], len(own) * n_terms).reshape(len(own), n_terms)
+            got = have @ want
+            best = least[c : c + QUESTIONS]
+            new = np.partition(np.concatenate([best, got.T], 1), -least.shape[1], 1)[:, -least.shape[1] :]  # the least of them comes first
+            least[c : c + QUESTIONS] = new
+            doc, question = np.nonzero((got > 0) & (got >= new[:, 0] - margin))
+            yield question + c, doc + i, got[doc, question]
+
+
 def _numbered(asked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """``qid, term, t`` and the distinct ``term, t``, numbered by their order if they are few."""
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -118,23 +203,9 @@ def _best(parts: DataFrame, asked: DataFrame, key: str, k: int, few: bool, digit
     def scores(table: pa.Table, names, q, t, w, least: np.ndarray):
         runs = pc.run_end_encode(table.column(key).combine_chunks())
         ends = runs.run_ends.to_numpy()
-        begin, at, s = np.concatenate([[0], ends[:-1]]), table.column("t").to_numpy(), table.column("s").to_numpy()
-        step = max(16, CELLS // n_terms)
-        for i in range(0, len(ends), step):
-            a, b = begin[i], ends[min(i + step, len(ends)) - 1]
-            size = ends[i : i + step] - begin[i : i + step]
-            # A term may have several parts in a document.
-            have = np.bincount(np.repeat(np.arange(len(size)) * n_terms, size) + at[a:b], s[a:b], len(size) * n_terms).reshape(len(size), n_terms)
-            for c in range(0, len(names), QUESTIONS):
-                some = (q >= c) & (q < c + QUESTIONS)
-                want = np.zeros((n_terms, min(QUESTIONS, len(names) - c)))
-                want[t[some], q[some] - c] = w[some]
-                got = have @ want
-                best = least[c : c + QUESTIONS]
-                new = np.sort(np.concatenate([best, got.T], 1), 1)[:, -k:]
-                least[c : c + QUESTIONS] = new
-                doc, question = np.nonzero((got > 0) & (got >= new[:, 0] - margin))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(question + c)), runs.values.take(pa.array(doc + i)), pa.array(got[doc, question])], ["qid", key, "score"])
+        at, s = table.column("t").to_numpy(), table.column("s").to_numpy()
+        for question, doc, got in _products(np.diff(ends, prepend=0), at, s, n_terms, len(names), q, t, w, least, margin):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(question)), runs.values.take(pa.array(doc)), pa.array(got)], ["qid", key, "score"])
 
     def run(batches):
         names, q, t, w = shared.value

@@ -5,7 +5,7 @@ Index tables stand in a folder as Parquet; a batch is answered in one plan, keye
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,13 +47,13 @@ class Lexicon:
 
 @dataclass
 class Index:
-    """Pages, document rows, any-column vocabulary, and the number of pages."""
+    """Pages, document rows, any-column vocabulary, the number of pages, and the folder of the tables."""
 
     rows: DataFrame
     vocabulary: DataFrame
     n: int
     pages: DataFrame
-    grams: literal_.Grams
+    path: str
 
     @classmethod
     def build(cls, pages: DataFrame, prefixes: list[tuple[str, str]], triggers: DataFrame | None = None, path: str | None = None, cards: DataFrame | None = None) -> Index:
@@ -79,15 +79,25 @@ class Index:
         rows = spark.read.parquet(f"{path}/rows")
         words = F.array_distinct(F.concat("title", "triggers", "body", "uni"))
         I.vocabulary(rows, "rel", words).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        literal_.Grams.build(held.join(rows.select("rel"), "rel", "left_semi"), "rel", F.col("content"), f"{path}/grams")
-        spark.createDataFrame([(VERSION,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+        _versioned(spark, path)
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         rows = spark.read.parquet(f"{path}/rows")
         pages = spark.read.parquet(f"{path}/pages").join(rows.select("rel"), "rel", "left_semi")
-        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count(), pages.select("rel", "content"), literal_.Grams.load(spark, f"{path}/grams", "rel"))
+        return cls(rows, spark.read.parquet(f"{path}/vocabulary"), rows.count(), pages.select("rel", "content"), path)
+
+    @property
+    def grams(self) -> literal_.Grams:
+        """The trigrams of all pages, which nothing but ``literal`` asks for: they are written when it first does,
+        and stand from then on."""
+        spark, at = self.pages.sparkSession, f"{self.path}/grams"
+        if _exists(spark, f"{at}/version"):
+            return literal_.Grams.load(spark, at, "rel")
+        grams = literal_.Grams.build(self.pages, "rel", F.col("content"), at)
+        _versioned(spark, at)
+        return grams
 
     @classmethod
     def current(cls, pages: DataFrame, prefixes: list[tuple[str, str]], path: str, triggers: DataFrame | None = None, cards: DataFrame | None = None) -> Index:
@@ -109,9 +119,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def _versioned(spark: SparkSession, path: str) -> None:
+    """Written last: what stands in ``path`` is whole."""
+    spark.createDataFrame([(VERSION,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+
+
 def _purge(spark: SparkSession, path: str) -> None:
     """The version first, so that what is left of an interrupted purge is never taken for whole."""
-    for name in ("version", "pages", "rows", "vocabulary", "grams"):
+    for name in ("version", "grams/version", "pages", "rows", "vocabulary", "grams"):
         fs, target = _folder(spark, f"{path}/{name}")
         if fs.exists(target):
             fs.delete(target, True)
@@ -124,6 +139,20 @@ def _held(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Sent to every task if its rows are few."""
+    return F.broadcast(df) if df.limit(R.BROADCAST_TERMS + 1).count() <= R.BROADCAST_TERMS else df
+
+
+def _narrowed(index: Index, questions: DataFrame) -> Index:
+    """The index with what the questions can ask of its vocabulary: their terms, the forms of latin ones, and
+    the characters of pairs. Of all words it is read once."""
+    term = questions.select(F.explode(T.query_terms(F.col("q"))).alias("term"))
+    forms = F.when(T.is_pair(F.col("term")), F.split("term", "")).otherwise(T.latin_forms(F.col("term")))
+    asked = _held(term.distinct().select(F.explode(F.array_union(F.array("term"), forms)).alias("term")).distinct(), "wanted")
+    return replace(index, vocabulary=_held(index.vocabulary.join(_few(asked), "term", "left_semi"), "known"))
+
+
 def analysed(index: Index, questions: DataFrame) -> DataFrame:
     """``qid, term, df, wordness, weight, titled, named, present``: the questions' terms with
     what the index knows of them."""
@@ -135,7 +164,7 @@ def analysed(index: Index, questions: DataFrame) -> DataFrame:
         t = t.withColumn("_c", F.when(pair, F.substring("term", k, 1))).join(known.select(F.col("term").alias("_c"), F.col("df").alias(f"df{k}")), "_c", "left").drop("_c")
     word = F.when(pair, F.coalesce(F.try_divide(F.col("df"), F.least("df1", "df2")), F.lit(0.0))).otherwise(1.0)
     t = t.withColumn("wordness", word).withColumn("weight", F.when(pair, F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.col("wordness") / 0.3))).otherwise(1.0))
-    asked = raw.select("term").distinct()
+    asked = _few(raw.select("term").distinct())
     titles = index.rows.select(F.explode("title").alias("term")).join(asked, "term", "left_semi").distinct().withColumn("titled", F.lit(True))
     names = index.rows.select(F.explode(F.concat("title", "triggers")).alias("term")).join(asked, "term", "left_semi").distinct().withColumn("named", F.lit(True))
     t = t.join(titles, "term", "left").join(names, "term", "left").fillna(False, ["titled", "named"])
@@ -160,6 +189,8 @@ def unknown_terms(index: Index, questions: DataFrame, lexicon: Lexicon | None =
 def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None = None, gate: bool = True, lexicon: Lexicon | None = None) -> DataFrame:
     """``qid, rel, rank, score, tier, how, margin, strong, refuse, confidence`` for a batch of
     ``questions(qid, q)``. Questions without any hit have one row with confidence ``none``."""
+    questions = _held(questions, "questions")
+    index = _narrowed(index, questions)
     terms = analysed(index, questions)
     if lexicon is not None:
         terms = terms.join(lexicon.words.select(F.col("word").alias("term"), "generic"), "term", "left")
@@ -171,11 +202,11 @@ def recall(index: Index, questions: DataFrame, limit: int = 5, scope: str | None
     any_good = F.max(good.cast("int")).over(W.partitionBy("qid")) == 1
     used = present.withColumn("_use", F.when(any_good, good).otherwise(True)).where("_use")
     asked = used.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    scored = R.bm25(index.rows, "rel", FIELDS, asked, digits=None)
-    first = R.top(scored, "rel", CANDIDATES, F.round("score", 9)).withColumnRenamed("rank", "_place")
+    scored = R.bm25_first(index.rows, "rel", FIELDS, asked, CANDIDATES)
+    first = _held(R.top(scored, "rel", CANDIDATES, F.round("score", 9)).withColumnRenamed("rank", "_place"), "first")
     rows = index.rows.select("rel", "tier", "how", "name", "title", "triggers", "body", "uni")
     q = questions.select("qid", "q", T.compact(F.col("q")).alias("_compact"), T.query_terms(F.col("q")).alias("_tokens"))
-    hits = first.join(rows, "rel").join(q, "qid")
+    hits = _few(first).join(rows, "rel").join(q, "qid")
     hits = R.rerank(hits, F.col("tier"), F.arrays_overlap("title", "_tokens"), F.col("tier") == "topic", (F.length("_compact") >= 2) & F.contains("name", F.col("_compact")))
     if scope:
         hits = hits.where((F.col("rel") == scope) | F.col("rel").startswith(f"{scope}/"))
@@ -236,7 +267,7 @@ def bounded(index: Index, questions: DataFrame, scope: str, limit: int = 3) -> t
 def ask(index: Index, questions: DataFrame, aliases: DataFrame, standing: DataFrame | None = None, limit: int = 3) -> DataFrame:
     """``qid, route, rel, confidence, how``: the lock's page if a name is one, else the first
     hit of recall, else a refusal."""
-    hit = L.locked(questions, aliases)
+    hit = _held(L.locked(questions, aliases), "locked")
     how = hit.select("qid", "id", F.col("source").alias("rel"))
     how = how.join(standing.select("id", "how"), "id", "left") if standing is not None else how.withColumn("how", F.lit(None).cast("string"))
     rest = recall(index, questions.join(hit, "qid", "left_anti"), limit).where("rank = 1 or rank is null")

@@ -189,3 +189,35 @@ def test_words_of_the_language_that_are_nowhere(spark, tmp_path):
     asked = spark.createDataFrame([(1, "网关 房贷 报销 利率"), (2, "网关 健康 检查")], "qid int, q string")
     got = {r.qid: r.refuse for r in engine.recall(index, asked, 1, lexicon=lexicon).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_the_first_ones_are_those_of_all_scores(spark):
+    """No pair of question and document is left out that may be among the first ones; ties, documents without asked
+    terms, a question that nobody answers, and keys of several rows."""
+    r = random.Random(8)
+    some = lambda n: [f"t{r.randrange(25)}" for _ in range(n)]
+    docs = [(f"d{i:03}", some(r.randint(0, 3)), [], some(r.randint(0, 30)), some(2)) for i in range(120)] + [(f"e{i}", ["t1"], [], ["t2", "t2"], []) for i in range(9)]
+    asked = spark.createDataFrame([(q, sorted(set(some(5)))) for q in range(300)] + [(300, ["nowhere"]), (301, [])], "qid int, terms array<string>")
+    schema = "rel string, title array<string>, triggers array<string>, body array<string>, uni array<string>"
+    top = lambda scored: {(x.qid, x["rank"]): (x.rel, round(x.score, 9)) for x in R.top(scored, "rel", 7, F.round("score", 9)).collect()}
+    for rows in (docs, [*docs, docs[3], docs[3]], docs[:0]):
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        want = top(R.bm25(df, "rel", engine.FIELDS, asked, digits=None))
+        assert top(R.bm25_first(df, "rel", engine.FIELDS, asked, 7)) == want and (want or not rows)
+    got = R.bm25_first(spark.createDataFrame(docs * 1, schema).repartition(3), "rel", engine.FIELDS, asked, 2)
+    assert got.count() < R.bm25(spark.createDataFrame(docs, schema), "rel", engine.FIELDS, asked, digits=None).count() / 2
+
+
+def test_trigrams_are_made_when_they_are_asked_for(spark, tmp_path):
+    """Recall has no use for them; once made they stand, are loaded again, and go with the pages they are of."""
+    pages = spark.createDataFrame([("a.md", "Calls end after 30 seconds."), ("b.md", "Something else altogether.")], "rel string, content string")
+    at = tmp_path / "index"
+    index = engine.Index.current(pages, [], str(at))
+    asked = spark.createDataFrame([(1, "ELSE altogether")], "qid int, q string")
+    engine.recall(index, asked).collect()
+    assert not (at / "grams").exists()
+    lines = lambda i: [(x.rel, x.hit) for x in engine.literal(i, asked).collect()]
+    assert lines(index) == [("b.md", True)] and (at / "grams" / "version").exists()
+    made = sorted((at / "grams" / "rows").rglob("*.parquet"))
+    assert lines(engine.Index.load(spark, str(at))) == [("b.md", True)] and sorted((at / "grams" / "rows").rglob("*.parquet")) == made
+    assert not lines(engine.Index.build(pages.where("rel = 'a.md'"), [], path=str(at)))

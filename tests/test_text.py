@@ -119,3 +119,40 @@ def test_digests(spark):
 
     assert one(spark, digest.body_digest, "---\na: 1\n---\nbody") == hashlib.sha1(b"body").hexdigest()[:16]
     assert one(spark, lambda a, b: digest.row_id(a, b), "x", "y") == hashlib.sha1(b"x\x00y").hexdigest()[:16]
+
+
+def test_hints_leave_no_secret_out(spark, monkeypatch):
+    """Redaction with what is tested first, and without it; letters that fold into those of labels, and runs of every make."""
+    import random
+
+    r = random.Random(5)
+    bits = ["key", "KEY", "ſecret", "paſsword", "PASSWD", "toKen", "Credential", "密码", "口令", "令牌", "访问密钥", "凭据", "Bearer", "bEARER", "sk-", "ghp_", "AKIA", "AIza", "xoxb-", "fw_", "://u:", "@h", "?sig=", "= ", ": ", " ", "\n", "é", "ab12cd34ef56gh78", "a=1+b~2:c=3+d~4:e", "0123456789ABCDEF", "12345678", "word-of-letters", "_", "-"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    shown = lambda: dict(df.select("i", X.redact(F.col("t"))).collect())
+    got = shown()
+    for pattern in X.HINTS:
+        monkeypatch.setitem(X.HINTS, pattern, lambda t: F.lit(True))
+    want = shown()
+    assert got == want and sum(want[i] != t for i, t in enumerate(texts)) > 300
+
+
+def test_plain_letters_are_their_own_form(spark):
+    """Normal forms and tokens of texts with and without characters that have another form."""
+    import re
+    import unicodedata
+
+    texts = ["café été Straße ñ", "éte", "ﬁne ½ x² ª", "ſecret Ŀ ŉ", "ＡＢＣ 12", "한글 하", "中文 a1 漢字漢", " xµ", "", None, "豈更 ⼀"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.nfkc(F.col("t")), T.tokens(F.col("t")), T.unigrams(F.col("t"))).collect()
+    for i, form, tokens, single in rows:
+        want = None if texts[i] is None else unicodedata.normalize("NFKC", texts[i])
+        assert form == want
+        if want is not None:
+            assert [t for t in tokens if t.isascii()] == [w for w in re.findall("[a-z0-9]+", want.lower()) if len(w) > 1]
+            assert single == sorted(set(re.findall("[㐀-鿿豈-﫿]", want)))
+
+
+def test_the_first_rule_line_in_order(spark):
+    texts = ["# Head\n- short\n1. A plain line here\n**Bold** is later, and said", "status: current\n\n  > A quoted line of text  \r\nnext line there", "**b**\nnothing bold of length", "| a | b |\n```", "", None, "x" * 90]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.first_rule_line(F.col("t"))).collect()]
+    assert got == ["Bold is later, and said", "A quoted line of text", "nothing bold of length", None, None, None, "x" * 79 + "…"]
